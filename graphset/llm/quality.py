@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers look at each whole text and vote good (1), bad (0) or abstain (2).  Expectation-maximisation
 over the counts of all vote patterns in the corpus (at most 3 to the number of labellers) estimates how often each labeller
-is right, without any label; the posterior of each pattern then labels texts softly, and a linear scorer over hashed terms is
+is right on good and on bad texts, without any label; the posterior of each pattern then labels texts softly, and a linear scorer over hashed terms is
 trained on them by logistic regression.  The scorer judges every whole text.
 
 Counts of patterns cover all texts.  The scorer's training reads about ``max_train`` texts (a documented bound), chosen by
@@ -30,16 +30,18 @@ from graphset.llm.words import Words, mix, pieces
 #: Texts that the scorer is trained on, about; buckets of the hashed terms.
 MAX_TRAIN, BUCKETS = 8_000, 1 << 13
 GOOD, BAD, NONE = 1, 0, 2
-#: Labellers: feature, bad if below / above, good if within.  Fixed values.
+#: Labellers: feature, vote, and the range in which it votes that way (else it abstains).  Fixed values.
 LABELLERS = [
-    ("words", 10, None, None, None),
-    ("symbol_share", None, 0.08, 0.0, 0.04),
-    ("pipe_share", None, 0.1, None, None),
-    ("upper_share", None, 0.5, 0.005, 0.15),
-    ("again_share", None, 0.1, 0.0, 0.01),
-    ("distinct_share", 0.2, None, 0.4, 1.0),
-    ("word_length", 2.0, 12.0, 3.0, 9.0),
-    ("words_per_stop", None, 120, 3, 40),
+    ("words", BAD, 0, 4),
+    ("symbol_share", BAD, 0.15, 1.0),
+    ("letter_share", BAD, 0.0, 0.65),
+    ("pipe_share", BAD, 0.1, 1e9),
+    ("line_noise", BAD, 0.25, 1e9),
+    ("upper_share", BAD, 0.4, 1.0),
+    ("words_per_stop", BAD, 0.0, 1.5),
+    ("again_share", BAD, 0.1, 1.0),
+    ("distinct_share", BAD, 0.0, 0.25),
+    ("prose", GOOD, 1, 1),
 ]
 
 
@@ -66,7 +68,7 @@ def features(w: Words, data: np.ndarray, bounds: np.ndarray) -> dict[str, np.nda
     n = len(bounds) - 1
     distinct = np.bincount(d[new], minlength=n)
     stops = _per_text(np.isin(data, np.frombuffer(b".!?", dtype=np.uint8)), bounds)
-    return {
+    out = {
         "words": w.count.astype(float),
         "symbol_share": _per_text(~plain, bounds) / n_bytes,
         "pipe_share": _per_text(data == 124, bounds) / words,
@@ -74,22 +76,21 @@ def features(w: Words, data: np.ndarray, bounds: np.ndarray) -> dict[str, np.nda
         "again_share": np.bincount(w.doc[again], minlength=n) / words,
         "distinct_share": distinct / np.sqrt(words * np.minimum(words, 200)),
         "word_length": _per_text(letter, bounds) / words,
-        "words_per_stop": w.count / np.maximum(stops, 1),
+        "letter_share": _per_text(letter, bounds) / n_bytes,
+        "line_noise": _per_text(~plain, bounds) / words,
+        "words_per_stop": np.where(stops > 3, w.count / np.maximum(stops, 1), 10.0),
     }
+    calm = (out["symbol_share"] < 0.04) & (out["upper_share"] < 0.15) & (out["again_share"] < 0.03) & (out["words_per_stop"] < 60)
+    out["prose"] = (calm & (out["word_length"] > 3) & (out["word_length"] < 9) & (w.count > 4)).astype(float)
+    return out
 
 
 def votes(seen: dict[str, np.ndarray]) -> np.ndarray:
     """The vote pattern of each text, as a number in base 3."""
     out = np.zeros(len(seen["words"]), dtype=np.int64)
-    for name, low, high, at, to in LABELLERS:
+    for name, vote, at, to in LABELLERS:
         x = seen[name]
-        v = np.full(len(x), NONE)
-        if at is not None:
-            v[(x >= at) & (x <= to)] = GOOD
-        if low is not None:
-            v[x < low] = BAD
-        if high is not None:
-            v[x > high] = BAD
+        v = np.where((x >= at) & (x <= to), vote, NONE)
         if name != "words":
             v[seen["words"] == 0] = NONE
         out = out * 3 + v
@@ -107,24 +108,24 @@ def each_piece(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, W
 
 
 def fit_labellers(counts: dict[int, int], rounds: int = 100) -> tuple[float, np.ndarray, dict[int, float]]:
-    """Share of good texts, each labeller's accuracy on (bad, good) texts, and the posterior of good for each pattern."""
+    """Share of good texts, how often each labeller votes bad, good or not at all on (bad, good) texts, and the posterior
+    of good for each pattern."""
     m = len(LABELLERS)
     codes = np.array(sorted(counts), dtype=np.int64)
     weight = np.array([counts[int(c)] for c in codes], dtype=float)
     v = np.stack([codes // 3 ** (m - 1 - j) % 3 for j in range(m)], axis=1)
-    prior, right = 0.8, np.full((2, m), 0.8)
-    post = np.zeros(len(codes))
+    bad, good = (v == BAD).sum(axis=1), (v == GOOD).sum(axis=1)
+    post = (good + 0.5) / (good + 2 * bad + 1.0)  # a start from the mere votes
+    prior, rates = 0.5, np.zeros((2, m, 3))
     for _ in range(rounds):
-        log = np.tile(np.log([1 - prior, prior]), (len(codes), 1))
-        for c in (0, 1):
-            log[:, c] += (np.where(v == c, np.log(right[c]), 0) + np.where(v == 1 - c, np.log(1 - right[c]), 0)).sum(axis=1)
-        post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
-        for c, p in ((0, (1 - post) * weight), (1, post * weight)):
-            agree, said = ((v == c) * p[:, None]).sum(axis=0), ((v != NONE) * p[:, None]).sum(axis=0)
-            # one vote more of each kind, three times as much on the right side; labellers are better than chance
-            right[c] = np.clip((agree + 3) / (said + 4), 0.5, 0.999)
         prior = float(np.clip((post * weight).sum() / weight.sum(), 0.01, 0.99))
-    return prior, right, {int(c): float(p) for c, p in zip(codes, post, strict=True)}
+        for c, p in ((BAD, (1 - post) * weight), (GOOD, post * weight)):
+            for x in range(3):
+                # half a text of each kind keeps rates off 0
+                rates[c, :, x] = (((v == x) * p[:, None]).sum(axis=0) + 0.5) / (p.sum() + 1.5)
+        log = np.log([1 - prior, prior]) + np.stack([np.log(rates[c][np.arange(m), v]).sum(axis=1) for c in (BAD, GOOD)], axis=1)
+        post = 1 / (1 + np.exp(np.clip(log[:, BAD] - log[:, GOOD], -700, 700)))
+    return prior, rates, {int(c): float(p) for c, p in zip(codes, post, strict=True)}
 
 
 def hashed_terms(w: Words, data: np.ndarray, bounds: np.ndarray, seen: dict[str, np.ndarray], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +147,7 @@ def hashed_terms(w: Words, data: np.ndarray, bounds: np.ndarray, seen: dict[str,
 @dataclass
 class QualityModel:
     prior: float
-    right: np.ndarray
+    rates: np.ndarray
     posterior: dict[int, float]
     weights: np.ndarray
     intercept: float
@@ -161,7 +162,7 @@ def fit_quality(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TR
 
     texts = docs.select(F.col(text_col).cast("string"))
     counts = {r["code"]: r["n"] for r in texts.mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
-    prior, right, posterior = fit_labellers(counts) if counts else (0.5, np.full((2, len(LABELLERS)), 0.8), {})
+    prior, rates, posterior = fit_labellers(counts) if counts else (0.5, np.full((2, len(LABELLERS), 3), 1 / 3), {})
     share = min(1.0, max_train / max(1, sum(counts.values())))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +182,9 @@ def fit_quality(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TR
     rows = save(texts.mapInArrow(train, "p double, at array<int>, value array<double>"))
     both = rows.select(F.lit(1.0).alias("label"), F.col("p").alias("weight"), "at", "value").union(rows.select(F.lit(0.0), 1 - F.col("p"), "at", "value")).filter("weight > 0.001")
     if len({r[0] for r in both.select("label").distinct().collect()}) < 2:
-        return QualityModel(prior, right, posterior, np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
+        return QualityModel(prior, rates, posterior, np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
     model = LogisticRegression(weightCol="weight", regParam=0.0005, maxIter=60).fit(both.select("label", "weight", sparse("at", "value").alias("features")))
-    return QualityModel(prior, right, posterior, model.coefficients.toArray(), float(model.intercept))
+    return QualityModel(prior, rates, posterior, model.coefficients.toArray(), float(model.intercept))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a word (letters and digits, lower-case), hashed to 64 bits.  Labelled texts tell which terms go with the label
+A term is a word (letters and digits, lower-case) or the opening of a longer word, hashed to 64 bits.  Labelled texts tell which terms go with the label
 (a likelihood-ratio test over all terms of the labelled texts); over the presence of these terms a factorization machine
 learns a weight for each term and, by the products of their factors, for each pair of terms.  Every whole text is then
 scored inside Spark's tasks with the few weights.
@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphset.llm.common import save
-from graphset.llm.words import pieces, signed
+from graphset.llm.words import Words, pieces, signed
 
 #: Labelled texts that training reads at most, terms the machine takes at most, factors of a term.
 MAX_LABELLED, MAX_TERMS, FACTORS = 20_000, 256, 4
 #: Likelihood ratio (G) from which a term counts as going with the label; 15.1 is a chance of 1 in 10,000.
 LEAST_G = 15.1
 THRESHOLD = 0.3
+#: Bytes of a longer word's opening that make a term of its own, so that endings not seen in training count as well.
+OPENINGS = (5,)
 
 
 @dataclass
@@ -57,13 +59,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def present(words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def term_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all terms of a piece: words, and the openings of longer words."""
+    doc, hashes = [w.doc], [w.hash]
+    for n in OPENINGS:
+        doc.append(w.doc[w.size > n])
+        hashes.append(w.openings(n))
+    return np.concatenate(doc), np.concatenate(hashes)
+
+
+def present(words: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, place in ``terms``) of a piece."""
     if not len(terms):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.minimum(np.searchsorted(terms, words.hash), len(terms) - 1)
-    hit = terms[at] == words.hash
-    pair = np.unique(words.doc[hit].astype(np.int64) * len(terms) + at[hit])
+    doc, hashes = term_hashes(words)
+    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+    hit = terms[at] == hashes
+    pair = np.unique(doc[hit].astype(np.int64) * len(terms) + at[hit])
     return pair // len(terms), pair % len(terms)
 
 
@@ -73,7 +85,11 @@ def term_sets(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in pieces(batch.column(1), "alnum"):
-                sets = [signed(np.unique(w.hash[w.first[i] : w.first[i + 1]])) for i in range(b - a)]
+                doc, hashes = term_hashes(w)
+                order = np.lexsort((hashes, doc))
+                doc, hashes = doc[order], hashes[order]
+                ends = np.searchsorted(doc, np.arange(b - a + 1))
+                sets = [signed(np.unique(hashes[ends[i] : ends[i + 1]])) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["y", "terms"])
 
     return labelled.select(F.col("y").cast("double"), F.col("text").cast("string")).mapInArrow(run, "y double, terms array<long>")

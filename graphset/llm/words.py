@@ -86,6 +86,9 @@ class Words:
         total = np.zeros(size + 1, dtype=np.uint64)
         np.cumsum(_LOWER_VALUES[data] * up, out=total[1:])
         self.hash = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        self._start, self._total, self._down = start, total, down
+        #: Bytes of each word.
+        self.size = end - start
         self.first = np.searchsorted(start, bounds)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.count)
@@ -96,6 +99,11 @@ class Words:
         down1 = np.append(down, np.uint64(1))
         self.text_hash = mix((whole[bounds[1:]] - whole[bounds[:-1]]) * down1[bounds[:-1]] + lengths)
 
+    def openings(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of the words that are longer, unlike those of any whole word."""
+        at = self._start[self.size > n]
+        return mix(((self._total[at + n] - self._total[at]) * self._down[at] + np.uint64(n)) ^ np.uint64(0xA0761D6478BD642F))
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places (among all words of the piece) where k words of one text begin, and the hash of these words."""
         m = len(self.hash) - k + 1
