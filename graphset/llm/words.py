@@ -86,7 +86,9 @@ class Words:
         total = np.zeros(size + 1, dtype=np.uint64)
         np.cumsum(_LOWER_VALUES[data] * up, out=total[1:])
         self.hash = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-        self._start, self._total, self._down = start, total, down
+        #: First byte of each word.
+        self.start = start
+        self._total, self._down = total, down
         #: Bytes of each word.
         self.size = end - start
         self.first = np.searchsorted(start, bounds)
@@ -101,7 +103,7 @@ class Words:
 
     def openings(self, n: int) -> np.ndarray:
         """Hashes of the first n bytes of the words that are longer, unlike those of any whole word."""
-        at = self._start[self.size > n]
+        at = self.start[self.size > n]
         return mix(((self._total[at + n] - self._total[at]) * self._down[at] + np.uint64(n)) ^ np.uint64(0xA0761D6478BD642F))
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
