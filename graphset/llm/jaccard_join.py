@@ -3,16 +3,16 @@
 A text's set is its distinct word 5-grams (64-bit hashes, in the order of which lies the global n-gram order).  The order is
 cut into fragments.
 
-1. Each fragment counts, for each text, how many of the text's n-grams in that fragment another text has too; the counts are
-   summed over the fragments.  A text with a partner shares at least the threshold of its n-grams, so all others are
-   settled: they stand alone.  What is shuffled is 48 bits of each n-gram and the place of its text in packed blocks.  (Equal
-   bits of different n-grams can only add to a count, hence lose nothing.)
+1. Each fragment counts in how many texts each of its n-grams occurs (to 255).  Put together per text, these counts tell how
+   many of its n-grams another text has too.  A text with a partner shares at least the threshold of its n-grams, so all
+   others are settled: they stand alone.  What is shuffled is 48 bits of each n-gram and the place of its text in packed
+   blocks, and the counts back.  (Equal bits of different n-grams can only add to a count, hence lose nothing.)
 2. The other texts, one for each distinct set, meet in each of a few bands of the order by their first n-gram there, and
    each is paired with the one of its meeting that has the fewest n-grams of its own.  Partial overlaps of these pairs are
    counted fragment by fragment and summed per pair; pairs over the threshold are links.
 3. What is left is to find links between different components.  Two sets over the threshold share an n-gram among the first
-   n - ceil(t n) + 1 of each; only pairs that do so, have fitting sizes and lie in different components are counted, again
-   by fragment.  Pairs inside a component add nothing to the result, so large groups of near copies never become all pairs.
+   n - ceil(t n) + 1 of each, rarest first; only pairs that do so, have fitting sizes and places and lie in different
+   components are counted, again by fragment.  Pairs inside a component add nothing to the result, so large groups of near copies never become all pairs.
 
 Defined cases: null texts and texts without words have empty sets and are linked with nothing, not even each other; a text
 of fewer than five words is one n-gram; equal texts (also under one id) are one set; every input row gives one output row;
@@ -64,8 +64,9 @@ def set_key(s: np.ndarray) -> bytes:
     return np.array([a + np.uint64(len(s)), b], dtype=np.uint64).tobytes()
 
 
-def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, n (size of the set), cls (key of the set), shared (its n-grams that another row has too, or a few more)."""
+def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """id, n (size of the set), cls (key of the set), shared (its n-grams that another row has too, or a few more), and, if
+    these reach the threshold, seen: in how many rows each n-gram occurs, a byte each, in the order of the hashes."""
     fragments = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     step = np.uint64((1 << 64) // fragments + 1)
     block = pa.schema([("fragment", pa.int32()), ("piece", pa.int64()), ("meta", pa.bool_()), ("data", pa.binary())])
@@ -96,9 +97,9 @@ def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
                 piece += 1
 
     def count(t: pa.Table) -> pa.Table:
-        """Of one fragment: for each piece, how many n-grams of each of its texts occur more than once."""
+        """Of one fragment: for each piece, the place of the text and the number of texts of each n-gram that is shared."""
         rows = t.to_pylist()
-        out = [(r["piece"], True, r["data"]) for r in rows if r["meta"]]
+        out = [(r["piece"], -1, r["data"]) for r in rows if r["meta"]]
         blocks = [r for r in rows if not r["meta"]]
         if blocks:
             sizes = [len(r["data"]) // 8 for r in blocks]
@@ -111,63 +112,70 @@ def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
                 at += n
             order = np.argsort(grams)
             s = grams[order]
-            same = s[1:] == s[:-1]
-            twice = np.zeros(len(s), dtype=bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            shared = np.zeros(len(s), dtype=bool)
-            shared[order] = twice
+            starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            times = np.diff(np.append(starts, len(s)))
+            seen = np.empty(len(s), dtype=np.uint8)
+            seen[order] = np.repeat(np.minimum(times, 255), times)
             at = 0
             for r, n in zip(blocks, sizes, strict=True):
-                doc = np.frombuffer(r["data"], dtype=np.uint16, count=n, offset=6 * n)[shared[at : at + n]]
+                doc = np.frombuffer(r["data"], dtype=np.uint16, count=n, offset=6 * n)
+                out.append((r["piece"], r["fragment"], doc.tobytes() + seen[at : at + n].tobytes()))
                 at += n
-                if len(doc):
-                    places, counts = np.unique(doc, return_counts=True)
-                    out.append((r["piece"], False, places.astype(np.uint16).tobytes() + counts.astype(np.uint32).tobytes()))
         cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], names=["piece", "meta", "data"])
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["piece", "fragment", "data"])
 
     def total(t: pa.Table) -> pa.Table:
-        """Of one piece: id, n, cls and the sum of the fragments' counts of each of its texts."""
-        rows = t.to_pylist()
-        meta = next(r["data"] for r in rows if r["meta"])
+        """Of one piece: what all fragments counted, by text."""
+        rows = sorted(t.to_pylist(), key=lambda r: r["fragment"])
+        meta = rows[0]["data"]
         n = len(meta) // 29
         ids, known = np.frombuffer(meta, dtype=np.int64, count=n), np.frombuffer(meta, dtype=np.uint8, count=n, offset=8 * n)
         sizes = np.frombuffer(meta, dtype=np.int32, count=n, offset=9 * n)
-        shared = np.zeros(n, dtype=np.int64)
-        for r in rows:
-            if not r["meta"]:
-                m = len(r["data"]) // 6
-                shared[np.frombuffer(r["data"], dtype=np.uint16, count=m)] += np.frombuffer(r["data"], dtype=np.uint32, count=m, offset=2 * m)
+        doc = np.concatenate([np.zeros(0, dtype=np.uint16), *(np.frombuffer(r["data"], dtype=np.uint16, count=len(r["data"]) // 3) for r in rows[1:])])
+        seen = np.concatenate([np.zeros(0, dtype=np.uint8), *(np.frombuffer(r["data"], dtype=np.uint8, offset=len(r["data"]) // 3 * 2) for r in rows[1:])])
+        # fragments come in the order of the hashes, and so do a text's n-grams inside each
+        order = np.argsort(doc, kind="stable")
+        seen = seen[order]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        both = np.concatenate([[0], np.cumsum(seen > 1)])
+        shared = both[ends[1:]] - both[ends[:-1]]
+        kept = [seen[ends[i] : ends[i + 1]].tobytes() if sizes[i] and 100 * shared[i] >= percent * int(sizes[i]) else None for i in range(n)]
         keys = meta[13 * n :]
-        return pa.table([pa.array(ids, mask=known == 0), pa.array(sizes.astype(np.int64)), pa.array([keys[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(shared)], names=["id", "n", "cls", "shared"])
+        names = ["id", "n", "cls", "shared", "seen"]
+        return pa.table([pa.array(ids, mask=known == 0), pa.array(sizes.astype(np.int64)), pa.array([keys[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(shared.astype(np.int64)), pa.array(kept, pa.binary())], names=names)
 
     blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, "fragment int, piece long, meta boolean, data binary")
-    counts = blocks.groupBy("fragment").applyInArrow(count, "piece long, meta boolean, data binary")
-    return counts.groupBy("piece").applyInArrow(total, "id long, n long, cls binary, shared long")
+    counts = blocks.groupBy("fragment").applyInArrow(count, "piece long, fragment int, data binary")
+    return counts.groupBy("piece").applyInArrow(total, "id long, n long, cls binary, shared long, seen binary")
 
 
-def set_parts(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, parts: int, percent: int) -> DataFrame:
-    """cls, n, meets (first n-gram of each band), prefix (the n-grams that a partner shares one of), seg (by part)."""
+def set_parts(texts: DataFrame, width: int, bands: int, parts: int, percent: int) -> DataFrame:
+    """Of (text, seen): cls, n, common (n-grams that are not its alone), meets (first n-gram of each band), prefix (of the
+    n-grams that a partner has one of those that are not its alone, rarest first), segs (the set, cut by part)."""
     step = np.uint64((1 << 64) // parts + 1)
-    out = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("meets", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("segs", pa.list_(pa.binary()))])
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, w in pieces(batch.column(0), "solid"):
+            for a, _, w in pieces(batch.column(0), "solid"):
                 rows = []
-                for s in text_sets(w, width):
+                for i, s in enumerate(text_sets(w, width)):
                     n = len(s)
-                    if n:
-                        band = s // np.uint64((1 << 64) // bands + 1)
-                        firsts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-                        ends = np.searchsorted(s // step, np.arange(parts + 1))
-                        least = -(-percent * n // 100)
-                        rows.append((set_key(s), n, signed(s[firsts]), signed(s[: n - least + 1]), [s[ends[i] : ends[i + 1]].tobytes() for i in range(parts)]))
+                    seen = batch.column(1)[a + i].as_py()
+                    # a text of the same id that is settled already, or another version of it
+                    if not n or seen is None or len(seen) != n:
+                        continue
+                    seen = np.frombuffer(seen, dtype=np.uint8)
+                    band = s // np.uint64((1 << 64) // bands + 1)
+                    firsts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+                    ends = np.searchsorted(s // step, np.arange(parts + 1))
+                    rare = np.argsort(seen, kind="stable")[: n + (-percent * n) // 100 + 1]
+                    rare = rare[seen[rare] > 1]
+                    rows.append((set_key(s), n, int((seen > 1).sum()), signed(s[firsts]), signed(s[rare]), [s[ends[j] : ends[j + 1]].tobytes() for j in range(parts)]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cls", "n", "common", "meets", "prefix", "segs"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "cls binary, n long, meets array<long>, prefix array<long>, segs array<binary>")
+    return texts.mapInArrow(run, "cls binary, n long, common long, meets array<long>, prefix array<long>, segs array<binary>")
 
 
 def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,29 +211,31 @@ def meetings(sets: DataFrame, turn: int) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id that links reach, its own included)."""
-    rows = save(shared_counts(docs, id_col, text_col, width))
-    open_rows = rows.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n")).filter("n > 0")
-    classes = save(open_rows.groupBy("cls").agg(F.min("id").alias("id"), F.min(F.col("n") - F.col("shared")).alias("own")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ids = classes.select(F.col("id").alias("open_id")).distinct()
-    kept = texts.join(ids, texts["id"].eqNullSafe(ids["open_id"]), "left_semi")
-    parts = set_parts(kept, "id", "text", width, BANDS, PARTS, percent).join(classes.select("cls", "own"), "cls")
+    rows = save(shared_counts(docs, id_col, text_col, width, percent))
+    open_rows = rows.filter("seen IS NOT NULL")
+    classes = save(open_rows.groupBy("cls").agg(F.min(F.struct("id", "seen")).alias("first"), F.min(F.col("n") - F.col("shared")).alias("own")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = texts.join(classes.select("first.id", "first.seen").withColumnRenamed("id", "open_id"), F.col("id").eqNullSafe(F.col("open_id"))).select("text", "seen")
+    parts = set_parts(kept, width, BANDS, PARTS, percent).join(classes.select("cls", "own"), "cls")
     sets = save(parts.dropDuplicates(["cls"]))
     links: DataFrame | None = None
     for turn in range(ROUNDS):
         new = links_of(meetings(sets, turn), sets, percent)
         links = save(new if links is None else links.union(new).distinct())
     label = components(links)
-    grams = sets.join(label, sets["cls"] == label["node"], "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.explode("prefix").alias("gram"))
+    grams = sets.join(label, sets["cls"] == label["node"], "left").select("cls", "n", "common", F.coalesce("root", "cls").alias("comp"), F.posexplode("prefix").alias("at", "gram"))
     mixed = grams.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("gram")
     grams = save(grams.join(mixed, "gram", "left_semi"))
-    a, b = (grams.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp"))) for s in "xy")
+    a, b = (grams.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "common", "comp", "at"))) for s in "xy")
     fits = (F.lit(100) * F.least("n_x", "n_y") >= F.lit(percent) * F.greatest("n_x", "n_y")) & (F.col("comp_x") < F.col("comp_y"))
+    # where this is the first n-gram that the pair has in common, what lies before it in either is not shared
+    most = F.least(F.col("common_x") - F.col("at_x"), F.col("common_y") - F.col("at_y"))
+    fits = fits & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_x") + F.col("n_y")))
     across = a.join(b, "gram").filter(fits).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y")).distinct()
     links = save(links.union(links_of(across, sets, percent)))
     label = components(links)
     named = open_rows.join(label, open_rows["cls"] == label["node"], "left").select("id", "n", F.coalesce("root", "cls").alias("comp"))
     first = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    alone = rows.filter(F.lit(100) * F.col("shared") < F.lit(percent) * F.col("n")).unionByName(rows.filter("n = 0")).select("id", "n", F.col("id").alias("component_id"))
+    alone = rows.filter("seen IS NULL").select("id", "n", F.col("id").alias("component_id"))
     out = named.join(first, "comp").select("id", "n", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
