@@ -152,10 +152,21 @@ LABELLED = [
     <div class=sidebar><p>X:About the author of this site, who has lived by the sea for thirty years and writes about it.</p></div><section class=newsletter><p>X:Get our letter every week, free of charge, right to your inbox.</p></section></body>""",
     """<body><ul><li><a>X:Products</a></li><li><a>X:Prices and plans</a></li><li><a>X:Help</a></li></ul><h1>M:How to mend a net</h1><p>M:Lay the net flat on the ground and look for the torn meshes one after another, beginning at the edge.</p><p>M:Take twine of the same strength as the old one, and a needle of wood.</p><h3>M:Knots</h3><p>M:The sheet bend holds best, and it is quick to tie when the hands are cold and wet.</p><p><a>X:Read more about knots</a></p><p><a>X:Back to top</a></p></body>""",
     """<body><header class=site-header><p>X:The quarterly of the society, in its ninetieth year, for members and friends.</p></header><article class=post><header><h1>M:On maps</h1><p>M:By a reader</p></header><p>M:Maps lie, but they lie usefully.</p><p>M:No map shows all, and the choice of what it shows is what makes it a map at all rather than a picture of the land.</p></article><div class=popup>X:Wait! Subscribe before you go and never miss an issue again.</div><div role=contentinfo>X:Published by the society. Printed on paper.</div></body>""",
+    """<body><article><nav><a>X:Part one</a> <a>X:Part two</a></nav><h1>M:Inside</h1><p>M:Words of the article, a fair number of them, so that it counts as one.</p><form><p>X:Sign up for our letter.</p><label>X:Your mail</label></form><p>M:Fine.</p><aside><p>X:A word from the makers of this paper, who need your help to go on with it this year.</p></aside>
+    <p>M:And then a few more words.</p><footer><p>X:Filed under stories, by the desk, in the year of the long rain.</p></footer></article></body>""",
+    """<body><div class=header><p>X:The site of all sites, with all you want.</p></div><div class=menu><a>X:One</a> <a>X:Two</a></div><div class=notice>X:This site will be down on Sunday for repairs, please come back on Monday.</div><div class=content><h1>M:Small news</h1><p>M:It snowed.</p><p>M:The roads are closed, and the <a>buses</a> stay in their sheds until the ploughs are through.</p><p>M:No school.</p>
+    <div class=advert><p>X:New tyres at half the price, only this week and only here.</p></div><p>M:Stay at home.</p></div><div class=sidebar><h3>X:Weather</h3><p>X:Cold. Very cold at night.</p></div><div id=footer><p>X:Made by people who like snow. Write to us if you like it as well.</p></div></body>""",
+    """<body><article><h1>M:Talk</h1><p>M:Here is what was said on that evening in the hall, in full and in the order in which it was said.</p><p>M:Good.</p><section class=comments><h2>X:Readers write</h2><p>X:I was there and it was just like that, thank you for writing it all down for those who were not.</p><p>X:Me too.</p><form><p>X:Write.</p></form></section></article><aside><p>X:Seen elsewhere.</p></aside></body>""",
+    """<body><div class=site-nav><ul><li><a>X:Home</a></li></ul></div><div class=entry-content><p>M:Yes.</p><p>M:No, not like that at all.</p><ul><li>M:First.</li><li>M:Second, which is <a>linked</a> in part.</li></ul></div><div class=footer>X:A long line at the foot of the page that says who runs it, where they live, and what they think of the law.</div></body>""",
+    """<body><div class=banner>X:Big sale today.</div><main><p>M:A.</p><p>M:Bee.</p><dl><dt>M:Term</dt><dd>M:Meaning of the term.</dd></dl><p><a>M:Source</a></p></main><div class=comment-list><div class=comment><p>X:First! And a great piece of writing too, if I may say so here.</p></div></div><div hidden><p>X:Not shown to any reader of the page, for now.</p></div></body>""",
+    """<body><nav><p>X:Where to go from here, dear reader.</p></nav><aside><p>X:Old words.</p></aside><h1>M:Bare page</h1><p>M:Some pages have no boxes at all, and their paragraphs stand in the body one after another, as in the old days.</p><p>M:That is fine too, for there is not much else on such a page that one could take for its text.</p><footer><p>X:Bye.</p></footer></body>""",
+    """<body><article><h1>M:No foot</h1><p>M:This page ends with its article, and nothing comes behind it.</p><p>M:The end.</p></article></body>""",
+    """<body><div><a>X:Up</a></div><p>M:A bare page may end with its text too, with neither a footer nor a line of links behind the last of its words.</p><p>M:Its last paragraph is text like the rest, and it should stay where it is.</p></body>""",
+    """<body><div class=post><p>M:Nothing here but a post.</p></div></body>""",
 ]
 
 
-def train_tree(spark: SparkSession, labelled: list[str] = LABELLED, depth: int = 6) -> tuple:
+def train_tree(spark: SparkSession, labelled: list[str] = LABELLED, depth: int = 8) -> tuple:
     """The decision tree as nested (feature, threshold, left, right) with 0 or 1 at the leaves."""
     rows = [(1.0 if text.startswith("M") else 0.0, f) for page in labelled for text, f in blocks(page)]
     table = spark.createDataFrame(rows, "label double, f array<double>").coalesce(1)
