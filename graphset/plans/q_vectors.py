@@ -129,10 +129,10 @@ SUMS = """WITH t AS (SELECT l_orderkey AS gid, l_partkey % 600 AS token FROM lin
 s AS (SELECT gid, pos, sum(x) AS x FROM t JOIN v USING (token) GROUP BY ALL), g AS (SELECT DISTINCT gid, pos FROM t, (SELECT DISTINCT pos FROM v))"""
 
 
-@query(f"{SUMS} SELECT gid, CAST(pos AS INT) AS pos, round(coalesce(x, 0), 5) AS x FROM g LEFT JOIN s USING (gid, pos)")
+@query(f"{SUMS} SELECT gid, CAST(pos AS INT) AS pos, CASE WHEN abs(coalesce(x, 0)) < 5e-6 THEN 0.0::DOUBLE ELSE round(x, 5) END AS x FROM g LEFT JOIN s USING (gid, pos)")
 def sentence_vectors(spark, d):
     whole = vectors.sentence_vectors(_part_sentences(spark, d), _vectors(spark, d))
-    return whole.select("gid", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 5))
+    return whole.select("gid", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.when(F.abs("x") < 5e-6, F.lit(0.0)).otherwise(F.round("x", 5)))
 
 
 @query("SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL")
