@@ -205,8 +205,18 @@ def adjacency(e: DataFrame) -> DataFrame:
     return symmetrize(e.select("gid", "src", "dst", "elb")).groupBy("gid", F.col("src").alias("vid")).agg(F.array_sort(F.collect_list(F.struct("dst", "elb"))).alias("neighbours"))
 
 
+def adjacency_rows(e: DataFrame) -> DataFrame:
+    """gid, vid, row: the rows of the weighted adjacency matrices, each as long as its graph needs (largest vid + 1)."""
+    arcs = symmetrize(e.select("gid", "src", "dst", "elb"))
+    sizes = arcs.groupBy("gid").agg(F.max("src").alias("last"))
+    entries = arcs.groupBy("gid", "src", "dst").agg(F.sum(F.col("elb").cast("double")).alias("weight"))
+    own = entries.groupBy("gid", F.col("src").alias("vid")).agg(F.map_from_entries(F.collect_list(F.struct("dst", "weight"))).alias("own"))
+    row = F.transform(F.sequence(F.lit(0), F.col("last").cast("int")), lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0.0)))
+    return own.join(sizes, "gid").select("gid", "vid", row.alias("row"))
+
+
 def to_matrix(e: DataFrame, size: int) -> DataFrame:
-    """Rows of the weighted adjacency matrices of graphs of up to ``size`` vertices, one column per vertex."""
+    """The first ``size`` columns of the weighted adjacency matrices, one column per vertex; ``adjacency_rows`` has all."""
     return symmetrize(e.select("gid", "src", "dst", "elb")).groupBy("gid", F.col("src").alias("vid")).pivot("dst", list(range(size))).agg(F.sum(F.col("elb").cast("double"))).na.fill(0.0)
 
 

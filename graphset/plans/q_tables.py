@@ -166,6 +166,12 @@ def to_matrix(spark, d):
     return tables.to_matrix(og.order_edges(spark, d), 4).withColumnsRenamed({str(i): f"d{i}" for i in range(4)})
 
 
+@query(f"""{G}, w AS (SELECT gid, src, dst, sum(CAST(elb AS DOUBLE)) AS weight FROM ge GROUP BY ALL), r AS (SELECT DISTINCT gid, src AS vid FROM ge), c AS (SELECT gid, unnest(range(max(src) + 1)) AS dst FROM ge GROUP BY gid)
+SELECT r.gid, r.vid, string_agg(CAST(CAST(coalesce(weight, 0) AS INT) AS VARCHAR), ',' ORDER BY c.dst) AS row FROM r JOIN c USING (gid) LEFT JOIN w ON w.gid = r.gid AND w.src = r.vid AND w.dst = c.dst GROUP BY ALL""")
+def adjacency_rows(spark, d):
+    return tables.adjacency_rows(og.order_edges(spark, d)).withColumn("row", F.array_join(F.transform("row", lambda x: x.cast("int").cast("string")), ","))
+
+
 @query(f"{G} SELECT vlb, gid, string_agg(CAST(vid AS VARCHAR), ',' ORDER BY vid) AS vids FROM gv GROUP BY ALL")
 def label_index(spark, d):
     return tables.label_index(og.order_vertices(spark, d)).withColumn("vids", F.array_join("vids", ","))
