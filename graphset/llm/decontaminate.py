@@ -86,6 +86,10 @@ def tile_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no text that contains a benchmark item; all columns stay."""
-    found = tile_benchmark(docs, benchmark, **options).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+    """The rows of ``docs`` whose own text contains no benchmark item; all columns stay.
+
+    Rows are told apart by their number, so ids may be null or repeat; ``docs`` is read twice and must read alike (a table).
+    """
+    numbered = docs.withColumn("row_number_in_docs", F.monotonically_increasing_id())
+    found = tile_benchmark(numbered, benchmark, **(options | {"id_col": "row_number_in_docs"})).select("row_number_in_docs").distinct()
+    return numbered.join(found, "row_number_in_docs", "left_anti").select(*docs.columns)

@@ -1,0 +1,25 @@
+"""Text operators that must do the whole job: rows, passages and credentials that an earlier form left out."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from graphset.llm import decontaminate as dec
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    def make(rows):
+        return spark.createDataFrame([(*r, "src") for r in rows], "doc_id long, text string, source string")
+
+    return make
+
+
+def test_decontamination_drops_rows_not_ids(spark, table):
+    item = " ".join(f"q{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = [(None, "clean one"), (None, None), (7, "clean too"), (8, "")]
+    docs = table([*clean, (None, "x " + item), (7, item + " y"), (7, item + " y")])
+    assert sorted(map(str, dec.decontaminate(docs, bench).select("doc_id", "text").collect())) == sorted(map(str, table(clean).select("doc_id", "text").collect()))
