@@ -1,9 +1,13 @@
-"""Substring dedup by hashing lines, and sentences within lines (passages are often pasted into the middle of a line).
+"""Substring dedup by hashing lines, paragraphs, sentences within lines (passages are often pasted into the middle of a
+line), and runs of short sentences.
 
 A unit is normalised to its words (letters and digits, lower-case) and digested to 128 bits.  Digests are grouped globally;
 of each digest the earliest occurrence (by id, then offset) stays, and every later one is reported for removal with its
 offsets in the original text.  Units of fewer than ``min_words`` words repeat by chance, so on their own they stay; a
-shorter sentence goes only along with a removed neighbour, if it occurred earlier as well.
+shorter sentence goes only along with a removed neighbour, if it occurred earlier as well, or in a run: from each short
+sentence, forwards and backwards, the fewest sentences that hold ``min_words`` words are a unit too, so a passage of that
+many words is found whatever the length of its lines.  A sentence ends at .!? before white space, symbols between them
+aside; a paragraph ends at a blank line.  What a unit shares with the place that stays is not cut.
 
 Defined cases: null and empty texts have no units; units without words are not looked at; rows alike in id and text are one
 document; a null id ranks last; texts of one id rank by a hash.  Other columns are not read.
@@ -40,8 +44,8 @@ def _unit_digest(words: np.ndarray, first: np.ndarray, last: np.ndarray, salt: i
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, text_hash, kind (0 line, 1 sentence), place (number of the sentence, of the line's first one), start, stop
-    (characters), words, d1, d2."""
+    """id, text_hash, kind (0 line, 1 sentence, 2 paragraph, 3 run), place (number of the unit's first sentence), start, stop
+    (characters), words, d1, d2; units of the same words of a text are one, and alike across the kinds."""
     out = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("kind", pa.int32()), ("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,34 +55,52 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                     continue
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 space = np.isin(data, np.frombuffer(b" \t\n\r\v\f", dtype=np.uint8))
-                follows = np.append(space[1:], True)
-                line_end = data == 10
-                stop = np.isin(data, np.frombuffer(b".!?", dtype=np.uint8)) & follows
+                #: Behind the last solid byte before each place.
+                solid = np.concatenate([[0], np.maximum.accumulate(np.where(space, 0, np.arange(1, len(data) + 1)))])
                 ids = batch.column(0).slice(a, b - a)
-                sentence = np.unique(np.concatenate([np.flatnonzero(line_end | stop) + 1, bounds]))
-                for kind, edges in ((0, np.unique(np.concatenate([np.flatnonzero(line_end) + 1, bounds]))), (1, sentence)):
+                newline = np.flatnonzero(data == 10)
+                stop = np.flatnonzero(np.isin(data, np.frombuffer(b".!?", dtype=np.uint8)))
+                gaps = np.append(np.flatnonzero(space), len(data))
+                gap = gaps[np.searchsorted(gaps, stop)]
+                stop = gap[gap <= np.append(w.start, len(data))[np.searchsorted(w.start, stop)]]
+                sentence = np.unique(np.concatenate([newline + 1, stop, bounds]))
+                blank = newline[1:][solid[newline[1:]] <= newline[:-1]]
+                found = []
+                for kind, edges in ((0, np.unique(np.concatenate([newline + 1, bounds]))), (2, np.unique(np.concatenate([blank + 1, bounds]))), (1, sentence)):
                     first, last = np.searchsorted(w.start, edges[:-1]), np.searchsorted(w.start, edges[1:])
-                    use = np.flatnonzero(last - first >= (min_words if kind == 0 else least))
-                    if not len(use):
-                        continue
-                    f, z = first[use], last[use]
-                    doc = w.doc[f]
-                    # from the first word to the end of the unit, without white space behind
-                    begin, end = w.start[f], edges[use + 1]
-                    solid = np.concatenate([[0], np.maximum.accumulate(np.where(space, 0, np.arange(1, len(data) + 1)))])
-                    end = solid[end]
-                    place = np.searchsorted(sentence, w.start[f], side="right") - np.searchsorted(sentence, bounds[doc], side="right")
-                    cols = [
-                        ids.take(pa.array(doc)),
-                        pa.array(signed(w.text_hash)[doc]),
-                        pa.array(np.full(len(use), kind, dtype=np.int32)),
-                        pa.array(place.astype(np.int32)),
-                        pa.array((chars[begin] - chars[bounds[doc]]).astype(np.int32)),
-                        pa.array((chars[end] - chars[bounds[doc]]).astype(np.int32)),
-                        pa.array((z - f).astype(np.int32)),
-                        *(pa.array(signed(_unit_digest(w.hash, f, z, kind, i))) for i in (0, 1)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(cols, schema=out)
+                    use = np.flatnonzero(last - first >= (least if kind == 1 else min_words))
+                    found.append((first[use], last[use], edges[use + 1], np.full(len(use), kind, dtype=np.int32)))
+                some = np.flatnonzero(last > first)
+                first, last, ends = first[some], last[some], sentence[some + 1]
+                every = np.arange(len(some))
+                ahead = np.searchsorted(last, first + min_words)
+                back = np.searchsorted(first, last - min_words, side="right") - 1
+                i, j = np.concatenate([every, back]), np.concatenate([ahead, every])
+                inside = (i >= 0) & (j < len(some)) & (i < j)
+                i, j = i[inside], j[inside]
+                same = w.doc[first[i]] == w.doc[first[j]]
+                i, j = i[same], j[same]
+                found.append((first[i], last[j], ends[j], np.full(len(i), 3, dtype=np.int32)))
+                f, z, end, kinds = (np.concatenate(x) for x in zip(*found, strict=True))
+                one = np.unique(f * (len(w.hash) + 1) + z, return_index=True)[1]
+                f, z, end, kinds = f[one], z[one], solid[end[one]], kinds[one]
+                doc = w.doc[f]
+                # from the first word to the end of the unit, without white space behind
+                begin = w.start[f]
+                place = np.searchsorted(sentence, begin, side="right") - np.searchsorted(sentence, bounds[doc], side="right")
+                cols = [
+                    ids.take(pa.array(doc)),
+                    pa.array(signed(w.text_hash)[doc]),
+                    pa.array(kinds),
+                    pa.array(place.astype(np.int32)),
+                    pa.array((chars[begin] - chars[bounds[doc]]).astype(np.int32)),
+                    pa.array((chars[end] - chars[bounds[doc]]).astype(np.int32)),
+                    pa.array((z - f).astype(np.int32)),
+                    *(pa.array(signed(_unit_digest(w.hash, f, z, 0, i))) for i in (0, 1)),
+                ]
+                whole = pa.RecordBatch.from_arrays(cols, schema=out)
+                for at in range(0, len(whole), 1 << 16):
+                    yield whole.slice(at, 1 << 16)
 
     schema = "id long, text_hash long, kind int, place int, start int, stop int, words int, d1 long, d2 long"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
@@ -87,16 +109,20 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, text_hash, kind, start, stop, words, kept_id, kept_start of every unit to remove."""
     all_units = units(docs, id_col, text_col, min_words=min_words)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "start")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "start", "stop")
     found = all_units.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.max(place).alias("other")).filter("keep <> other").select("d1", "d2", "keep")
     later = all_units.join(found, ["d1", "d2"]).filter(place != F.col("keep"))
-    # short sentences need a removed neighbour in the same text
-    by_text = Window.partitionBy("id", "text_hash").orderBy("place", F.desc("words"))
+    # short sentences need a removed neighbour in the same text; runs, which hold theirs, come last and are no neighbours
+    run = F.col("kind") == 3
+    by_text = Window.partitionBy("id", "text_hash").orderBy(run, "place", F.desc("words"))
     near = F.lit(False)
     for f in (F.lag, F.lead):
-        near = near | F.coalesce((f("words").over(by_text) >= min_words) & (F.abs(f("place").over(by_text) - F.col("place")) <= 1), F.lit(False))
-    marked = later.withColumn("near", near).filter((F.col("words") >= min_words) | F.col("near")).dropDuplicates(["id", "text_hash", "kind", "start"])
-    return marked.select(F.col("id").alias(id_col), "text_hash", F.when(F.col("kind") == 0, "line").otherwise("sentence").alias("kind"), "start", "stop", "words", F.col("keep.id").alias("kept_id"), F.col("keep.start").alias("kept_start"))
+        near = near | F.coalesce((f("words").over(by_text) >= min_words) & (f("kind").over(by_text) < 3) & (F.abs(f("place").over(by_text) - F.col("place")) <= 1), F.lit(False))
+    marked = later.withColumn("near", near).filter((F.col("words") >= min_words) | F.col("near"))
+    # a run that overlaps the place that stays goes only from there on
+    own = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("text_hash") == F.col("keep.text_hash"))
+    marked = marked.withColumn("start", F.when(own, F.greatest("start", "keep.stop")).otherwise(F.col("start"))).filter("start < stop").dropDuplicates(["id", "text_hash", "kind", "start", "stop"])
+    return marked.select(F.col("id").alias(id_col), "text_hash", F.element_at(F.array(*map(F.lit, ("line", "sentence", "paragraph", "run"))), F.col("kind") + 1).alias("kind"), "start", "stop", "words", F.col("keep.id").alias("kept_id"), F.col("keep.start").alias("kept_start"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from graphset.llm import decontaminate as dec
+from graphset.llm.substring_dedup import remove_repeats, repeated_units
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +24,41 @@ def test_decontamination_drops_rows_not_ids(spark, table):
     clean = [(None, "clean one"), (None, None), (7, "clean too"), (8, "")]
     docs = table([*clean, (None, "x " + item), (7, item + " y"), (7, item + " y")])
     assert sorted(map(str, dec.decontaminate(docs, bench).select("doc_id", "text").collect())) == sorted(map(str, table(clean).select("doc_id", "text").collect()))
+
+
+def test_substring_dedup_of_short_units(table):
+    rng = random.Random(4)
+    word = iter([f"w{i}x" for i in range(10_000)]).__next__
+
+    def lines(*sizes):
+        return [" ".join(word() for _ in range(n)) for n in sizes]
+
+    def own():
+        return " ".join(lines(20))
+
+    verse, list_, mixed, noisy = lines(*[6] * 10), lines(*[1] * 60), lines(2, 6, 1, 12, 3, 2, 2, 1, 9), lines(*[7] * 9)
+    wrapped = own().split() + own().split() + own().split()
+    cases = {
+        "verse": ("\n".join(verse), "\n".join(verse)),
+        "list": ("\n".join(list_), "\n".join(list_)),
+        "one line": (". ".join(mixed) + ".", "! ".join(mixed) + "!"),
+        "symbols": (". ".join(noisy) + ".", ".%%% ".join(noisy) + ".%%%"),
+        "wrapped": ("\n".join(" ".join(wrapped[i : i + 12]) for i in range(0, 60, 12)), "\n".join(" ".join(wrapped[i : i + 7]) for i in range(0, 60, 7))),
+    }
+    rows = []
+    for i, (first, second) in enumerate(cases.values()):
+        rows += [(2 * i, f"{own()}.\n\n{first}\n\n{own()}"), (2 * i + 1, f"{own()}.\n\n{second}\n\n{own()}")]
+    rng.shuffle(rows)
+    clean = {r.doc_id: r.text for r in remove_repeats(table(rows)).collect()}
+    for i, (name, (_, second)) in enumerate(cases.items()):
+        assert clean[2 * i] == dict(rows)[2 * i], name
+        kept = [x for x in second.replace(".", " ").replace("!", " ").split() if x in clean[2 * i + 1]]
+        assert [x for x in kept if x != "%%%"] == [], (name, kept)
+        assert clean[2 * i + 1].count("x") == 40, name
+
+
+def test_substring_dedup_keeps_the_first_of_overlapping_runs(table):
+    text = "\n".join(["ha ha ha ha ha"] * 6)
+    spans = repeated_units(table([(1, text)])).collect()
+    assert min(r.start for r in spans) >= 29 and max(r.stop for r in spans) == len(text)
+    assert remove_repeats(table([(1, text)])).first().text.count("ha") == 10
