@@ -53,10 +53,10 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             for a, b, w, data, bounds in each_piece(batch, 1):
                 if not len(data) or not len(w.hash):
                     continue
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)], dtype=np.int32)
                 space = np.isin(data, np.frombuffer(b" \t\n\r\v\f", dtype=np.uint8))
                 #: Behind the last solid byte before each place.
-                solid = np.concatenate([[0], np.maximum.accumulate(np.where(space, 0, np.arange(1, len(data) + 1)))])
+                solid = np.concatenate([[0], np.maximum.accumulate(np.where(space, np.int32(0), np.arange(1, len(data) + 1, dtype=np.int32)))], dtype=np.int32)
                 ids = batch.column(0).slice(a, b - a)
                 newline = np.flatnonzero(data == 10)
                 stop = np.flatnonzero(np.isin(data, np.frombuffer(b".!?", dtype=np.uint8)))
@@ -109,9 +109,11 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, text_hash, kind, start, stop, words, kept_id, kept_start of every unit to remove."""
     all_units = units(docs, id_col, text_col, min_words=min_words)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "start", "stop")
-    found = all_units.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.max(place).alias("other")).filter("keep <> other").select("d1", "d2", "keep")
-    later = all_units.join(found, ["d1", "d2"]).filter(place != F.col("keep"))
+    # whole structs, so that the count and the join read one and the same shuffle
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "start", "stop", "kind", "place", "words")
+    dealt = all_units.select("d1", "d2", place.alias("unit")).repartition("d1", "d2")
+    found = dealt.groupBy("d1", "d2").agg(F.min("unit").alias("keep"), F.max("unit").alias("other")).filter("keep <> other").select("d1", "d2", "keep")
+    later = dealt.join(found, ["d1", "d2"]).filter("unit <> keep").select("unit.*", "keep")
     # short sentences need a removed neighbour in the same text; runs, which hold theirs, come last and are no neighbours
     run = F.col("kind") == 3
     by_text = Window.partitionBy("id", "text_hash").orderBy(run, "place", F.desc("words"))
