@@ -1,13 +1,16 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of at least 12 of the characters A-Z a-z 0-9 + / _ . @ : - that holds a digit.  Its features are its
+A candidate is a run of at least 12 of the characters A-Z a-z 0-9 + / _ . - that holds a digit, a key of an issued format
+inside a run, the password of a URL, a private key in PEM form, or a value without white space that is assigned to a
+credential's name, whatever its length.  Its features are its
 length, the make-up of its characters and how often their kind changes, how far words of a dictionary cover it, the path
 (here: the source) of the text, and the words before and behind it.  The forest is trained on labelled findings; it is then
 sent to Spark's tasks, where whole texts are scanned, or rewritten, in one pass.
 
 Labelled findings are a table (candidate, before, after, path, label).  ``weak_findings`` makes one from a corpus: issued
-key formats and high-entropy values that are assigned to a credential's name are true; mail and network addresses, numbers
-and repeated characters are false; all else stays unlabelled, and is judged by the forest alone.  Training reads at most
+key formats, private keys, passwords of URLs and values that are assigned to a credential's name and are no plain words are
+true, and stay so whatever the forest says; whole mail and network addresses, numbers and repeated characters are false; all
+else stays unlabelled, and is judged by the forest alone.  Training reads at most
 ``max_labelled`` findings (a documented bound), in the order of a hash.
 
 Defined cases: null and empty texts hold no candidates; a null path has no telling words; without labelled findings of both
@@ -17,6 +20,7 @@ kinds nothing is called a secret; rows alike are scanned each on its own; ids ma
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
@@ -39,10 +43,20 @@ CREDENTIAL = re.compile(r"(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)
 NO_SECRET = re.compile(r"\b(?:sha\d*|md5|commit|checksum|digest|hash|uuid|guid|isbn|doi|revision|version|example|sample|placeholder|dummy)\b", re.I)
 NO_SECRET_PATH = re.compile(r"test|example|sample|fixture|mock|doc|lock|min\.|vendor|dist", re.I)
 ISSUED = re.compile(r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}|glpat-[0-9A-Za-z_-]{20,})$")
-ADDRESS = re.compile(r"@|^\d+(?:[.:-]\d+)+\.?$|^\d+[.:]?$|^https?:|^//|\.(?:com|net|org|html?)\b")
+ISSUED_INSIDE = re.compile(rf"(?<![0-9A-Za-z])(?:{ISSUED.pattern[1:-1]})(?![0-9A-Za-z])")
+#: What a text with an issued key, and one with a credential's name, must hold.
+ISSUED_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_live_", "glpat-")
+NAME_MARKS = ("key", "secret", "token", "passw", "pwd", "auth", "bearer", "credential")
+ASSIGNED = re.compile(r"(?:api[_-]?key|access[_-]?key|secret(?!ar)|token|passw(?:or)?d|pwd|auth(?!or)|bearer|credential|private[_-]?key)[\w-]*[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*(?:\"([^\s\"]+)\"|'([^\s']+)'|([^\s\"'<>(){}\[\],;&]+)(?![(\[{]))", re.I)
+USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:@/\"'<>]*:([^\s@/\"'<>]+)@")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?:[^-]*(?:-(?!----)[^-]*)*-----END \1-----|(?:\s*[A-Za-z0-9+/=]{16,})*)")
+PLACEHOLDER = re.compile(r"^(?:[$%<{].*|\*+|x+|\.+|none|null|true|false|undefined|redacted|changeme)$", re.I)
+PLAIN_WORD = re.compile(r"^[^\W\d_]?[^\W\d_A-Z]*[.!?]?$")
+ADDRESS = re.compile(r"^\d+(?:[.:-]\d+)+\.?$|^\d+[.:]?$|^(?:[\w-]+\.)+(?:com|net|org)(?:/[\w.%-]{0,19})*$|^[\w./-]*\.html?$")
+MAIL_HOST = re.compile(r"^@[\w-]+(?:\.[\w-]+)+")
 
 _RUN = np.zeros(256, dtype=bool)
-_RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.@:-"]] = True
+_RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.-"]] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 
@@ -88,10 +102,41 @@ def features(candidate: str, before: str, after: str, path: str | None) -> list[
     ]
 
 
+def formed(text: str) -> list[tuple[int, int]]:
+    """(start, stop) of what the form around or inside marks: private keys, URL passwords, issued keys, assigned values."""
+    out = []
+    if "PRIVATE KEY" in text:
+        out += [m.span() for m in PEM.finditer(text)]
+    if "://" in text:
+        out += [m.span(1) for m in USERINFO.finditer(text)]
+    if any(x in text for x in ISSUED_MARKS):
+        out += [m.span() for m in ISSUED_INSIDE.finditer(text)]
+    low = text.lower()
+    if any(x in low for x in NAME_MARKS):
+        for m in ASSIGNED.finditer(text):
+            a, b = m.span(m.lastindex)
+            while m.lastindex == 3 and b > a and text[b - 1] in ".:":
+                b -= 1
+            if b > a:
+                out.append((a, b))
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """(start, stop) of the candidates of a whole text, in characters."""
+    """(start, stop) of the candidates of a whole text, in characters; of those that overlap the first found stays."""
     if not text:
         return []
+    kept: list[tuple[int, int]] = []
+    # forms come first, in their order, then runs
+    for a, b in [*formed(text), *runs(text)]:
+        at = bisect_left(kept, (a, b))
+        if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+            kept.insert(at, (a, b))
+    return kept
+
+
+def runs(text: str) -> list[tuple[int, int]]:
+    """(start, stop) of the long runs that hold a digit."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     run = np.concatenate([[False], _RUN[data], [False]])
     edge = np.flatnonzero(run[1:] != run[:-1])
@@ -117,13 +162,24 @@ def around(text: str, a: int, b: int) -> tuple[str, str]:
     return text[max(0, a - CONTEXT) : a].rpartition("\n")[2], text[b : b + CONTEXT].partition("\n")[0]
 
 
-def weak_label(candidate: str, before: str) -> float | None:
-    if ISSUED.search(candidate):
+def weak_label(candidate: str, before: str, after: str) -> float | None:
+    if ISSUED.search(candidate) or candidate.startswith("-----BEGIN "):
         return 1.0
-    if ADDRESS.search(candidate) or len(set(candidate)) < 5:
+    if USERINFO.search(before + candidate + after[:1]) and after[:1] == "@":
+        return 0.0 if PLACEHOLDER.search(candidate) else 1.0
+    mail = MAIL_HOST.search(after) is not None and not before.endswith(("://", ":"))
+    if mail or ADDRESS.search(candidate) or (len(candidate) >= LEAST_LENGTH and len(set(candidate)) < 5):
         return 0.0
     if CREDENTIAL.search(before) and len(candidate) >= 16 and entropy(candidate) >= 2.8 and covered(candidate) < 0.4:
         return 1.0
+    named = ASSIGNED.search(before + candidate + after[:1])
+    if named and named.start(named.lastindex) == len(before):
+        if PLACEHOLDER.search(candidate):
+            return 0.0
+        if named.lastindex == 3 and PLAIN_WORD.search(candidate) and "=" not in before[named.start() :]:
+            return 0.0  # a word of a sentence
+        if covered(candidate) < 0.4:
+            return 1.0
     return None
 
 
@@ -136,7 +192,7 @@ def weak_findings(docs: DataFrame, text_col: str = "text", path_col: str = "sour
             for text, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for a, b in candidates(text):
                     before, after = around(text, a, b)
-                    label = weak_label(text[a:b], before)
+                    label = weak_label(text[a:b], before, after)
                     if label is not None:
                         rows.append((text[a:b], before, after, path, label))
             if rows:
@@ -186,10 +242,10 @@ def secrets(text: str | None, path: str | None, forest: list, threshold: float =
     out = []
     for a, b in candidates(text):
         before, after = around(text, a, b)
-        score = vote(forest, features(text[a:b], before, after, path))
+        score = 1.0 if forest and weak_label(text[a:b], before, after) == 1.0 else vote(forest, features(text[a:b], before, after, path))
         if score >= threshold:
             named = CREDENTIAL.search(before)
-            kind = "issued_key" if ISSUED.search(text[a:b]) else re.sub(r"[\W\d]+", "", named.group(0)).lower() if named else "unnamed"
+            kind = "issued_key" if ISSUED.search(text[a:b]) else "private_key" if text.startswith("-----BEGIN ", a) else "url_password" if after[:1] == "@" else re.sub(r"[\W\d]+", "", named.group(0)).lower() if named else "unnamed"
             out.append((a, b, kind, score))
     return out
 
