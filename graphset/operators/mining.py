@@ -112,6 +112,8 @@ def mine_frequent(v: DataFrame, e: DataFrame, config: MiningConfig) -> tuple[Dat
 
 def _mine_directed(v: DataFrame, e: DataFrame, config: MiningConfig) -> tuple[DataFrame, DataFrame]:
     """Directed patterns of one and two arcs (chain, fan-out, fan-in); the code lists the arcs, least reading first."""
+    if config.max_edges not in (1, 2):
+        raise ValueError("directed mining covers patterns of one and two arcs: max_edges must be 1 or 2")
     arcs = with_labels(v, e).select("gid", "eid", "src", "dst", "slb", "elb", "dlb")
     one = arcs.select(F.concat_ws(",", F.lit("0"), F.lit("1"), "slb", "elb", "dlb").alias("code"), "gid", F.array("src", "dst").alias("vids"), F.array("eid").alias("eids"), F.lit(1).alias("k"))
     b = arcs.select("gid", *(F.col(c).alias(f"{c}2") for c in ("eid", "src", "dst", "slb", "elb", "dlb")))

@@ -68,6 +68,13 @@ def mine_frequent_three_edges(spark, d):
     return mining.describe(patterns)
 
 
+@query()
+def mine_frequent_all(spark, d):
+    """Growth goes on until no pattern is frequent."""
+    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT))
+    return mining.describe(patterns)
+
+
 @query(f"""{LABELLED}, one AS (SELECT concat_ws(',', '0', '1', slb, elb, dlb) AS code, gid FROM la WHERE slb <= dlb)
 SELECT code, gid, count(*) AS n FROM one WHERE code IN (SELECT code FROM one GROUP BY code HAVING count(DISTINCT gid) >= {SUPPORT}) GROUP BY ALL""")
 def occurrences(spark, d):

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from graphset.operators import tables
+import itertools
+
+import pytest
+
+from graphset.operators import mining, tables
+from graphset.operators.codes import canonical, graph_of
+from graphset.operators.mining import MiningConfig
 
 STAR = "gid long, eid int, src int, dst int, elb string"
 
@@ -13,3 +19,43 @@ def test_adjacency_rows_hold_every_column(spark):
     want = {(1, 0): {1: 1.0, 6: 2.0}, (1, 1): {0: 1.0}, (1, 5): {6: 2.0}, (1, 6): {0: 2.0, 5: 2.0}, (2, 0): {1: 3.0}, (2, 1): {0: 3.0}}
     size = {1: 7, 2: 2}
     assert got == {k: [x.get(i, 0.0) for i in range(size[k[0]])] for k, x in want.items()}
+
+
+def connected(edges):
+    reach, rest = set(edges[0][:2]), list(edges[1:])
+    while more := [e for e in rest if reach & set(e[:2])]:
+        reach |= {x for e in more for x in e[:2]}
+        rest = [e for e in rest if e not in more]
+    return not rest
+
+
+def test_mining_without_a_bound_equals_brute_force(spark):
+    graphs = {
+        0: ("AABAB", [(0, 1, "1"), (1, 2, "1"), (2, 3, "1"), (3, 4, "1"), (0, 4, "2"), (0, 3, "1")]),
+        1: ("BABAA", [(4, 3, "1"), (3, 2, "1"), (2, 1, "1"), (1, 0, "1"), (4, 0, "2"), (4, 1, "1")]),
+        2: ("AAB", [(0, 1, "1"), (1, 2, "1"), (0, 2, "1")]),
+    }
+    v = spark.createDataFrame([(g, i, x) for g, (vs, _) in graphs.items() for i, x in enumerate(vs)], "gid long, vid int, vlb string")
+    e = spark.createDataFrame([(g, i, *x) for g, (_, es) in graphs.items() for i, x in enumerate(es)], STAR)
+    lies = {}
+    for g, (vs, es) in graphs.items():
+        for n in range(1, len(es) + 1):
+            for part in itertools.combinations(es, n):
+                if connected(part):
+                    lies.setdefault(canonical({x: vs[x] for p in part for x in p[:2]}, list(part)), set()).add(g)
+    want = {c: len(gs) for c, gs in lies.items() if len(gs) >= 2}
+    got = {canonical(*graph_of(r.code)): r.support for r in mining.mine_frequent(v, e, MiningConfig(2))[0].collect()}
+    assert got == want and max(len(graph_of(c)[1]) for c in got) == 6
+
+
+def test_uncapped_mining_is_registered():
+    from graphset.queries import queries
+
+    assert "mine_frequent_all" in queries()
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_directed_mining_refuses_what_it_does_not_cover(spark, most):
+    v, e = spark.createDataFrame([(0, 0, "A"), (0, 1, "B")], "gid long, vid int, vlb string"), spark.createDataFrame([(0, 0, 0, 1, "1")], STAR)
+    with pytest.raises(ValueError, match="one and two arcs"):
+        mining.mine_frequent(v, e, MiningConfig(1, max_edges=most, directed=True))
