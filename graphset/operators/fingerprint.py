@@ -85,9 +85,16 @@ def tanimoto(fp: DataFrame, target: DataFrame) -> DataFrame:
     return n.join(both, "gid", "left").select("gid", (c / (F.col("n") + size - c)).alias("similarity"))
 
 
-def similar_pairs(fp: DataFrame, threshold: float, groups: bool = True) -> DataFrame:
+def similar_classes(fp: DataFrame) -> DataFrame:
+    """gid, class of every graph: the smallest gid among the graphs with an equal identifier set."""
+    sets = fp.select("gid", "id").distinct().groupBy("gid").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    least = sets.groupBy("ids").agg(F.min("gid").alias("class"))
+    return sets.join(least, "ids").select("gid", "class")
+
+
+def similar_pairs(fp: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of graphs whose identifier sets reach the threshold.  Graphs with equal sets are compared once: a and
-    b are the smallest gids of their classes, and pairs inside a class are left out.
+    b are the smallest gids of their classes, and pairs inside a class are left out; ``similar_classes`` has the members.
 
     Sets meet in their rarest identifiers only: those among the first n - ceil(t n) + 1 by rarity.
     """

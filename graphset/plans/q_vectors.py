@@ -102,6 +102,11 @@ def similar_pairs(spark, d):
     return fingerprint.similar_pairs(_ids(spark, d), 0.75).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""{IDS}, s AS (SELECT gid, list_sort(list(DISTINCT id)) AS ids FROM ids GROUP BY gid) SELECT gid, min(gid) OVER (PARTITION BY ids) AS class FROM s""")
+def similar_classes(spark, d):
+    return fingerprint.similar_classes(_ids(spark, d))
+
+
 WORDS = "w AS (SELECT doc_id AS gid, unnest(string_split(trim(text, ' '), ' ')) AS token, generate_subscripts(string_split(trim(text, ' '), ' '), 1) AS pos FROM documents)"
 
 

@@ -6,7 +6,7 @@ import itertools
 
 import pytest
 
-from graphset.operators import mining, tables
+from graphset.operators import fingerprint, mining, tables
 from graphset.operators.codes import canonical, graph_of
 from graphset.operators.mining import MiningConfig
 
@@ -59,3 +59,13 @@ def test_directed_mining_refuses_what_it_does_not_cover(spark, most):
     v, e = spark.createDataFrame([(0, 0, "A"), (0, 1, "B")], "gid long, vid int, vlb string"), spark.createDataFrame([(0, 0, 0, 1, "1")], STAR)
     with pytest.raises(ValueError, match="one and two arcs"):
         mining.mine_frequent(v, e, MiningConfig(1, max_edges=most, directed=True))
+
+
+def test_similar_pairs_and_classes_give_all_links(spark):
+    sets = {1: "abcd", 2: "abcd", 3: "abce", 4: "xy", 5: "xy", 6: "abce"}
+    fp = spark.createDataFrame([(g, x) for g, s in sets.items() for x in s], "gid long, id string")
+    of = {r.gid: r["class"] for r in fingerprint.similar_classes(fp).collect()}
+    pairs = {(r.a, r.b) for r in fingerprint.similar_pairs(fp, 0.6).collect()}
+    got = {(a, b) for a in sets for b in sets if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in pairs)}
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.6 * len({*sets[a], *sets[b]})}
+    assert got == want
