@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 
 from graphset.llm import decontaminate as dec
 from graphset.llm import secret_scan as sec
+from graphset.llm.mix_sources import mix_sources
 from graphset.llm.substring_dedup import remove_repeats, repeated_units
 
 
@@ -90,3 +92,25 @@ def test_secrets_of_other_forms(table):
     found = {(r.doc_id, texts[r.doc_id][r.start : r.stop]) for r in sec.scan_secrets(docs, forest).collect() if r.doc_id >= 100}
     assert found == {(i, s) for i, (_, s) in secret.items()}
     assert sec.weak_label("joe1.long.name1", "mail ", "@mail.example.com") == 0.0
+
+
+def test_mix_tilts_documents_by_their_size(spark):
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randrange(0, 60), "abcd"[min(3, i % 9)]) for i in range(900)]
+    rows = [(i, t, s) for i, t, s in rows if not (s == "d" and i % 3)] + [(None, None, None), (5, "w w", None), (5, "w w", None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, target string, copies int")
+    got = mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    tilted = 0
+    for s, rs in by.items():
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs) / 2 + 1, s
+        assert all(r.copies in (int(r.rate), int(r.rate) + 1) and r.copies <= 2 for r in rs)
+        sized = [r for r in rs if r.size and 1e-6 < r.rate < 2]
+        if len(sized) > 1:
+            # one multiplier for all documents of the source: rates are powers of one base by size
+            assert max(math.log(r.rate) / r.size for r in sized) - min(math.log(r.rate) / r.size for r in sized) < 1e-9
+            tilted += len({r.rate for r in sized}) > 1
+    assert tilted >= 1
