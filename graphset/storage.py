@@ -1,4 +1,4 @@
-"""Written tables in the folder that all executors share, and checked broadcast."""
+"""Written tables in the folder that all executors share, checked broadcast, and joins on hot keys."""
 
 from __future__ import annotations
 
@@ -7,26 +7,60 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes (as Parquet) and rows of a table that is sent to every executor at most.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
+#: A key with more than this share of the rows is hot; there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 256
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; where it is unset (tests), a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that ``spark.checkpoint.dir`` names; where it is unset on a local master (tests), a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("graphset.scratch.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-graphset-")
             spark.conf.set("graphset.scratch.dir", base)
     return f"{base.rstrip('/')}/graphset"
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: loops stay short in lineage and survive lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def save(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back (as ``schema``, if given, which must be laid out alike):
+    loops stay short in lineage and survive lost executors.
+
+    The shuffle files of the finished job are dropped at once, for the written table replaces them.  Spark itself sends a
+    written table to all executors in a join where its size allows.
+    """
+    spark = df.sparkSession
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written, with a broadcast hint if it has at most so many bytes and rows, else without."""
+    done = save(df)
+    files = done.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("size"), F.count("*").alias("n"))
+    size, rows = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(done) if size <= max_bytes and rows <= max_rows else done
 
 
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
+def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], n: str, share: float = HOT_SHARE) -> DataFrame:
+    """``rows`` (a written table) joined to ``values``, which has one row for each key and says in ``n`` how many rows have
+    it: those of the few hot keys meet it by broadcast, the rest by shuffle, so no task gets all rows of a hot key."""
+    total = values.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total * share
+    few = F.broadcast(values.filter(hot))
+    rest = values.filter(~hot)
+    cold = rows.join(F.broadcast(values.filter(hot).select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(few, keys).unionByName(cold)
