@@ -1,40 +1,13 @@
-"""Written tables, scratch folders and small DataFrame helpers shared by the operators."""
+"""Small DataFrame helpers shared by the operators; written tables and checked broadcasts come from ``graphset.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphset.storage import join_hot, save, scratch_dir, small
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; where it is unset (tests), a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("graphset.scratch.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-graphset-")
-            spark.conf.set("graphset.scratch.dir", base)
-    return f"{base.rstrip('/')}/graphset"
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage.
-
-    The shuffle files of the finished job are dropped at once, for the written table replaces them.
-    """
-    spark = df.sparkSession
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["free_name", "join_hot", "lower_ascii", "save", "scratch_dir", "small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +19,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged.
-
-    The caller picks ``max_rows`` so that this many rows of the table fit in every executor.
-    """
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it a name that ``df`` lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

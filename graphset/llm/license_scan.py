@@ -7,8 +7,9 @@ template word ``at`` votes for the diagonal ``pos - at``.  Votes are summed per
 Short phrases (2-grams) give the base labels: every place where the words of a phrase stand consecutively.  Longer notices
 (3-grams) give the labels of the method itself.
 
-Defined cases: a null or empty text has no words, no labels and score 0.  Every input row gives one output row; rows alike
-in id and text are scanned once and repeated in the result.  A null id stays null.  Other columns are not read.
+Defined cases: a null or empty text has no words, no labels and score 0.  Long texts are scanned whole, in time in
+proportion to their length.  Every input row gives one output row, an empty table none; rows alike in id and text are scanned
+once and repeated in the result.  A null id stays null.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -51,18 +52,24 @@ COVERAGE = 0.9
 
 
 def merge_diagonals(votes: list[tuple[int, list[int]]], k: int, length: int, band: int = BAND) -> float:
-    """The largest share of a notice's ``length`` words in one span; votes: (diagonal, text positions of its k-grams)."""
-    spans: list[list] = []
-    for diagonal, places in sorted((d, sorted(p)) for d, p in votes):
-        for at in places:
-            for s in spans:
-                if abs(diagonal - s[0]) <= band and s[1] - length <= at <= s[2] + length and at - s[1] < length + band and s[2] - at < length + band:
-                    s[0], s[1], s[2] = diagonal, min(s[1], at), max(s[2], at)
-                    s[3].update(range(at - diagonal, at - diagonal + k))
-                    break
-            else:
-                spans.append([diagonal, at, at, set(range(at - diagonal, at - diagonal + k))])
-    return max((len(s[3]) / length for s in spans), default=0.0)
+    """The largest share of a notice's ``length`` words in one span; votes: (diagonal, text positions of its k-grams).
+
+    Votes are read in the order of the text.  A span takes a vote if its last diagonal is a neighbour; it ends where the
+    notice would, so only a few spans are open at a time, and the time is in proportion to the votes.
+    """
+    best = 0
+    spans: list[tuple[int, list[int], set[int]]] = []  # first position, last diagonal, words of the notice
+    for at, diagonal in sorted((at, d) for d, places in votes for at in places):
+        spans = [s for s in spans if at - s[0] < length + band]
+        near = [s for s in spans if abs(diagonal - s[1][0]) <= band]
+        if not near:
+            near = [(at, [diagonal], set())]
+            spans += near
+        _, last, words = min(near, key=lambda s: abs(diagonal - s[1][0]))
+        last[0] = diagonal
+        words.update(range(at - diagonal, at - diagonal + k))
+        best = max(best, len(words))
+    return best / length
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -75,7 +82,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str
     tables = []
     for texts, k, start in ((phrases, PHRASE_K, 0), (notices, NOTICE_K, len(phrases))):
         rows = spark.createDataFrame([(start + i, t) for i, (t, _) in enumerate(texts)], "id long, text string")
-        tables.append(seed_table(spark, rows, k))
+        tables.append(seed_table(rows, k))
     found = hits(gram_rows(docs, id_col, text_col, (PHRASE_K, NOTICE_K)), tables)
     votes = found.groupBy("key", "text_hash", "passage", F.when(F.col("pos") < 0, F.col("at")).otherwise(F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set(F.when(F.col("pos") >= 0, F.col("pos"))).alias("places"), F.count(F.when(F.col("pos") < 0, 1)).alias("rows")

@@ -6,16 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphset.llm.common import small
 from graphset.llm.words import pieces, signed
 
-#: Passage positions that are sent to every executor at most (about 40 MB); more are joined by a shuffle.
-MAX_BROADCAST = 500_000
-
 
 def gram_rows(docs: DataFrame, key: str, text: str, ks: tuple[int, ...], kind: str = "alnum") -> DataFrame:
     """A row for each word of each text: key, text_hash, pos, g0, g1, … (the k-gram that begins there, null near the end).
@@ -49,8 +46,8 @@ def gram_rows(docs: DataFrame, key: str, text: str, ks: tuple[int, ...], kind: s
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def seed_table(spark: SparkSession, rows: DataFrame, k: int) -> DataFrame:
-    """gram -> places (array of (passage, at)) of the k-grams of passages (id, text)."""
+def seed_table(rows: DataFrame, k: int) -> DataFrame:
+    """gram -> places (array of (passage, at)) of the k-grams of a few passages (id, text)."""
     grams = gram_rows(rows, "id", "text", (k,)).filter("pos >= 0 AND g0 IS NOT NULL")
     return grams.groupBy(F.col("g0").alias("gram")).agg(F.collect_set(F.struct(F.col("key").alias("passage"), F.col("pos").alias("at"))).alias("places"))
 
@@ -59,7 +56,7 @@ def hits(grams: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """key, text_hash, pos, passage, at: each k-gram that stands in a passage; rows of pos -1 stay, with the words in at."""
     out = grams
     for i, t in enumerate(tables):
-        out = out.join(small(t, MAX_BROADCAST).select(F.col("gram").alias(f"g{i}"), F.when(F.col("places").isNotNull(), F.col("places")).alias(f"p{i}")), f"g{i}", "left")
+        out = out.join(small(t).select(F.col("gram").alias(f"g{i}"), F.when(F.col("places").isNotNull(), F.col("places")).alias(f"p{i}")), f"g{i}", "left")
     found = F.concat(*(F.coalesce(F.col(f"p{i}"), F.array().cast(places_type())) for i in range(len(tables))))
     head = F.array(F.struct(F.lit(None).cast("long").alias("passage"), F.col("g0").cast("int").alias("at")))
     some = F.expr(" OR ".join(["pos < 0", *(f"p{i} IS NOT NULL" for i in range(len(tables)))]))
