@@ -9,6 +9,7 @@ import pytest
 
 from graphset.llm import decontaminate as dec
 from graphset.llm import secret_scan as sec
+from graphset.llm.license_scan import NOTICES, PHRASES, merge_diagonals, scan_licenses
 from graphset.llm.mix_sources import mix_sources
 from graphset.llm.substring_dedup import remove_repeats, repeated_units
 
@@ -114,3 +115,75 @@ def test_mix_tilts_documents_by_their_size(spark):
             assert max(math.log(r.rate) / r.size for r in sized) - min(math.log(r.rate) / r.size for r in sized) < 1e-9
             tilted += len({r.rate for r in sized}) > 1
     assert tilted >= 1
+
+
+def brute_tiles(text, item, k):
+    """Greedy tiling by plain search: the longest common run of unmarked words, again and again."""
+    a, b = text.lower().split(), item.lower().split()
+    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < k:
+            return covered / len(b)
+        free_a[i : i + n] = free_b[j : j + n] = [False] * n
+        covered += n
+
+
+def test_decontamination_equals_brute_force(spark, table):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"q{rng.randrange(40)}" for _ in range(rng.choice([1, 3, 4, 6, 12, 25])))) for i in range(12)]
+    items += [(1, " ".join(f"z{i}" for i in range(20))), (2, items[2][1]), (90, ""), (91, None), (None, "q1 q2 q3 q4 q5")]
+    rows = [(1, None), (2, ""), (None, items[3][1]), (None, "clean words only"), (4, "x " + items[5][1]), (4, "x " + items[5][1]), (4, "other")]
+    for i in range(40):
+        w = items[rng.randrange(13)][1].split()
+        cut = rng.randrange(len(w) + 1)
+        rows.append((100 + i, " ".join([*w[cut:], "filler", *w[: cut - rng.randrange(3) if cut > 3 else cut], f"q{rng.randrange(40)}"])))
+    rows.append((300, " ".join(f"n{i}" for i in range(50_000)) + " " + items[12][1]))
+    got = {(r.doc_id, r.item_id, round(r.coverage, 9)) for r in dec.tile_benchmark(table(rows).withColumnRenamed("source", "passage"), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS id", "2 AS passage")).collect()}
+    want = set()
+    for d, t in rows:
+        for i, x in items:
+            if i is not None and x and t and d != 300:
+                c = brute_tiles(t, x, min(5, len(x.split())))
+                if c >= 0.6:
+                    want.add((d, i, round(c, 9)))
+    assert got == want | {(300, 1, 1.0)} and any(c < 1 for _, _, c in want)
+    halves = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(20))), (1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string")
+    both = table([(1, " ".join([*(f"a{i}" for i in range(8)), "x", *(f"b{i}" for i in range(8, 16))]))])
+    assert dec.tile_benchmark(both, halves).count() == 0
+    assert dec.tile_benchmark(table([]), halves).count() == 0 == dec.tile_benchmark(both, halves.limit(0)).count()
+    assert dec.decontaminate(table([]), halves).count() == 0 and dec.decontaminate(both, halves.limit(0)).count() == 1
+
+
+def test_license_notices_are_found_wherever_they_stand(table):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for i in range(60):
+        at = rng.randrange(len(NOTICES))
+        words = NOTICES[at][0].split()
+        text = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(30))]
+        broken = i % 3 == 0
+        text += [f"x{j}" if broken and j % 2 else w for j, w in enumerate(words)] + [f"w{rng.randrange(500)}" for _ in range(20)]
+        rows.append((i, " ".join(text)))
+        want[i] = None if broken else NOTICES[at][1]
+    got = {r.doc_id: r for r in scan_licenses(table(rows)).collect()}
+    base = {label for _, label in PHRASES}
+    for i, label in want.items():
+        assert label is None or (label in got[i].labels.split(",") and got[i].score == 1.0), i
+        assert label is not None or set(got[i].labels.split(",")) <= base | {""}, i
+
+
+def test_diagonals_of_many_places_take_linear_time():
+    import time
+
+    places = [(d, list(range(d, 40_000, 97))) for d in range(0, 90, 3)]
+    began = time.perf_counter()
+    assert 0 < merge_diagonals(places, 3, 30) <= 1
+    assert time.perf_counter() - began < 3
