@@ -10,13 +10,15 @@ A query first expands the annuli with the highest bounds until they hold enough
 stops: of the other annuli only those with a bound of at least that score are searched.  The result is exact whatever the
 pivots are.  Pivots are fitted on ``sample`` vectors (a documented bound); all vectors are indexed.
 
-Annuli are searched in blocks of about ``BLOCK`` vectors against about ``QUERIES`` queries, so neither a crowded annulus nor
-many queries make a large task.
+Annuli are searched in blocks of about ``BLOCK`` vectors against chunks of about ``QUERIES`` queries of neighbouring pivots,
+so neither a crowded annulus nor many queries make a large task.  The search is planned first, and only those blocks of the
+index are shuffled that some query of a chunk has to see, once for each such chunk.
 
 Defined cases: vectors that are null, empty, of a null id, or hold null or non-finite components take no part; vectors are
-compared with those of their own length only; of rows that share an id the least vector takes part; a query's own id is no
-candidate; fewer candidates than k give them all; scores beyond 64 bits are cut to the nearest 64-bit value.  Other columns
-are not read.
+compared with those of their own length only, of which there may be ``LENGTHS`` (more are refused with an error, for the
+driver keeps the bounds of each); rows that share an id are rows of their own, as candidates and as queries, and only the
+query's own row is no candidate; ties go to the smaller id; fewer candidates than k give them all; scores beyond 64 bits are
+cut to the nearest 64-bit value; an empty table gives an empty result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 
 from graphset.llm.common import save
 
-#: Vectors that pivots are fitted on, pivots, annuli of a pivot at most, and vectors and queries of a search block.
-SAMPLE, PIVOTS, RINGS, BLOCK, QUERIES = 4096, 32, 64, 2048, 512
+#: Vectors that pivots are fitted on, pivots, annuli of a pivot at most, vectors and queries of a search block, and lengths of
+#: vectors in a table.
+SAMPLE, PIVOTS, RINGS, BLOCK, QUERIES, LENGTHS = 4096, 32, 64, 4096, 4096, 64
 
 
 def fit_pivots(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -82,43 +85,69 @@ class Annuli:
         return b + 1e-9 * np.abs(b) + 1.0
 
 
+def best_of(q: np.ndarray, qid: np.ndarray, least: np.ndarray, v: np.ndarray, vid: np.ndarray, names: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, name, score) of the best k vectors of a block for each query, but none below what the query has already."""
+    out = []
+    for at in range(0, len(q), 256):
+        s = products(q[at : at + 256], v)
+        for i in range(len(s)):
+            ok = np.flatnonzero((vid != qid[at + i]) & (s[i] >= least[at + i]))
+            if len(ok) > k:
+                ok = ok[s[i, ok] >= np.partition(s[i, ok], len(ok) - k)[len(ok) - k]]
+            ok = ok[np.lexsort((names[ok], -s[i, ok]))][:k]
+            out.append((np.full(len(ok), qid[at + i]), names[ok], s[i, ok]))
+    return out
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, the rows whose id is divisible by ``every``."""
     wide = F.col(vector_col).cast("array<double>")
-    whole = vectors.select(F.col(id_col).cast("long").alias("id"), wide.alias("x")).filter("id IS NOT NULL AND size(x) > 0 AND NOT exists(x, y -> y IS NULL OR isnan(y) OR abs(y) = double('infinity'))")
-    ints = save(whole.groupBy("id").agg(F.min(F.transform("x", lambda y: F.floor(y * F.lit(float(scale))))).alias("x")))
+    whole = vectors.select(F.col(id_col).cast("long").alias("name"), wide.alias("x")).filter("name IS NOT NULL AND size(x) > 0 AND NOT exists(x, y -> y IS NULL OR isnan(y) OR abs(y) = double('infinity'))")
+    # written once, so that a row keeps its number
+    ints = save(whole.select("name", F.transform("x", lambda y: F.floor(y * F.lit(float(scale)))).alias("x"), F.monotonically_increasing_id().alias("id")))
     seen: dict[int, list] = {}
-    for r in ints.orderBy(F.xxhash64("id"), "id").limit(sample).collect():
+    for r in ints.orderBy(F.xxhash64("name"), "name", "id").limit(sample).collect():
         seen.setdefault(len(r["x"]), []).append(r["x"])
     centres = {d: fit_pivots(np.array(x, dtype=float), pivots) for d, x in seen.items()}
     widths = {d: max(float(np.median(np.sqrt(np.maximum(((np.array(x, dtype=float)[:, None, :8] - c[None, :, :8]) ** 2).sum(2).min(1), 0)))), 1.0) for d, x in seen.items() for c in [centres[d]]}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy()
+            sizes = batch.column(2).value_lengths().to_numpy()
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
-                x = matrix(part.column(1), int(d)).astype(float)
+                x = matrix(part.column(2), int(d)).astype(float)
                 # a length that the sample lacks has one pivot, the origin
                 c = centres.get(int(d), np.zeros((1, int(d))))
                 gap = np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0)
                 p = gap.argmin(1)
                 dist = np.linalg.norm(x - c[p], axis=1)
                 ring = np.minimum(dist / widths.get(int(d), 1024.0) * 4, RINGS - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(p), d, dtype=np.int32)), pa.array(p * RINGS + ring), pa.array(dist), pa.array(np.linalg.norm(x, axis=1))], names=["id", "x", "dim", "cell", "dist", "norm"])
-
-    index = save(ints.mapInArrow(assign, "id long, x array<long>, dim int, cell long, dist double, norm double"))
-    # at most lengths * pivots * RINGS rows
-    cells = index.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far"), F.max("norm").alias("norm")).orderBy("dim", "cell")
+                cols = [part.column(0), part.column(1), part.column(2), pa.array(np.full(len(p), d, dtype=np.int32)), pa.array(p * RINGS + ring), pa.array(dist), pa.array(np.linalg.norm(x, axis=1))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "name", "x", "dim", "cell", "dist", "norm"])
+
+    index = save(ints.select("id", "name", "x").mapInArrow(assign, "id long, name long, x array<long>, dim int, cell long, dist double, norm double"))
+    lengths = [r[0] for r in index.select("dim").distinct().limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    # at most LENGTHS * pivots * RINGS rows
+    asks = F.count(F.when(F.col("name") % every == 0, 1))
+    cells = index.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far"), F.max("norm").alias("norm"), asks.alias("asks")).orderBy("dim", "cell")
     by_dim: dict[int, list[dict]] = {}
     for r in cells.collect():
         by_dim.setdefault(r["dim"], []).append(r.asDict())
     annuli = {d: Annuli(centres.get(d, np.zeros((1, d))), rows) for d, rows in by_dim.items()}
-    queries = index.filter(F.col("id") % every == 0)
-    n_queries = queries.count()
-    chunks = max(1, -(-n_queries // QUERIES))
     blocks = {(d, int(c)): max(1, -(-int(n) // BLOCK)) for d, a in annuli.items() for c, n in zip(a.cell, a.count, strict=True)}
-    found_type = "query_id long, vec_id long, score long"
+    # queries are numbered pivot by pivot, about; QUERIES in a row are a chunk
+    first_query: dict[tuple[int, int], tuple[int, int]] = {}
+    count = 0
+    for d, rows in by_dim.items():
+        for r in rows:
+            first_query[d, r["cell"]] = count, r["asks"]
+            count += r["asks"]
+    queries = index.filter(F.col("name") % every == 0)
+    found_type = "query long, vec_id long, score long"
+    plan_type = "dim int, cell long, block long, chunk long, id long, x array<long>, least double"
 
     def plan(first: bool):
         """The search blocks of each query: those of its first annuli, or the others that its k-th score leaves."""
@@ -143,42 +172,43 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                         times = np.array([blocks[int(d), int(c)] for c in a.cell[cell]], dtype=np.int64)
                         at_row, at_cell = np.repeat(row, times), np.repeat(a.cell[cell], times)
                         block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, dtype=np.int64)
+                        own = [first_query[int(d), c] for c in piece.column(3).to_pylist()]
+                        chunk = np.array([(base + i % n) // QUERIES for (base, n), i in zip(own, piece.column(0).to_pylist(), strict=True)], dtype=np.int64)
                         rows = pa.array(at_row)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at_row), d, dtype=np.int32)), pa.array(at_cell), pa.array(block), piece.column(0).take(rows), piece.column(1).take(rows), pa.array(floor[at_row])], names=["dim", "cell", "block", "id", "x", "least"])
+                        cols = [pa.array(np.full(len(at_row), d, dtype=np.int32)), pa.array(at_cell), pa.array(block), pa.array(chunk[at_row]), piece.column(0).take(rows), piece.column(1).take(rows), pa.array(floor[at_row])]
+                        yield pa.RecordBatch.from_arrays(cols, names=["dim", "cell", "block", "chunk", "id", "x", "least"])
 
         return run
 
-    salted = index.select("dim", "cell", "id", "x")
-    n_blocks = F.create_map(*(x for (d, c), n in blocks.items() if n > 1 for x in (F.lit(f"{d}/{c}"), F.lit(n)))) if any(n > 1 for n in blocks.values()) else None
-    many = F.lit(1) if n_blocks is None else F.coalesce(n_blocks[F.concat_ws("/", "dim", "cell")], F.lit(1))
-    salted = salted.withColumn("block", F.pmod(F.xxhash64("id"), many.cast("long")))
-    salted = salted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block of each vector of the index."""
+        for batch in batches:
+            many = np.array([blocks[key] for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(batch.column(2).to_numpy() % np.maximum(many, 1))], names=["dim", "cell", "id", "name", "x", "block"])
+
+    placed = index.select("dim", "cell", "id", "name", "x").mapInArrow(place, "dim int, cell long, id long, name long, x array<long>, block long")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best k of one block for each query of one chunk, but none below what the query has already."""
+        """One block of the index against one chunk of queries."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(left) and len(right):
             d = left.column("dim")[0].as_py()
             q, v = matrix(left.column("x").combine_chunks(), d), matrix(right.column("x").combine_chunks(), d)
-            qid, vid = left.column("id").to_numpy(), right.column("id").to_numpy()
-            least = left.column("least").to_numpy()
-            s = products(q, v)
-            for i in range(len(qid)):
-                ok = np.flatnonzero((vid != qid[i]) & (s[i] >= least[i]))
-                if len(ok) > k:
-                    ok = ok[s[i, ok] >= np.partition(s[i, ok], len(ok) - k)[len(ok) - k]]
-                ok = ok[np.lexsort((vid[ok], -s[i, ok]))][:k]
-                out.append((np.full(len(ok), qid[i]), vid[ok], s[i, ok]))
+            out = best_of(q, left.column("id").to_numpy(), left.column("least").to_numpy(), v, right.column("id").to_numpy(), right.column("name").to_numpy(), k)
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 3
-        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["query", "vec_id", "score"])
 
     def visit(asked: DataFrame, first: bool) -> DataFrame:
-        planned = asked.mapInArrow(plan(first), "dim int, cell long, block long, id long, x array<long>, least double").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-        keys = ["dim", "cell", "block", "chunk"]
-        return planned.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInArrow(search, found_type)
-
-    early = save(visit(queries.select("id", "x", F.lit(None).cast("double").alias("least")), True))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    kth = early.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least"))
-    late = visit(queries.select("id", "x").join(kth, "id", "left").select("id", "x", "least"), False)
-    return early.unionByName(late).withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        planned = save(asked.mapInArrow(plan(first), plan_type))
+        keys = ["dim", "cell", "block"]
+        # at most one row for each block and chunk
+        met = planned.select(*keys, F.col("chunk").alias("of")).distinct()
+        return planned.groupBy(*keys, "chunk").cogroup(placed.join(met, keys).groupBy(*keys, "of")).applyInArrow(search, found_type)
+
+    early = save(visit(queries.select("id", "x", F.lit(None).cast("double").alias("least"), "cell"), True))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    kth = early.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").cast("double").alias("least"))
+    late = visit(queries.select("id", "x", "cell").join(kth, "id", "left").select("id", "x", "least", "cell"), False)
+    best = early.unionByName(late).withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+    names = queries.select(F.col("id").alias("query"), F.col("name").alias("query_id"))
+    return best.join(names, "query").select("query_id", "rank", "vec_id", "score")

@@ -186,14 +186,15 @@ def test_exact_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(900)]
     rows += [(1000 + i, rows[5][1]) for i in range(60)]
-    rows += [(2000, None), (2001, [1.0, None] * 4), (2002, [float("nan")] * 8), (2003, []), (2004, [1.0] * 3), (None, [1.0] * 8), (2100, [0.5] * 3), (rows[7][0], rows[7][1])]
+    rows += [(2000, None), (2001, [1.0, None] * 4), (2002, [float("nan")] * 8), (2003, []), (2004, [1.0] * 3), (None, [1.0] * 8), (2100, [0.5] * 3), (rows[7][0], rows[7][1]), (7, rows[8][1]), (300, rows[9][1]), (300, rows[300][1])]
     got = [tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
-    whole = {i: np.floor(np.array(v, dtype=float) * 1024).astype(int) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    whole = [(i, np.floor(np.array(v, dtype=float) * 1024).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     want = []
-    for q in sorted(whole):
+    for n, (q, x) in enumerate(whole):
         if q % 100 == 0:
-            s = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:10]
-            want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+            s = sorted((-int(x @ v), i) for m, (i, v) in enumerate(whole) if m != n and len(v) == len(x))[:10]
+            want += [(q, k + 1, i, -y) for k, (y, i) in enumerate(s)]
+    got, want = sorted(got), sorted(want)
     assert got == want
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
