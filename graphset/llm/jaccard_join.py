@@ -5,8 +5,8 @@ cut into fragments.
 
 1. Each fragment counts in how many texts each of its n-grams occurs (to 255).  Put together per text, these counts tell how
    many of its n-grams another text has too.  A text with a partner shares at least the threshold of its n-grams, so all
-   others are settled: they stand alone.  What is shuffled is 48 bits of each n-gram and the place of its text in packed
-   blocks, and the counts back.  (Equal bits of different n-grams can only add to a count, hence lose nothing.)
+   others are settled: they stand alone.  What is shuffled is 48 bits of each n-gram of a few MB of text and its count there,
+   in packed blocks, and the counts back.  (Equal bits of different n-grams can only add to a count, hence lose nothing.)
 2. The other texts, one for each distinct set, meet in each of a few bands of the order by their first n-gram there, and
    each is paired with the one of its meeting that has the fewest n-grams of its own.  Partial overlaps of these pairs are
    counted fragment by fragment and summed per pair; pairs over the threshold are links.
@@ -15,8 +15,10 @@ cut into fragments.
    components are counted, again by fragment.  Pairs inside a component add nothing to the result, so large groups of near copies never become all pairs.
 
 Defined cases: null texts and texts without words have empty sets and are linked with nothing, not even each other; a text
-of fewer than five words is one n-gram; equal texts (also under one id) are one set; every input row gives one output row;
-null ids stay null and never are a component's id, unless all ids of a component are null.  Other columns are not read.
+of fewer than five words is one n-gram; very long texts are sets like any other; equal texts (also under one id) are one set,
+and different texts under one id are rows of their own; every input row gives one output row, an empty table none; null ids
+stay null and never are a component's id, unless all ids of a component are null.  Other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -29,14 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphset.llm.common import save
+from graphset.llm.common import join_hot, save
 from graphset.llm.components import components
-from graphset.llm.words import Words, mix, pieces, signed
+from graphset.llm.words import PIECE_TEXTS, Words, mix, pieces, signed
 
 #: Words of an n-gram, and the threshold in hundredths.
 WIDTH, PERCENT = 5, 80
 #: Bands in which texts meet, fragments of the order in which the overlaps of pairs are counted, rounds of meetings.
 BANDS, PARTS, ROUNDS = 8, 4, 2
+#: Pieces of about 4 MB of text that are counted as one before they are sent, at most.
+MOST_PIECES = 16
 
 
 def text_sets(w: Words, width: int) -> list[np.ndarray]:
@@ -65,61 +69,75 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """id, n (size of the set), cls (key of the set), shared (its n-grams that another row has too, or a few more), and, if
-    these reach the threshold, seen: in how many rows each n-gram occurs, a byte each, in the order of the hashes."""
+    """id, h (hash of the text), n (size of the set), cls (key of the set), shared (its n-grams that another row has too, or a
+    few more), and, if these reach the threshold, seen: in how many rows each n-gram occurs, a byte each, in the order of the
+    hashes.
+
+    A piece of texts sends each of its n-grams once, with the number of its texts that have it, so an n-gram that stands in
+    every text weighs no more than a piece's worth.  Pieces grow with the number of fragments, so that what a piece sends to
+    a fragment stays more than a handful.
+    """
     fragments = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     step = np.uint64((1 << 64) // fragments + 1)
+    per_piece = min(MOST_PIECES, max(1, fragments // 1024))
     block = pa.schema([("fragment", pa.int32()), ("piece", pa.int64()), ("meta", pa.bool_()), ("data", pa.binary())])
 
+    def parcel(piece: int, ids: pa.Array, hashes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets], dtype=np.int32)
+        whole = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+        doc = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        order = np.argsort(whole, kind="stable")
+        whole, doc = whole[order], doc[order]
+        starts = np.flatnonzero(np.append(True, whole[1:] != whole[:-1])) if len(whole) else np.zeros(0, dtype=np.int64)
+        grams, times = whole[starts], np.diff(np.append(starts, len(whole))).astype(np.uint16)
+        low, mid, some = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint16), np.minimum(times, 255).astype(np.uint8)
+        frag = (grams // step).astype(np.int32)
+        cuts = np.flatnonzero(np.append(True, frag[1:] != frag[:-1])) if len(frag) else np.zeros(0, dtype=np.int64)
+        rows = [(int(frag[x]), piece, False, low[x:y].tobytes() + mid[x:y].tobytes() + some[x:y].tobytes()) for x, y in zip(cuts, np.append(cuts[1:], len(frag)), strict=True)]
+        known = np.array(ids.is_valid())
+        head = np.array([len(sets), len(grams), len(whole)], dtype=np.int64)
+        meta = [head, ids.fill_null(0).to_numpy().astype(np.int64), hashes.to_numpy().astype(np.int64), known.astype(np.uint8), sizes, times, doc]
+        rows.append((int(mix(np.array([piece], dtype=np.uint64))[0] % np.uint64(fragments)), piece, True, b"".join([*(x.tobytes() for x in meta), *(set_key(s) for s in sets)])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), block.types, strict=True)], schema=block)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 32
+        ids, hashes, sets, held = [], [], [], 0
         for batch in batches:
             for a, b, w in pieces(batch.column(1), "solid"):
-                sets = text_sets(w, width)
-                ids = batch.column(0).slice(a, b - a)
-                sizes = np.array([len(s) for s in sets], dtype=np.int32)
-                whole = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-                doc = np.repeat(np.arange(b - a, dtype=np.uint16), sizes)
-                frag = (whole // step).astype(np.int32)
-                order = np.argsort(frag, kind="stable")
-                whole, doc = whole[order], doc[order]
-                ends = np.searchsorted(frag[order], np.arange(fragments + 1))
-                low, mid = whole.astype(np.uint32), (whole >> np.uint64(32)).astype(np.uint16)
-                rows = []
-                for f in range(fragments):
-                    x, y = ends[f], ends[f + 1]
-                    if x < y:
-                        rows.append((f, piece, False, low[x:y].tobytes() + mid[x:y].tobytes() + doc[x:y].tobytes()))
-                known = np.array(ids.is_valid())
-                meta = ids.fill_null(0).to_numpy().astype(np.int64).tobytes() + known.astype(np.uint8).tobytes() + sizes.tobytes() + b"".join(set_key(s) for s in sets)
-                rows.append((int(mix(np.array([piece], dtype=np.uint64))[0] % np.uint64(fragments)), piece, True, meta))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), block.types, strict=True)], schema=block)
-                piece += 1
+                if held == per_piece or (held and len(sets) + b - a > PIECE_TEXTS):
+                    yield parcel(piece, pa.concat_arrays(ids), pa.concat_arrays(hashes), sets)
+                    piece, ids, hashes, sets, held = piece + 1, [], [], [], 0
+                ids.append(batch.column(0).slice(a, b - a))
+                hashes.append(batch.column(2).slice(a, b - a))
+                sets += text_sets(w, width)
+                held += 1
+        if held:
+            yield parcel(piece, pa.concat_arrays(ids), pa.concat_arrays(hashes), sets)
 
     def count(t: pa.Table) -> pa.Table:
-        """Of one fragment: for each piece, the place of the text and the number of texts of each n-gram that is shared."""
+        """Of one fragment: for each piece, the number of texts of each n-gram, to 255."""
         rows = t.to_pylist()
         out = [(r["piece"], -1, r["data"]) for r in rows if r["meta"]]
         blocks = [r for r in rows if not r["meta"]]
         if blocks:
-            sizes = [len(r["data"]) // 8 for r in blocks]
-            grams = np.empty(sum(sizes), dtype=np.uint64)
+            sizes = [len(r["data"]) // 7 for r in blocks]
+            grams, times = np.empty(sum(sizes), dtype=np.uint64), np.empty(sum(sizes), dtype=np.int64)
             at = 0
             for r, n in zip(blocks, sizes, strict=True):
                 low = np.frombuffer(r["data"], dtype=np.uint32, count=n)
                 mid = np.frombuffer(r["data"], dtype=np.uint16, count=n, offset=4 * n)
                 grams[at : at + n] = low.astype(np.uint64) | (mid.astype(np.uint64) << np.uint64(32))
+                times[at : at + n] = np.frombuffer(r["data"], dtype=np.uint8, count=n, offset=6 * n)
                 at += n
             order = np.argsort(grams)
             s = grams[order]
             starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            times = np.diff(np.append(starts, len(s)))
             seen = np.empty(len(s), dtype=np.uint8)
-            seen[order] = np.repeat(np.minimum(times, 255), times)
+            seen[order] = np.repeat(np.minimum(np.add.reduceat(times[order], starts), 255), np.diff(np.append(starts, len(s))))
             at = 0
             for r, n in zip(blocks, sizes, strict=True):
-                doc = np.frombuffer(r["data"], dtype=np.uint16, count=n, offset=6 * n)
-                out.append((r["piece"], r["fragment"], doc.tobytes() + seen[at : at + n].tobytes()))
+                out.append((r["piece"], r["fragment"], seen[at : at + n].tobytes()))
                 at += n
         cols = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["piece", "fragment", "data"])
@@ -127,26 +145,33 @@ def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     def total(t: pa.Table) -> pa.Table:
         """Of one piece: what all fragments counted, by text."""
         rows = sorted(t.to_pylist(), key=lambda r: r["fragment"])
-        meta = rows[0]["data"]
-        n = len(meta) // 29
-        ids, known = np.frombuffer(meta, dtype=np.int64, count=n), np.frombuffer(meta, dtype=np.uint8, count=n, offset=8 * n)
-        sizes = np.frombuffer(meta, dtype=np.int32, count=n, offset=9 * n)
-        doc = np.concatenate([np.zeros(0, dtype=np.uint16), *(np.frombuffer(r["data"], dtype=np.uint16, count=len(r["data"]) // 3) for r in rows[1:])])
-        seen = np.concatenate([np.zeros(0, dtype=np.uint8), *(np.frombuffer(r["data"], dtype=np.uint8, offset=len(r["data"]) // 3 * 2) for r in rows[1:])])
-        # fragments come in the order of the hashes, and so do a text's n-grams inside each
-        order = np.argsort(doc, kind="stable")
-        seen = seen[order]
+        meta, at = rows[0]["data"], 24
+        n, n_grams, n_whole = np.frombuffer(meta, dtype=np.int64, count=3)
+        fields = []
+        for kind, many in ((np.int64, n), (np.int64, n), (np.uint8, n), (np.int32, n), (np.uint16, n_grams), (np.uint16, n_whole)):
+            fields.append(np.frombuffer(meta, dtype=kind, count=many, offset=at))
+            at += fields[-1].nbytes
+        ids, hashes, known, sizes, times, doc = fields
+        seen = np.concatenate([np.zeros(0, dtype=np.uint8), *(np.frombuffer(r["data"], dtype=np.uint8) for r in rows[1:])])
+        # fragments come in the order of the hashes, and so do a text's n-grams
+        seen = np.repeat(seen, times)[np.argsort(doc, kind="stable")]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         both = np.concatenate([[0], np.cumsum(seen > 1)])
         shared = both[ends[1:]] - both[ends[:-1]]
         kept = [seen[ends[i] : ends[i + 1]].tobytes() if sizes[i] and 100 * shared[i] >= percent * int(sizes[i]) else None for i in range(n)]
-        keys = meta[13 * n :]
-        names = ["id", "n", "cls", "shared", "seen"]
-        return pa.table([pa.array(ids, mask=known == 0), pa.array(sizes.astype(np.int64)), pa.array([keys[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(shared.astype(np.int64)), pa.array(kept, pa.binary())], names=names)
+        keys = meta[at:]
+        names = ["id", "h", "n", "cls", "shared", "seen"]
+        cols = [pa.array(ids, mask=known == 0), pa.array(hashes), pa.array(sizes.astype(np.int64)), pa.array([keys[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(shared.astype(np.int64)), pa.array(kept, pa.binary())]
+        return pa.table(cols, names=names)
 
-    blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, "fragment int, piece long, meta boolean, data binary")
+    blocks = with_hash(docs, id_col, text_col).mapInArrow(cut, "fragment int, piece long, meta boolean, data binary")
     counts = blocks.groupBy("fragment").applyInArrow(count, "piece long, fragment int, data binary")
-    return counts.groupBy("piece").applyInArrow(total, "id long, n long, cls binary, shared long, seen binary")
+    return counts.groupBy("piece").applyInArrow(total, "id long, h long, n long, cls binary, shared long, seen binary")
+
+
+def with_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
 def set_parts(texts: DataFrame, width: int, bands: int, parts: int, percent: int) -> DataFrame:
@@ -213,9 +238,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id that links reach, its own included)."""
     rows = save(shared_counts(docs, id_col, text_col, width, percent))
     open_rows = rows.filter("seen IS NOT NULL")
-    classes = save(open_rows.groupBy("cls").agg(F.min(F.struct("id", "seen")).alias("first"), F.min(F.col("n") - F.col("shared")).alias("own")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    kept = texts.join(classes.select("first.id", "first.seen").withColumnRenamed("id", "open_id"), F.col("id").eqNullSafe(F.col("open_id"))).select("text", "seen")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "seen")
+    classes = save(open_rows.groupBy("cls").agg(F.min(place).alias("first"), F.min(F.col("n") - F.col("shared")).alias("own"), F.min("id").alias("least"), F.count("*").alias("rows")))
+    # a class is stood for by one text of it, told by id and hash: an id may be null, or have several texts
+    first = classes.select(F.col("first.id").alias("open_id"), F.col("first.h").alias("open_h"), "first.seen")
+    texts = with_hash(docs, id_col, text_col)
+    kept = texts.join(first, F.col("id").eqNullSafe(F.col("open_id")) & (F.col("h") == F.col("open_h"))).select("text", "seen")
     parts = set_parts(kept, width, BANDS, PARTS, percent).join(classes.select("cls", "own"), "cls")
     sets = save(parts.dropDuplicates(["cls"]))
     links: DataFrame | None = None
@@ -234,8 +262,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = a.join(b, "gram").filter(fits).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y")).distinct()
     links = save(links.union(links_of(across, sets, percent)))
     label = components(links)
-    named = open_rows.join(label, open_rows["cls"] == label["node"], "left").select("id", "n", F.coalesce("root", "cls").alias("comp"))
-    first = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    # classes get the least id of their component, then rows that of their class; large components and classes are hot keys
+    named = save(classes.join(label, classes["cls"] == label["node"], "left").select("cls", "least", "rows", F.coalesce("root", "cls").alias("comp")))
+    first = save(named.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    ids = save(join_hot(named, first, ["comp"], "classes").select("cls", "rows", "component_id"))
+    named = join_hot(open_rows.select("id", "n", "cls"), ids, ["cls"], "rows").select("id", "n", "component_id")
     alone = rows.filter("seen IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    out = named.join(first, "comp").select("id", "n", "component_id").unionByName(alone)
+    out = named.unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

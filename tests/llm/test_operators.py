@@ -132,7 +132,9 @@ def test_jaccard_classes(table, edge_rows):
             w = list(words)
             for _ in range(k):
                 w[rng.randrange(len(w))] = f"w{rng.randrange(1000)}"
-            rows.append((100 + 10 * g + k, " ".join(w), "a"))
+            # ids repeat and are null, under different texts of equal length
+            rows.append(((100 + 10 * g + k if k % 2 else None if g % 2 else 77), " ".join(w), "a"))
+    rows += [(None, base, "a") for base in [prose(rng, 50)] * 40] + [(500, prose(rng, 30_000), "a")]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(table(rows)).collect())
     assert got == brute_classes(rows)
     assert jaccard_classes(table([])).count() == 0
