@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
 #: A key with more than this share of the rows is hot; there are fewer hot keys than its inverse.
 HOT_SHARE = 1 / 256
+#: Tasks over which the rows of a hot key are dealt.
+SALTS = 128
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -55,12 +57,15 @@ def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROAD
     return F.broadcast(done) if size <= max_bytes and rows <= max_rows else done
 
 
-def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], n: str, share: float = HOT_SHARE) -> DataFrame:
-    """``rows`` (a written table) joined to ``values``, which has one row for each key and says in ``n`` how many rows have
-    it: those of the few hot keys meet it by broadcast, the rest by shuffle, so no task gets all rows of a hot key."""
+def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], n: str, share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+    """``rows`` joined to ``values`` (a written table), which has one row for each key and says in ``n`` how many rows have it.
+
+    The rows of a hot key are dealt over ``salts`` tasks, each of which gets the key's value, so no task gets all of them.
+    """
     total = values.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) > total * share
-    few = F.broadcast(values.filter(hot))
-    rest = values.filter(~hot)
-    cold = rows.join(F.broadcast(values.filter(hot).select(*keys)), keys, "left_anti").join(rest, keys)
-    return rows.join(few, keys).unionByName(cold)
+    few = F.broadcast(values.filter(hot).select(*keys, F.lit(True).alias("is_hot")))
+    salt = F.when(F.col("is_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)
+    left = rows.join(few, keys, "left").withColumn("salt", salt).drop("is_hot")
+    right = values.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return left.join(right, [*keys, "salt"]).drop("salt")
