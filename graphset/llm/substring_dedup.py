@@ -2,15 +2,17 @@
 line), and runs of short sentences.
 
 A unit is normalised to its words (letters and digits, lower-case) and digested to 128 bits.  Digests are grouped globally;
-of each digest the earliest occurrence (by id, then offset) stays, and every later one is reported for removal with its
-offsets in the original text.  Units of fewer than ``min_words`` words repeat by chance, so on their own they stay; a
-shorter sentence goes only along with a removed neighbour, if it occurred earlier as well, or in a run: from each short
-sentence, forwards and backwards, the fewest sentences that hold ``min_words`` words are a unit too, so a passage of that
-many words is found whatever the length of its lines.  A sentence ends at .!? before white space, symbols between them
+of each digest the earliest occurrence (by id, then offset) stays.  Later ones that follow each other without a word between
+them are a repeated stretch; one of at least ``min_words`` words, with a unit of ``RUN_WORDS`` in it, is removed, that is,
+its units are reported with their offsets in the original text.  Shorter stretches (a common line of a few words) stay.
+
+From each short sentence, forwards and backwards, the fewest sentences that hold ``RUN_WORDS`` words are a unit too, so
+passages are found whatever the length of their lines.  A sentence ends at .!? before white space, symbols between them
 aside; a paragraph ends at a blank line.  What a unit shares with the place that stays is not cut.
 
-Defined cases: null and empty texts have no units; units without words are not looked at; rows alike in id and text are one
-document; a null id ranks last; texts of one id rank by a hash.  Other columns are not read.
+Defined cases: null and empty texts have no units; units of one word are looked at in runs only; long texts are looked at
+whole; rows alike in id and text are one document, and both are cut alike; a null id ranks last; texts of one id rank by a
+hash; an empty table gives an empty result.  Other columns, whatever their names, are kept and not read.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphset.llm.common import free_name, join_hot, save
 from graphset.llm.quality import each_piece
 from graphset.llm.words import mix, signed
 
-#: Words from which a repeated unit is removed for its own sake, and from which a sentence is looked at.
-MIN_WORDS, LEAST_WORDS = 8, 2
+#: Words from which a repeated stretch is removed, that a line, a paragraph or a run of sentences has at least, and from which
+#: a sentence is looked at.
+MIN_WORDS, RUN_WORDS, LEAST_WORDS = 20, 8, 2
 _Q = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 _Q_INV = tuple(np.uint64(pow(int(q), -1, 1 << 64)) for q in _Q)
 
@@ -43,10 +47,10 @@ def _unit_digest(words: np.ndarray, first: np.ndarray, last: np.ndarray, salt: i
     return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) + np.uint64(salt << 32))
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, text_hash, kind (0 line, 1 sentence, 2 paragraph, 3 run), place (number of the unit's first sentence), start, stop
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, min_words: int = RUN_WORDS) -> DataFrame:
+    """id, text_hash, kind (0 line, 1 sentence, 2 paragraph, 3 run), word (number of the unit's first word), start, stop
     (characters), words, d1, d2; units of the same words of a text are one, and alike across the kinds."""
-    out = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("kind", pa.int32()), ("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+    out = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("kind", pa.int32()), ("word", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +61,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 space = np.isin(data, np.frombuffer(b" \t\n\r\v\f", dtype=np.uint8))
                 #: Behind the last solid byte before each place.
                 solid = np.concatenate([[0], np.maximum.accumulate(np.where(space, np.int32(0), np.arange(1, len(data) + 1, dtype=np.int32)))], dtype=np.int32)
-                ids = batch.column(0).slice(a, b - a)
+                ids, text_hashes = batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a)
                 newline = np.flatnonzero(data == 10)
                 stop = np.flatnonzero(np.isin(data, np.frombuffer(b".!?", dtype=np.uint8)))
                 gaps = np.append(np.flatnonzero(space), len(data))
@@ -87,12 +91,11 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 doc = w.doc[f]
                 # from the first word to the end of the unit, without white space behind
                 begin = w.start[f]
-                place = np.searchsorted(sentence, begin, side="right") - np.searchsorted(sentence, bounds[doc], side="right")
                 cols = [
                     ids.take(pa.array(doc)),
-                    pa.array(signed(w.text_hash)[doc]),
+                    text_hashes.take(pa.array(doc)),
                     pa.array(kinds),
-                    pa.array(place.astype(np.int32)),
+                    pa.array((f - w.first[doc]).astype(np.int32)),
                     pa.array((chars[begin] - chars[bounds[doc]]).astype(np.int32)),
                     pa.array((chars[end] - chars[bounds[doc]]).astype(np.int32)),
                     pa.array((z - f).astype(np.int32)),
@@ -102,25 +105,28 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 for at in range(0, len(whole), 1 << 16):
                     yield whole.slice(at, 1 << 16)
 
-    schema = "id long, text_hash long, kind int, place int, start int, stop int, words int, d1 long, d2 long"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = "id long, text_hash long, kind int, word int, start int, stop int, words int, d1 long, d2 long"
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """id, text_hash, kind, start, stop, words, kept_id, kept_start of every unit to remove."""
-    all_units = units(docs, id_col, text_col, min_words=min_words)
-    # whole structs, so that the count and the join read one and the same shuffle
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "start", "stop", "kind", "place", "words")
-    dealt = all_units.select("d1", "d2", place.alias("unit")).repartition("d1", "d2")
-    found = dealt.groupBy("d1", "d2").agg(F.min("unit").alias("keep"), F.max("unit").alias("other")).filter("keep <> other").select("d1", "d2", "keep")
-    later = dealt.join(found, ["d1", "d2"]).filter("unit <> keep").select("unit.*", "keep")
-    # short sentences need a removed neighbour in the same text; runs, which hold theirs, come last and are no neighbours
-    run = F.col("kind") == 3
-    by_text = Window.partitionBy("id", "text_hash").orderBy(run, "place", F.desc("words"))
-    near = F.lit(False)
-    for f in (F.lag, F.lead):
-        near = near | F.coalesce((f("words").over(by_text) >= min_words) & (f("kind").over(by_text) < 3) & (F.abs(f("place").over(by_text) - F.col("place")) <= 1), F.lit(False))
-    marked = later.withColumn("near", near).filter((F.col("words") >= min_words) | F.col("near"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "start", "stop", "kind", "word", "words")
+    all_units = units(docs, id_col, text_col, min_words=run_words).select("d1", "d2", place.alias("unit"))
+    found = all_units.groupBy("d1", "d2").agg(F.min("unit").alias("keep"), F.max("unit").alias("other"), F.count("*").alias("n")).filter("keep <> other").select("d1", "d2", "keep", "n")
+    # a common line is a hot digest: counted before the shuffle, then joined by parts
+    later = join_hot(all_units, save(found), ["d1", "d2"], "n").filter("unit <> keep").select("unit.*", "keep")
+    # rows alike in id and text are one, before they meet in one window
+    later = later.distinct()
+    by_text = Window.partitionBy("id", "text_hash")
+    end = F.col("word") + F.col("words")
+    before = F.max(end).over(by_text.orderBy("word", end).rowsBetween(Window.unboundedPreceding, -1))
+    joined = later.withColumn("new", F.coalesce(F.col("word") > before, F.lit(True)).cast("int"))
+    joined = joined.withColumn("stretch", F.sum("new").over(by_text.orderBy("word", end).rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("id", "text_hash", "stretch")
+    marked = joined.withColumns({"in_all": F.max(end).over(whole) - F.min("word").over(whole), "longest": F.max("words").over(whole)})
+    marked = marked.filter((F.col("in_all") >= min_words) & (F.col("longest") >= run_words))
     # a run that overlaps the place that stays goes only from there on
     own = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("text_hash") == F.col("keep.text_hash"))
     marked = marked.withColumn("start", F.when(own, F.greatest("start", "keep.stop")).otherwise(F.col("start"))).filter("start < stop").dropDuplicates(["id", "text_hash", "kind", "start", "stop"])
@@ -130,26 +136,27 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated units cut out of the texts; all columns and rows stay.
 
-    Rows are matched by id; where texts of one id differ, only the spans of the row's own text are cut, told apart by the
-    text's hash.
+    Spans meet their rows by id and a hash of the text, so ids may be null, or have several texts.
     """
-    spans = repeated_units(docs, id_col, text_col, min_words).groupBy(F.col(id_col).alias("span_id")).agg(F.collect_list(F.struct("text_hash", "start", "stop")).alias("spans"))
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["span_id"]), "left").drop("span_id")
-    names, at = joined.columns, joined.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    own, spans, key = (free_name(docs, n) for n in ("row_text_hash", "row_spans", "row_id"))
+    found = repeated_units(docs, id_col, text_col, min_words)
+    per_text = found.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(own)).agg(F.collect_list(F.struct("start", "stop")).alias(spans))
+    hashed = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    joined = hashed.join(per_text, (hashed[own] == per_text[own]) & hashed[id_col].cast("long").eqNullSafe(per_text[key]), "left").select(*(hashed[n] for n in names), per_text[spans])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = np.concatenate([signed(w.text_hash) for _, _, w, _, _ in each_piece(batch, at)]) if len(batch) else []
             texts = []
-            for text, spans, h in zip(batch.column(at).to_pylist(), batch.column(len(names) - 1).to_pylist(), hashes, strict=True):
-                if text is not None and spans:
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                if text is not None and gone:
                     out, pos = [], 0
-                    for start, stop in sorted((s["start"], s["stop"]) for s in spans if s["text_hash"] == h):
+                    for start, stop in sorted((s["start"], s["stop"]) for s in gone):
                         out.append(text[pos : max(pos, start)])
                         pos = max(pos, stop)
                     text = "".join([*out, text[pos:]])
                 texts.append(text)
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names) - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=names[:-1])
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(cut, docs.schema)
