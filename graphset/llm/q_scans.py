@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from graphset.llm.common import table
 from graphset.llm.decontaminate import tile_benchmark
 from graphset.llm.license_scan import scan_licenses
-from graphset.llm.secret_scan import fit_forest, scan_secrets, weak_findings
+from graphset.llm.secret_findings import labelled_findings
+from graphset.llm.secret_scan import fit_forest, scan_secrets
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scan_secrets(docs, fit_forest(weak_findings(docs)))
+    return scan_secrets(docs, fit_forest(labelled_findings(spark)))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +25,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_license_scan": op1_license_scan, "op2_secret_scan": op2_secret_scan, "op4_decontamination": op4_decontamination}
-#: Neither diagonal votes, trained forests nor greedy tiling can be written in SQL; they are tested against brute force.
+#: Neither diagonal votes, trained forests nor greedy tiling can be written in SQL.  The tests set places of phrases and tiles
+#: against brute force, notices against planted ones, and the forest against held-out findings.
 SQL: dict[str, str] = {}

@@ -1,20 +1,19 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of at least 12 of the characters A-Z a-z 0-9 + / _ . - that holds a digit, a key of an issued format
-inside a run, the password of a URL, a private key in PEM form, or a value without white space that is assigned to a
-credential's name, whatever its length.  Its features are its
-length, the make-up of its characters and how often their kind changes, how far words of a dictionary cover it, the path
-(here: the source) of the text, and the words before and behind it.  The forest is trained on labelled findings; it is then
-sent to Spark's tasks, where whole texts are scanned, or rewritten, in one pass.
-
-Labelled findings are a table (candidate, before, after, path, label).  ``weak_findings`` makes one from a corpus: issued
-key formats, private keys, passwords of URLs and values that are assigned to a credential's name and are no plain words are
-true, and stay so whatever the forest says; whole mail and network addresses, numbers and repeated characters are false; all
-else stays unlabelled, and is judged by the forest alone.  Training reads at most
-``max_labelled`` findings (a documented bound), in the order of a hash.
-
-Defined cases: null and empty texts hold no candidates; a null path has no telling words; without labelled findings of both
-kinds nothing is called a secret; rows alike are scanned each on its own; ids may be null.  Other columns are not read.
+A candidate is a run of at least 12 of the characters A-Z a-z 0-9 + / _ . - that holds a digit, one of at least 16 that often
+changes from small letters to capitals, a key of an issued format inside a run, the password of a URL, a private key in PEM
+form, or a value without white space that is assigned to a credential's name, whatever its length and characters.  Its
+features are its length, the make-up of its characters and how often their kind changes, how far words of a dictionary cover
+it, by which form it was found, the path (here: the source) of the text, and the words before and behind it.  The forest is
+trained on labelled findings; it is then sent to Spark's tasks, where whole texts are scanned, or rewritten, in one pass.
+
+Labelled findings are a table (candidate, before, after, path, label); ``secret_findings`` has one, made by rule.  Training
+reads at most ``max_labelled`` findings (a documented bound), in the order of a hash.
+
+Defined cases: null and empty texts hold no candidates; a null path has no telling words; long texts are scanned whole, in
+time in proportion to their length; without labelled findings of both kinds nothing is called a secret; rows alike are
+scanned each on its own; ids may be null; an empty table gives an empty result.  Other columns, whatever their names, are kept
+and not read.
 """
 
 from __future__ import annotations
@@ -35,10 +34,10 @@ from pyspark.sql import functions as F
 from graphset.llm.common import save
 
 #: Labelled findings that training reads at most, trees, their depth, and the share of trees that must agree.
-MAX_LABELLED, TREES, DEPTH, THRESHOLD = 5_000, 24, 6, 0.5
-LEAST_LENGTH, CONTEXT = 12, 32
+MAX_LABELLED, TREES, DEPTH, THRESHOLD = 5_000, 40, 10, 0.5
+LEAST_LENGTH, LEAST_LETTERS, CONTEXT = 12, 16, 32
 #: Words that names and placeholders are made of; names of credentials; words around what is no secret; telling paths.
-DICTIONARY = frozenset("account address admin alpha author beta build change class client cloud code config copy data date default demo dev document dummy email example file first foo form group hello host image index item label last line link list local mail main model name number object order page part path place prod product project public query release report request resource response root sample server service session site size source staging stage start state string style system table task team temp template test text time title type update user value version view web website word world year your".split())
+DICTIONARY = frozenset("account add address admin api auth bar cache change changeme connection context core device engine event factory field filter foo handler here http input insert key manager map module network node none not null output parser password port process proxy put record replace result role route schema secret status store stream token window worker account admin alpha author beta build change class client cloud code config copy data date default demo dev document dummy email example file first foo form group hello host image index item label last line link list local mail main model name number object order page part path place prod product project public query release report request resource response root sample server service session site size source staging stage start state string style system table task team temp template test text time title type update user value version view web website word world year your".split())
 CREDENTIAL = re.compile(r"(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth|bearer|credential|private[_-]?key|client[_-]?secret)[\w-]*[\"']?\s*(?:=>|:=|=|:|\s)\s*[\"']?$", re.I)
 NO_SECRET = re.compile(r"\b(?:sha\d*|md5|commit|checksum|digest|hash|uuid|guid|isbn|doi|revision|version|example|sample|placeholder|dummy)\b", re.I)
 NO_SECRET_PATH = re.compile(r"test|example|sample|fixture|mock|doc|lock|min\.|vendor|dist", re.I)
@@ -47,18 +46,17 @@ ISSUED_INSIDE = re.compile(rf"(?<![0-9A-Za-z])(?:{ISSUED.pattern[1:-1]})(?![0-9A
 #: What a text with an issued key, and one with a credential's name, must hold.
 ISSUED_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_live_", "glpat-")
 NAME_MARKS = ("key", "secret", "token", "passw", "pwd", "auth", "bearer", "credential")
-ASSIGNED = re.compile(r"(?:api[_-]?key|access[_-]?key|secret(?!ar)|token|passw(?:or)?d|pwd|auth(?!or)|bearer|credential|private[_-]?key)[\w-]*[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*(?:\"([^\s\"]+)\"|'([^\s']+)'|([^\s\"'<>(){}\[\],;&]+)(?![(\[{]))", re.I)
-USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:@/\"'<>]*:([^\s@/\"'<>]+)@")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?:[^-]*(?:-(?!----)[^-]*)*-----END \1-----|(?:\s*[A-Za-z0-9+/=]{16,})*)")
-PLACEHOLDER = re.compile(r"^(?:[$%<{].*|\*+|x+|\.+|none|null|true|false|undefined|redacted|changeme)$", re.I)
-PLAIN_WORD = re.compile(r"^[^\W\d_]?[^\W\d_A-Z]*[.!?]?$")
-ADDRESS = re.compile(r"^\d+(?:[.:-]\d+)+\.?$|^\d+[.:]?$|^(?:[\w-]+\.)+(?:com|net|org)(?:/[\w.%-]{0,19})*$|^[\w./-]*\.html?$")
+ASSIGNED = re.compile(r"(?:api[_-]?key|access[_-]?key|secret(?!ar)|token|passw(?:or)?d|pwd|auth(?!or)|bearer|credential|private[_-]?key)[\w-]{0,40}[\"']?[ \t]{0,8}(?:=>|:=|=|:)[ \t]{0,8}(?:\"([^\s\"]+)\"|'([^\s']+)'|((?:[^\s\"'<>(){}\[\],;&]|&(?!\w+=))+)(?![(\[{]))", re.I)
+USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:@/\"'<>]{0,128}:([^\s@/\"'<>]{1,256})@")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----(?:[^-]*(?:-(?!----)[^-]*)*-----END \1-----|(?:\s*[A-Za-z0-9+/=]{16,})*)")
+PLACEHOLDER = re.compile(r"^(?:[$%<{].*|\*+|x+|\.+|none|null|true|false|undefined|redacted|changeme)$|your|example|dummy|sample|here$|replace|insert", re.I)
 MAIL_HOST = re.compile(r"^@[\w-]+(?:\.[\w-]+)+")
 
 _RUN = np.zeros(256, dtype=bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.-"]] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
+_SMALL, _CAPITAL = (np.array([a <= i <= b for i in range(256)]) for a, b in ((97, 122), (65, 90)))
 
 
 def entropy(s: str) -> float:
@@ -85,6 +83,9 @@ def features(candidate: str, before: str, after: str, path: str | None) -> list[
     kinds = [kind_of(c) for c in candidate]
     n = len(candidate)
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    pieces = re.split(r"[^0-9A-Za-z]+", candidate)
+    named = ASSIGNED.search(before + candidate[:64] + after[:1])
+    named = named is not None and named.start(named.lastindex) == len(before)
     return [
         float(n),
         *(kinds.count(k) / n for k in range(4)),
@@ -93,9 +94,18 @@ def features(candidate: str, before: str, after: str, path: str | None) -> list[
         sum(c in "0123456789abcdefABCDEF" for c in candidate) / n,
         len(set(candidate)) / n,
         covered(candidate),
-        float(CREDENTIAL.search(before) is not None),
+        float(len(pieces)),
+        max(map(len, pieces)) / n,
+        float(PLACEHOLDER.search(candidate) is not None),
+        float(ISSUED.search(candidate) is not None),
+        float(candidate.startswith("-----BEGIN ")),
+        float(USERINFO.search(before + candidate[:256] + after[:1]) is not None and after[:1] == "@"),
+        float(named or CREDENTIAL.search(before) is not None),
         float(before.rstrip().endswith(("=", ":", '"', "'"))),
-        float(after[:1] in ('"', "'")),
+        float(before.endswith(('"', "'")) and after[:1] in ('"', "'")),
+        float(before.endswith("=")),
+        float(MAIL_HOST.search(after) is not None),
+        float(after[:1] == "("),
         float(NO_SECRET.search(before) is not None or NO_SECRET.search(after) is not None),
         float(NO_SECRET_PATH.search(path or "") is not None),
         float((path or "").count("/")),
@@ -136,13 +146,19 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
 
 
 def runs(text: str) -> list[tuple[int, int]]:
-    """(start, stop) of the long runs that hold a digit."""
+    """(start, stop) of the long runs that hold a digit, and of longer ones that mix small letters and capitals."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     run = np.concatenate([[False], _RUN[data], [False]])
     edge = np.flatnonzero(run[1:] != run[:-1])
     start, stop = edge[::2], edge[1::2]
+    size = stop - start
+    some = size >= LEAST_LENGTH
+    start, stop, size = start[some], stop[some], size[some]
+    if not len(start):
+        return []
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    good = (stop - start >= LEAST_LENGTH) & (digits[stop] > digits[start])
+    rises = np.concatenate([[0, 0], np.cumsum(_SMALL[data[:-1]] & _CAPITAL[data[1:]])])
+    good = (digits[stop] > digits[start]) | ((size >= LEAST_LETTERS) & (rises[stop] - rises[start + 1] >= 3))
     if not good.any():
         return []
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -162,46 +178,6 @@ def around(text: str, a: int, b: int) -> tuple[str, str]:
     return text[max(0, a - CONTEXT) : a].rpartition("\n")[2], text[b : b + CONTEXT].partition("\n")[0]
 
 
-def weak_label(candidate: str, before: str, after: str) -> float | None:
-    if ISSUED.search(candidate) or candidate.startswith("-----BEGIN "):
-        return 1.0
-    if USERINFO.search(before + candidate + after[:1]) and after[:1] == "@":
-        return 0.0 if PLACEHOLDER.search(candidate) else 1.0
-    mail = MAIL_HOST.search(after) is not None and not before.endswith(("://", ":"))
-    if mail or ADDRESS.search(candidate) or (len(candidate) >= LEAST_LENGTH and len(set(candidate)) < 5):
-        return 0.0
-    if CREDENTIAL.search(before) and len(candidate) >= 16 and entropy(candidate) >= 2.8 and covered(candidate) < 0.4:
-        return 1.0
-    named = ASSIGNED.search(before + candidate + after[:1])
-    if named and named.start(named.lastindex) == len(before):
-        if PLACEHOLDER.search(candidate):
-            return 0.0
-        if named.lastindex == 3 and PLAIN_WORD.search(candidate) and "=" not in before[named.start() :]:
-            return 0.0  # a word of a sentence
-        if covered(candidate) < 0.4:
-            return 1.0
-    return None
-
-
-def weak_findings(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """Labelled findings (candidate, before, after, path, label) of a corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b in candidates(text):
-                    before, after = around(text, a, b)
-                    label = weak_label(text[a:b], before, after)
-                    if label is not None:
-                        rows.append((text[a:b], before, after, path, label))
-            if rows:
-                kinds = [*[pa.string()] * 4, pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["candidate", "before", "after", "path", "label"])
-
-    return docs.select(F.col(text_col).cast("string"), F.col(path_col).cast("string")).mapInArrow(run, "candidate string, before string, after string, path string, label double")
-
-
 def fit_forest(findings: DataFrame, max_labelled: int = MAX_LABELLED, trees: int = TREES, depth: int = DEPTH) -> list:
     """The forest as nested (feature, threshold, left, right) with 0 or 1 at the leaves; [] without both labels."""
 
@@ -242,7 +218,7 @@ def secrets(text: str | None, path: str | None, forest: list, threshold: float =
     out = []
     for a, b in candidates(text):
         before, after = around(text, a, b)
-        score = 1.0 if forest and weak_label(text[a:b], before, after) == 1.0 else vote(forest, features(text[a:b], before, after, path))
+        score = vote(forest, features(text[a:b], before, after, path))
         if score >= threshold:
             named = CREDENTIAL.search(before)
             kind = "issued_key" if ISSUED.search(text[a:b]) else "private_key" if text.startswith("-----BEGIN ", a) else "url_password" if after[:1] == "@" else re.sub(r"[\W\d]+", "", named.group(0)).lower() if named else "unnamed"
