@@ -13,7 +13,8 @@ from graphset.llm.common import save, table
 from graphset.llm.decontaminate import decontaminate
 from graphset.llm.jaccard_join import jaccard_classes
 from graphset.llm.mix_sources import mix_sources
-from graphset.llm.secret_scan import fit_forest, redact_secrets, weak_findings
+from graphset.llm.secret_findings import labelled_findings
+from graphset.llm.secret_scan import fit_forest, redact_secrets
 from graphset.llm.toxicity import fit, held_out, keep_civil
 
 
@@ -40,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in them are masked, and n_chars follows the text."""
-    masked = redact_secrets(docs, fit_forest(weak_findings(docs)))
+    masked = redact_secrets(docs, fit_forest(labelled_findings(spark)))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
