@@ -5,9 +5,10 @@ the blocks before and after it, and what encloses it (kinds of elements, telling
 tree, trained on the small labelled table below, tells main text from the rest.  Pages are parsed and judged inside Spark's
 tasks; only the tree is sent there.
 
-Defined cases: a null or empty page, or one without main text, gives an empty text of 0 characters; elements may be left
-open or nested wrongly; an unended comment, script or style swallows what follows; every input row gives one output row, in
-which null ids and urls stay null.  Other columns are not read.
+Defined cases: a null or empty page, or one without main text, gives an empty text of 0 characters; elements, links and
+quotes may be left open, or elements nested wrongly; an unended comment, script or style swallows what follows; pages are
+read whole, in time in proportion to their length; rows alike are extracted each on its own; every input row gives one output
+row, an empty table none, and null ids and urls stay null.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 INSIDE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_LEVEL = HEADINGS | frozenset("p li dt dd blockquote pre figcaption".split())
+#: Signs that end a sentence, and those that may stand behind them.
+STOPS, CLOSERS = frozenset(".!?…:;"), "\"'”’)]"
 #: Names in class, id or role of what is not the article.
 ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|"
@@ -39,31 +43,105 @@ ASIDE_NAMES = re.compile(
 )
 INSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?:$|[\s_-])")
 
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+_OPEN_QUOTE = re.compile(r"=\s*([\"'])")
+_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|sidebar|side|widgets?|related|recommend(?:ed|ations)?|more|share|sharing|social|nav|navbar|navigation|menu|breadcrumbs?|"
+    r"footer|masthead|topbar|header|toolbar|pagination|pager|tags|search|copyright|legal|disclaimer|contentinfo|complementary|hidden)(?:$|[\s_-])"
+)
+INSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?:$|[\s_-])")
+
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:\s|^)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_STOP = re.compile(r"[.!?…:;][\"'”’)\]]*$")
+#: A character reference of more digits than any character has.
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+_ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "aside", "aside_name", "inside", "heading", "item", "stop")
 
 
+def decoded(text: str) -> str:
+    """Character references decoded, white space as one space."""
+    if "&" in text:
+        text = html.unescape(_LONG_REFERENCE.sub("\ufffd", _ZEROS.sub(r"&#\1", text)))
+    return " ".join(text.split())
+
+
+def end_of_tag(page: str, at: int, last: int) -> int:
+    """Where the tag that opens before ``at`` ends, or -1: at its first > that no quoted value holds.
+
+    A quote that is not closed before the next < is taken as left open, so no more than the text up to there is looked at.
+    """
+    begin = at
+    while at <= last:
+        end = page.find(">", at)
+        quote = None
+        pos = begin
+        while (m := _OPEN_QUOTE.search(page, pos, end)) is not None:
+            close = page.find(m.group(1), m.end(), end)
+            if close < 0:
+                quote = m
+                break
+            pos = close + 1
+        if quote is None:
+            return end
+        after = page.find("<", end)
+        close = page.find(quote.group(1), end, after if after >= 0 else len(page))
+        if close < 0:
+            return end
+        begin = at = close + 1
+    return -1
+
+
+class Nesting:
+    """The open elements of a page: (name, aside, aside by name, inside); closing one takes time for what it closes only."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+
+    def push(self, item: tuple[str, bool, bool, bool]) -> None:
+        self.at.setdefault(item[0], []).append(len(self.stack))
+        if item[0] in ("article", "main", "body"):
+            self.walls.append(len(self.stack))
+        self.stack.append(item)
+
+    def pop(self) -> None:
+        name = self.stack.pop()[0]
+        self.at[name].pop()
+        if name in ("article", "main", "body"):
+            self.walls.pop()
+
+    def close(self, name: str) -> None:
+        places = self.at.get(name)
+        if not places or (name in ("p", "li", "span") and self.walls and self.walls[-1] > places[-1]):
+            return
+        for _ in range(len(self.stack) - places[-1]):
+            self.pop()
+
+
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """(text, features) of the text blocks of a page."""
     found: list[tuple[str, int, int, bool, bool, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, aside, aside by name, inside
+    nest = Nesting()
+    stack = nest.stack
     text: list[str] = []
     linked = [0, 0]  # open links, words in links
     tag = ""
 
     def flush() -> None:
         if text:
-            whole = " ".join(html.unescape("".join(text)).split())
+            whole = decoded("".join(text))
             if whole:
                 _, aside, name, inside = stack[-1] if stack else ("", False, False, False)
                 heading = any(s[0] in HEADINGS for s in stack[-3:]) or tag in HEADINGS
                 item = any(s[0] in ("li", "dt", "dd", "td", "th", "option") for s in stack[-4:])
-                found.append((whole, len(whole.split()), min(linked[1], len(whole.split())), aside, name, inside, heading, item))
+                words = whole.count(" ") + 1
+                found.append((whole, words, min(linked[1], words), aside, name, inside, heading, item))
             text.clear()
         linked[1] = 0
 
@@ -73,25 +151,32 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             if linked[0]:
                 linked[1] += len(piece.split())
 
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0 or start > last:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m.group(0) == "<!--":
-            end = page.find("-->", at)
+        if page.startswith("<!--", start):
+            add(page[at:start])
+            end = page.find("-->", start + 4)
             at = size if end < 0 else end + 3
             continue
-        if m.group(2) is None:
+        m = _NAME.match(page, start + 1)
+        if m is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                add(page[at:start])
+                at = page.find(">", start) + 1
+            else:  # a mere sign
+                add(page[at : start + 1])
+                at = start + 1
             continue
-        if "<" in m.group(3):  # a quote left open: take the tag up to its first >
-            loose = _LOOSE.match(page, m.start())
-            if loose is not None:
-                m, at = loose, loose.end()
-        closing, name, attributes = m.group(1), m.group(2).lower(), m.group(3)
+        add(page[at:start])
+        end = end_of_tag(page, m.end(), last)
+        if end < 0:
+            end = page.find(">", m.end())
+        at = end + 1
+        closing, name, attributes = m.group(1), m.group(2).lower(), page[m.end() : end]
         if name == "br":
             text.append(" ")
             continue
@@ -100,38 +185,45 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         if name in INLINE:
             continue
-        flush()
-        tag = "" if closing else name
         if name in SILENT and not closing:
+            # inside a line of text these do not end it
+            if name in ("head", "title"):
+                flush()
+            elif name not in ("script", "style", "noscript", "template"):
+                text.append(" ")
             if attributes.rstrip().endswith("/") and name not in ("script", "style"):
                 continue
-            end = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body[\s>]", re.I).search(page, at)
-            at = size if end is None else end.start() if name == "head" and end.group(0)[1] != "/" else end.end()
+            stop = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body[\s>]", re.I).search(page, at)
+            at = size if stop is None else stop.start() if name == "head" and stop.group(0)[1] != "/" else stop.end()
             continue
+        if name in SILENT:
+            continue
+        had_link_text = linked[1] > 0
+        flush()
+        tag = "" if closing else name
         if closing:
             linked[0] = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body") and name in ("p", "li", "span"):
-                    break
+            nest.close(name)
         elif name not in VOID:
+            if name in TEXT_LEVEL and had_link_text:
+                linked[0] = 0  # a link left open ends with its line
             if name in ("p", *HEADINGS, "li", "dt", "dd") and stack and stack[-1][0] == ("li" if name == "li" else "p"):
-                stack.pop()
+                nest.pop()
             _, aside, named, inside = stack[-1] if stack else ("", False, False, False)
             names = " ".join("".join(x) for x in _NAMES.findall(attributes)).lower()
             outer = name == "header" and not inside
             inside_name = bool(names) and INSIDE_NAMES.search(names) is not None and ASIDE_NAMES.search(names) is None
+            aside_name = bool(names) and ASIDE_NAMES.search(names) is not None
+            if name in TEXT_LEVEL and aside_name and INSIDE_NAMES.search(names) is not None:
+                aside_name = False  # a paragraph of the text, whatever else its name says
             hidden = bool(attributes) and _HIDDEN.search(attributes) is not None
-            stack.append((name, aside or name in ASIDE or outer, named or hidden or (name not in ("html", "body", "article", "main") and bool(names) and not inside_name and ASIDE_NAMES.search(names) is not None), inside or name in INSIDE or inside_name))
-            if name == "article" and any(s[0] == "article" for s in stack[:-1]) and re.search("comment|reply", names):
-                stack[-1] = (name, True, True, True)
+            comments = name == "article" and bool(nest.at.get("article")) and re.search("comment|reply", names) is not None
+            nest.push((name, aside or name in ASIDE or outer or comments, named or hidden or comments or (name not in ("html", "body", "article", "main") and aside_name), inside or name in INSIDE or inside_name or comments))
     flush()
     out = []
     for i, (whole, words, links, aside, named, inside, heading, item) in enumerate(found):
         prev, post = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
-        f = [words, links / words, prev[1] if prev else 0, prev[2] / prev[1] if prev else 0, post[1] if post else 0, post[2] / post[1] if post else 0, aside, named, inside, heading, item, _STOP.search(whole) is not None]
+        f = [words, links / words, prev[1] if prev else 0, prev[2] / prev[1] if prev else 0, post[1] if post else 0, post[2] / post[1] if post else 0, aside, named, inside, heading, item, whole.rstrip(CLOSERS)[-1:] in STOPS]
         out.append((whole, [float(x) for x in f]))
     return out
 
@@ -163,6 +255,11 @@ LABELLED = [
     """<body><article><h1>M:No foot</h1><p>M:This page ends with its article, and nothing comes behind it.</p><p>M:The end.</p></article></body>""",
     """<body><div><a>X:Up</a></div><p>M:A bare page may end with its text too, with neither a footer nor a line of links behind the last of its words.</p><p>M:Its last paragraph is text like the rest, and it should stay where it is.</p></body>""",
     """<body><div class=post><p>M:Nothing here but a post.</p></div></body>""",
+    """<body><article><h1>M:Links inside</h1><p>M:A line of text before the link.</p><p><a>M:The whole report</a></p><p>M:The last paragraph may follow a line that is a link from end to end, and it is text all the same.</p></article></body>""",
+    """<body><main><p>M:Some text.</p><p><a>M:A linked line</a> <a>M:and one more</a></p><p>M:The end of it, in a few words.</p></main></body>""",
+    """<body><p>M:A page without boxes, on which a long first paragraph tells what the rest of it is going to be about.</p><p><a>X:More of this</a></p><p>X:(c) me</p></body>""",
+    """<p>M:A page may be one long paragraph and nothing else at all, with no box around it, no menu before it, no line behind it and no mark at its end""",
+    """<body><div>M:Another page is a long stretch of words in a plain box, which nobody has taken the trouble to name or to frame with anything""",
 ]
 
 
