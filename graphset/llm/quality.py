@@ -8,8 +8,9 @@ trained on them by logistic regression.  The scorer judges every whole text.
 Counts of patterns cover all texts.  The scorer's training reads about ``max_train`` texts (a documented bound), chosen by
 a hash of their bytes.
 
-Defined cases: null and empty texts have no words; their only vote is bad.  Every input row gives one output row; a null id
-stays null; an empty table gives an empty result.  Other columns are not read.
+Defined cases: null and empty texts have no words; their only vote is bad.  Long texts are judged whole; rows alike get the
+same score; every input row gives one output row; a null id stays null; an empty table gives an empty result.  Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphset.llm.common import save
-from graphset.llm.words import Words, mix, pieces
+from graphset.llm.words import KINDS, Words, mix, pieces
 
 #: Texts that the scorer is trained on, about; buckets of the hashed terms.
 MAX_TRAIN, BUCKETS = 8_000, 1 << 13
@@ -35,12 +37,14 @@ LABELLERS = [
     ("words", BAD, 0, 4),
     ("symbol_share", BAD, 0.15, 1.0),
     ("letter_share", BAD, 0.0, 0.65),
-    ("pipe_share", BAD, 0.1, 1e9),
-    ("line_noise", BAD, 0.25, 1e9),
+    ("lone_symbols", BAD, 0.1, 1e9),
+    ("symbols_per_word", BAD, 0.25, 1e9),
     ("upper_share", BAD, 0.4, 1.0),
     ("words_per_stop", BAD, 0.0, 1.5),
-    ("again_share", BAD, 0.1, 1.0),
+    ("repeat_share", BAD, 0.1, 1.0),
     ("distinct_share", BAD, 0.0, 0.25),
+    ("word_length", BAD, 0.0, 2.5),
+    ("word_length", BAD, 14.0, 1e9),
     ("prose", GOOD, 1, 1),
 ]
 
@@ -50,6 +54,18 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]).astype(float)
 
 
+def lone_symbols(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many stretches without white space hold neither a letter nor a digit: bullets, bars, separators."""
+    solid = KINDS["solid"][data]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[bounds] = True
+    start = np.flatnonzero(solid & (np.append(True, ~solid[:-1])[: len(data)] | edge[:-1]))
+    end = np.flatnonzero(solid & (np.append(~solid[1:], True)[: len(data)] | edge[1:])) + 1
+    plain = np.concatenate([[0], np.cumsum(KINDS["alnum"][data])])
+    lone = start[plain[end] == plain[start]]
+    return np.bincount(np.searchsorted(bounds, lone, side="right") - 1, minlength=len(bounds) - 1).astype(float)
+
+
 def features(w: Words, data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     """What the labellers look at, for each text of a piece."""
     n_bytes = np.maximum(np.diff(bounds), 1)
@@ -71,16 +87,16 @@ def features(w: Words, data: np.ndarray, bounds: np.ndarray) -> dict[str, np.nda
     out = {
         "words": w.count.astype(float),
         "symbol_share": _per_text(~plain, bounds) / n_bytes,
-        "pipe_share": _per_text(data == 124, bounds) / words,
+        "lone_symbols": lone_symbols(data, bounds) / words,
         "upper_share": _per_text(upper, bounds) / np.maximum(_per_text(letter, bounds), 1),
-        "again_share": np.bincount(w.doc[again], minlength=n) / words,
+        "repeat_share": np.bincount(w.doc[again], minlength=n) / words,
         "distinct_share": distinct / np.sqrt(words * np.minimum(words, 200)),
         "word_length": _per_text(letter, bounds) / words,
         "letter_share": _per_text(letter, bounds) / n_bytes,
-        "line_noise": _per_text(~plain, bounds) / words,
+        "symbols_per_word": _per_text(~plain, bounds) / words,
         "words_per_stop": np.where(stops > 3, w.count / np.maximum(stops, 1), 10.0),
     }
-    calm = (out["symbol_share"] < 0.04) & (out["upper_share"] < 0.15) & (out["again_share"] < 0.03) & (out["words_per_stop"] < 60)
+    calm = (out["symbol_share"] < 0.04) & (out["upper_share"] < 0.15) & (out["repeat_share"] < 0.03) & (out["words_per_stop"] < 60)
     out["prose"] = (calm & (out["word_length"] > 3) & (out["word_length"] < 9) & (w.count > 4)).astype(float)
     return out
 
@@ -176,14 +192,17 @@ def fit_quality(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TR
                 rows = [(posterior[int(code[i])], bucket[ends[i] : ends[i + 1]].astype(np.int32), value[ends[i] : ends[i + 1]]) for i in np.flatnonzero(take)]
                 if rows:
                     p, b, v = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), pa.array(b, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64()))], names=["p", "at", "value"])
-
-    sparse = F.udf(lambda at, value: SparseVector(BUCKETS, at, value), VectorUDT())
-    rows = save(texts.mapInArrow(train, "p double, at array<int>, value array<double>"))
-    both = rows.select(F.lit(1.0).alias("label"), F.col("p").alias("weight"), "at", "value").union(rows.select(F.lit(0.0), 1 - F.col("p"), "at", "value")).filter("weight > 0.001")
+                    m = len(rows)
+                    sparse = pa.StructArray.from_arrays([pa.array(np.zeros(m, dtype=np.int8)), pa.array(np.full(m, BUCKETS, dtype=np.int32)), pa.array(b, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64()))], ["type", "size", "indices", "values"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), sparse], names=["p", "features"])
+
+    # the file holds vectors as the fields that they are made of
+    vectors = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("features", VectorUDT())])
+    rows = save(texts.mapInArrow(train, "p double, features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"), vectors)
+    both = rows.select(F.lit(1.0).alias("label"), F.col("p").alias("weight"), "features").union(rows.select(F.lit(0.0), 1 - F.col("p"), "features")).filter("weight > 0.001")
     if len({r[0] for r in both.select("label").distinct().collect()}) < 2:
         return QualityModel(prior, rates, posterior, np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
-    model = LogisticRegression(weightCol="weight", regParam=0.0005, maxIter=60).fit(both.select("label", "weight", sparse("at", "value").alias("features")))
+    model = LogisticRegression(weightCol="weight", regParam=0.0005, maxIter=60).fit(both)
     return QualityModel(prior, rates, posterior, model.coefficients.toArray(), float(model.intercept))
 
 
