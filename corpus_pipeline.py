@@ -1,7 +1,14 @@
 """A corpus pipeline of five operators: each stage works on all that the stage before kept.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+Parquet and read again as the next one's ``docs``.  All but the last return the columns of ``documents``; the last adds
+``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
+
+Defined cases: null and empty texts are neither toxic, nor copies of each other, nor contaminated, and have no secrets; they
+stay.  Rows alike are one group in the join, of which one row stays; ids may be null or repeat, for rows are numbered or told
+apart by their content.  Of equal ids in a group any one row stays, the same in each run over the same files.  Long texts are
+read whole.  An empty table passes through as an empty one.  ``docs`` has the columns of ``documents``; names that a stage
+uses inside are never among them.
 """
 
 from __future__ import annotations
@@ -26,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join the row of the smallest id stays (null ids last)."""
-    numbered = docs.withColumn("row_number_in_docs", F.monotonically_increasing_id())
+    # written once, so that a row keeps its number whatever becomes of executors
+    numbered = save(docs.withColumn("row_number_in_docs", F.monotonically_increasing_id()))
     classes = jaccard_classes(numbered, id_col="row_number_in_docs")
     ids = numbered.select("row_number_in_docs", "doc_id")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_number_in_docs")
@@ -47,7 +55,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the copies of each."""
-    numbered = docs.withColumn("row_number_in_docs", F.monotonically_increasing_id())
+    numbered = save(docs.withColumn("row_number_in_docs", F.monotonically_increasing_id()))
     plan = mix_sources(numbered, id_col="row_number_in_docs").select("row_number_in_docs", "size", "source_size", "target", "copies", "taken")
     return numbered.join(save(plan.filter("copies > 0")), "row_number_in_docs").drop("row_number_in_docs")
 
