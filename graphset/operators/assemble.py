@@ -80,9 +80,9 @@ def merge_nodes(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pair
     return at.select("cand", "base", "block"), nv, ne
 
 
-def ring_sites(v: DataFrame, e: DataFrame, caps: DataFrame, max_len: int = 12) -> DataFrame:
+def ring_sites(v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
     """gid, a, b (a < b), la, lb: ring edges of which both ends are free."""
-    ring = rings(e, max_len).select("gid", "ring")
+    ring = rings(e).select("gid", "ring")
     on = e.join(ring, "gid").filter(F.array_contains("ring", F.col("src")) & F.array_contains("ring", F.col("dst"))).select("gid", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     free = valence(v, e, caps).filter("iv > 0").select("gid", "vid", "vlb")
     return on.join(free.withColumnsRenamed({"vid": "a", "vlb": "la"}), ["gid", "a"]).join(free.withColumnsRenamed({"vid": "b", "vlb": "lb"}), ["gid", "b"])
@@ -96,9 +96,9 @@ def edge_sites(base: DataFrame, block: DataFrame, pairs: DataFrame) -> DataFrame
     return pairs.join(x, "base").join(y, "block")
 
 
-def merge_edges(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pairs: DataFrame, caps: DataFrame, max_len: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_edges(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pairs: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, vertices, edges) of all ring-edge merges of the pairs; unequal label sets give both survivors."""
-    left, right = save(ring_sites(v1, e1, caps, max_len)), save(ring_sites(v2, e2, caps, max_len))
+    left, right = save(ring_sites(v1, e1, caps)), save(ring_sites(v2, e2, caps))
     sites = edge_sites(left, right, pairs)
     same = F.array_sort(F.array("la", "lb")) == F.array_sort(F.array("lc", "ld"))
     sites = sites.withColumn("keep", F.explode(F.when(same, F.array(F.lit("u"))).otherwise(F.array(F.lit("u"), F.lit("w")))))

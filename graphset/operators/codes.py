@@ -3,6 +3,8 @@
 A code is a list of steps (from, to, label of from, edge label, label of to) over vertices numbered by discovery.  Steps
 compare as depth-first growth does: a step back comes before a step forward; steps back by their target; steps forward from
 the deepest vertex first; then by labels.  Codes are written as text, fields separated by ``,`` and steps by ``;``.
+
+In codes of directed graphs the label of a step along an arc begins with ``>``, that of a step against one with ``<``.
 """
 
 from __future__ import annotations
@@ -35,10 +37,18 @@ def rightmost_path(steps: list[Step]) -> list[int]:
     return path[::-1]
 
 
-def extensions(code: str) -> list[tuple[int, int | None]]:
-    """Where a code may grow: (from, to) back from the last vertex, (from, None) forward from the rightmost path."""
+def extensions(code: str, directed: bool = False) -> list[tuple[int, int | None]]:
+    """Where a code may grow: (from, to) back from the last vertex, (from, None) forward from the rightmost path.
+
+    Two vertices may have several arcs, but one undirected edge.
+    """
     path = rightmost_path(parse(code))
-    return [(path[-1], q) for q in path[:-2]] + [(p, None) for p in path]
+    return [(path[-1], q) for q in path[: -1 if directed else -2]] + [(p, None) for p in path]
+
+
+def turned(label: str) -> str:
+    """The label of a directed step, read the other way."""
+    return {">": "<", "<": ">"}[label[0]] + label[1:]
 
 
 def _rank(step: Step) -> tuple:
@@ -46,12 +56,12 @@ def _rank(step: Step) -> tuple:
     return (0, b, y) if b < a else (1, -a, x, y, z)
 
 
-def minimal(labels: dict[int, str], edges: list[tuple[int, int, str]]) -> list[Step]:
+def minimal(labels: dict[int, str], edges: list[tuple[int, int, str]], directed: bool = False) -> list[Step]:
     """The least code of a connected graph with at least one edge."""
     around: dict[int, list[tuple[int, int, str]]] = {v: [] for v in labels}
     for i, (u, v, lab) in enumerate(edges):
         around[u].append((v, i, lab))
-        around[v].append((u, i, lab))
+        around[v].append((u, i, turned(lab) if directed else lab))
     starts = [(labels[u], lab, labels[v], u, v, i) for u in labels for v, i, lab in around[u]]
     best = min(s[:3] for s in starts)
     steps: list[Step] = [(0, 1, *best)]
@@ -88,8 +98,23 @@ def graph_of(code: str) -> tuple[dict[int, str], list[tuple[int, int, str]]]:
     return labels, edges
 
 
-def is_min_code(code: str) -> bool:
-    return parse(code) == minimal(*graph_of(code))
+def is_min_code(code: str, directed: bool = False) -> bool:
+    return parse(code) == minimal(*graph_of(code), directed)
+
+
+def arcs_of(code: str) -> tuple[str, list[int]]:
+    """A directed code as its arcs, each from its tail, vertices numbered as they are first named; and of which vertex of the
+    code each number is."""
+    order: list[int] = []
+    out = []
+    for a, b, x, y, z in parse(code):
+        if y[0] == "<":
+            a, b, x, z = b, a, z, x
+        for v in (a, b):
+            if v not in order:
+                order.append(v)
+        out.append((order.index(a), order.index(b), x, y[1:], z))
+    return text(out), order
 
 
 def canonical(labels: dict[int, str], edges: list[tuple[int, int, str]]) -> str:
@@ -113,14 +138,18 @@ def canonical(labels: dict[int, str], edges: list[tuple[int, int, str]]) -> str:
     return "|".join(sorted(parts))
 
 
-@F.pandas_udf(T.BooleanType())
-def is_min_code_udf(codes: pd.Series) -> pd.Series:
-    return codes.map(is_min_code)
+def is_min_code_udf(directed: bool = False):
+    return F.pandas_udf(lambda codes: codes.map(lambda c: is_min_code(c, directed)), T.BooleanType(), F.PandasUDFType.SCALAR)
+
+
+def extensions_udf(directed: bool = False):
+    kind = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType())]))
+    return F.pandas_udf(lambda codes: codes.map(lambda c: [{"p": p, "q": q} for p, q in extensions(c, directed)]), kind, F.PandasUDFType.SCALAR)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType())])))
-def extensions_udf(codes: pd.Series) -> pd.Series:
-    return codes.map(lambda c: [{"p": p, "q": q} for p, q in extensions(c)])
+@F.pandas_udf(T.StructType([T.StructField("arcs", T.StringType()), T.StructField("order", T.ArrayType(T.IntegerType()))]))
+def arcs_of_udf(codes: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([arcs_of(c) for c in codes], columns=["arcs", "order"])
 
 
 @F.pandas_udf(T.StringType())

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphset.operators.codes import extensions_udf, graph_of, is_min_code_udf
+from graphset.operators.codes import arcs_of_udf, extensions_udf, graph_of, is_min_code_udf
 from graphset.operators.tables import symmetrize, with_labels
-from graphset.storage import save, small
+from graphset.storage import numbered, save
 
 
 @dataclass(frozen=True)
@@ -56,38 +57,54 @@ def match_pattern(v: DataFrame, e: DataFrame, code: str, directed: bool = False)
     return found.select("gid", F.array(*(F.col(f"v{x}") for x in sorted(seen))).alias("vids"))
 
 
+def growth_arcs(v: DataFrame, e: DataFrame, min_support: int, directed: bool) -> DataFrame:
+    """gid, eid, src, dst, slb, elb, dlb: the frequent edges, read from both ends; directed labels tell which way."""
+    one = with_labels(v, e).select("gid", "eid", "src", "dst", "slb", "elb", "dlb")
+    first, second = (F.col("slb"), F.col("dlb")) if directed else (F.least("slb", "dlb"), F.greatest("slb", "dlb"))
+    one = save(one.withColumns({"vlb1": first, "vlb2": second}))
+    common = save(one.groupBy("vlb1", "elb", "vlb2", "gid").agg(F.lit(1)).groupBy("vlb1", "elb", "vlb2").count().filter(F.col("count") >= min_support).drop("count"))
+    one = one.join(common, ["vlb1", "elb", "vlb2"], "left_semi")
+
+    def mark(sign: str):
+        return F.concat(F.lit(sign), "elb") if directed else F.col("elb")
+
+    there = one.select("gid", "eid", "src", "dst", "slb", mark(">").alias("elb"), "dlb")
+    back = one.select("gid", "eid", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dlb").alias("slb"), mark("<").alias("elb"), F.col("slb").alias("dlb"))
+    return save(there.unionByName(back))
+
+
 def mine_frequent(v: DataFrame, e: DataFrame, config: MiningConfig) -> tuple[DataFrame, DataFrame]:
     """(patterns, embeddings): code, support, embeddings, num_vert, num_edge; and code, gid, vids, eids of each place.
 
     The upper bounds stop growth, the lower bound only the report.  One-vertex patterns are reported when the lower bound
-    allows, with the label as code.
+    allows, with the label as code.  Directed patterns are mined in the same way over steps that know their direction; their
+    codes list the arcs from tail to head, and two vertices may have several arcs.  Loops are not part of patterns.
     """
-    if config.directed:
-        return _mine_directed(v, e, config)
+    directed = config.directed
     most_v = None if config.max_vertices is None else max(config.max_vertices, config.min_vertices)
-    common = small(frequent_edges(v, e, config.min_support).select("vlb1", "elb", "vlb2"))
-    arcs = with_labels(v, symmetrize(e))
-    arcs = arcs.withColumns({"vlb1": F.least("slb", "dlb"), "vlb2": F.greatest("slb", "dlb")}).join(common, ["vlb1", "elb", "vlb2"], "left_semi")
-    arcs = save(arcs.select("gid", "eid", "src", "dst", "slb", "elb", "dlb"))
+    arcs = growth_arcs(v, e.filter("src <> dst"), config.min_support, directed)
+    minimal, ways = is_min_code_udf(directed), extensions_udf(directed)
     level = arcs.filter("slb <= dlb").select(F.concat_ws(",", F.lit("0"), F.lit("1"), "slb", "elb", "dlb").alias("code"), "gid", F.array("src", "dst").alias("vids"), F.array("eid").alias("eids"))
     all_patterns, all_places = None, None
     edges = 1
     while True:
-        level = save(level)
-        counts = level.groupBy("code", "gid").agg(F.count("*").alias("n")).groupBy("code").agg(F.count("*").alias("support"), F.sum("n").alias("embeddings"))
-        counts = counts.filter(F.col("support") >= config.min_support)
-        counts = save(counts.filter(is_min_code_udf("code")))
-        if counts.isEmpty():
+        # kept while it is counted; what is infrequent is never written
+        level = level.persist(StorageLevel.MEMORY_AND_DISK)
+        counts = level.groupBy("code", "gid").agg(F.count("*").alias("n"), F.max(F.size("vids")).alias("v"))
+        counts = counts.groupBy("code").agg(F.count("*").alias("support"), F.sum("n").alias("embeddings"), F.max("v").alias("num_vert"))
+        counts = counts.filter(F.col("support") >= config.min_support).withColumn("num_edge", F.lit(edges))
+        counts = save(counts.filter(minimal("code")))
+        if all_patterns is not None and counts.isEmpty():
+            level.unpersist()
             break
-        level = save(level.join(small(counts.select("code")), "code"))
-        sizes = level.groupBy("code").agg(F.max(F.size("vids")).alias("num_vert"))
-        patterns = counts.join(sizes, "code").withColumn("num_edge", F.lit(edges))
-        all_patterns = patterns if all_patterns is None else all_patterns.unionByName(patterns)
-        all_places = level if all_places is None else all_places.unionByName(level)
-        if config.max_edges is not None and edges >= config.max_edges:
+        kept = save(level.join(counts.select("code"), "code"))
+        level.unpersist()
+        all_patterns = counts if all_patterns is None else all_patterns.unionByName(counts)
+        all_places = kept if all_places is None else all_places.unionByName(kept)
+        if config.max_edges is not None and edges >= config.max_edges or counts.isEmpty():
             break
-        grow = small(counts.select("code", F.explode(extensions_udf("code")).alias("x")).select("code", "x.p", "x.q"))
-        at = level.join(grow, "code").withColumns({"src": F.element_at("vids", F.col("p") + 1), "n": F.size("vids")})
+        grow = counts.select("code", F.explode(ways("code")).alias("x")).select("code", "x.p", "x.q")
+        at = kept.join(save(grow), "code").withColumns({"src": F.element_at("vids", F.col("p") + 1), "n": F.size("vids")})
         if most_v is not None:
             at = at.filter(F.col("q").isNotNull() | (F.col("n") < most_v))
         on = at.join(arcs, ["gid", "src"])
@@ -101,38 +118,18 @@ def mine_frequent(v: DataFrame, e: DataFrame, config: MiningConfig) -> tuple[Dat
             F.concat("eids", F.array("eid")).alias("eids"),
         )
         edges += 1
-    if all_patterns is None:
-        all_patterns = counts.withColumns({"num_vert": F.lit(2), "num_edge": F.lit(1)})
-        all_places = level.limit(0)
+    if directed:
+        names = save(all_patterns.select("code", arcs_of_udf("code").alias("x")).select("code", "x.arcs", "x.order"))
+        columns = all_patterns.columns, all_places.columns
+        all_patterns = all_patterns.join(names, "code").withColumn("code", F.col("arcs")).select(*columns[0])
+        vids = F.transform("order", lambda i: F.element_at("vids", i + 1))
+        all_places = all_places.join(names, "code").withColumns({"code": F.col("arcs"), "vids": vids}).select(*columns[1])
     if config.min_vertices <= 1:
         lone = frequent_vertex_labels(v, config.min_support).join(v, "vlb").groupBy(F.col("vlb").alias("code")).agg(F.max("support").alias("support"), F.count("*").alias("embeddings"))
         all_patterns = all_patterns.unionByName(lone.withColumns({"num_vert": F.lit(1), "num_edge": F.lit(0)}))
     return all_patterns.filter(F.col("num_vert") >= config.min_vertices), all_places
 
 
-def _mine_directed(v: DataFrame, e: DataFrame, config: MiningConfig) -> tuple[DataFrame, DataFrame]:
-    """Directed patterns of one and two arcs (chain, fan-out, fan-in); the code lists the arcs, least reading first."""
-    if config.max_edges not in (1, 2):
-        raise ValueError("directed mining covers patterns of one and two arcs: max_edges must be 1 or 2")
-    arcs = with_labels(v, e).select("gid", "eid", "src", "dst", "slb", "elb", "dlb")
-    one = arcs.select(F.concat_ws(",", F.lit("0"), F.lit("1"), "slb", "elb", "dlb").alias("code"), "gid", F.array("src", "dst").alias("vids"), F.array("eid").alias("eids"), F.lit(1).alias("k"))
-    b = arcs.select("gid", *(F.col(c).alias(f"{c}2") for c in ("eid", "src", "dst", "slb", "elb", "dlb")))
-    first = F.concat_ws(",", F.lit("0"), F.lit("1"), "slb", "elb", "dlb")
-
-    def two(on, code, vids):
-        return arcs.join(b, "gid").filter(on).select(code.alias("code"), "gid", vids.alias("vids"), F.array("eid", "eid2").alias("eids"), F.lit(2).alias("k"))
-
-    apart = F.col("eid") != F.col("eid2")
-    lab1, lab2 = F.struct("slb", "elb", "dlb"), F.struct("slb2", "elb2", "dlb2")
-    chain = two((F.col("dst") == F.col("src2")) & (F.col("dst2") != F.col("src")) & apart, F.concat_ws(";", first, F.concat_ws(",", F.lit("1"), F.lit("2"), "slb2", "elb2", "dlb2")), F.array("src", "dst", "dst2"))
-    out = two((F.col("src") == F.col("src2")) & (F.col("dst2") != F.col("dst")) & (lab1 <= lab2) & apart, F.concat_ws(";", first, F.concat_ws(",", F.lit("0"), F.lit("2"), "slb2", "elb2", "dlb2")), F.array("src", "dst", "dst2"))
-    into = two((F.col("dst") == F.col("dst2")) & (F.col("src2") != F.col("src")) & (lab1 <= lab2) & apart, F.concat_ws(";", first, F.concat_ws(",", F.lit("2"), F.lit("1"), "slb2", "elb2", "dlb2")), F.array("src", "dst", "src2"))
-    places = one if config.max_edges == 1 else one.unionByName(chain).unionByName(out).unionByName(into)
-    counts = places.groupBy("code", "gid", "k").agg(F.count("*").alias("n"), F.max(F.size("vids")).alias("s")).groupBy("code", F.col("k").alias("num_edge")).agg(F.count("*").alias("support"), F.sum("n").alias("embeddings"), F.max("s").alias("num_vert"))
-    patterns = counts.filter((F.col("support") >= config.min_support) & (F.col("num_vert") >= config.min_vertices)).select("code", "support", "embeddings", "num_vert", "num_edge")
-    return patterns, places.drop("k").join(patterns.select("code"), "code", "left_semi")
-
-
 def occurrences(places: DataFrame) -> DataFrame:
     """code, gid, n: how often each pattern lies in each graph."""
     return places.groupBy("code", "gid").agg(F.count("*").alias("n"))
@@ -159,6 +156,18 @@ def code_to_graph(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends.select("code", "x.*").distinct(), step.select("code", "eid", F.col("s")[0].cast("int").alias("src"), F.col("s")[1].cast("int").alias("dst"), F.col("s")[3].alias("elb"))
 
 
+def pattern_vectors(occ: DataFrame, patterns: DataFrame) -> DataFrame:
+    """gid, at, n: the pattern counts of each graph as a sparse vector over all patterns, numbered by code."""
+    places = numbered(patterns.select("code").distinct(), "code", name="at")
+    rows = occ.join(places, "code").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("x"))
+    return rows.select("gid", F.col("x.at").alias("at"), F.col("x.n").alias("n"))
+
+
+def hstack(left: DataFrame, right: DataFrame, key: str = "gid") -> DataFrame:
+    """The feature columns of both tables side by side, by key; a key that one side lacks has nulls there."""
+    return left.join(right, key, "full")
+
+
 def pattern_matrix(occ: DataFrame, codes: list[str]) -> DataFrame:
     """gid and one count column p0, p1, … for each of the given codes."""
     return occ.filter(F.col("code").isin(codes)).groupBy("gid").agg(*(F.coalesce(F.sum(F.when(F.col("code") == c, F.col("n"))), F.lit(0)).alias(f"p{i}") for i, c in enumerate(codes)))

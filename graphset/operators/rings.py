@@ -1,7 +1,7 @@
 """Components, rings, cliques and junction trees inside each graph.
 
-Rings are all shortest cycles through each edge, up to ``max_len`` vertices: deterministic and relational.  In cage-like
-graphs there may be more of them than in a smallest cycle basis; longer rings are not found, and their edges count as bonds.
+Rings are all shortest cycles through each edge, however long: deterministic and relational.  In cage-like graphs there may be
+more of them than in a smallest cycle basis.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from graphset.operators.tables import degrees, symmetrize
 from graphset.storage import save
 
-MAX_RING = 12
-
 
 def components(v: DataFrame, e: DataFrame) -> DataFrame:
     """gid, vid, comp: the smallest vertex that is reachable.  Each round passes labels on and then jumps along them."""
@@ -36,33 +34,61 @@ def filter_components(v: DataFrame, e: DataFrame, max_size: int, keep: str = "la
     return v.join(chosen.select("gid", "vid"), ["gid", "vid"], "left_semi")
 
 
-def edge_rings(e: DataFrame, max_len: int = MAX_RING) -> DataFrame:
-    """gid, eid, ring (vertices of a shortest cycle through the edge, sorted)."""
-    arcs = save(symmetrize(e.select("gid", "eid", "src", "dst")))
-    step = arcs.select("gid", F.col("eid").alias("by"), F.col("src").alias("last"), F.col("dst").alias("next"))
-    paths = e.select("gid", "eid", F.col("dst").alias("goal"), F.col("src").alias("last"), F.array("src").alias("path"))
-    found = None
-    for _ in range(max_len - 1):
-        grown = save(paths.join(step, ["gid", "last"]).filter((F.col("by") != F.col("eid")) & ~F.array_contains("path", F.col("next"))).select("gid", "eid", "goal", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path")))
-        done = grown.filter("last = goal").select("gid", "eid", F.array_sort("path").alias("ring"))
-        found = done if found is None else found.unionByName(done)
-        paths = grown.join(done.select("gid", "eid").distinct(), ["gid", "eid"], "left_anti")
-        if paths.isEmpty():
+def edge_rings(e: DataFrame) -> DataFrame:
+    """gid, eid, ring (vertices of a shortest cycle through the edge, sorted).
+
+    Both ends of an edge search breadth-first, a step at a time, in the graph without it.  Where the searches meet for the
+    first time, shortest ways back to both ends make the rings.  A search holds each vertex once, so dense graphs do not
+    make it grow, and it goes half way round only.
+    """
+    arcs = save(symmetrize(e.select("gid", "eid", "src", "dst")).filter("src <> dst"))
+    step = arcs.select("gid", F.col("eid").alias("by"), F.col("src").alias("vid"), F.col("dst").alias("next"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("src").alias("vid")), F.struct(F.lit(1).alias("side"), F.col("dst").alias("vid"))))
+    front = e.filter("src <> dst").select("gid", "eid", ends.alias("x")).select("gid", "eid", "x.side", "x.vid", F.lit(0).alias("d"))
+    front = save(front)
+    seen, mids, turn = front, None, 0
+    while True:
+        turn += 1
+        grown = front.join(step, ["gid", "vid"]).filter("by <> eid").select("gid", "eid", "side", F.col("next").alias("vid")).distinct()
+        front = save(grown.join(seen, ["gid", "eid", "side", "vid"], "left_anti").withColumn("d", F.lit(turn)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        other = seen.filter((F.col("side") == 1) & (F.col("d") >= turn - 1)).select("gid", "eid", "vid", F.col("d").alias("far"))
+        met = front.filter("side = 0").join(other, ["gid", "eid", "vid"]).select("gid", "eid", "vid", "d", "far")
+        met = save(met.withColumn("least", F.min("far").over(Window.partitionBy("gid", "eid"))).filter("far = least").drop("least"))
+        mids = met if mids is None else mids.unionByName(met)
+        front = front.join(met.select("gid", "eid").distinct(), ["gid", "eid"], "left_anti")
+    if mids is None:
+        return e.select("gid", "eid", F.array("src").alias("ring")).limit(0)
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), "d"), F.struct(F.lit(1).alias("side"), F.col("far").alias("d"))))
+    way = mids.select("gid", "eid", "vid", sides.alias("x")).select("gid", "eid", F.col("vid").alias("mid"), "x.side", F.col("vid"), "x.d", F.slice(F.array("vid"), 1, 0).alias("path"))
+    ways = None
+    for _ in range(turn + 1):
+        way = save(way)
+        done = way.filter("d = 0").select("gid", "eid", "mid", "side", "path")
+        ways = done if ways is None else ways.unionByName(done)
+        way = way.filter("d > 0")
+        if way.isEmpty():
             break
-    return save(found.distinct())
+        back = way.join(step, ["gid", "vid"]).filter("by <> eid").select("gid", "eid", "mid", "side", F.col("next").alias("vid"), (F.col("d") - 1).alias("d"), F.concat("path", F.array("next")).alias("path"))
+        way = back.join(seen, ["gid", "eid", "side", "vid", "d"], "left_semi")
+    a, b = (ways.filter(F.col("side") == i).select("gid", "eid", "mid", F.col("path").alias(f"path{i}")) for i in (0, 1))
+    ring = F.array_sort(F.concat(F.array("mid"), "path0", "path1"))
+    return save(a.join(b, ["gid", "eid", "mid"]).select("gid", "eid", ring.alias("ring")).distinct())
 
 
-def rings(e: DataFrame, max_len: int = MAX_RING) -> DataFrame:
+def rings(e: DataFrame) -> DataFrame:
     """gid, ring: the distinct rings."""
-    return edge_rings(e, max_len).select("gid", "ring").distinct()
+    return edge_rings(e).select("gid", "ring").distinct()
 
 
-def ring_edges(e: DataFrame, max_len: int = MAX_RING) -> DataFrame:
-    return e.join(edge_rings(e, max_len).select("gid", "eid"), ["gid", "eid"], "left_semi")
+def ring_edges(e: DataFrame) -> DataFrame:
+    return e.join(edge_rings(e).select("gid", "eid"), ["gid", "eid"], "left_semi")
 
 
-def bridge_edges(e: DataFrame, max_len: int = MAX_RING) -> DataFrame:
-    return e.join(edge_rings(e, max_len).select("gid", "eid"), ["gid", "eid"], "left_anti")
+def bridge_edges(e: DataFrame) -> DataFrame:
+    return e.join(edge_rings(e).select("gid", "eid"), ["gid", "eid"], "left_anti")
 
 
 def merge_rings(r: DataFrame) -> DataFrame:
@@ -75,10 +101,10 @@ def merge_rings(r: DataFrame) -> DataFrame:
     return numbered.join(comp, ["gid", "vid"]).groupBy("gid", "comp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ring")))).alias("ring")).select("gid", "ring")
 
 
-def cliques(v: DataFrame, e: DataFrame, max_len: int = MAX_RING) -> DataFrame:
+def cliques(v: DataFrame, e: DataFrame) -> DataFrame:
     """gid, cid, kind (atom, bond, ring, joint), members: bonds outside rings, merged rings, vertices without edges, and the
     vertices where more than two bonds, two bonds and more, or more than two larger rings meet."""
-    found = edge_rings(e, max_len)
+    found = edge_rings(e)
     bonds = e.join(found.select("gid", "eid"), ["gid", "eid"], "left_anti").select("gid", F.lit("bond").alias("kind"), F.array("src", "dst").alias("members"))
     ring = merge_rings(found.select("gid", "ring").distinct()).select("gid", F.lit("ring").alias("kind"), F.col("ring").alias("members"))
     lone = degrees(v, e).filter("degree = 0").select("gid", F.lit("atom").alias("kind"), F.array("vid").alias("members"))
@@ -157,9 +183,9 @@ def clique_labels(v: DataFrame, e: DataFrame, cl: DataFrame) -> DataFrame:
     return shaped.join(codes, "shape").select("gid", "cid", "label")
 
 
-def junction_tree_graphs(v: DataFrame, e: DataFrame, max_len: int = MAX_RING) -> tuple[DataFrame, DataFrame, DataFrame]:
+def junction_tree_graphs(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertices, edges, cliques): the junction trees as graphs to mine; labels are numbers of clique codes, edges are '1'."""
-    cl = save(cliques(v, e, max_len))
+    cl = save(cliques(v, e))
     tree = max_spanning_tree(clique_graph(cl))
     labels = save(clique_labels(v, e, cl))
     names = labels.select("label").distinct().select("label", F.md5("label").alias("vlb"))

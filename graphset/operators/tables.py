@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphset.storage import small
+from graphset.storage import numbered, small
 
 
 def graphs_from_tables(df: DataFrame, gid: str, order: list[str], vlb: Column) -> DataFrame:
@@ -109,9 +109,9 @@ def distinct_labels(v: DataFrame) -> DataFrame:
 
 
 def label_dictionary(v: DataFrame) -> DataFrame:
-    """vlb, label_id: labels numbered by first appearance over (gid, vid).  One row per distinct label is ranked."""
+    """vlb, label_id: labels numbered by first appearance over (gid, vid)."""
     first = v.groupBy("vlb").agg(F.min(F.struct("gid", "vid")).alias("first"))
-    return first.withColumn("label_id", F.row_number().over(Window.orderBy("first")) - 1).select("vlb", "label_id")
+    return numbered(first.select("vlb", "first.gid", "first.vid"), "gid", "vid", name="label_id").select("vlb", F.col("label_id").cast("int").alias("label_id"))
 
 
 def encode_labels(v: DataFrame, dictionary: DataFrame) -> DataFrame:

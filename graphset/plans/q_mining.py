@@ -120,7 +120,7 @@ def components(spark, d):
 
 
 PATHS = f"""{R}, walk AS (SELECT gid, eid, dst AS goal, src AS last, [src] AS path, 1 AS n FROM ge0
-UNION ALL SELECT w.gid, w.eid, w.goal, e.dst, list_append(w.path, e.dst), w.n + 1 FROM walk w JOIN ge e ON e.gid = w.gid AND e.src = w.last AND e.eid <> w.eid WHERE NOT list_contains(w.path, e.dst) AND w.last <> w.goal AND w.n < 12),
+UNION ALL SELECT w.gid, w.eid, w.goal, e.dst, list_append(w.path, e.dst), w.n + 1 FROM walk w JOIN ge e ON e.gid = w.gid AND e.src = w.last AND e.eid <> w.eid WHERE NOT list_contains(w.path, e.dst) AND w.last <> w.goal),
 cyc AS (SELECT gid, eid, list_sort(path) AS ring, n, min(n) OVER (PARTITION BY gid, eid) AS least FROM walk WHERE last = goal),
 er AS (SELECT DISTINCT gid, eid, ring FROM cyc WHERE n = least)"""
 

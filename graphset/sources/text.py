@@ -9,27 +9,27 @@ from graphset.storage import save
 
 
 def read_graph_text(spark: SparkSession, path: str, gid: str = "ordinal") -> tuple[DataFrame, DataFrame]:
-    """Graphs from ``t # id`` / ``v id label`` / ``e from to label`` lines; reading ends at ``t # -1``.
+    """Graphs from ``t # id`` / ``v id label`` / ``e from to label`` lines; a file ends at ``t # -1``.
 
     The graph's id is the ordinal of its ``t`` line, or with ``gid='label'`` the number on it.  One record is one graph, cut
     at line starts, so that files are split and graphs never are gathered in one task; several files follow in their order
-    by name.
+    by name, in whatever order Spark reads them.
     """
     raw = spark.read.option("lineSep", "\nt").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # inside a block of a file, records come in their order
     raw = raw.withColumn("at", F.monotonically_increasing_id())
     head = F.trim(F.regexp_replace(F.split("value", "\n")[0], "^t", ""))
-    graph = save(raw.select("at", "value", F.regexp_extract(head, r"#\s*(-?\d+)", 1).alias("label")).filter("label <> ''"))
-    end = graph.filter("label = '-1'").agg(F.min("at")).first()[0]
-    if end is not None:
-        graph = graph.filter(F.col("at") < end)
+    graph = save(raw.select("file", "block", "at", "value", F.regexp_extract(head, r"#\s*(-?\d+)", 1).alias("label")).filter("label <> ''"))
+    ends = graph.filter("label = '-1'").groupBy("file").agg(F.min(F.struct("block", "at")).alias("end"))
+    graph = graph.join(F.broadcast(ends), "file", "left").filter(F.col("end").isNull() | (F.struct("block", "at") < F.col("end"))).drop("end")
     if gid == "label":
         graph = graph.withColumn("gid", F.col("label").cast("long"))
     else:
-        part = F.shiftright("at", 33)
-        sizes = graph.groupBy(part.alias("part")).agg(F.count("*").alias("k"))
-        before = sizes.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
-        own = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
-        graph = graph.withColumn("part", part).withColumn("own", own).join(F.broadcast(before), "part").withColumn("gid", F.col("own") + F.col("before"))
+        # one row for each block of a file
+        sizes = graph.groupBy("file", "block").agg(F.count("*").alias("k"))
+        before = sizes.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
+        own = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+        graph = graph.withColumn("own", own).join(F.broadcast(before), ["file", "block"]).withColumn("gid", F.col("own") + F.col("before"))
     line = graph.select("gid", F.posexplode(F.split("value", "\n")).alias("pos", "line")).select("gid", "pos", F.split(F.trim("line"), " ").alias("f"))
     v = line.filter(F.col("f")[0] == "v").select("gid", F.col("f")[1].cast("int").alias("vid"), F.col("f")[2].alias("vlb"))
     e = line.filter(F.col("f")[0] == "e").select("gid", "pos", F.col("f")[1].cast("int").alias("src"), F.col("f")[2].cast("int").alias("dst"), F.col("f")[3].alias("elb"))
@@ -96,11 +96,16 @@ def write_corpus(tokens: DataFrame, path: str, kind: str = "alt") -> None:
         tokens.select(line).write.text(path)
 
 
-def write_features(df: DataFrame, path: str, column: str = "vector") -> None:
-    """Input columns and mol2vec-000, mol2vec-001, … as CSV."""
-    n = df.select(F.size(column)).first()[0]
-    keep = [c for c in df.columns if c != column]
-    df.select(*keep, *(F.col(column)[i].alias(f"mol2vec-{i:03d}") for i in range(n))).write.option("header", True).csv(path)
+def feature_columns(df: DataFrame, column: str = "vector", prefix: str = "feature-") -> DataFrame:
+    """The vector spread over columns ``prefix`` 000, 001, … behind the others."""
+    first = df.select(F.size(column)).filter(F.col(column).isNotNull()).first()
+    keep = [F.col(f"`{c}`") for c in df.columns if c != column]
+    return df.select(*keep, *(F.col(column)[i].alias(f"{prefix}{i:03d}") for i in range(first[0] if first else 0)))
+
+
+def write_features(df: DataFrame, path: str, column: str = "vector", prefix: str = "feature-") -> None:
+    """Input columns and ``feature_columns`` as CSV."""
+    feature_columns(df, column, prefix).write.option("header", True).csv(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:

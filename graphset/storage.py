@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,3 +69,19 @@ def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], n: str, share:
     left = rows.join(few, keys, "left").withColumn("salt", salt).drop("is_hot")
     right = values.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     return left.join(right, [*keys, "salt"]).drop("salt")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """``df`` with its rows numbered from 0 in that order, by ranges and without bringing all rows to one task.
+
+    Equal rows of the order are numbered in any order.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = save(df.repartitionByRange(parts, *order).withColumn("part_of_range", F.spark_partition_id()))
+    # one row for each of ``parts`` ranges
+    sizes = dealt.groupBy("part_of_range").agg(F.count("*").alias("rows_of_range"))
+    before = F.coalesce(F.sum("rows_of_range").over(Window.orderBy("part_of_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part_of_range", before.alias("rows_before"))
+    own = F.row_number().over(Window.partitionBy("part_of_range").orderBy(*order)) - 1
+    out = dealt.withColumn(name, own).join(F.broadcast(sizes), "part_of_range")
+    return out.withColumn(name, F.col(name) + F.col("rows_before")).drop("part_of_range", "rows_before")

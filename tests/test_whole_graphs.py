@@ -6,9 +6,10 @@ import itertools
 
 import pytest
 
-from graphset.operators import fingerprint, mining, tables
+from graphset.operators import fingerprint, mining, rings, tables
 from graphset.operators.codes import canonical, graph_of
 from graphset.operators.mining import MiningConfig
+from graphset.sources import text
 
 STAR = "gid long, eid int, src int, dst int, elb string"
 
@@ -54,11 +55,84 @@ def test_uncapped_mining_is_registered():
     assert "mine_frequent_all" in queries()
 
 
-@pytest.mark.parametrize("most", [None, 3])
-def test_directed_mining_refuses_what_it_does_not_cover(spark, most):
-    v, e = spark.createDataFrame([(0, 0, "A"), (0, 1, "B")], "gid long, vid int, vlb string"), spark.createDataFrame([(0, 0, 0, 1, "1")], STAR)
-    with pytest.raises(ValueError, match="one and two arcs"):
-        mining.mine_frequent(v, e, MiningConfig(1, max_edges=most, directed=True))
+def directed_form(arcs, labels):
+    """The same text for isomorphic directed graphs: the least over all numberings."""
+    vs = sorted({x for a in arcs for x in a[:2]})
+    forms = []
+    for p in itertools.permutations(range(len(vs))):
+        name = dict(zip(vs, p, strict=True))
+        forms.append(str(sorted((name[a], name[b], lab) for a, b, lab in arcs)) + str([labels[v] for v in sorted(vs, key=name.get)]))
+    return min(forms)
+
+
+def test_directed_mining_without_a_bound_equals_brute_force(spark):
+    graphs = {
+        0: ("AABA", [(0, 1, "1"), (1, 2, "1"), (2, 0, "2"), (2, 3, "1"), (3, 2, "1")]),
+        1: ("ABAA", [(3, 2, "1"), (2, 1, "1"), (1, 3, "2"), (1, 0, "1"), (0, 1, "1"), (0, 2, "1")]),
+        2: ("AAB", [(1, 0, "1"), (1, 2, "1"), (0, 2, "1"), (0, 2, "2")]),
+    }
+    v = spark.createDataFrame([(g, i, x) for g, (vs, _) in graphs.items() for i, x in enumerate(vs)], "gid long, vid int, vlb string")
+    e = spark.createDataFrame([(g, i, *x) for g, (_, es) in graphs.items() for i, x in enumerate(es)], STAR)
+    lies, places = {}, {}
+    for g, (vs, es) in graphs.items():
+        for n in range(1, len(es) + 1):
+            for part in itertools.combinations(es, n):
+                if connected(part):
+                    form = directed_form(part, vs)
+                    lies.setdefault(form, set()).add(g)
+                    places[form, g] = places.get((form, g), 0) + 1
+    want = {c: len(gs) for c, gs in lies.items() if len(gs) >= 2}
+    patterns, found = mining.mine_frequent(v, e, MiningConfig(2, directed=True))
+    got = {}
+    for r in patterns.collect():
+        steps = [s.split(",") for s in r.code.split(";")]
+        labels = {int(i): x for s in steps for i, x in ((s[0], s[2]), (s[1], s[4]))}
+        got[directed_form([(int(s[0]), int(s[1]), s[3]) for s in steps], labels)] = r.support
+    assert got == want
+    arcs = {(g, *x) for g, (_, es) in graphs.items() for x in es}
+    for r in found.collect():
+        for s in (s.split(",") for s in r.code.split(";")):
+            assert (r.gid, r.vids[int(s[0])], r.vids[int(s[1])], s[3]) in arcs and graphs[r.gid][0][r.vids[int(s[0])]] == s[2]
+
+
+def brute_rings(edges):
+    """Shortest cycles through each edge, over all simple paths."""
+    out = set()
+    for i, (a, b) in enumerate(edges):
+        paths, found = [(a,)], []
+        while paths and not found:
+            longer = []
+            for p in paths:
+                for j, (x, y) in enumerate(edges):
+                    for s, t in ((x, y), (y, x)):
+                        if j != i and s == p[-1] and t not in p:
+                            longer.append((*p, t))
+            paths = longer
+            found = [p for p in paths if p[-1] == b]
+        out |= {tuple(sorted(p)) for p in found}
+    return out
+
+
+def test_rings_of_any_length_and_in_dense_graphs(spark):
+    graphs = {0: [(i, (i + 1) % 40) for i in range(40)], 1: [(i, j) for i in range(9) for j in range(i)], 2: [(0, 1), (1, 2), (2, 3), (3, 0), (0, 4), (4, 2), (5, 6)], 3: [(i, (i + 1) % 14) for i in range(14)] + [(0, 7)], 4: [(0, 1), (1, 2)]}
+    e = spark.createDataFrame([(g, i, min(x), max(x), "1") for g, es in graphs.items() for i, x in enumerate(es)], STAR)
+    got = {}
+    for r in rings.rings(e).collect():
+        got.setdefault(r.gid, set()).add(tuple(r.ring))
+    for g, es in graphs.items():
+        assert got.get(g, set()) == brute_rings(es), g
+    assert rings.rings(e.limit(0)).count() == 0
+
+
+def test_several_files_of_graph_text(spark, tmp_path):
+    one = "t # 5\nv 0 A\nv 1 B\ne 0 1 x\n"
+    many = "".join(f"t # {i}\nv 0 C{i}\n" for i in range(51))
+    (tmp_path / "a.txt").write_text(one)
+    (tmp_path / "b.txt").write_text(many + "t # -1\nv 9 none\n")
+    (tmp_path / "c.txt").write_text("t # 1\nv 0 last\n")
+    v, _ = text.read_graph_text(spark, str(tmp_path))
+    got = sorted((r.gid, r.vid, r.vlb) for r in v.collect())
+    assert got == [(0, 0, "A"), (0, 1, "B"), *((i + 1, 0, f"C{i}") for i in range(51)), (52, 0, "last")]
 
 
 def test_similar_pairs_and_classes_give_all_links(spark):
