@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import PCA, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphset.storage import small
+from graphset.operators.fingerprint import dedup_environments, identifiers, sentences
+from graphset.operators.tables import drop_invalid
+from graphset.sources.text import feature_columns, read_graph_text
+from graphset.storage import save, small
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -45,6 +48,26 @@ def sentence_vectors(tokens: DataFrame, vectors: DataFrame, unseen: str | None =
     return tokens.select("gid").distinct().join(whole, "gid", "left").select("gid", F.coalesce("vector", zero).alias("vector"))
 
 
+def join_features(rows: DataFrame, features: DataFrame, key: str = "gid") -> DataFrame:
+    """Features joined back to their rows by key; a row without features has nulls."""
+    return rows.join(features, key, "left")
+
+
+def featurize(rows: DataFrame, v: DataFrame, e: DataFrame, vectors: DataFrame, radius: int = 1, unseen: str | None = "UNK", prefix: str = "feature-") -> DataFrame:
+    """``rows`` (gid and more columns) with the columns ``prefix`` 000, 001, … of their graphs' vectors: invalid rows (null
+    gid) go, graphs become sentences of neighbourhood identifiers, sentences the sums of their words' vectors."""
+    tokens = sentences(dedup_environments(save(identifiers(v, e, radius)), v, e))
+    known = drop_invalid(rows, "gid")
+    return feature_columns(join_features(known, sentence_vectors(tokens, vectors, unseen)), prefix=prefix)
+
+
+def featurize_file(spark: SparkSession, source: str, target: str, vectors: DataFrame, **options) -> None:
+    """Graph text in, features as CSV out."""
+    v, e = read_graph_text(spark, source)
+    v, e = save(v), save(e)
+    featurize(v.select("gid").distinct(), v, e, vectors, **options).write.option("header", True).csv(target)
+
+
 def mean_vector(df: DataFrame, by: list[str], column: str = "vector") -> DataFrame:
     """by…, pos, mean: the mean of vectors, dimension by dimension."""
     return df.select(*by, F.posexplode(column).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("mean"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphset.operators import assemble
 from graphset.plans import order_graphs as og
 from graphset.plans.order_graphs import table
+from graphset.plans.q_mining import PATHS
 from graphset.storage import save
 
 G = f"WITH {og.SQL}"
@@ -75,10 +76,20 @@ def merged_sizes(spark, d):
     return v.groupBy("cand").agg(F.count("*").alias("n_vertices"))
 
 
-@query()
+RING_SITES = f"""{PATHS}, {CAPS}, rg AS (SELECT DISTINCT gid, ring FROM er), val AS (SELECT v.gid, v.vid, v.vlb, coalesce(sum(CAST(e.elb AS DOUBLE)), 0) AS ev, c.tv FROM gv v LEFT JOIN ge e ON e.gid = v.gid AND e.src = v.vid JOIN caps c ON c.k = v.vlb[1] GROUP BY ALL),
+rs AS (SELECT DISTINCT e.gid, least(src, dst) AS a, greatest(src, dst) AS b FROM ge0 e JOIN rg ON rg.gid = e.gid AND list_contains(ring, src) AND list_contains(ring, dst)),
+rl AS (SELECT rs.gid, a, b, x.vlb AS la, y.vlb AS lb FROM rs JOIN val x ON x.gid = rs.gid AND x.vid = a AND x.tv > x.ev JOIN val y ON y.gid = rs.gid AND y.vid = b AND y.tv > y.ev)"""
+
+
+@query(f"{RING_SITES} SELECT gid, a, b, la, lb FROM rl")
+def ring_sites(spark, d):
+    return assemble.ring_sites(*og.order_graphs(spark, d), caps(spark, d))
+
+
+@query(f"{RING_SITES} SELECT base, block, CAST(2 * sum(CASE WHEN list_sort([x.la, x.lb]) = list_sort([y.la, y.lb]) THEN 1 ELSE 2 END) AS BIGINT) AS candidates FROM pairs JOIN rl x ON x.gid = base JOIN rl y ON y.gid = block GROUP BY base, block")
 def merge_edges(spark, d):
     cands, _, _ = assemble.merge_edges(*parts(spark, d), caps(spark, d))
-    return cands
+    return cands.groupBy("base", "block").agg(F.count("*").alias("candidates"))
 
 
 @query()

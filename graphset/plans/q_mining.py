@@ -68,6 +68,28 @@ def mine_frequent_three_edges(spark, d):
     return mining.describe(patterns)
 
 
+THREE = f"""{LABELLED}, walks AS (SELECT a.gid, 'path' AS shape, least(concat_ws(',', a.slb, a.elb, a.dlb, b.elb, b.dlb, c.elb, c.dlb), concat_ws(',', c.dlb, c.elb, c.slb, b.elb, b.slb, a.elb, a.slb)) AS k,
+    concat_ws(',', a.slb, a.elb, a.dlb, b.elb, b.dlb, c.elb, c.dlb) AS own, concat_ws(',', c.dlb, c.elb, c.slb, b.elb, b.slb, a.elb, a.slb) AS back
+  FROM la a JOIN la b ON b.gid = a.gid AND b.src = a.dst AND b.dst <> a.src JOIN la c ON c.gid = a.gid AND c.src = b.dst AND c.dst <> a.dst AND c.dst <> a.src),
+stars AS (SELECT a.gid, 'star' AS shape, concat_ws(',', a.slb, a.elb, a.dlb, b.elb, b.dlb, c.elb, c.dlb) AS k FROM la a JOIN la b ON b.gid = a.gid AND b.src = a.src AND b.eid <> a.eid AND (a.elb, a.dlb) <= (b.elb, b.dlb)
+  JOIN la c ON c.gid = a.gid AND c.src = a.src AND c.eid <> a.eid AND c.eid <> b.eid AND (b.elb, b.dlb) <= (c.elb, c.dlb)),
+tri AS (SELECT a.gid, a.slb AS l0, a.elb AS e0, a.dlb AS l1, b.elb AS e1, b.dlb AS l2, c.elb AS e2 FROM la a JOIN la b ON b.gid = a.gid AND b.src = a.dst AND b.dst <> a.src JOIN la c ON c.gid = a.gid AND c.src = b.dst AND c.dst = a.src),
+tris AS (SELECT gid, concat_ws(',', l0, e0, l1, e1, l2, e2) AS own, least(concat_ws(',', l0, e0, l1, e1, l2, e2), concat_ws(',', l1, e1, l2, e2, l0, e0), concat_ws(',', l2, e2, l0, e0, l1, e1),
+  concat_ws(',', l0, e2, l2, e1, l1, e0), concat_ws(',', l1, e0, l0, e2, l2, e1), concat_ws(',', l2, e1, l1, e0, l0, e2)) AS k FROM tri),
+three AS (SELECT gid, shape, k FROM walks WHERE own = k UNION ALL SELECT gid, shape, k FROM stars UNION ALL SELECT gid, 'ring', k FROM tris WHERE own = k),
+p3 AS (SELECT shape, k, count(DISTINCT gid) AS support, count(*) AS embeddings FROM three GROUP BY shape, k)"""
+
+
+@query(f"{THREE} SELECT shape, support, embeddings, count(*) AS patterns FROM p3 WHERE support >= {SUPPORT} GROUP BY ALL")
+def mine_three_edges(spark, d):
+    """Patterns of three edges by shape, support and embeddings."""
+    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT, max_edges=3))
+    ends = F.flatten(F.transform(F.split("code", ";"), lambda x: F.slice(F.split(x, ","), 1, 2)))
+    often = F.array_max(F.transform(F.array_distinct(ends), lambda v: F.size(F.filter(ends, lambda x: x == v))))
+    shape = F.when(F.col("num_vert") == 3, "ring").when(often == 3, "star").otherwise("path")
+    return patterns.filter("num_edge = 3").groupBy(shape.alias("shape"), "support", "embeddings").agg(F.count("*").alias("patterns"))
+
+
 @query()
 def mine_frequent_all(spark, d):
     """Growth goes on until no pattern is frequent."""
@@ -88,6 +110,14 @@ def where(spark, d):
     return mining.where(mining.occurrences(places), "0,1,NO,2,NO")
 
 
+@query(f"""{LABELLED}, one AS (SELECT concat_ws(',', '0', '1', slb, elb, dlb) AS code, gid FROM la WHERE slb <= dlb), p AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS n FROM (SELECT code FROM one GROUP BY code HAVING count(DISTINCT gid) >= {SUPPORT})),
+c AS (SELECT gid, p.n, count(*) AS k FROM one JOIN p USING (code) GROUP BY ALL) SELECT gid, string_agg(concat(n, ':', k), ',' ORDER BY n) AS entries FROM c GROUP BY gid""")
+def pattern_vectors(spark, d):
+    patterns, places = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT, max_edges=1))
+    rows = mining.pattern_vectors(mining.occurrences(places), patterns)
+    return rows.select("gid", F.array_join(F.zip_with("at", "n", lambda a, n: F.concat_ws(":", a, n)), ",").alias("entries"))
+
+
 @query(f"""{LABELLED} SELECT gid, CAST(count(*) FILTER (elb = '1') AS BIGINT) AS p0, CAST(count(*) FILTER (elb = '2') AS BIGINT) AS p1 FROM la WHERE slb = 'NO' AND dlb = 'NO' GROUP BY gid""")
 def pattern_matrix(spark, d):
     _, places = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(1, max_edges=1))
@@ -100,14 +130,29 @@ def top_patterns(spark, d):
     return mining.top_patterns(patterns, 5).select("code", "support")
 
 
-@query(f"""WITH a AS (SELECT user_id AS gid, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
-p AS (SELECT concat_ws(',', '0', '1', src, '1', dst) AS code, gid FROM a WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL)
-SELECT code, count(*) AS support FROM p GROUP BY code HAVING count(*) >= 2""")
-def mine_directed(spark, d):
+def _event_graphs(spark, d):
     arcs = og.event_arcs(spark, d).filter("src <> dst").select("gid", "src", "dst").distinct()
     names = arcs.select("gid", F.col("src").alias("vlb")).unionByName(arcs.select("gid", F.col("dst").alias("vlb"))).distinct()
     v = names.select("gid", F.abs(F.hash("vlb")).alias("vid"), "vlb")
     e = arcs.select("gid", F.xxhash64("src", "dst").alias("eid"), F.abs(F.hash("src")).alias("src"), F.abs(F.hash("dst")).alias("dst"), F.lit("1").alias("elb"))
+    return v, e
+
+
+@query("""WITH a AS (SELECT user_id AS gid, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+p AS (SELECT DISTINCT gid, src, dst FROM a WHERE dst IS NOT NULL AND src <> dst),
+two AS (SELECT x.gid, x.src AS a, x.dst AS b, y.src AS c, y.dst AS d FROM p x JOIN p y ON y.gid = x.gid AND (x.src, x.dst) < (y.src, y.dst) AND (x.src IN (y.src, y.dst) OR x.dst IN (y.src, y.dst))),
+n AS (SELECT 1 AS num_edge, count(*) AS support FROM p GROUP BY src, dst UNION ALL SELECT 2, count(*) FROM two GROUP BY a, b, c, d)
+SELECT CAST(num_edge AS INT) AS num_edge, support, count(*) AS patterns FROM n WHERE support >= 2 GROUP BY ALL""")
+def mine_directed_two_arcs(spark, d):
+    patterns, _ = mining.mine_frequent(*_event_graphs(spark, d), MiningConfig(2, max_edges=2, directed=True))
+    return patterns.groupBy("num_edge", "support").agg(F.count("*").alias("patterns"))
+
+
+@query(f"""WITH a AS (SELECT user_id AS gid, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+p AS (SELECT concat_ws(',', '0', '1', src, '1', dst) AS code, gid FROM a WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL)
+SELECT code, count(*) AS support FROM p GROUP BY code HAVING count(*) >= 2""")
+def mine_directed(spark, d):
+    v, e = _event_graphs(spark, d)
     patterns, _ = mining.mine_frequent(v, e, MiningConfig(2, max_edges=1, directed=True))
     return patterns.select("code", "support")
 
@@ -140,30 +185,75 @@ def ring_edges(spark, d):
     return rings.ring_edges(og.order_edges(spark, d)).drop("eid")
 
 
-@query()
+#: Merged rings, cliques (cl), their graph (cg) and its heaviest spanning forest (mst): an edge is in it if no path of edges
+#: that rank before it joins its ends.
+CLIQUES = f"""{PATHS}, rg AS (SELECT DISTINCT gid, ring FROM er), rn AS (SELECT gid, ring, row_number() OVER (PARTITION BY gid ORDER BY ring) AS rid FROM rg),
+sh AS (SELECT a.gid, a.rid AS r1, b.rid AS r2 FROM rn a JOIN rn b ON b.gid = a.gid AND b.rid <> a.rid AND len(list_intersect(a.ring, b.ring)) > 2),
+rr AS (SELECT gid, rid, rid AS r FROM rn UNION SELECT rr.gid, rr.rid, sh.r2 FROM rr JOIN sh ON sh.gid = rr.gid AND sh.r1 = rr.r),
+rc AS (SELECT gid, rid, min(r) AS comp FROM rr GROUP BY ALL),
+mr AS (SELECT rn.gid, comp, list_sort(list_distinct(flatten(list(ring)))) AS members FROM rn JOIN rc ON rc.gid = rn.gid AND rc.rid = rn.rid GROUP BY rn.gid, comp),
+basic AS (SELECT gid, 'bond' AS kind, [src, dst] AS members FROM ge0 WHERE NOT EXISTS (SELECT 1 FROM er WHERE er.gid = ge0.gid AND er.eid = ge0.eid)
+  UNION ALL SELECT gid, 'ring', members FROM mr UNION ALL SELECT gid, 'atom', [vid] FROM gv WHERE NOT EXISTS (SELECT 1 FROM ge WHERE ge.gid = gv.gid AND ge.src = gv.vid)),
+bm AS (SELECT gid, kind, len(members) AS size, unnest(members) AS vid FROM basic),
+joint AS (SELECT gid, 'joint' AS kind, [vid] AS members FROM bm GROUP BY gid, vid HAVING count(*) >= 2 AND (count(*) FILTER (kind = 'bond') > 2
+  OR (count(*) FILTER (kind = 'bond') = 2 AND count(*) > 2) OR count(*) FILTER (kind = 'ring' AND size > 4) > 2)),
+cl AS (SELECT gid, kind, members, CAST(row_number() OVER (PARTITION BY gid ORDER BY kind, members) - 1 AS INT) AS cid FROM (SELECT * FROM basic UNION ALL SELECT * FROM joint)),
+cm AS (SELECT gid, cid, kind, unnest(members) AS vid FROM cl),
+vb AS (SELECT gid, vid, count(*) FILTER (kind = 'bond') AS bonds, count(*) FILTER (kind = 'joint') AS joints FROM cm GROUP BY gid, vid),
+cg AS (SELECT a.gid, a.cid AS c1, b.cid AS c2, CAST(coalesce(max(CASE WHEN a.kind = 'joint' OR b.kind = 'joint' THEN CASE WHEN bonds >= 2 THEN 1 ELSE 99 END END), count(*)) AS INT) AS w
+  FROM cm a JOIN cm b ON b.gid = a.gid AND b.vid = a.vid AND a.cid < b.cid JOIN vb ON vb.gid = a.gid AND vb.vid = a.vid WHERE a.kind = 'joint' OR b.kind = 'joint' OR joints = 0 GROUP BY a.gid, a.cid, b.cid),
+ek AS (SELECT gid, c1, c2, w, row_number() OVER (PARTITION BY gid ORDER BY w DESC, c1, c2) AS k FROM cg),
+nr AS (SELECT gid, k, c1 AS x, c2 AS y FROM ek UNION ALL SELECT gid, k, c2, c1 FROM ek),
+rch AS (SELECT gid, k, c1 AS node FROM ek UNION SELECT r.gid, r.k, n.y FROM rch r JOIN nr n ON n.gid = r.gid AND n.x = r.node AND n.k < r.k),
+mst AS (SELECT gid, c1, c2, w FROM ek WHERE NOT EXISTS (SELECT 1 FROM rch WHERE rch.gid = ek.gid AND rch.k = ek.k AND rch.node = ek.c2)),
+nb AS (SELECT gid, c1 AS cid, c2 AS o FROM mst UNION ALL SELECT gid, c2, c1 FROM mst)"""
+
+
+@query(f"{CLIQUES} SELECT gid, cid, kind, array_to_string(members, ',') AS members FROM cl")
 def cliques(spark, d):
-    return rings.cliques(*og.order_graphs(spark, d))
+    return rings.cliques(*og.order_graphs(spark, d)).withColumn("members", F.array_join("members", ","))
 
 
-@query()
+@query(f"{CLIQUES} SELECT gid, c1, c2, w FROM cg")
 def clique_graph(spark, d):
     return rings.clique_graph(save(rings.cliques(*og.order_graphs(spark, d))))
 
 
-@query()
+@query(f"{CLIQUES} SELECT gid, c1, c2, w FROM mst")
 def max_spanning_tree(spark, d):
-    return rings.max_spanning_tree(rings.clique_graph(save(rings.cliques(*og.order_graphs(spark, d)))))
+    return rings.max_spanning_tree(save(rings.clique_graph(save(rings.cliques(*og.order_graphs(spark, d))))))
 
 
-@query()
+@query(f"""{CLIQUES}, rt AS (SELECT gid, min(CASE WHEN list_contains(members, 0) THEN cid ELSE 1000000 + cid END) % 1000000 AS root FROM cl GROUP BY gid),
+ns AS (SELECT gid, cid, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS neighbours, count(*) AS n FROM nb GROUP BY gid, cid)
+SELECT cl.gid, cl.cid, kind, array_to_string(members, ',') AS members, coalesce(neighbours, '') AS neighbours, coalesce(n, 0) <= 1 AS is_leaf, cl.cid = root AS is_root FROM cl JOIN rt ON rt.gid = cl.gid LEFT JOIN ns ON ns.gid = cl.gid AND ns.cid = cl.cid""")
 def tree_nodes(spark, d):
     cl = save(rings.cliques(*og.order_graphs(spark, d)))
-    return rings.tree_nodes(cl, rings.max_spanning_tree(rings.clique_graph(cl)))
+    nodes = rings.tree_nodes(cl, rings.max_spanning_tree(save(rings.clique_graph(cl))))
+    return nodes.withColumns({c: F.array_join(c, ",") for c in ("members", "neighbours")})
+
+
+@query(f"""{CLIQUES}, near AS (SELECT gid, cid, o FROM nb UNION ALL SELECT gid, cid, cid FROM cl)
+SELECT near.gid, near.cid, cm.vid, array_to_string(list_sort(list(DISTINCT near.o)), ',') AS owners FROM near JOIN cm ON cm.gid = near.gid AND cm.cid = near.o GROUP BY near.gid, near.cid, cm.vid""")
+def clique_context(spark, d):
+    cl = save(rings.cliques(*og.order_graphs(spark, d)))
+    tree = rings.max_spanning_tree(save(rings.clique_graph(cl)))
+    return rings.clique_context(cl, tree).withColumn("owners", F.array_join("owners", ","))
 
 
 @query()
 def mine_junction_trees(spark, d):
     v, e = og.order_graphs(spark, d)
     jv, je, _ = rings.junction_tree_graphs(v, e)
-    patterns, _ = mining.mine_frequent(save(jv), save(je), MiningConfig(SUPPORT, max_edges=2))
-    return patterns
+    patterns, _ = mining.mine_frequent(save(jv), save(je), MiningConfig(3, max_edges=2))
+    return mining.describe(patterns)
+
+
+@query()
+def recover_patterns(spark, d):
+    """Mined patterns of junction trees, turned back into the vertices that they stand for."""
+    v, e = og.order_graphs(spark, d)
+    v, e = save(v), save(e)
+    jv, je, cl = rings.junction_tree_graphs(v, e)
+    _, places = mining.mine_frequent(save(jv), save(je), MiningConfig(3, max_edges=2))
+    return rings.recover_patterns(places, cl, v, e)

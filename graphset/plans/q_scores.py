@@ -113,6 +113,9 @@ def estate(spark, d):
     return indices.node_score(v, e, "estate").withColumn("index", F.round("index", 5))
 
 
-@query()
+@query(f"""{R}, dg AS (SELECT gid, src AS vid, count(*) AS degree FROM ge GROUP BY ALL), b AS (SELECT gv.gid, gv.vid, n, CASE WHEN n > 1 THEN coalesce(degree, 0) / (n - 1) ELSE 0 END AS b FROM gv JOIN gn USING (gid) LEFT JOIN dg ON dg.gid = gv.gid AND dg.vid = gv.vid),
+ways AS (SELECT gid, src, dst, 1.0::DOUBLE AS w FROM ge UNION ALL SELECT gid, vid, vid, 0.0 FROM gv),
+x AS (SELECT 0 AS k, gid, vid, CAST(b AS DOUBLE) AS x FROM b UNION ALL SELECT x.k + 1, ways.gid, ways.dst, b.b + sum(x.x * ways.w) / b.n FROM x JOIN ways ON ways.gid = x.gid AND ways.src = x.vid JOIN b ON b.gid = ways.gid AND b.vid = ways.dst WHERE x.k < 40 GROUP BY x.k, ways.gid, ways.dst, b.b, b.n)
+SELECT x.gid, x.vid, round(x.x / (n * n), 8) AS index FROM x JOIN gn ON gn.gid = x.gid WHERE x.k = 40""")
 def alpha_centrality(spark, d):
-    return indices.node_score(*og.order_graphs(spark, d), "alpha_centrality")
+    return indices.node_score(*og.order_graphs(spark, d), "alpha_centrality").withColumn("index", F.round("index", 8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphset.operators import stats, tables
+from graphset.operators import mining, rings, stats, tables
 from graphset.plans import order_graphs as og
 from graphset.plans.order_graphs import table
 from graphset.sources import text
@@ -55,6 +55,14 @@ def normalize_graphs(spark, d):
     return tables.normalize_graphs(shifted, moved, names)[0]
 
 
+@query(f"{G} SELECT gid, src, dst, CASE elb WHEN '1' THEN 'single' ELSE elb END AS elb FROM ge0")
+def normalize_edges(spark, d):
+    v, e = og.order_graphs(spark, d)
+    moved = e.withColumns({"src": F.col("src") + 5, "dst": F.col("dst") + 5})
+    names = spark.createDataFrame([("1", "single")], "label string, name string")
+    return tables.normalize_graphs(v.withColumn("vid", F.col("vid") + 5), moved.drop("eid"), emap=names)[1]
+
+
 @query("""SELECT user_id AS gid, CAST(hour(ts) AS INT) AS vid, arg_min(event_type, (ts, event_id)) AS vlb FROM events GROUP BY ALL""")
 def dedup_vertices(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("gid"), F.hour("ts").alias("vid"), F.col("event_type").alias("vlb"), F.struct("ts", "event_id").alias("pos"))
@@ -88,6 +96,12 @@ def disjoint_union(spark, d):
     return tables.disjoint_union(v, e, v, e)[0]
 
 
+@query(f"{G} SELECT gid, src, dst, elb FROM ge0 UNION ALL SELECT gid, CAST(src + n AS INT), CAST(dst + n AS INT), elb FROM ge0 JOIN gn USING (gid)")
+def disjoint_union_edges(spark, d):
+    v, e = og.order_graphs(spark, d)
+    return tables.disjoint_union(v, e.drop("eid"), v, e.drop("eid"))[1]
+
+
 @query("""SELECT l_orderkey AS gid, l_suppkey AS piece, CAST(count(*) AS BIGINT) AS n,
 CAST(coalesce(sum(count(*)) OVER (PARTITION BY l_orderkey ORDER BY l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id
 FROM lineitem GROUP BY l_orderkey, l_suppkey""")
@@ -134,6 +148,15 @@ def vertex_features(spark, d):
     return tables.vertex_features(*og.order_graphs(spark, d))
 
 
+@query(f"""{G}, dg AS (SELECT gid, src AS vid, count(*) AS degree FROM ge GROUP BY ALL), tri AS (SELECT DISTINCT gid, vid FROM gv JOIN gn USING (gid) WHERE n >= 3)
+SELECT gv.gid, gv.vid, concat(CASE WHEN tri.gid IS NULL THEN 0 ELSE 1 END, '.', vlb, '.', coalesce(degree, 0)) AS vlb FROM gv LEFT JOIN dg ON dg.gid = gv.gid AND dg.vid = gv.vid LEFT JOIN tri ON tri.gid = gv.gid AND tri.vid = gv.vid""")
+def vertex_features_in_rings(spark, d):
+    """With the flag of rings: the line of an order and its closing edge make a ring of three vertices and more."""
+    v, e = og.order_graphs(spark, d)
+    ring = rings.rings(e).select("gid", F.explode("ring").alias("vid"))
+    return tables.vertex_features(v, e, in_ring=ring)
+
+
 @query(f"{G} SELECT e.gid, src, dst, elb FROM ge0 e JOIN gv a ON a.gid = e.gid AND a.vid = src JOIN gv b ON b.gid = e.gid AND b.vid = dst WHERE a.vlb = 'NO' AND b.vlb = 'NO'")
 def induced_subgraph(spark, d):
     v, e = og.order_graphs(spark, d)
@@ -196,8 +219,7 @@ def filter_blocks(spark, d):
 
 @query(f"{G} SELECT CAST(floor(count(DISTINCT gid) * 0.05) AS BIGINT) AS support FROM gv")
 def minsup(spark, d):
-    n = og.order_vertices(spark, d).agg(F.countDistinct("gid").alias("n"))
-    return n.select(F.floor(F.col("n") * 0.05).alias("support"))
+    return spark.range(1).select(F.lit(tables.minsup(og.order_vertices(spark, d), 0.05)).cast("long").alias("support"))
 
 
 @query('SELECT o_orderkey AS "a/k", CAST(o_totalprice AS DOUBLE) AS "a/b/price" FROM orders')
@@ -216,6 +238,83 @@ def graph_text_round_trip(spark, d):
     return text.read_graph_text(spark, path)[1].drop("eid")
 
 
+def _file(spark):
+    import uuid
+
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey AS id, p_name AS block FROM part")
+def read_blocks(spark, d):
+    path = _file(spark)
+    table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("block")).write.option("header", True).csv(path)
+    return text.read_blocks(spark, path)
+
+
+@query("SELECT p_name AS value FROM part")
+def read_lines(spark, d):
+    path = _file(spark)
+    table(spark, d, "part").select(F.col("p_name").alias("value")).write.text(path)
+    return text.read_lines(spark, path)
+
+
+@query("SELECT p_name AS smiles, CAST(p_partkey AS VARCHAR) AS id FROM part")
+def read_smi(spark, d):
+    path = _file(spark) + ".smi"
+    table(spark, d, "part").select("p_name", F.col("p_partkey").cast("string")).write.option("sep", "\t").option("compression", "gzip").csv(path)
+    return text.read_smi(spark, path)
+
+
+@query("SELECT md5(array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(text, '[\\n\\r]', ' ', 'g'), ' '), '\\s+'), lambda x: true), ' ')) AS digest FROM documents WHERE text IS NOT NULL")
+def corpus_round_trip(spark, d):
+    """Sentences written a line each, and read again."""
+    path = _file(spark)
+    lines = table(spark, d, "documents").filter("text IS NOT NULL").select(F.split(F.regexp_replace("text", "[\\n\\r]", " "), " ").alias("tokens"))
+    text.write_corpus(lines, path)
+    return text.read_corpus(spark, path).select(F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS fid, arg_max(CAST(l_orderkey AS DOUBLE), l_orderkey) AS score FROM lineitem GROUP BY l_partkey")
+def read_fscores(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("ids"))
+    return text.read_fscores(rows.select(F.col("l_orderkey").alias("pos"), F.concat(F.array(F.col("l_orderkey").cast("string")), "ids").alias("row")))
+
+
+@query(f"{G}, {DICTIONARY} SELECT vlb, CAST(label_id AS BIGINT) AS label_id FROM dict")
+def vocab_round_trip(spark, d):
+    path = _file(spark)
+    text.write_vocab(tables.label_dictionary(og.order_vertices(spark, d)), path)
+    return spark.read.option("header", True).schema("vlb string, label_id long").csv(path)
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 5) AS a, round(CAST(embedding[2] AS DOUBLE), 5) AS b FROM embeddings")
+def features_round_trip(spark, d):
+    path = _file(spark)
+    text.write_features(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), path)
+    back = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return back.select(F.col("vec_id").cast("long").alias("vec_id"), F.round("feature-000", 5).alias("a"), F.round("feature-001", 5).alias("b"))
+
+
+@query("SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS score FROM orders")
+def results_round_trip(spark, d):
+    path = _file(spark)
+    text.write_results(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("score")), path)
+    return spark.read.option("header", True).schema("o_orderkey long, score double").csv(path)
+
+
+@query(f"""{G}, la AS (SELECT e.gid, e.elb, a.vlb AS slb, b.vlb AS dlb FROM ge e JOIN gv a ON a.gid = e.gid AND a.vid = e.src JOIN gv b ON b.gid = e.gid AND b.vid = e.dst)
+SELECT concat_ws(',', '0', '1', slb, elb, dlb) AS code, gid, count(*) AS n FROM la WHERE slb <= dlb GROUP BY ALL""")
+def mining_round_trip(spark, d):
+    """A mining result written and read again, as tables; and as CSV, which is read for its patterns."""
+    path = _file(spark)
+    patterns, places = mining.mine_frequent(*og.order_graphs(spark, d), mining.MiningConfig(1, max_edges=1))
+    text.save_mining(patterns, mining.occurrences(places), path)
+    patterns, occ = text.load_mining(spark, path)
+    text.write_patterns(patterns, occ, path + "-csv")
+    listed = spark.read.option("header", True).csv(path + "-csv/patterns").select("code")
+    return occ.join(listed, "code", "left_semi")
+
+
 @query("SELECT id, count(*) AS n FROM (SELECT unnest(string_split(ids, ',')) AS id FROM (SELECT string_agg(CAST(l_partkey AS VARCHAR), ',') AS ids FROM lineitem GROUP BY l_orderkey)) GROUP BY id")
 def count_ids(spark, d):
     joined = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), ",").alias("ids"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphset.operators import fingerprint, vectors
 from graphset.plans import order_graphs as og
 from graphset.plans.order_graphs import table
+from graphset.storage import save
 
 G = f"WITH {og.SQL}"
 QUERIES = {}
@@ -153,6 +154,20 @@ def running_vectors(spark, d):
     return vectors.running_vectors(e, "label", "vec_id").withColumn("start", F.round("start", 5))
 
 
+@query(f"""{IDS}, balls AS (SELECT gid, src AS vid, string_agg(CAST(eid AS VARCHAR), ',' ORDER BY eid) AS edges FROM ge GROUP BY ALL),
+k AS (SELECT i.*, row_number() OVER (PARTITION BY i.gid, edges ORDER BY r, id, vid) AS k FROM i1 i JOIN balls USING (gid, vid)), kept AS (SELECT gid, id FROM i0 UNION ALL SELECT gid, id FROM k WHERE k = 1),
+c AS (SELECT gid, count(*) FILTER (id IN (SELECT md5(vlb) FROM gv)) AS known, count(*) AS n FROM kept GROUP BY gid)
+SELECT o_orderkey AS gid, o_custkey, CAST(1.0 * known + 0.5 * (n - known) AS DOUBLE) AS "f-000", CAST(n - known AS DOUBLE) AS "f-001" FROM orders LEFT JOIN c ON c.gid = o_orderkey""")
+def featurize(spark, d):
+    """Vectors of two numbers: labels have (1, 0), every other identifier that of UNK, (0.5, 1)."""
+    v, e = og.order_graphs(spark, d)
+    v, e = save(v), save(e)
+    words = v.select(F.md5("vlb").alias("token")).distinct().withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("gid"), "o_custkey")
+    unk = words.limit(1).select(F.lit("UNK").alias("token"), F.array(F.lit(0.5), F.lit(1.0)).alias("vector"))
+    return vectors.featurize(rows, v, e, save(words.unionByName(unk)), prefix="f-")
+
+
 @query()
 def word2vec_graph_vectors(spark, d):
     tokens = fingerprint.sentences(_ids(spark, d))

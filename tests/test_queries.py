@@ -10,9 +10,7 @@ import pytest
 from graphset.queries import oracle_sql, queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "customer documents embeddings events lineitem nation orders".split()
-#: Loops over levels take longest; the others run in a few seconds each.
-SLOW = {"mine_frequent", "components", "bridge_edges", "ring_edges", "balaban_terms", "estate", "merged_sizes"}
+TABLES = "customer documents embeddings events lineitem nation orders part".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
@@ -29,7 +27,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_sql(spark, db, name):
     got, want = queries()[name](spark, DATA).toPandas(), db.execute(oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
