@@ -64,7 +64,7 @@ def mine_frequent(spark, d):
 
 @query()
 def mine_frequent_three_edges(spark, d):
-    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(5 * SUPPORT, max_edges=3))
+    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT // 2, max_edges=3))
     return mining.describe(patterns)
 
 
@@ -80,10 +80,10 @@ three AS (SELECT gid, shape, k FROM walks WHERE own = k UNION ALL SELECT gid, sh
 p3 AS (SELECT shape, k, count(DISTINCT gid) AS support, count(*) AS embeddings FROM three GROUP BY shape, k)"""
 
 
-@query(f"{THREE} SELECT shape, support, embeddings, count(*) AS patterns FROM p3 WHERE support >= {SUPPORT} GROUP BY ALL")
+@query(f"{THREE} SELECT shape, support, embeddings, count(*) AS patterns FROM p3 WHERE support >= {SUPPORT // 5} GROUP BY ALL")
 def mine_three_edges(spark, d):
     """Patterns of three edges by shape, support and embeddings."""
-    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT, max_edges=3))
+    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT // 5, max_edges=3))
     ends = F.flatten(F.transform(F.split("code", ";"), lambda x: F.slice(F.split(x, ","), 1, 2)))
     often = F.array_max(F.transform(F.array_distinct(ends), lambda v: F.size(F.filter(ends, lambda x: x == v))))
     shape = F.when(F.col("num_vert") == 3, "ring").when(often == 3, "star").otherwise("path")
@@ -93,7 +93,7 @@ def mine_three_edges(spark, d):
 @query()
 def mine_frequent_all(spark, d):
     """Growth goes on until no pattern is frequent."""
-    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT))
+    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT // 2))
     return mining.describe(patterns)
 
 
