@@ -39,8 +39,8 @@ from graphset.llm.words import PIECE_TEXTS, Words, mix, pieces, signed
 WIDTH, PERCENT = 5, 80
 #: Bands in which texts meet, fragments of the order in which the overlaps of pairs are counted, rounds of meetings.
 BANDS, PARTS, ROUNDS = 8, 4, 2
-#: Pieces of about 4 MB of text that are counted as one before they are sent, at most.
-MOST_PIECES = 16
+#: Pieces of about 1 MB of text that are counted as one before they are sent: at least, and at most.
+LEAST_PIECES, MOST_PIECES = 4, 64
 
 
 def text_sets(w: Words, width: int) -> list[np.ndarray]:
@@ -79,7 +79,7 @@ def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     """
     fragments = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     step = np.uint64((1 << 64) // fragments + 1)
-    per_piece = min(MOST_PIECES, max(1, fragments // 1024))
+    per_piece = min(MOST_PIECES, max(LEAST_PIECES, fragments // 256))
     block = pa.schema([("fragment", pa.int32()), ("piece", pa.int64()), ("meta", pa.bool_()), ("data", pa.binary())])
 
     def parcel(piece: int, ids: pa.Array, hashes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -230,8 +230,9 @@ def meetings(sets: DataFrame, turn: int) -> DataFrame:
     """Pairs (x, y): each set with the leader of each meeting it has; in the first turn the least set of its own leads."""
     rank = F.struct(*([F.col("own")] if turn == 0 else []), F.xxhash64(F.lit(turn), "cls").alias("h"), "cls")
     met = sets.select("cls", rank.alias("rank"), F.posexplode("meets").alias("band", "gram"))
-    lead = met.groupBy("band", "gram").agg(F.min("rank").alias("lead"), F.max("rank").alias("last")).filter("lead <> last").select("band", "gram", F.col("lead.cls").alias("y"))
-    return met.join(lead, ["band", "gram"]).filter("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
+    lead = met.groupBy("band", "gram").agg(F.min("rank").alias("lead"), F.max("rank").alias("last"), F.count("*").alias("sets")).filter("lead <> last").select("band", "gram", F.col("lead.cls").alias("y"), "sets")
+    # near copies all come to the same meetings: hot keys
+    return join_hot(met.select("cls", "band", "gram"), save(lead), ["band", "gram"], "sets").filter("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
