@@ -139,12 +139,19 @@ def canonical(labels: dict[int, str], edges: list[tuple[int, int, str]]) -> str:
 
 
 def is_min_code_udf(directed: bool = False):
-    return F.pandas_udf(lambda codes: codes.map(lambda c: is_min_code(c, directed)), T.BooleanType(), F.PandasUDFType.SCALAR)
+    @F.pandas_udf(T.BooleanType())
+    def minimal_ones(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda c: is_min_code(c, directed))
+
+    return minimal_ones
 
 
 def extensions_udf(directed: bool = False):
-    kind = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType())]))
-    return F.pandas_udf(lambda codes: codes.map(lambda c: [{"p": p, "q": q} for p, q in extensions(c, directed)]), kind, F.PandasUDFType.SCALAR)
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType())])))
+    def growing_points(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda c: [{"p": p, "q": q} for p, q in extensions(c, directed)])
+
+    return growing_points
 
 
 @F.pandas_udf(T.StructType([T.StructField("arcs", T.StringType()), T.StructField("order", T.ArrayType(T.IntegerType()))]))

@@ -74,10 +74,19 @@ def mean_vector(df: DataFrame, by: list[str], column: str = "vector") -> DataFra
 
 
 def running_vectors(df: DataFrame, by: str, order: str, column: str = "vector") -> DataFrame:
-    """Start points of vectors laid end to end inside each group."""
-    w = Window.partitionBy(by, "pos").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = df.select(by, order, F.posexplode(column).alias("pos", "x"))
-    return at.withColumn("start", F.coalesce(F.sum("x").over(w), F.lit(0.0))).select(by, order, "pos", "start")
+    """Start points of vectors laid end to end inside each group: sums inside ranges of rows, then over the ranges, so a large
+    group is not one task's work."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = save(df.select(by, order, column).repartitionByRange(parts, by, order).withColumn("range", F.spark_partition_id()))
+    at = dealt.select(by, order, "range", F.posexplode(column).alias("pos", "x"))
+
+    def running(x: str, *keys: str, along: str):
+        return F.coalesce(F.sum(x).over(Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+
+    sums = at.groupBy(by, "range", "pos").agg(F.sum("x").alias("sum"))
+    before = sums.withColumn("before", running("sum", by, "pos", along="range")).drop("sum")
+    own = at.withColumn("own", running("x", by, "range", "pos", along=order))
+    return own.join(before, [by, "range", "pos"]).select(by, order, "pos", (F.col("before") + F.col("own")).alias("start"))
 
 
 def project_2d(df: DataFrame, column: str = "vector") -> DataFrame:

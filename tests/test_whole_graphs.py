@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import pytest
 
-from graphset.operators import fingerprint, mining, rings, tables
+from graphset import storage
+from graphset.operators import fingerprint, mining, rings, tables, vectors
 from graphset.operators.codes import canonical, graph_of
 from graphset.operators.mining import MiningConfig
 from graphset.sources import text
@@ -143,3 +145,54 @@ def test_similar_pairs_and_classes_give_all_links(spark):
     got = {(a, b) for a in sets for b in sets if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in pairs)}
     want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.6 * len({*sets[a], *sets[b]})}
     assert got == want
+
+
+def test_featurize_file_and_feature_tables(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("t # 0\nv 0 A\nv 1 B\ne 0 1 x\nt # 1\nv 0 A\nt # -1\n")
+    words = [(hashlib.md5(b"A").hexdigest(), [1.0, 0.0]), (hashlib.md5(b"B").hexdigest(), [0.0, 2.0]), ("UNK", [10.0, 10.0])]
+    table = spark.createDataFrame(words, "token string, vector array<double>")
+    vectors.featurize_file(spark, str(tmp_path / "g.txt"), str(tmp_path / "out"), table, radius=1, prefix="f")
+    got = {r.gid: (r.f000, r.f001) for r in spark.read.option("header", True).schema("gid long, f000 double, f001 double").csv(str(tmp_path / "out")).collect()}
+    # of the two identifiers around the one edge only the first stays; a lone vertex has none but its label
+    assert got == {0: (11.0, 12.0), 1: (1.0, 0.0)}
+    left, right = spark.createDataFrame([(1, 2.0)], "gid long, a double"), spark.createDataFrame([(1, 3.0), (2, 4.0)], "gid long, b double")
+    assert sorted(map(tuple, mining.hstack(left, right).collect())) == [(1, 2.0, 3.0), (2, None, 4.0)]
+    rows = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "gid long, name string")
+    assert sorted(map(tuple, vectors.join_features(tables.drop_invalid(rows, "gid"), right).select("gid", "b").collect())) == [(1, 3.0), (3, None)]
+
+
+def test_pattern_vectors_count_every_pattern(spark):
+    v = spark.createDataFrame([(g, i, x) for g in (0, 1) for i, x in enumerate("ABA")], "gid long, vid int, vlb string")
+    e = spark.createDataFrame([(0, 0, 0, 1, "1"), (0, 1, 1, 2, "1"), (1, 0, 0, 1, "1")], STAR)
+    patterns, places = mining.mine_frequent(v, e, MiningConfig(1))
+    codes = sorted(r.code for r in patterns.collect())
+    got = {r.gid: dict(zip(r.at, r.n, strict=True)) for r in mining.pattern_vectors(mining.occurrences(places), patterns).collect()}
+    assert [codes[i] for i in got[1]] == ["0,1,A,1,B"] and got[0][codes.index("0,1,A,1,B")] == 2 and len(got[0]) == len(codes) == 2
+
+
+def test_joins_on_hot_keys_and_numbers(spark):
+    rows = spark.range(20_000).selectExpr("id", "CAST(CASE WHEN id % 3 = 0 THEN 7 ELSE id % 1000 END AS long) AS k")
+    values = storage.save(rows.groupBy("k").count().selectExpr("k", "k * 2 AS twice", "count AS n").filter("k <> 5"))
+    got = storage.join_hot(rows, values, ["k"], "n")
+    assert got.columns == ["k", "id", "twice", "n"] and got.count() == rows.filter("k <> 5").count() and got.filter("twice <> 2 * k").count() == 0
+    assert storage.join_hot(rows.limit(0), values.limit(0), ["k"], "n").count() == 0
+    n = storage.numbered(rows.select("id").orderBy("id", ascending=False), "id")
+    assert n.filter("number <> id").count() == 0 and n.count() == 20_000
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+        set = dict.__setitem__
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = Conf(conf)
+            self.sparkContext = type("Context", (), {"master": master, "getConf": lambda _: Conf()})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.scratch_dir(Session("spark://host:7077"))
+    assert storage.scratch_dir(Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y/graphset"
+    assert storage.scratch_dir(Session("local[4]")).startswith("file:///")
