@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from graphset.storage import join_hot, save, scratch_dir, small
+from graphset.storage import join_hot, numbered, save, scratch_dir, small
 
-__all__ = ["free_name", "join_hot", "lower_ascii", "save", "scratch_dir", "small", "table"]
+__all__ = ["free_name", "join_hot", "numbered", "save", "scratch_dir", "small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z alone, whatever the locale and the other letters."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as make it a name that ``df`` lacks."""
     taken = {c.lower() for c in df.columns}

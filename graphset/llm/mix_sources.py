@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphset.llm.common import save
+from graphset.llm.common import numbered, save
 
 #: Weights of the sources by rank, repeating; share of all words that the mix takes; the most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -36,22 +36,12 @@ DIGITS = 24
 UNIT = 1 << DIGITS
 
 
-def ranked(sources: DataFrame, parts: int) -> DataFrame:
-    """``sources`` with rank (0 first) by code point, null last, without bringing all rows to one task."""
-    order = F.col("source").asc_nulls_last()
-    dealt = save(sources.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("rows"))
-    # one row for each of ``parts`` partitions
-    before = sizes.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rows")
-    own = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return dealt.withColumn("own", own).join(F.broadcast(before), "part").withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "part")
-
-
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, parts: int = 16) -> DataFrame:
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """source, source_size, target from (source, source_size): shares by weight, capped at ``most`` times the size, the
     excess shared again by weight until no target is above its cap."""
     ws = F.array(*(F.lit(float(w)) for w in weights))
-    table = ranked(sources, parts).withColumn("weight", F.element_at(ws, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    ranked = numbered(sources.withColumn("last", F.col("source").isNull()), "last", "source", name="rank")
+    table = ranked.withColumn("weight", F.element_at(ws, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(most)))
     table = save(table.select("source", "source_size", "weight", "cap"))
     total = table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
     level, capped = 0.0, -1
@@ -129,7 +119,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = save(sized.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     groups = save(dealt.groupBy("s", "size").agg(F.count("*").alias("n")))
     sources = groups.groupBy("s").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")).withColumn("source", F.when(F.col("s") != "", F.expr("substring(s, 2)")))
-    goals = save(targets(sources.select("source", "source_size"), most=most, parts=min(parts, 64), **options).withColumn("s", source_key(F.col("source"))))
+    goals = save(targets(sources.select("source", "source_size"), most=most, **options).withColumn("s", source_key(F.col("source"))))
     solved = multipliers(groups, goals.select("s", "source_size", "target"), most)
     plan = goals.select("s", "source_size", "target").join(solved.select("s", "mean", "multiplier"), "s", "left")
     # a source has a row for each range that it reaches into, so no join is on a hot source
