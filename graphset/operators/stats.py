@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphset.storage import numbered
+
 
 def count_ids(df: DataFrame, column: str, sep: str = ",") -> DataFrame:
     """id, n over comma-joined ids."""
@@ -32,14 +34,8 @@ def sample_rows(df: DataFrame, n: int, seed: int, order: str) -> DataFrame:
         return df.limit(0)
     spark = df.sparkSession
     draws = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(count)).alias("rank"))
-    parts = df.repartitionByRange(max(2, spark.sparkContext.defaultParallelism), order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    from graphset.storage import save
-
-    parts = save(parts)
-    sizes = parts.groupBy("part").agg(F.count("*").alias("k"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
-    ranked = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1).join(F.broadcast(before), "part")
-    return draws.join(ranked.withColumn("rank", F.col("at") + F.col("before")), "rank").select("draw", *df.columns)
+    ranked = numbered(df, order, name="rank")
+    return draws.join(ranked, "rank").select("draw", *df.columns)
 
 
 def class_ranges(df: DataFrame, label: str, value: str, pad: float = 0.1) -> DataFrame:

@@ -21,7 +21,7 @@ def read_graph_text(spark: SparkSession, path: str, gid: str = "ordinal") -> tup
     head = F.trim(F.regexp_replace(F.split("value", "\n")[0], "^t", ""))
     graph = save(raw.select("file", "block", "at", "value", F.regexp_extract(head, r"#\s*(-?\d+)", 1).alias("label")).filter("label <> ''"))
     ends = graph.filter("label = '-1'").groupBy("file").agg(F.min(F.struct("block", "at")).alias("end"))
-    graph = graph.join(F.broadcast(ends), "file", "left").filter(F.col("end").isNull() | (F.struct("block", "at") < F.col("end"))).drop("end")
+    graph = graph.join(ends, "file", "left").filter(F.col("end").isNull() | (F.struct("block", "at") < F.col("end"))).drop("end")
     if gid == "label":
         graph = graph.withColumn("gid", F.col("label").cast("long"))
     else:
@@ -29,7 +29,7 @@ def read_graph_text(spark: SparkSession, path: str, gid: str = "ordinal") -> tup
         sizes = graph.groupBy("file", "block").agg(F.count("*").alias("k"))
         before = sizes.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
         own = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-        graph = graph.withColumn("own", own).join(F.broadcast(before), ["file", "block"]).withColumn("gid", F.col("own") + F.col("before"))
+        graph = graph.withColumn("own", own).join(before, ["file", "block"]).withColumn("gid", F.col("own") + F.col("before"))
     line = graph.select("gid", F.posexplode(F.split("value", "\n")).alias("pos", "line")).select("gid", "pos", F.split(F.trim("line"), " ").alias("f"))
     v = line.filter(F.col("f")[0] == "v").select("gid", F.col("f")[1].cast("int").alias("vid"), F.col("f")[2].alias("vlb"))
     e = line.filter(F.col("f")[0] == "e").select("gid", "pos", F.col("f")[1].cast("int").alias("src"), F.col("f")[2].cast("int").alias("dst"), F.col("f")[3].alias("elb"))
