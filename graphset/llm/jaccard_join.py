@@ -77,9 +77,10 @@ def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     every text weighs no more than a piece's worth.  Pieces grow with the number of fragments, so that what a piece sends to
     a fragment stays more than a handful.
     """
-    fragments = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # several a task, so that tasks get about equal parts
+    fragments = 4 * max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     step = np.uint64((1 << 64) // fragments + 1)
-    per_piece = min(MOST_PIECES, max(LEAST_PIECES, fragments // 256))
+    per_piece = min(MOST_PIECES, max(LEAST_PIECES, fragments // 1024))
     block = pa.schema([("fragment", pa.int32()), ("piece", pa.int64()), ("meta", pa.bool_()), ("data", pa.binary())])
 
     def parcel(piece: int, ids: pa.Array, hashes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -97,7 +98,7 @@ def shared_counts(docs: DataFrame, id_col: str, text_col: str, width: int, perce
         known = np.array(ids.is_valid())
         head = np.array([len(sets), len(grams), len(whole)], dtype=np.int64)
         meta = [head, ids.fill_null(0).to_numpy().astype(np.int64), hashes.to_numpy().astype(np.int64), known.astype(np.uint8), sizes, times, doc]
-        rows.append((int(mix(np.array([piece], dtype=np.uint64))[0] % np.uint64(fragments)), piece, True, b"".join([*(x.tobytes() for x in meta), *(set_key(s) for s in sets)])))
+        rows.append((((piece >> 32) * 7 + (piece & 0xFFFFFFFF) * 4) % fragments, piece, True, b"".join([*(x.tobytes() for x in meta), *(set_key(s) for s in sets)])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), block.types, strict=True)], schema=block)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
