@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphset.llm.common import free_name, join_hot, save
@@ -112,13 +112,27 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """id, text_hash, kind, start, stop, words, kept_id, kept_start of every unit to remove."""
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "start", "stop", "kind", "word", "words")
-    all_units = units(docs, id_col, text_col, min_words=run_words).select("d1", "d2", place.alias("unit"))
-    found = all_units.groupBy("d1", "d2").agg(F.min("unit").alias("keep"), F.max("unit").alias("other"), F.count("*").alias("n")).filter("keep <> other").select("d1", "d2", "keep", "n")
+    def packed(high: str, low: Column) -> Column:
+        return F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(low.cast("long"))
+
+    # two numbers instead of five in what is shuffled
+    all_units = units(docs, id_col, text_col, min_words=run_words).select("d1", "d2", "id", "text_hash", packed("start", F.col("stop")).alias("span"), packed("word", F.col("words") * 4 + F.col("kind")).alias("more"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "span")
+    which = F.xxhash64("id", "text_hash", "span")
+    found = all_units.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.min(which).alias("a"), F.max(which).alias("b"), F.count("*").alias("n")).filter("a <> b").select("d1", "d2", "keep", "n")
     # a common line is a hot digest: counted before the shuffle, then joined by parts
-    later = join_hot(all_units, save(found), ["d1", "d2"], "n").filter("unit <> keep").select("unit.*", "keep")
+    later = join_hot(all_units, save(found), ["d1", "d2"], "n").filter("NOT (id <=> keep.id AND text_hash = keep.text_hash AND span = keep.span)").drop("d1", "d2", "n")
     # rows alike in id and text are one, before they meet in one window
-    later = later.distinct()
+    later = later.distinct().select(
+        "id",
+        "text_hash",
+        F.shiftright("span", 32).cast("int").alias("start"),
+        F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("stop"),
+        F.shiftright("more", 32).cast("int").alias("word"),
+        F.shiftright(F.col("more").bitwiseAND(0xFFFFFFFF), 2).cast("int").alias("words"),
+        F.col("more").bitwiseAND(3).cast("int").alias("kind"),
+        F.struct("keep.id", "keep.text_hash", F.shiftright("keep.span", 32).cast("int").alias("start"), F.col("keep.span").bitwiseAND(0xFFFFFFFF).cast("int").alias("stop")).alias("keep"),
+    )
     by_text = Window.partitionBy("id", "text_hash")
     end = F.col("word") + F.col("words")
     before = F.max(end).over(by_text.orderBy("word", end).rowsBetween(Window.unboundedPreceding, -1))
