@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
 def plain(x):
-    return round(float(x), 5) if isinstance(x, float) else x
+    return (None if x != x else round(float(x), 5)) if isinstance(x, float) else x
 
 
 @pytest.fixture(scope="module")
