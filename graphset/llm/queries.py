@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold QUERIES and SQL, by operator number.
-MODULES = ["q_scans", "q_joins", "q_text", "q_models", "q_mix", "q_digests", "q_manifest"]
+MODULES = ["q_scans", "q_joins", "q_text", "q_models", "q_mix", "q_digests", "q_collocations", "q_manifest"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
