@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphset.operators.codes import canonical_udf
+from graphset.operators.codes import canonical_codes, shapes
 from graphset.operators.rings import rings
 from graphset.operators.tables import symmetrize
 from graphset.storage import save, small
@@ -115,11 +115,8 @@ def sanitize(cands: DataFrame, v: DataFrame, e: DataFrame, caps: DataFrame) -> D
     """cand, base, code of the valid candidates (no vertex above its cap), one of each canonical code per base, sorted."""
     vv, ee = v.withColumnRenamed("cand", "gid"), e.withColumnRenamed("cand", "gid")
     bad = valence(vv, ee, caps).filter("iv < -1e-9").select(F.col("gid").alias("cand")).distinct()
-    vs = v.groupBy("cand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vid", "vlb"))), lambda x: F.concat_ws(":", x["vid"], x["vlb"])), " ").alias("vs"))
-    es = e.groupBy("cand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", "elb"))), lambda x: F.concat(x["src"], F.lit("-"), x["dst"], F.lit(":"), x["elb"])), " ").alias("es"))
-    shaped = cands.join(bad, "cand", "left_anti").join(vs, "cand").join(es, "cand", "left")
-    shaped = save(shaped.select("cand", "base", F.concat("vs", F.lit("/"), F.coalesce("es", F.lit(""))).alias("shape")))
-    codes = shaped.select("shape").distinct().withColumn("code", canonical_udf("shape"))
+    shaped = save(cands.join(bad, "cand", "left_anti").join(shapes(v, e, "cand"), "cand").select("cand", "base", "shape"))
+    codes = canonical_codes(shaped)
     return shaped.join(codes, "shape").groupBy("base", "code").agg(F.min("cand").alias("cand")).orderBy("base", "code")
 
 

@@ -2,30 +2,85 @@
 
 A code is a list of steps (from, to, label of from, edge label, label of to) over vertices numbered by discovery.  Steps
 compare as depth-first growth does: a step back comes before a step forward; steps back by their target; steps forward from
-the deepest vertex first; then by labels.  Codes are written as text, fields separated by ``,`` and steps by ``;``.
+the deepest vertex first; then by labels, null before all others.
 
-In codes of directed graphs the label of a step along an arc begins with ``>``, that of a step against one with ``<``.
+Codes are written as text, fields separated by ``,`` and steps by ``;``.  Labels may be any text or null: ``%``, ``,``, ``;``
+and ``|`` are written as ``%25``, ``%2C``, ``%3B`` and ``%7C``, null as ``%00``.  While patterns grow, labels are numbers in
+the order of the labels, and codes over numbers are called keys.  In those of directed graphs the label of a step along an arc
+begins with ``>``, that of a step against one with ``<``.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Step = tuple[int, int, str, str, str]
+#: A label is a string, null, or in a key a number, with the direction before it in directed graphs.
+Label = str | int | tuple | None
+Step = tuple[int, int, Label, Label, Label]
+
+NULL = "%00"
+_ESCAPES = [("%", "%25"), (",", "%2C"), (";", "%3B"), ("|", "%7C")]
+
+
+def escape(label: str | None) -> str:
+    if label is None:
+        return NULL
+    for plain, written in _ESCAPES:
+        label = label.replace(plain, written)
+    return label
+
+
+def unescape(field: str) -> str | None:
+    if field == NULL:
+        return None
+    for plain, written in reversed(_ESCAPES):
+        field = field.replace(written, plain)
+    return field
+
+
+def escaped(label: Column) -> Column:
+    for plain, written in _ESCAPES:
+        label = F.replace(label, F.lit(plain), F.lit(written))
+    return F.coalesce(label, F.lit(NULL))
+
+
+def unescaped(field: Column) -> Column:
+    out = field
+    for plain, written in reversed(_ESCAPES):
+        out = F.replace(out, F.lit(written), F.lit(plain))
+    return F.when(field != NULL, out)
 
 
 def parse(code: str) -> list[Step]:
     out = []
     for s in code.split(";") if code else []:
+        a, b, *labels = s.split(",")
+        out.append((int(a), int(b), *map(unescape, labels)))
+    return out
+
+
+def parse_key(key: str) -> list[Step]:
+    out = []
+    for s in key.split(";"):
         a, b, x, y, z = s.split(",")
-        out.append((int(a), int(b), x, y, z))
+        out.append((int(a), int(b), int(x), (y[0], int(y[1:])) if y[0] in "<>" else int(y), int(z)))
     return out
 
 
 def text(steps: list[Step]) -> str:
-    return ";".join(",".join(map(str, s)) for s in steps)
+    return ";".join(",".join([str(a), str(b), *map(escape, labels)]) for a, b, *labels in steps)
+
+
+def _ordered(label: str | None) -> tuple[bool, str]:
+    """Labels that compare, null first."""
+    return label is not None, label or ""
+
+
+def _plain(label: tuple[bool, str]) -> str | None:
+    return label[1] if label[0] else None
 
 
 def rightmost_path(steps: list[Step]) -> list[int]:
@@ -37,18 +92,18 @@ def rightmost_path(steps: list[Step]) -> list[int]:
     return path[::-1]
 
 
-def extensions(code: str, directed: bool = False) -> list[tuple[int, int | None]]:
-    """Where a code may grow: (from, to) back from the last vertex, (from, None) forward from the rightmost path.
+def extensions(key: str, directed: bool = False) -> list[tuple[int, int | None]]:
+    """Where a pattern may grow: (from, to) back from the last vertex, (from, None) forward from the rightmost path.
 
     Two vertices may have several arcs, but one undirected edge.
     """
-    path = rightmost_path(parse(code))
+    path = rightmost_path(parse_key(key))
     return [(path[-1], q) for q in path[: -1 if directed else -2]] + [(p, None) for p in path]
 
 
-def turned(label: str) -> str:
+def turned(label: tuple[str, int]) -> tuple[str, int]:
     """The label of a directed step, read the other way."""
-    return {">": "<", "<": ">"}[label[0]] + label[1:]
+    return {">": "<", "<": ">"}[label[0]], label[1]
 
 
 def _rank(step: Step) -> tuple:
@@ -56,7 +111,7 @@ def _rank(step: Step) -> tuple:
     return (0, b, y) if b < a else (1, -a, x, y, z)
 
 
-def minimal(labels: dict[int, str], edges: list[tuple[int, int, str]], directed: bool = False) -> list[Step]:
+def minimal(labels: dict[int, Label], edges: list[tuple[int, int, Label]], directed: bool = False) -> list[Step]:
     """The least code of a connected graph with at least one edge."""
     around: dict[int, list[tuple[int, int, str]]] = {v: [] for v in labels}
     for i, (u, v, lab) in enumerate(edges):
@@ -88,18 +143,25 @@ def minimal(labels: dict[int, str], edges: list[tuple[int, int, str]], directed:
     return steps
 
 
-def graph_of(code: str) -> tuple[dict[int, str], list[tuple[int, int, str]]]:
-    labels: dict[int, str] = {}
+def graph_of(steps: str | list[Step]) -> tuple[dict[int, Label], list[tuple[int, int, Label]]]:
+    labels: dict[int, Label] = {}
     edges = []
-    for a, b, x, y, z in parse(code):
+    for a, b, x, y, z in parse(steps) if isinstance(steps, str) else steps:
         labels.setdefault(a, x)
         labels.setdefault(b, z)
         edges.append((a, b, y))
     return labels, edges
 
 
-def is_min_code(code: str, directed: bool = False) -> bool:
-    return parse(code) == minimal(*graph_of(code), directed)
+def is_min_key(key: str, directed: bool = False) -> bool:
+    steps = parse_key(key)
+    return steps == minimal(*graph_of(steps), directed)
+
+
+def is_min_code(code: str) -> bool:
+    """Of an undirected code over labels."""
+    steps = [(a, b, *map(_ordered, labels)) for a, b, *labels in parse(code)]
+    return steps == minimal(*graph_of(steps))
 
 
 def arcs_of(code: str) -> tuple[str, list[int]]:
@@ -107,17 +169,18 @@ def arcs_of(code: str) -> tuple[str, list[int]]:
     code each number is."""
     order: list[int] = []
     out = []
-    for a, b, x, y, z in parse(code):
+    for s in code.split(";"):
+        a, b, x, y, z = s.split(",")
         if y[0] == "<":
             a, b, x, z = b, a, z, x
-        for v in (a, b):
+        for v in (int(a), int(b)):
             if v not in order:
                 order.append(v)
-        out.append((order.index(a), order.index(b), x, y[1:], z))
-    return text(out), order
+        out.append(f"{order.index(int(a))},{order.index(int(b))},{x},{y[1:]},{z}")
+    return ";".join(out), order
 
 
-def canonical(labels: dict[int, str], edges: list[tuple[int, int, str]]) -> str:
+def canonical(labels: dict[int, str | None], edges: list[tuple[int, int, str | None]]) -> str:
     """The same text for isomorphic graphs, connected or not; lone vertices are written as their label."""
     seen: set[int] = set()
     parts = []
@@ -133,23 +196,24 @@ def canonical(labels: dict[int, str], edges: list[tuple[int, int, str]]) -> str:
                     piece.add(w)
                     todo.append(w)
             seen |= piece
-            own = [e for e in edges if e[0] in piece]
-            parts.append(text(minimal({x: labels[x] for x in piece}, own)) if own else labels[v])
+            own = [(a, b, _ordered(y)) for a, b, y in edges if a in piece]
+            steps = minimal({x: _ordered(labels[x]) for x in piece}, own) if own else []
+            parts.append(text([(a, b, *map(_plain, found)) for a, b, *found in steps]) if own else escape(labels[v]))
     return "|".join(sorted(parts))
 
 
-def is_min_code_udf(directed: bool = False):
+def is_min_key_udf(directed: bool = False):
     @F.pandas_udf(T.BooleanType())
-    def minimal_ones(codes: pd.Series) -> pd.Series:
-        return codes.map(lambda c: is_min_code(c, directed))
+    def minimal_ones(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: is_min_key(k, directed))
 
     return minimal_ones
 
 
 def extensions_udf(directed: bool = False):
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType())])))
-    def growing_points(codes: pd.Series) -> pd.Series:
-        return codes.map(lambda c: [{"p": p, "q": q} for p, q in extensions(c, directed)])
+    def growing_points(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: [{"p": p, "q": q} for p, q in extensions(k, directed)])
 
     return growing_points
 
@@ -160,13 +224,20 @@ def arcs_of_udf(codes: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def canonical_udf(shapes: pd.Series) -> pd.Series:
-    """Canonical codes of graphs written as ``id:label id:label …/u-v:label …`` (labels without blanks, ``/`` and ``:``)."""
+def _canonical_udf(vids: pd.Series, vlbs: pd.Series, srcs: pd.Series, dsts: pd.Series, elbs: pd.Series) -> pd.Series:
+    rows = zip(vids, vlbs, srcs, dsts, elbs, strict=True)
+    return pd.Series([canonical(dict(zip(v, x, strict=True)), list(zip(a, b, y, strict=True))) for v, x, a, b, y in rows], dtype=object)
+
+
+def shapes(v: DataFrame, e: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` with shape: the graph (vertices vid, vlb; edges src, dst, elb) of each key as one value, to be told apart by."""
+    vs = v.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("vid", "vlb"))).alias("vs"))
+    es = e.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "elb"))).alias("es"))
+    none = F.array().cast(es.schema["es"].dataType)
+    return vs.join(es, [*keys], "left").select(*keys, F.struct("vs", F.coalesce("es", none).alias("es")).alias("shape"))
 
-    def one(shape: str) -> str:
-        vs, _, es = shape.partition("/")
-        labels = {int(x.split(":")[0]): x.split(":")[1] for x in vs.split()}
-        edges = [(*map(int, x.split(":")[0].split("-")), x.split(":")[1]) for x in es.split()]
-        return canonical(labels, edges)
 
-    return shapes.map({s: one(s) for s in shapes.unique()})
+def canonical_codes(shaped: DataFrame) -> DataFrame:
+    """(shape, code) of the distinct shapes."""
+    parts = ["vs.vid", "vs.vlb", "es.src", "es.dst", "es.elb"]
+    return shaped.select("shape").distinct().withColumn("code", _canonical_udf(*(F.col(f"shape.{p}") for p in parts)))

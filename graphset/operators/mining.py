@@ -1,21 +1,27 @@
 """Frequent connected patterns of a set of labelled graphs, and matching of given patterns.
 
-Growth is level by level: each level is one join of the embeddings found so far with the edges (co-partitioned by graph),
-one count per code, and a test for minimality on the distinct frequent codes alone.  Embeddings are never gathered per code,
-so a pattern that occurs in a third of all graphs is no one task's work.
+Growth is level by level.  Labels are numbers, and a pattern found frequent gets a number, so an embedding is that number, its
+graph, and its vertices and edges; it meets its whole graph in one join, in which it takes every step that it may, so neither
+the embeddings nor the edges are shuffled once for each growing point.  Then steps are counted, and the new patterns that are
+frequent are tested for minimality on their distinct codes alone.  Embeddings are never gathered per pattern, so a pattern
+that occurs in a third of all graphs is no one task's work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphset.operators.codes import arcs_of_udf, extensions_udf, graph_of, is_min_code_udf
+from graphset.operators.codes import arcs_of_udf, escaped, extensions_udf, graph_of, is_min_key_udf, unescaped
 from graphset.operators.tables import symmetrize, with_labels
-from graphset.storage import numbered, save
+from graphset.storage import numbered, save, small
+
+#: Graphs with more edges than this, read from both ends, are kept as one row an edge while patterns grow.
+ARCS_IN_ROW = 2_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +53,8 @@ def match_pattern(v: DataFrame, e: DataFrame, code: str, directed: bool = False)
     found: DataFrame | None = None
     seen: list[int] = []
     for a, b, lab in edges:
-        step = arcs.filter((F.col("slb") == labels[a]) & (F.col("elb") == lab) & (F.col("dlb") == labels[b])).select("gid", F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}"))
+        wanted = F.col("slb").eqNullSafe(labels[a]) & F.col("elb").eqNullSafe(lab) & F.col("dlb").eqNullSafe(labels[b])
+        step = arcs.filter(wanted).select("gid", F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}"))
         found = step if found is None else found.join(step, ["gid", *(f"v{x}" for x in (a, b) if x in seen)])
         for x in (a, b):
             if x not in seen:
@@ -57,76 +64,124 @@ def match_pattern(v: DataFrame, e: DataFrame, code: str, directed: bool = False)
     return found.select("gid", F.array(*(F.col(f"v{x}") for x in sorted(seen))).alias("vids"))
 
 
-def growth_arcs(v: DataFrame, e: DataFrame, min_support: int, directed: bool) -> DataFrame:
-    """gid, eid, src, dst, slb, elb, dlb: the frequent edges, read from both ends; directed labels tell which way."""
-    one = with_labels(v, e).select("gid", "eid", "src", "dst", "slb", "elb", "dlb")
-    first, second = (F.col("slb"), F.col("dlb")) if directed else (F.least("slb", "dlb"), F.greatest("slb", "dlb"))
-    one = save(one.withColumns({"vlb1": first, "vlb2": second}))
-    common = save(one.groupBy("vlb1", "elb", "vlb2", "gid").agg(F.lit(1)).groupBy("vlb1", "elb", "vlb2").count().filter(F.col("count") >= min_support).drop("count"))
-    one = one.join(common, ["vlb1", "elb", "vlb2"], "left_semi")
-
-    def mark(sign: str):
-        return F.concat(F.lit(sign), "elb") if directed else F.col("elb")
+def growth_arcs(v: DataFrame, e: DataFrame, min_support: int, directed: bool) -> tuple[DataFrame, DataFrame]:
+    """(arcs, names): gid, eid, src, dst, sl, el, dl, kind of the frequent edges, read from both ends; id, field of the labels.
 
-    there = one.select("gid", "eid", "src", "dst", "slb", mark(">").alias("elb"), "dlb")
-    back = one.select("gid", "eid", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dlb").alias("slb"), mark("<").alias("elb"), F.col("slb").alias("dlb"))
-    return save(there.unionByName(back))
+    Labels are numbered in their order, null first.  In directed graphs ``el`` is the number plus 1, negative if the arc is read
+    against its direction.  ``kind`` is the least reading of the edge: no step of a minimal code is of a lesser kind than its
+    first.
+    """
+    one = with_labels(v, e).select("gid", "eid", "src", "dst", "slb", "elb", "dlb")
+    swap = F.lit(False) if directed else (F.col("slb").isNotNull() & F.col("dlb").isNull()) | F.coalesce(F.col("dlb") < F.col("slb"), F.lit(False))
+    one = save(one.select("gid", "eid", swap.alias("swap"), *(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("src", "dst", "a"), ("dst", "src", "b"), ("slb", "dlb", "x"), ("dlb", "slb", "z"))), F.col("elb").alias("y")))
+    common = save(one.groupBy("x", "y", "z", "gid").agg(F.lit(1)).groupBy("x", "y", "z").count().filter(F.col("count") >= min_support).drop("count"))
+    labels = common.select(F.explode(F.array(*(F.struct(F.lit(k).alias("what"), F.col(c).alias("label")) for c, k in (("x", 0), ("z", 0), ("y", 1))))).alias("l")).select("l.*").distinct()
+    names = save(numbered(labels, "what", "label", name="id").withColumn("id", F.col("id").cast("int")))
+    kinds = common
+    for c, what in (("x", 0), ("y", 1), ("z", 0)):
+        of = small(names.filter(F.col("what") == what).select(F.col("label").alias("of"), F.col("id").alias(f"n{c}")))
+        kinds = kinds.join(of, F.col(c).eqNullSafe(F.col("of"))).drop("of")
+    kinds = small(kinds.withColumnsRenamed({c: f"of_{c}" for c in "xyz"}))
+    one = one.join(kinds, F.col("x").eqNullSafe(F.col("of_x")) & F.col("y").eqNullSafe(F.col("of_y")) & F.col("z").eqNullSafe(F.col("of_z")))
+    kind = F.struct(F.least("nx", "nz").alias("x"), (F.lit(directed) & (F.col("nx") < F.col("nz"))).cast("int").alias("s"), F.col("ny").alias("y"), F.greatest("nx", "nz").alias("z")).alias("kind")
+    there, back = (F.col("ny") + 1, -F.col("ny") - 1) if directed else (F.col("ny"), F.col("ny"))
+    ways = F.array(*(F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), F.col(x).alias("sl"), el.alias("el"), F.col(z).alias("dl")) for s, d, x, el, z in (("a", "b", "nx", there, "nz"), ("b", "a", "nz", back, "nx"))))
+    arcs = one.select("gid", "eid", kind, F.explode(ways).alias("way")).select("gid", "eid", "way.*", "kind")
+    return save(arcs), names.select("id", escaped(F.col("label")).alias("field"))
+
+
+def _grown(places: DataFrame, arcs: DataFrame, packed: DataFrame, large: DataFrame | None, most_v: int | None) -> DataFrame:
+    """All steps that places (with points, n and root of their pattern) can take: one row each."""
+
+    def fits(p: Column, q: Column, a: Callable[[str], Column]) -> Column:
+        new = q.isNull() & ~F.array_contains("vids", a("dst"))
+        if most_v is not None:
+            new = new & (F.col("n") < most_v)
+        back = q.isNotNull() & (a("dst") == F.get("vids", q)) & ~F.array_contains("eids", a("eid"))
+        return (a("src") == F.get("vids", p)) & (a("kind") >= F.col("root")) & (new | back)
+
+    def steps(point: Column) -> Column:
+        p, q = point["p"], point["q"]
+        found = F.filter("arcs", lambda a: fits(p, q, a.getField))
+        return F.transform(found, lambda a: F.struct(p.alias("p"), F.coalesce(q, F.col("n")).alias("t"), a["sl"].alias("sl"), a["el"].alias("el"), a["dl"].alias("dl"), a["dst"].alias("dst"), a["eid"].alias("eid")))
+
+    out = ["pid", "gid", "vids", "eids"]
+    grown = places.join(packed, "gid").select(*out, F.explode(F.flatten(F.transform("points", steps))).alias("step")).select(*out, "step.*")
+    if large is not None:
+        points = places.join(large, "gid", "left_semi").withColumn("point", F.explode("points")).select("*", "point.p", "point.q")
+        edges = arcs.join(large, "gid", "left_semi").withColumnRenamed("src", "from")
+        on = points.withColumn("from", F.get("vids", F.col("p"))).join(edges, ["gid", "from"]).withColumn("src", F.col("from"))
+        on = on.filter(fits(F.col("p"), F.col("q"), F.col)).withColumn("t", F.coalesce("q", "n"))
+        grown = grown.unionByName(on.select(*out, "p", "t", "sl", "el", "dl", "dst", "eid"))
+    vids = F.when(F.col("t") > F.col("p"), F.concat("vids", F.array("dst"))).otherwise(F.col("vids"))
+    return grown.select(F.col("pid").alias("parent"), "p", "t", "sl", "el", "dl", "gid", vids.alias("vids"), F.concat("eids", F.array("eid")).alias("eids"))
 
 
 def mine_frequent(v: DataFrame, e: DataFrame, config: MiningConfig) -> tuple[DataFrame, DataFrame]:
     """(patterns, embeddings): code, support, embeddings, num_vert, num_edge; and code, gid, vids, eids of each place.
 
     The upper bounds stop growth, the lower bound only the report.  One-vertex patterns are reported when the lower bound
-    allows, with the label as code.  Directed patterns are mined in the same way over steps that know their direction; their
-    codes list the arcs from tail to head, and two vertices may have several arcs.  Loops are not part of patterns.
+    allows, with the label as code.  Labels may be any text or null; in codes they are written as ``codes`` says.  Directed
+    patterns are mined in the same way over steps that know their direction; their codes list the arcs from tail to head, and
+    two vertices may have several arcs.  Loops are not part of patterns.
     """
     directed = config.directed
     most_v = None if config.max_vertices is None else max(config.max_vertices, config.min_vertices)
-    arcs = growth_arcs(v, e.filter("src <> dst"), config.min_support, directed)
-    minimal, ways = is_min_code_udf(directed), extensions_udf(directed)
-    level = arcs.filter("slb <= dlb").select(F.concat_ws(",", F.lit("0"), F.lit("1"), "slb", "elb", "dlb").alias("code"), "gid", F.array("src", "dst").alias("vids"), F.array("eid").alias("eids"))
-    all_patterns, all_places = None, None
+    arcs, names = growth_arcs(v, e.filter("src <> dst"), config.min_support, directed)
+    names = small(names)
+    large = save(arcs.groupBy("gid").count().filter(F.col("count") > ARCS_IN_ROW).select("gid"))
+    large = None if large.isEmpty() else large
+    rows = arcs if large is None else arcs.join(large, "gid", "left_anti")
+    packed = save(rows.groupBy("gid").agg(F.collect_list(F.struct("src", "dst", "eid", "sl", "el", "dl", "kind")).alias("arcs")))
+    minimal, ways = is_min_key_udf(directed), extensions_udf(directed)
+    step = ["parent", "p", "t", "sl", "el", "dl"]
+    sign = F.when(F.lit(not directed), "").when(F.col("el") > 0, ">").otherwise("<")
+    number = F.abs("el") - 1 if directed else F.col("el")
+    first = F.struct(F.col("sl").alias("x"), (F.lit(directed) & (F.col("el") > 0)).cast("int").alias("s"), number.alias("y"), F.col("dl").alias("z"))
+    level = arcs.filter("sl <= dl").select(F.lit(0).cast("long").alias("parent"), F.lit(0).alias("p"), F.lit(1).alias("t"), "sl", "el", "dl", "gid", F.array("src", "dst").alias("vids"), F.array("eid").alias("eids"))
+    parents, all_patterns, all_places = None, None, None
     edges = 1
     while True:
         # kept while it is counted; what is infrequent is never written
         level = level.persist(StorageLevel.MEMORY_AND_DISK)
-        counts = level.groupBy("code", "gid").agg(F.count("*").alias("n"), F.max(F.size("vids")).alias("v"))
-        counts = counts.groupBy("code").agg(F.count("*").alias("support"), F.sum("n").alias("embeddings"), F.max("v").alias("num_vert"))
-        counts = counts.filter(F.col("support") >= config.min_support).withColumn("num_edge", F.lit(edges))
-        counts = save(counts.filter(minimal("code")))
-        if all_patterns is not None and counts.isEmpty():
+        counts = level.groupBy(*step, "gid").agg(F.count("*").alias("n")).groupBy(*step).agg(F.count("*").alias("support"), F.sum("n").alias("embeddings"))
+        counts = counts.filter(F.col("support") >= config.min_support).withColumn("number", number)
+        for c, of in (("sl", "x"), ("number", "y"), ("dl", "z")):
+            counts = counts.join(names.select(F.col("id").alias(c), F.col("field").alias(of)), c)
+        own_key = F.concat_ws(",", "p", "t", "sl", F.concat(sign, "number"), "dl")
+        own_code = F.concat_ws(",", "p", "t", "x", F.concat(sign, "y"), "z")
+        if parents is None:
+            counts = counts.select(*step, "support", "embeddings", own_key.alias("key"), own_code.alias("code"), F.lit(2).alias("num_vert"), first.alias("root"))
+        else:
+            counts = counts.join(parents, "parent").select(*step, "support", "embeddings", F.concat_ws(";", "before_key", own_key).alias("key"), F.concat_ws(";", "before_code", own_code).alias("code"), (F.col("before_vert") + (F.col("t") > F.col("p")).cast("int")).alias("num_vert"), "root")
+        found = save(counts.filter(minimal("key")).withColumns({"pid": F.monotonically_increasing_id(), "num_edge": F.lit(edges)}))
+        if all_patterns is not None and found.isEmpty():
             level.unpersist()
             break
-        kept = save(level.join(counts.select("code"), "code"))
+        kept = save(level.join(found.select("pid", *step), step).select("pid", "gid", "vids", "eids"))
         level.unpersist()
-        all_patterns = counts if all_patterns is None else all_patterns.unionByName(counts)
-        all_places = kept if all_places is None else all_places.unionByName(kept)
-        if config.max_edges is not None and edges >= config.max_edges or counts.isEmpty():
+        patterns = found.select("pid", "code", "support", "embeddings", "num_vert", "num_edge")
+        places = kept.withColumn("num_edge", F.lit(edges))
+        all_patterns = patterns if all_patterns is None else all_patterns.unionByName(patterns)
+        all_places = places if all_places is None else all_places.unionByName(places)
+        if config.max_edges is not None and edges >= config.max_edges or found.isEmpty():
             break
-        grow = counts.select("code", F.explode(ways("code")).alias("x")).select("code", "x.p", "x.q")
-        at = kept.join(save(grow), "code").withColumns({"src": F.element_at("vids", F.col("p") + 1), "n": F.size("vids")})
-        if most_v is not None:
-            at = at.filter(F.col("q").isNotNull() | (F.col("n") < most_v))
-        on = at.join(arcs, ["gid", "src"])
-        forward = F.col("q").isNull() & ~F.array_contains("vids", F.col("dst"))
-        back = F.col("q").isNotNull() & (F.col("dst") == F.element_at("vids", F.col("q") + 1)) & ~F.array_contains("eids", F.col("eid"))
-        step = F.concat_ws(",", "p", F.coalesce("q", "n"), "slb", "elb", "dlb")
-        level = on.filter(forward | back).select(
-            F.concat_ws(";", "code", step).alias("code"),
-            "gid",
-            F.when(F.col("q").isNull(), F.concat("vids", F.array("dst"))).otherwise(F.col("vids")).alias("vids"),
-            F.concat("eids", F.array("eid")).alias("eids"),
-        )
+        points = save(found.select("pid", ways("key").alias("points"), F.col("num_vert").alias("n"), "root"))
+        parents = found.select(F.col("pid").alias("parent"), F.col("key").alias("before_key"), F.col("code").alias("before_code"), F.col("num_vert").alias("before_vert"), "root")
+        level = _grown(kept.join(points, "pid"), arcs, packed, large, most_v)
         edges += 1
+    all_places = all_places.join(all_patterns.select("num_edge", "pid", "code"), ["num_edge", "pid"]).select("code", "gid", "vids", "eids")
+    all_patterns = all_patterns.drop("pid")
     if directed:
-        names = save(all_patterns.select("code", arcs_of_udf("code").alias("x")).select("code", "x.arcs", "x.order"))
+        turned = save(all_patterns.select("code", arcs_of_udf("code").alias("x")).select("code", "x.arcs", "x.order"))
         columns = all_patterns.columns, all_places.columns
-        all_patterns = all_patterns.join(names, "code").withColumn("code", F.col("arcs")).select(*columns[0])
+        all_patterns = all_patterns.join(turned, "code").withColumn("code", F.col("arcs")).select(*columns[0])
         vids = F.transform("order", lambda i: F.element_at("vids", i + 1))
-        all_places = all_places.join(names, "code").withColumns({"code": F.col("arcs"), "vids": vids}).select(*columns[1])
+        all_places = all_places.join(turned, "code").withColumns({"code": F.col("arcs"), "vids": vids}).select(*columns[1])
     if config.min_vertices <= 1:
-        lone = frequent_vertex_labels(v, config.min_support).join(v, "vlb").groupBy(F.col("vlb").alias("code")).agg(F.max("support").alias("support"), F.count("*").alias("embeddings"))
-        all_patterns = all_patterns.unionByName(lone.withColumns({"num_vert": F.lit(1), "num_edge": F.lit(0)}))
+        lone = v.groupBy("vlb").agg(F.countDistinct("gid").alias("support"), F.count("*").alias("embeddings")).filter(F.col("support") >= config.min_support)
+        lone = lone.select(escaped(F.col("vlb")).alias("code"), "support", "embeddings", F.lit(1).alias("num_vert"), F.lit(0).alias("num_edge"))
+        all_patterns = all_patterns.unionByName(lone)
     return all_patterns.filter(F.col("num_vert") >= config.min_vertices), all_places
 
 
@@ -150,10 +205,10 @@ def describe(patterns: DataFrame) -> DataFrame:
 
 
 def code_to_graph(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pattern graphs as tables: (code, vid, vlb) and (code, eid, src, dst, elb)."""
+    """Pattern graphs as tables: (code, vid, vlb) and (code, eid, src, dst, elb), with the labels as they were."""
     step = patterns.filter("num_edge > 0").select("code", F.posexplode(F.split("code", ";")).alias("eid", "s")).withColumn("s", F.split("s", ","))
-    ends = step.select("code", F.explode(F.array(F.struct(F.col("s")[0].cast("int").alias("vid"), F.col("s")[2].alias("vlb")), F.struct(F.col("s")[1].cast("int").alias("vid"), F.col("s")[4].alias("vlb")))).alias("x"))
-    return ends.select("code", "x.*").distinct(), step.select("code", "eid", F.col("s")[0].cast("int").alias("src"), F.col("s")[1].cast("int").alias("dst"), F.col("s")[3].alias("elb"))
+    ends = step.select("code", F.explode(F.array(F.struct(F.col("s")[0].cast("int").alias("vid"), unescaped(F.col("s")[2]).alias("vlb")), F.struct(F.col("s")[1].cast("int").alias("vid"), unescaped(F.col("s")[4]).alias("vlb")))).alias("x"))
+    return ends.select("code", "x.*").distinct(), step.select("code", "eid", F.col("s")[0].cast("int").alias("src"), F.col("s")[1].cast("int").alias("dst"), unescaped(F.col("s")[3]).alias("elb"))
 
 
 def pattern_vectors(occ: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphset.operators.codes import canonical_codes, shapes
 from graphset.operators.tables import degrees, symmetrize
 from graphset.storage import save
 
@@ -165,22 +166,18 @@ def clique_context(cl: DataFrame, tree: DataFrame) -> DataFrame:
     return near.join(member, ["gid", "other"]).groupBy("gid", "cid", "vid").agg(F.array_sort(F.collect_set("other")).alias("owners"))
 
 
-def shapes(v: DataFrame, e: DataFrame, members: DataFrame) -> DataFrame:
-    """(gid, cid, members) with shape: the induced subgraph as text, for canonical codes."""
+def induced(v: DataFrame, e: DataFrame, members: DataFrame) -> DataFrame:
+    """gid, cid with shape: what each set of members induces."""
     at = members.select("gid", "cid", F.explode("members").alias("vid"))
-    vs = at.join(v, ["gid", "vid"]).groupBy("gid", "cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vid", "vlb"))), lambda x: F.concat_ws(":", x["vid"], x["vlb"])), " ").alias("vs"))
+    vs = at.join(v, ["gid", "vid"])
     es = at.withColumnRenamed("vid", "src").join(e, ["gid", "src"]).join(at.withColumnRenamed("vid", "dst"), ["gid", "cid", "dst"])
-    es = es.groupBy("gid", "cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", "elb"))), lambda x: F.concat(x["src"], F.lit("-"), x["dst"], F.lit(":"), x["elb"])), " ").alias("es"))
-    return vs.join(es, ["gid", "cid"], "left").select("gid", "cid", F.concat("vs", F.lit("/"), F.coalesce("es", F.lit(""))).alias("shape"))
+    return shapes(vs, es, "gid", "cid")
 
 
 def clique_labels(v: DataFrame, e: DataFrame, cl: DataFrame) -> DataFrame:
     """gid, cid, label: the canonical code of what each clique induces; codes are worked out once per distinct shape."""
-    from graphset.operators.codes import canonical_udf
-
-    shaped = save(shapes(v, e, cl))
-    codes = shaped.select("shape").distinct().withColumn("label", canonical_udf("shape"))
-    return shaped.join(codes, "shape").select("gid", "cid", "label")
+    shaped = save(induced(v, e, cl))
+    return shaped.join(canonical_codes(shaped), "shape").select("gid", "cid", F.col("code").alias("label"))
 
 
 def junction_tree_graphs(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -198,11 +195,11 @@ def junction_tree_graphs(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFra
 def recover_patterns(places: DataFrame, cl: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
     """code, shape_code: mined tree patterns turned back into the vertices of their cliques, in the first graph that has
     them (each place there), as canonical codes."""
-    from graphset.operators.codes import canonical_udf
-
     first = places.groupBy("code").agg(F.min("gid").alias("gid"))
     held = places.join(first, ["code", "gid"]).select("code", "gid", F.array_sort("vids").alias("cids")).distinct()
     held = save(held.withColumn("cid", F.row_number().over(Window.partitionBy("gid").orderBy("code", "cids"))))
     member = held.select("code", "gid", "cid", F.explode("cids").alias("c")).join(cl.select("gid", F.col("cid").alias("c"), "members"), ["gid", "c"])
     whole = member.groupBy("code", "gid", "cid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
-    return shapes(v, e, whole).join(held.select("gid", "cid", "code"), ["gid", "cid"]).select("code", canonical_udf("shape").alias("shape_code")).distinct()
+    shaped = save(induced(v, e, whole))
+    named = shaped.join(canonical_codes(shaped).withColumnRenamed("code", "shape_code"), "shape")
+    return named.join(held.select("gid", "cid", "code"), ["gid", "cid"]).select("code", "shape_code").distinct()
