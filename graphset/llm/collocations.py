@@ -32,7 +32,7 @@ UNKNOWN_LANGUAGE = "und"
 #: Bytes of whole texts in a shard, and texts that are looked at together.
 SHARD_BYTES = 8 << 20
 #: N-grams that a task gathers before it sends its filter's sections on.
-GATHERED = 4_000_000
+GATHERED = 1_000_000
 #: Words of the corpus for each section of the merged filters, and sections for each shuffle partition, at least.
 WORDS_PER_SECTION, SECTIONS_PER_PARTITION = 500_000, 4
 #: First ranking of a language's phrases is dealt over so many tasks.
