@@ -1,7 +1,7 @@
 """Components, rings, cliques and junction trees inside each graph.
 
 Rings are all shortest cycles through each edge, however long: deterministic and relational.  In cage-like graphs there may be
-more of them than in a smallest cycle basis.
+more of them than in a smallest cycle basis, which ``cycle_basis`` gives.
 """
 
 from __future__ import annotations
@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphset.operators.bridges import ring_ids
 from graphset.operators.codes import canonical_codes, shapes
+from graphset.operators.cycles import in_each_graph, on_cycles, packed_edges, shortest_cycles, smallest_basis
 from graphset.operators.tables import degrees, symmetrize
 from graphset.storage import save
 
+#: Edges of a graph that is searched within one task.
+LOCAL_EDGES = 1_000
+
 
 def components(v: DataFrame, e: DataFrame) -> DataFrame:
     """gid, vid, comp: the smallest vertex that is reachable.  Each round passes labels on and then jumps along them."""
@@ -35,12 +40,53 @@ def filter_components(v: DataFrame, e: DataFrame, max_size: int, keep: str = "la
     return v.join(chosen.select("gid", "vid"), ["gid", "vid"], "left_semi")
 
 
+def by_size(e: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges, without loops, of the graphs that one task may hold, and those of larger ones, if there are any."""
+    e = e.filter("src <> dst")
+    large = save(e.groupBy("gid").count().filter(F.col("count") > LOCAL_EDGES).select("gid"))
+    if large.isEmpty():
+        return e, None
+    return e.join(large, "gid", "left_anti"), e.join(large, "gid", "left_semi")
+
+
 def edge_rings(e: DataFrame) -> DataFrame:
     """gid, eid, ring (vertices of a shortest cycle through the edge, sorted).
 
-    Both ends of an edge search breadth-first, a step at a time, in the graph without it.  Where the searches meet for the
-    first time, shortest ways back to both ends make the rings.  A search holds each vertex once, so dense graphs do not
-    make it grow, and it goes half way round only.
+    Graphs of up to ``LOCAL_EDGES`` edges are searched many to a task.  In larger ones bridges are found first, in rounds that
+    grow with the logarithm of the graph, and left out; the rest is searched by joins.
+    """
+    few, many = by_size(e)
+    found = in_each_graph(packed_edges(few), lambda edges: [([i], ring) for i, ring in shortest_cycles(edges)])
+    found = found.select("gid", F.col("eids")[0].alias("eid"), "ring")
+    if many is not None:
+        found = found.unionByName(searched_rings(many.join(ring_ids(many), ["gid", "eid"], "left_semi")))
+    return save(found)
+
+
+def cycle_basis(e: DataFrame) -> DataFrame:
+    """gid, eids, ring: a smallest set of smallest rings of each graph, by their edges and vertices, both sorted.
+
+    There are edges - vertices + components of them, and no other independent set of rings is shorter in all.  A graph of more
+    than ``LOCAL_EDGES`` edges is cut at its bridges, and each block that is left is one task's work.
+    """
+
+    def basis(edges: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
+        return [(some, sorted({v for i in some for v in edges[i]})) for some in smallest_basis(edges)]
+
+    few, many = by_size(e)
+    packed = packed_edges(few)
+    if many is not None:
+        inner = save(many.join(ring_ids(many), ["gid", "eid"], "left_semi").select("gid", "eid", "src", "dst"))
+        ends = inner.select("gid", F.explode(F.array("src", "dst")).alias("vid")).distinct()
+        blocks = components(ends, inner).select("gid", F.col("vid").alias("src"), "comp")
+        packed = packed.unionByName(packed_edges(inner.join(blocks, ["gid", "src"]), "comp"))
+    return in_each_graph(packed, basis)
+
+
+def searched_rings(e: DataFrame) -> DataFrame:
+    """The rings of ``edge_rings`` by joins: both ends of an edge search breadth-first, a step at a time, in the graph without
+    it.  Where the searches meet for the first time, shortest ways back to both ends make the rings.  A search holds each vertex
+    once, so dense graphs do not make it grow, and it goes half way round only.
     """
     arcs = save(symmetrize(e.select("gid", "eid", "src", "dst")).filter("src <> dst"))
     step = arcs.select("gid", F.col("eid").alias("by"), F.col("src").alias("vid"), F.col("dst").alias("next"))
@@ -84,12 +130,19 @@ def rings(e: DataFrame) -> DataFrame:
     return edge_rings(e).select("gid", "ring").distinct()
 
 
+def inner_edges(e: DataFrame) -> DataFrame:
+    """(gid, eid) of the edges that lie on rings."""
+    few, many = by_size(e)
+    found = in_each_graph(packed_edges(few), lambda edges: [([i], []) for i in on_cycles(edges)]).select("gid", F.col("eids")[0].alias("eid"))
+    return found if many is None else found.unionByName(ring_ids(many))
+
+
 def ring_edges(e: DataFrame) -> DataFrame:
-    return e.join(edge_rings(e).select("gid", "eid"), ["gid", "eid"], "left_semi")
+    return e.join(inner_edges(e), ["gid", "eid"], "left_semi")
 
 
 def bridge_edges(e: DataFrame) -> DataFrame:
-    return e.join(edge_rings(e).select("gid", "eid"), ["gid", "eid"], "left_anti")
+    return e.join(inner_edges(e), ["gid", "eid"], "left_anti")
 
 
 def merge_rings(r: DataFrame) -> DataFrame:

@@ -185,6 +185,14 @@ def ring_edges(spark, d):
     return rings.ring_edges(og.order_edges(spark, d)).drop("eid")
 
 
+@query(f"""{G}, sizes AS (SELECT gn.gid, n, count(*) FILTER (elb = '1' AND dst = src + 3) AS chords, count(*) AS edges FROM gn JOIN ge0 ON ge0.gid = gn.gid GROUP BY gn.gid, n)
+SELECT gid, CAST(edges - n + 1 AS BIGINT) AS rings, CAST(4 * chords + n - 2 * chords AS BIGINT) AS total FROM sizes WHERE n >= 3""")
+def cycle_basis(spark, d):
+    """Number and total length of the rings of a smallest basis: four to a chord, and the ring that goes along all chords."""
+    basis = rings.cycle_basis(og.order_edges(spark, d))
+    return basis.groupBy("gid").agg(F.count("*").alias("rings"), F.sum(F.size("eids")).alias("total"))
+
+
 #: Merged rings, cliques (cl), their graph (cg) and its heaviest spanning forest (mst): an edge is in it if no path of edges
 #: that rank before it joins its ends.
 CLIQUES = f"""{PATHS}, rg AS (SELECT DISTINCT gid, ring FROM er), rn AS (SELECT gid, ring, row_number() OVER (PARTITION BY gid ORDER BY ring) AS rid FROM rg),
