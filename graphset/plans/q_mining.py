@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphset.operators import mining, rings
+from graphset.operators import matching, mining, rings
 from graphset.operators.mining import MiningConfig
 from graphset.operators.tables import with_labels
 from graphset.plans import order_graphs as og
@@ -50,6 +50,25 @@ def match_pattern(spark, d):
     return found.select("gid", F.array_join("vids", ",").alias("vids"))
 
 
+@query(f"""{LABELLED} SELECT a.gid, concat_ws(',', a.src, a.dst, b.dst, c.dst) AS vids FROM la a JOIN la b ON b.gid = a.gid AND b.src = a.dst JOIN la c ON c.gid = a.gid AND c.src = b.dst JOIN la z ON z.gid = a.gid AND z.src = c.dst AND z.dst = a.src
+WHERE a.slb = 'NO' AND a.dlb = 'NO' AND b.dlb = 'NO' AND c.dlb = 'NO' AND a.elb = '1' AND b.elb = '1' AND c.elb = '1' AND z.elb = '1' AND b.dst <> a.src AND c.dst <> a.dst
+AND a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.dst < c.dst""")
+def match_once(spark, d):
+    """Rings of four, of whose eight symmetric places each comes once."""
+    found = matching.match_once(*og.order_graphs(spark, d), "0,1,NO,1,NO;1,2,NO,1,NO;2,3,NO,1,NO;3,0,NO,1,NO")
+    return found.select("gid", F.array_join("vids", ",").alias("vids"))
+
+
+@query(f"""{LABELLED}, parts AS (SELECT a.gid, 3 AS size, list_sort([a.src, a.dst, b.dst]) AS members FROM la a JOIN la b ON b.gid = a.gid AND b.src = a.dst AND b.dst <> a.src WHERE a.slb = 'NO' AND a.elb = '1' AND a.dlb = 'NO' AND b.elb = '2' AND b.dlb = 'RF'
+UNION SELECT gid, 2, list_sort([src, dst]) FROM la WHERE slb = 'NO' AND ((elb = '1' AND dlb = 'NO') OR (elb = '2' AND dlb = 'RF'))
+UNION SELECT gid, 1, [vid] FROM gv WHERE vlb IN ('NO', 'RF'))
+SELECT gid, size, array_to_string(members, ',') AS members FROM parts QUALIFY size = max(size) OVER (PARTITION BY gid)""")
+def largest_common(spark, d):
+    """The largest parts of NO -1- NO -2- RF in each order."""
+    found = matching.largest_common(*og.order_graphs(spark, d), "0,1,NO,1,NO;1,2,NO,2,RF")
+    return found.select("gid", "size", F.array_join(F.array_sort(F.filter("vids", lambda x: x.isNotNull())), ",").alias("members"))
+
+
 TWO = f"""{LABELLED}, two AS (SELECT a.gid, a.slb AS c, a.elb AS e1, a.dlb AS l1, b.elb AS e2, b.dlb AS l2 FROM la a JOIN la b ON b.gid = a.gid AND b.src = a.src AND b.eid <> a.eid AND (a.elb, a.dlb) <= (b.elb, b.dlb)),
 one AS (SELECT gid, elb, slb, dlb FROM la WHERE slb <= dlb),
 pat AS (SELECT 1 AS num_edge, count(DISTINCT gid) AS support, count(*) AS embeddings FROM one GROUP BY elb, slb, dlb
