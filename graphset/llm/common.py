@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphset.storage import join_hot, numbered, save, scratch_dir, small
 
-__all__ = ["free_name", "join_hot", "numbered", "save", "scratch_dir", "small", "table"]
+__all__ = ["free_name", "join_hot", "numbered", "save", "scratch_dir", "small", "small_batches", "table"]
+
+#: Rows of whole texts that go to a Python worker at once, at most.
+ARROW_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +22,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what the session sends to a Python worker at once, so that buffers on either side stay at some megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Work on about so many bytes of text at once, which take some 60 times as much memory; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Texts in a piece at most, so that a text's place in its piece fits in 16 bits.
 PIECE_TEXTS = 60_000
 
