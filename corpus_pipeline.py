@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphset.llm.common import save, table
+from graphset.llm.common import save, small_batches, table
 from graphset.llm.decontaminate import decontaminate
 from graphset.llm.jaccard_join import jaccard_classes
 from graphset.llm.mix_sources import mix_sources
@@ -27,12 +27,14 @@ from graphset.llm.toxicity import fit, held_out, keep_civil
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine calls toxic go."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     return keep_civil(docs, fit(docs, labels))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join the row of the smallest id stays (null ids last)."""
+    small_batches(spark)
     # written once, so that a row keeps its number whatever becomes of executors
     numbered = save(docs.withColumn("row_number_in_docs", F.monotonically_increasing_id()))
     classes = jaccard_classes(numbered, id_col="row_number_in_docs")
@@ -44,17 +46,20 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in them are masked, and n_chars follows the text."""
+    small_batches(spark)
     masked = redact_secrets(docs, fit_forest(labelled_findings(spark)))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the copies of each."""
+    small_batches(spark)
     numbered = save(docs.withColumn("row_number_in_docs", F.monotonically_increasing_id()))
     plan = mix_sources(numbered, id_col="row_number_in_docs").select("row_number_in_docs", "size", "source_size", "target", "copies", "taken")
     return numbered.join(save(plan.filter("copies > 0")), "row_number_in_docs").drop("row_number_in_docs")
