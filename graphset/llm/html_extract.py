@@ -5,9 +5,12 @@ the blocks before and after it, and what encloses it (kinds of elements, telling
 tree, trained on the small labelled table below, tells main text from the rest.  Pages are parsed and judged inside Spark's
 tasks; only the tree is sent there.
 
+Names count as whole words of a class, id or role, not as parts of one (``has-sidebar`` names no box), and not on a frame that
+holds most of the page with its article.
+
 Defined cases: a null or empty page, or one without main text, gives an empty text of 0 characters; elements, links and
-quotes may be left open, or elements nested wrongly; an unended comment, script or style swallows what follows; pages are
-read whole, in time in proportion to their length; rows alike are extracted each on its own; every input row gives one output
+quotes may be left open, or elements nested wrongly; an unended comment, script or style swallows what follows, and any other
+element that shows no text (button, svg, select and the like) ends with its block if it is left open; pages are read whole, in time in proportion to their length; rows alike are extracted each on its own; every input row gives one output
 row, an empty table none, and null ids and urls stay null.  Other columns, whatever their names, are not read.
 """
 
@@ -35,34 +38,62 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_LEVEL = HEADINGS | frozenset("p li dt dd blockquote pre figcaption".split())
 #: Signs that end a sentence, and those that may stand behind them.
 STOPS, CLOSERS = frozenset(".!?…:;"), "\"'”’)]"
-#: Names in class, id or role of what is not the article.
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|sidebar|side|widgets?|related|recommend(?:ed|ations)?|more|share|sharing|social|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"footer|masthead|topbar|header|toolbar|pagination|pager|tags|search|copyright|legal|disclaimer|contentinfo|complementary|hidden)(?:$|[\s_-])"
+#: Words of names (class, id or role) of boxes that hold no part of the article, when the name ends with them.
+ASIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe signup login "
+    "sidebar widget widgets related recommend recommended recommendations share sharing social nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer masthead topbar toolbar pagination pager tags copyright legal disclaimer contentinfo complementary hidden".split()
 )
+#: Those that say so as the first word too, those that only do so as the whole name or behind a word for the site.
+ASIDE_STARTS = frozenset("ad ads advert cookie cookies gdpr newsletter related recommended social share sponsored promo".split())
+ASIDE_ALONE, SITE_WORDS = frozenset("header search side more".split()), frozenset("site top global main".split())
+#: Words of what readers write, anywhere in a name.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words behind which a name goes on about the box it names, and words that make a name a state of the page or its layout.
+FURNITURE = frozenset("list lists links link bar box boxes block blocks area section container wrapper wrap inner outer panel item items row group slot unit form button buttons icon icons title message policy".split())
+STATES = frozenset("has with without no not is js hide show open closed enabled disabled active layout page theme".split())
 INSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?:$|[\s_-])")
+#: A named box that holds the page's main element or all of its articles, and more than this share of its words, is a frame.
+FRAME_SHARE = 0.5
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
 _OPEN_QUOTE = re.compile(r"=\s*([\"'])")
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|sidebar|side|widgets?|related|recommend(?:ed|ations)?|more|share|sharing|social|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"footer|masthead|topbar|header|toolbar|pagination|pager|tags|search|copyright|legal|disclaimer|contentinfo|complementary|hidden)(?:$|[\s_-])"
-)
-INSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?:$|[\s_-])")
-
-_TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PART = re.compile(r"[-_]+")
+#: A tag at which a block of text begins or ends.
+_BLOCK_TAG = re.compile(r"</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|tr|ul)[\s/>]", re.I)
 _HIDDEN = re.compile(r"(?:\s|^)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 #: A character reference of more digits than any character has.
 _LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 _ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
 
+#: Elements whose content is no markup, up to their own end tag or the end of the page.
+RAW = frozenset("script style".split())
+#: Elements that are never inside their like: another one ends the one before.
+SINGLE = frozenset("button select textarea title".split())
+
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "aside", "aside_name", "inside", "heading", "item", "stop")
 
 
+def box_kind(names: str) -> str:
+    """'comments', 'aside' or '', as the whole names of an element say."""
+    kind = ""
+    for name in names.split():
+        parts = [p for p in _PART.split(_HUMP.sub("-", name).lower()) if p]
+        if not parts or STATES & {*parts}:
+            continue
+        if COMMENT_WORDS & {*parts}:
+            return "comments"
+        head = list(parts)
+        while len(head) > 1 and head[-1] in FURNITURE:
+            head.pop()
+        alone = head[-1] in ASIDE_ALONE and (len(head) == 1 or head[-2] in SITE_WORDS)
+        if head[-1] in ASIDE_WORDS or head[0] in ASIDE_STARTS or alone:
+            kind = "aside"
+    return kind
+
+
 def decoded(text: str) -> str:
     """Character references decoded, white space as one space."""
     if "&" in text:
@@ -97,14 +128,15 @@ def end_of_tag(page: str, at: int, last: int) -> int:
 
 
 class Nesting:
-    """The open elements of a page: (name, aside, aside by name, inside); closing one takes time for what it closes only."""
+    """The open elements of a page: (name, aside, not shown or by readers, inside, innermost named box); closing one takes time
+    for what it closes only."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []
         self.at: dict[str, list[int]] = {}
         self.walls: list[int] = []
 
-    def push(self, item: tuple[str, bool, bool, bool]) -> None:
+    def push(self, item: tuple[str, bool, bool, bool, int]) -> None:
         self.at.setdefault(item[0], []).append(len(self.stack))
         if item[0] in ("article", "main", "body"):
             self.walls.append(len(self.stack))
@@ -124,10 +156,66 @@ class Nesting:
             self.pop()
 
 
+class Boxes:
+    """Boxes that a name calls no part of the article, each in the one around it, with the words, articles and main elements
+    that they hold."""
+
+    def __init__(self):
+        self.around = [-1]
+        self.held = [[0, 0, 0]]
+
+    def open(self, around: int) -> int:
+        self.around.append(around)
+        self.held.append([0, 0, 0])
+        return len(self.around) - 1
+
+    def left_out(self) -> list[bool]:
+        """Of each box, whether it or one around it does what its name says: frames do not.  Box 0 is the page."""
+        for i in range(len(self.around) - 1, 0, -1):
+            for k, n in enumerate(self.held[i]):
+                self.held[self.around[i]][k] += n
+        words, articles, _ = self.held[0]
+        out = [False]
+        for i in range(1, len(self.around)):
+            own, inner, mains = self.held[i]
+            frame = own > FRAME_SHARE * words and (mains > 0 or 0 < articles == inner)
+            out.append(out[self.around[i]] or not frame)
+        return out
+
+
+class Ahead:
+    """The next match of each pattern from a place on, for places that only go forward: every part of a page is searched once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.found: dict[str, re.Match | None] = {}
+
+    def next(self, pattern: str, at: int) -> re.Match | None:
+        m = self.found.get(pattern, False)
+        if m is False or (m is not None and m.start() < at):
+            m = self.found[pattern] = re.compile(pattern, re.I).search(self.page, at)
+        return m
+
+
+def after_silent(page: str, ahead: Ahead, name: str, at: int) -> int:
+    """Where the text goes on behind an element that opened before ``at`` and shows none; one left open ends with its block."""
+    if name == "head":
+        stop = ahead.next(r"</head\s*>|<body[\s>]", at)
+        return len(page) if stop is None else stop.start() if stop.group(0)[1] != "/" else stop.end()
+    stop = ahead.next(rf"</{re.escape(name)}\s*>", at)
+    if name in RAW:
+        return len(page) if stop is None else stop.end()
+    again = ahead.next(rf"<{re.escape(name)}[\s/>]", at) if stop is not None and name in SINGLE else None
+    if stop is None or (again is not None and again.start() < stop.start()):
+        block = _BLOCK_TAG.search(page, at, len(page) if again is None else again.start())
+        return block.start() if block is not None else len(page) if again is None else again.start()
+    return stop.end()
+
+
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """(text, features) of the text blocks of a page."""
-    found: list[tuple[str, int, int, bool, bool, bool, bool, bool]] = []
-    nest = Nesting()
+    found: list[tuple[str, int, int, bool, bool, bool, bool, bool, int]] = []
+    nest, boxes, ahead = Nesting(), Boxes(), Ahead(page)
     stack = nest.stack
     text: list[str] = []
     linked = [0, 0]  # open links, words in links
@@ -137,11 +225,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if text:
             whole = decoded("".join(text))
             if whole:
-                _, aside, name, inside = stack[-1] if stack else ("", False, False, False)
+                _, aside, name, inside, box = stack[-1] if stack else ("", False, False, False, 0)
                 heading = any(s[0] in HEADINGS for s in stack[-3:]) or tag in HEADINGS
                 item = any(s[0] in ("li", "dt", "dd", "td", "th", "option") for s in stack[-4:])
                 words = whole.count(" ") + 1
-                found.append((whole, words, min(linked[1], words), aside, name, inside, heading, item))
+                boxes.held[box][0] += words
+                found.append((whole, words, min(linked[1], words), aside, name, inside, heading, item, box))
             text.clear()
         linked[1] = 0
 
@@ -193,8 +282,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 text.append(" ")
             if attributes.rstrip().endswith("/") and name not in ("script", "style"):
                 continue
-            stop = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body[\s>]", re.I).search(page, at)
-            at = size if stop is None else stop.start() if name == "head" and stop.group(0)[1] != "/" else stop.end()
+            at = after_silent(page, ahead, name, at)
             continue
         if name in SILENT:
             continue
@@ -209,21 +297,25 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 linked[0] = 0  # a link left open ends with its line
             if name in ("p", *HEADINGS, "li", "dt", "dd") and stack and stack[-1][0] == ("li" if name == "li" else "p"):
                 nest.pop()
-            _, aside, named, inside = stack[-1] if stack else ("", False, False, False)
-            names = " ".join("".join(x) for x in _NAMES.findall(attributes)).lower()
+            _, aside, named, inside, box = stack[-1] if stack else ("", False, False, False, 0)
+            names = " ".join("".join(x) for x in _NAMES.findall(attributes)) if attributes else ""
             outer = name == "header" and not inside
-            inside_name = bool(names) and INSIDE_NAMES.search(names) is not None and ASIDE_NAMES.search(names) is None
-            aside_name = bool(names) and ASIDE_NAMES.search(names) is not None
-            if name in TEXT_LEVEL and aside_name and INSIDE_NAMES.search(names) is not None:
-                aside_name = False  # a paragraph of the text, whatever else its name says
+            kind = box_kind(names) if names and name not in ("html", "body") else ""
+            inside_name = bool(names) and not kind and INSIDE_NAMES.search(names.lower()) is not None
+            if kind == "aside" and (name in INSIDE or name in TEXT_LEVEL and INSIDE_NAMES.search(names.lower()) is not None):
+                kind = ""  # the article, or a paragraph of the text, whatever else its name says
             hidden = bool(attributes) and _HIDDEN.search(attributes) is not None
-            comments = name == "article" and bool(nest.at.get("article")) and re.search("comment|reply", names) is not None
-            nest.push((name, aside or name in ASIDE or outer or comments, named or hidden or comments or (name not in ("html", "body", "article", "main") and aside_name), inside or name in INSIDE or inside_name or comments))
+            readers = kind == "comments" and (name != "article" or bool(nest.at.get("article")) or named)
+            if kind == "aside":
+                box = boxes.open(box)
+            elif name in INSIDE and not readers and not named:
+                boxes.held[box][1 if name == "article" else 2] += 1
+            nest.push((name, aside or name in ASIDE or outer, named or hidden or readers, inside or name in INSIDE or inside_name, box))
     flush()
-    out = []
-    for i, (whole, words, links, aside, named, inside, heading, item) in enumerate(found):
+    out, left_out = [], boxes.left_out()
+    for i, (whole, words, links, aside, named, inside, heading, item, box) in enumerate(found):
         prev, post = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
-        f = [words, links / words, prev[1] if prev else 0, prev[2] / prev[1] if prev else 0, post[1] if post else 0, post[2] / post[1] if post else 0, aside, named, inside, heading, item, whole.rstrip(CLOSERS)[-1:] in STOPS]
+        f = [words, links / words, prev[1] if prev else 0, prev[2] / prev[1] if prev else 0, post[1] if post else 0, post[2] / post[1] if post else 0, aside, named or left_out[box], inside, heading, item, whole.rstrip(CLOSERS)[-1:] in STOPS]
         out.append((whole, [float(x) for x in f]))
     return out
 
@@ -259,6 +351,8 @@ LABELLED = [
     """<body><main><p>M:Some text.</p><p><a>M:A linked line</a> <a>M:and one more</a></p><p>M:The end of it, in a few words.</p></main></body>""",
     """<body><p>M:A page without boxes, on which a long first paragraph tells what the rest of it is going to be about.</p><p><a>X:More of this</a></p><p>X:(c) me</p></body>""",
     """<p>M:A page may be one long paragraph and nothing else at all, with no box around it, no menu before it, no line behind it and no mark at its end""",
+    """<body><div class="site has-sidebar"><header class=site-header><p>X:The post of the valley, each week.</p></header><div class="content-with-sidebar"><article class=post><header class=entry-header><h1>M:The mill turns</h1></header><div class=entry-content><p>M:The mill at the weir turns again, and flour comes from it for the first time in years.</p><p>M:Good flour.</p></div><footer class=entry-footer><p>X:Filed under mills and rivers of the valley.</p></footer></article></div><div class=sidebar><p>X:The valley has three mills and one of them is for sale this year.</p></div></div></body>""",
+    """<body><div class=related-posts><h3>X:Read on</h3><article><h4><a>X:The weir breaks</a></h4><p>X:How the weir broke in the night of the great flood.</p></article></div><div class=article-body><p>M:Long before the mill there was a ford, and carts went through the river there at low water in the summer.</p><p>M:It is gone.</p></div></body>""",
     """<body><div>M:Another page is a long stretch of words in a plain box, which nobody has taken the trouble to name or to frame with anything""",
 ]
 

@@ -71,3 +71,43 @@ def test_pages_table_keeps_the_article_alone(spark):
         assert plain <= set(found[r.page_id])
         nav = {" ".join(html.unescape(x).split()) for x in re.findall(r"<li><a[^>]*>(.*?)</a></li>", r.html.replace(inner, ""))}
         assert not nav & set(found[r.page_id])
+
+
+ARTICLE = "<h1>The long road</h1><p>The road goes from the sea to the hills, and nobody has walked all of it in one go so far.</p><p>It is long.</p><p>Those who live along it say that it was there before the towns, and that the towns came for its sake.</p>"
+WHOLE = "The long road\n\nThe road goes from the sea to the hills, and nobody has walked all of it in one go so far.\n\nIt is long.\n\nThose who live along it say that it was there before the towns, and that the towns came for its sake."
+NAV, FOOT = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News of the day</a></li></ul></nav>", "<footer><p>Printed by the road press. All rights are kept by it.</p></footer>"
+SIDE = "<div class=sidebar><h4>Weather</h4><p>Sun in the morning and rain in the afternoon, as on most days here.</p></div>"
+LAYOUTS = {
+    "class of a frame": f'<body>{NAV}<div class="content-with-sidebar"><article>{ARTICLE}</article></div>{FOOT}</body>',
+    "state of the page": f'<body>{NAV}<div id="page" class="site has-sidebar"><div class="content">{ARTICLE}</div>{SIDE}</div>{FOOT}</body>',
+    "word of an aside at the start": f'<body>{NAV}<div class="search-results-analysis">{ARTICLE}</div>{FOOT}</body>',
+    "header of the article": f'<body>{NAV}<article><header class="entry-header"><h1>The long road</h1></header>{ARTICLE.split("</h1>")[1]}</article>{FOOT}</body>',
+    "word of an aside at the end": f'<body>{NAV}<article>{ARTICLE.split("<p>It is")[0]}<div class="story-more"><p>It is{ARTICLE.split("<p>It is")[1]}</div></article>{FOOT}</body>',
+    "aside name around the article": f'<body><div class="sidebar">{NAV}<main><article>{ARTICLE}</article></main></div>{FOOT}</body>',
+    "open button": f"<body>{NAV}<div><button>Menu</div><article>{ARTICLE}</article>{FOOT}</body>",
+    "open svg in the title": f"<body>{NAV}<article>{ARTICLE.replace('</h1>', '<svg></h1>')}</article>{FOOT}</body>",
+    "open select and buttons": f"<body>{NAV}<form><select><option>One<option>Two</form><div><button>Go<button>Stop</button></div><article>{ARTICLE}</article>{FOOT}</body>",
+    "blog": f'<body><header class="site-header"><p>The blog of roads, for all who walk.</p></header>{NAV}<main id="main"><article class="post"><div class="entry-content">{ARTICLE}</div><div class="share-buttons"><a>Share</a></div></article><section id="comments" class="comments-area"><h2>Two thoughts</h2><ol class="comment-list"><li class="comment"><p>I have walked it twice and it is longer than they say it is, by far.</p></li></ol></section></main>{SIDE}{FOOT}</body>',
+    "news": f'<body><div class="ad-slot"><p>Boots for half the price, this week only, in all our shops.</p></div>{NAV}<div class="page-wrapper"><div class="story-body">{ARTICLE}</div><div class="related-articles"><h3>More stories</h3><ul><li><a>The short road</a></li></ul></div></div><div class="cookie-consent-banner"><p>We use cookies, and by going on you agree to all of them.</p></div>{FOOT}</body>',
+    "camel case": f'<body>{NAV}<div id="mainContent">{ARTICLE}</div><div id="relatedLinks"><p>Other roads that you may like to walk on a day off.</p></div>{FOOT}</body>',
+    "sections": f'<body>{NAV}<section class="hero-banner"><p>Walk more this year, with our new maps.</p></section><section class="article-section"><div class="text-block">{ARTICLE}</div></section><section class="newsletter-signup"><p>A walk in your inbox each Friday, free of charge.</p></section>{FOOT}</body>',
+    "tables": f"<body><table><tr><td><a>Home</a></td><td><a>Maps</a></td></tr></table><table><tr><td>{ARTICLE}</td></tr></table><p><a>Back</a> <a>Next</a></p></body>",
+    "no comments": f'<body class="no-comments">{NAV}<div class="post comments-closed">{ARTICLE}</div>{FOOT}</body>',
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_common_layouts_keep_every_paragraph(trained, name):
+    assert hx.main_text(LAYOUTS[name], trained) == WHOLE
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return hx.train_tree(spark)
+
+
+@pytest.mark.parametrize("page", ["<button>" * 150_000, "<p><svg>" * 150_000, "<select><button>x" * 100_000, '<div class="ad">' * 100_000, "<button>" * 100_000 + "</button>", '<div class="ad"><article>' * 60_000])
+def test_open_elements_take_linear_time(page):
+    began = time.perf_counter()
+    hx.blocks(page)
+    assert time.perf_counter() - began < 6
