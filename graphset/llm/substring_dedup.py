@@ -4,14 +4,16 @@ line), and runs of short sentences.
 A unit is normalised to its words (letters and digits, lower-case) and digested to 128 bits.  Digests are grouped globally;
 of each digest the earliest occurrence (by id, then offset) stays.  Later ones that follow each other without a word between
 them are a repeated stretch; one of at least ``min_words`` words, with a unit of ``RUN_WORDS`` in it, is removed, that is,
-its units are reported with their offsets in the original text.  Shorter stretches (a common line of a few words) stay.
+its units are reported with their offsets in the original text.  So is any later line or paragraph of at least ``line_words``
+words on its own.  Shorter ones (greetings, notices, labels, which many documents share) stay.
 
 From each short sentence, forwards and backwards, the fewest sentences that hold ``RUN_WORDS`` words are a unit too, so
 passages are found whatever the length of their lines.  A sentence ends at .!? before white space, symbols between them
 aside; a paragraph ends at a blank line.  What a unit shares with the place that stays is not cut.
 
 Defined cases: null and empty texts have no units; units of one word are looked at in runs only; long texts are looked at
-whole; rows alike in id and text are one document, and both are cut alike; a null id ranks last; texts of one id rank by a
+whole; of rows alike in id and text (the id may be null) all but one are cut whole, from their first word to the last, if they
+have ``line_words`` words, and units of theirs that stand elsewhere before are cut from all of them; a null id ranks last; texts of one id rank by a
 hash; an empty table gives an empty result.  Other columns, whatever their names, are kept and not read.
 """
 
@@ -31,6 +33,8 @@ from graphset.llm.words import mix, signed
 #: Words from which a repeated stretch is removed, that a line, a paragraph or a run of sentences has at least, and from which
 #: a sentence is looked at.
 MIN_WORDS, RUN_WORDS, LEAST_WORDS = 20, 8, 2
+#: Words from which a repeated line or paragraph is removed on its own.
+LINE_WORDS = 14
 _Q = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 _Q_INV = tuple(np.uint64(pow(int(q), -1, 1 << 64)) for q in _Q)
 
@@ -110,8 +114,10 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return docs.select(F.col(id_col).cast("long"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """id, text_hash, kind, start, stop, words, kept_id, kept_start of every unit to remove."""
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """id, text_hash, kind, start, stop, words, kept_id, kept_start, rows of every unit to remove; ``rows`` is the number of rows
+    alike that it is removed from (of kind row: all but one)."""
+
     def packed(high: str, low: Column) -> Column:
         return F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(low.cast("long"))
 
@@ -140,24 +146,44 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = joined.withColumn("stretch", F.sum("new").over(by_text.orderBy("word", end).rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("id", "text_hash", "stretch")
     marked = joined.withColumns({"in_all": F.max(end).over(whole) - F.min("word").over(whole), "longest": F.max("words").over(whole)})
-    marked = marked.filter((F.col("in_all") >= min_words) & (F.col("longest") >= run_words))
+    alone = F.col("kind").isin(0, 2) & (F.col("words") >= line_words)
+    marked = marked.filter(alone | (F.col("in_all") >= min_words) & (F.col("longest") >= run_words))
     # a run that overlaps the place that stays goes only from there on
     own = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("text_hash") == F.col("keep.text_hash"))
     marked = marked.withColumn("start", F.when(own, F.greatest("start", "keep.stop")).otherwise(F.col("start"))).filter("start < stop").dropDuplicates(["id", "text_hash", "kind", "start", "stop"])
-    return marked.select(F.col("id").alias(id_col), "text_hash", F.element_at(F.array(*map(F.lit, ("line", "sentence", "paragraph", "run"))), F.col("kind") + 1).alias("kind"), "start", "stop", "words", F.col("keep.id").alias("kept_id"), F.col("keep.start").alias("kept_start"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("line", "sentence", "paragraph", "run"))), F.col("kind") + 1)
+    out = marked.select("id", "text_hash", kind.alias("kind"), "start", "stop", "words", F.col("keep.id").alias("kept_id"), F.col("keep.start").alias("kept_start"))
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(text.isNotNull()).select(F.col(id_col).cast("long").alias("like_id"), F.xxhash64(text).alias("like_hash"), text.alias("text"))
+    alike = save(rows.groupBy("like_id", "like_hash").agg(F.count("*").alias("like")).filter("like > 1"))
+    out = out.withColumn("rows", F.lit(1).cast("long"))
+    if not alike.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("like_id")) & (F.col("text_hash") == F.col("like_hash"))
+        out = out.join(alike, same, "left").withColumn("rows", F.coalesce("like", "rows")).drop(*alike.columns)
+        named = alike.select(F.col("like_id").alias("id"), "like_hash")
+        one = rows.join(named, rows["like_id"].eqNullSafe(named["id"]) & (rows["like_hash"] == named["like_hash"]), "left_semi").groupBy("like_id", "like_hash").agg(F.min("text").alias("text"))
+        of = units(one, "like_id", "text", min_words=1).groupBy("id", "text_hash").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(end) - F.min("word")).alias("words"))
+        whole = of.filter(F.col("words") >= line_words).join(alike, same)
+        out = out.unionByName(whole.select("id", "text_hash", F.lit("row").alias("kind"), "start", "stop", "words", F.col("id").alias("kept_id"), F.col("start").alias("kept_start"), (F.col("like") - 1).alias("rows")))
+    return out.withColumnRenamed("id", id_col)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """``docs`` with the repeated units cut out of the texts; all columns and rows stay.
 
-    Spans meet their rows by id and a hash of the text, so ids may be null, or have several texts.
+    Rows are written once with a number each, so that of rows alike the same one stays whatever becomes of executors.  Spans
+    meet them by id and a hash of the text, so ids may be null, or have several texts.
     """
     names, at = docs.columns, docs.columns.index(text_col)
-    own, spans, key = (free_name(docs, n) for n in ("row_text_hash", "row_spans", "row_id"))
-    found = repeated_units(docs, id_col, text_col, min_words)
-    per_text = found.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(own)).agg(F.collect_list(F.struct("start", "stop")).alias(spans))
-    hashed = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
-    joined = hashed.join(per_text, (hashed[own] == per_text[own]) & hashed[id_col].cast("long").eqNullSafe(per_text[key]), "left").select(*(hashed[n] for n in names), per_text[spans])
+    key = F.xxhash64(F.col(f"row.`{id_col}`").cast("long"), F.xxhash64(F.col(f"row.`{text_col}`").cast("string"))).alias("key")
+    rows = save(docs.select(F.struct(*(docs[n] for n in names)).alias("row"), F.monotonically_increasing_id().alias("place")))
+    rows = rows.select("row", "place", key)
+    found = save(repeated_units(rows.select("row.*"), id_col, text_col, min_words, line_words=line_words))
+    found = found.select(F.xxhash64(id_col, "text_hash").alias("key"), F.struct("start", "stop").alias("span"), (F.col("kind") == "row").alias("whole"))
+    parts = found.groupBy("key").agg(F.collect_list(F.when(~F.col("whole"), F.col("span"))).alias("parts"), F.collect_list(F.when(F.col("whole"), F.col("span"))).alias("whole"))
+    values = save(rows.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).join(parts, "key", "left"))
+    cuts, spans = free_name(docs, "row_cuts"), F.when(F.col("place") == F.col("first"), F.col("parts")).otherwise(F.concat("parts", "whole"))
+    joined = join_hot(rows, values, ["key"], "n").select("row.*", spans.alias(cuts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -190,7 +190,7 @@ def test_diagonals_of_many_places_take_linear_time():
     assert time.perf_counter() - began < 3
 
 
-def brute_repeats(rows, min_words=20, run_words=8):
+def brute_repeats(rows, min_words=20, run_words=8, line_words=14):
     """The definition of repeated units, text by text in plain Python."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     every = {}
@@ -210,12 +210,14 @@ def brute_repeats(rows, min_words=20, run_words=8):
         def inside(a, b, starts=starts):
             return [i for i, s in enumerate(starts) if a <= s < b]
 
-        spans = {}
+        spans, alone = {}, set()
         for least, edges in ((run_words, sorted(lines)), (run_words, sorted(blanks)), (2, sentences)):
             for a, b in zip(edges, edges[1:], strict=False):
                 own = inside(a, b)
                 if len(own) >= least:
                     spans[own[0], own[-1]] = b
+                    if least == run_words and len(own) >= line_words:
+                        alone.add((own[0], own[-1]))
         some = [(inside(a, b), b) for a, b in zip(sentences, sentences[1:], strict=False) if inside(a, b)]
         for i in range(len(some)):
             for step in (1, -1):
@@ -227,16 +229,17 @@ def brute_repeats(rows, min_words=20, run_words=8):
                     spans.setdefault((some[a][0][0], some[b][0][-1]), some[b][1])
         for (f, z), end in spans.items():
             stop = len(t[:end].rstrip(" \t\n\r\v\f"))
-            every.setdefault(tuple(w[2] for w in words[f : z + 1]), set()).add((d is None, d or 0, hash(t), words[f][0], stop, f, z + 1, t))
+            every.setdefault(tuple(w[2] for w in words[f : z + 1]), set()).add((d is None, d or 0, hash(t), words[f][0], stop, f, z + 1, t, (f, z) in alone))
     gone = {}
     for places in every.values():
         keep = min(places)
         for p in places - {keep}:
-            gone.setdefault((None if p[0] else p[1], p[7]), []).append((p[5], p[6], p[3], p[4], keep[4] if keep[:3] == p[:3] else 0))
+            gone.setdefault((None if p[0] else p[1], p[7]), []).append((p[5], p[6], p[3], p[4], keep[4] if keep[:3] == p[:3] else 0, p[8]))
     out = set()
     for (d, t), units in gone.items():
+        out |= {(d, t, max(x[2], x[4]), x[3]) for x in units if x[5] and max(x[2], x[4]) < x[3]}
         stretch, end = [], -1
-        for u in [*sorted(units), (10**9, 10**9, 0, 0, 0)]:
+        for u in [*sorted(units), (10**9, 10**9, 0, 0, 0, False)]:
             if stretch and u[0] > end:
                 if end - stretch[0][0] >= min_words and max(x[1] - x[0] for x in stretch) >= run_words:
                     out |= {(d, t, max(x[2], x[4]), x[3]) for x in stretch if max(x[2], x[4]) < x[3]}
@@ -255,7 +258,10 @@ def test_substring_dedup_equals_brute_force(spark):
         rows.append((10 + i, text))
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row_spans int, row_text_hash string")
     texts = {(r.doc_id, r.h): r.text for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
-    got = {(r.doc_id, texts[r.doc_id, r.text_hash], r.start, r.stop) for r in repeated_units(docs).collect()}
+    found = repeated_units(docs).collect()
+    alike = "\n".join(pool[:9])
+    assert [(r.doc_id, texts[r.doc_id, r.text_hash], r.start, r.stop, r.rows) for r in found if r.kind == "row"] == [(None, alike, 0, len(alike), 1)]
+    got = {(r.doc_id, texts[r.doc_id, r.text_hash], r.start, r.stop) for r in found if r.kind != "row"}
     # which text of one id ranks first is a matter of hashes
     assert {x for x in got if x[0] != 7} == {x for x in brute_repeats(rows) if x[0] != 7} and len(got) > 20
     clean = remove_repeats(docs)
@@ -327,3 +333,22 @@ def test_secret_scan_cases(spark):
     masked = sec.redact_secrets(docs, forest)
     assert masked.columns == docs.columns and sorted(r.text or "" for r in masked.collect() if r.doc_id != 5) == sorted((t or "").replace(key, "[SECRET]") for i, t, _ in rows if i != 5)
     assert sec.scan_secrets(docs.limit(0), forest).count() == 0 == sec.redact_secrets(docs.limit(0), forest).count()
+
+
+def test_substring_dedup_of_lines_and_of_rows_alike(spark):
+    line = "sixteen words of one and the same line that stands in many texts again and again"
+    assert len(line.split()) == 16
+    own = [" ".join(f"v{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(i, line) for i in range(50)]
+    rows += [(100 + i, f"{own[i]}\n{line}\n{own[i][::-1]}\nThank you for reading this far") for i in range(4)]
+    rows += [(7, own[4])] * 2 + [(None, own[5])] * 3 + [(None, "a few words")] * 3 + [(None, None)] * 2
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, salt string, place int").repartition(4)
+    found = repeated_units(docs).collect()
+    assert sorted(r.doc_id for r in found if r.kind == "line") == [*range(1, 50), *range(100, 104)]
+    assert sorted((str(r.doc_id), r.rows) for r in found if r.kind == "row") == [("7", 1), ("None", 2)]
+    clean = remove_repeats(docs).collect()
+    assert len(clean) == len(rows) and clean[0].asDict().keys() == {"doc_id", "text", "salt", "place"}
+    left = [(str(r.doc_id), r.text if r.text is None else r.text.strip()) for r in clean]
+    want = [("0", line), *((str(i), "") for i in range(1, 50)), *((str(100 + i), f"{own[i]}\n\n{own[i][::-1]}\nThank you for reading this far") for i in range(4))]
+    want += [("7", own[4]), ("7", ""), ("None", own[5]), *[("None", "")] * 2, *[("None", "a few words")] * 3, *[("None", None)] * 2]
+    assert sorted(map(str, left)) == sorted(map(str, want))
