@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import PCA, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphset.operators.fingerprint import dedup_environments, identifiers, sentences
+from graphset.operators.skipgram import train_skip_gram
 from graphset.operators.tables import drop_invalid
 from graphset.sources.text import feature_columns, read_graph_text
 from graphset.storage import save, small
@@ -28,7 +32,7 @@ def insert_unk(tokens: DataFrame, threshold: int = 3, unk: str = "UNK") -> DataF
 
 
 def train_word2vec(tokens: DataFrame, size: int = 100, window: int = 10, min_count: int = 3, iterations: int = 1, partitions: int = 1, seed: int = 42) -> Word2VecModel:
-    """Skip-gram vectors.  More partitions train in parallel and are averaged."""
+    """Skip-gram vectors of Spark ML, where partitions train apart and are averaged; ``train_skip_gram`` needs no averages."""
     return Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, numPartitions=partitions, seed=seed, inputCol="tokens", outputCol="mean").fit(tokens)
 
 
@@ -96,16 +100,35 @@ def project_2d(df: DataFrame, column: str = "vector") -> DataFrame:
     return out.withColumns({"x": F.col("plane")[0], "y": F.col("plane")[1]}).drop("features", "plane")
 
 
-class GraphVec(Estimator):
-    """Word vectors over sentences, with rare tokens as UNK; its model sums them per graph."""
+class _GraphVecParams(Params):
+    """What the estimator and its model share."""
 
-    def __init__(self, size: int = 100, window: int = 10, min_count: int = 3, threshold: int = 3, iterations: int = 1, partitions: int = 1, seed: int = 42, unk: str = "UNK"):
+    size = Param(Params._dummy(), "size", "dimensions of a word's vector", TypeConverters.toInt)
+    window = Param(Params._dummy(), "window", "words of context on either side", TypeConverters.toInt)
+    minCount = Param(Params._dummy(), "minCount", "occurrences from which a word gets a vector", TypeConverters.toInt)
+    threshold = Param(Params._dummy(), "threshold", "occurrences up to which a token is taken for the unknown one", TypeConverters.toInt)
+    iterations = Param(Params._dummy(), "iterations", "passes over all pairs of words", TypeConverters.toInt)
+    blocks = Param(Params._dummy(), "blocks", "blocks of the vocabulary, as many as tasks train at once", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "of the first vectors and of the draws", TypeConverters.toInt)
+    unk = Param(Params._dummy(), "unk", "the token for unknown ones", TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(size=100, window=10, minCount=3, threshold=3, iterations=5, blocks=4, seed=42, unk="UNK")
+
+
+class GraphVec(Estimator, _GraphVecParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Word vectors over sentences (gid, tokens), with rare tokens as ``unk``; its model sums them per graph."""
+
+    @keyword_only
+    def __init__(self, *, size: int = 100, window: int = 10, minCount: int = 3, threshold: int = 3, iterations: int = 5, blocks: int = 4, seed: int = 42, unk: str = "UNK"):
         super().__init__()
-        self.options = {"size": size, "window": window, "min_count": min_count, "iterations": iterations, "partitions": partitions, "seed": seed}
-        self.threshold, self.unk = threshold, unk
+        self._set(**self._input_kwargs)
 
     def _fit(self, tokens: DataFrame) -> GraphVecModel:
-        return GraphVecModel(train_word2vec(insert_unk(tokens, self.threshold, self.unk), **self.options), self.unk)
+        known = insert_unk(tokens, self.getOrDefault("threshold"), self.getOrDefault("unk"))
+        options = {name: self.getOrDefault(name) for name in ("size", "window", "iterations", "blocks", "seed")}
+        return self._copyValues(GraphVecModel(train_skip_gram(save(known), min_count=self.getOrDefault("minCount"), **options)))
 
     def fit_transform(self, tokens: DataFrame) -> DataFrame:
         return self.fit(tokens).transform(tokens)
@@ -114,22 +137,43 @@ class GraphVec(Estimator):
         raise ValueError("fit before transform")
 
 
-class GraphVecModel(Model):
-    def __init__(self, words: Word2VecModel, unk: str = "UNK"):
+class _GraphVecWriter(MLWriter):
+    def __init__(self, model: GraphVecModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.words.write.parquet(f"{path}/words")
+
+
+class _GraphVecReader(MLReader):
+    def load(self, path: str) -> GraphVecModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = GraphVecModel(self.sparkSession.read.parquet(f"{path}/words"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+class GraphVecModel(Model, _GraphVecParams, MLReadable, MLWritable):
+    """gid and vector of each sentence: the sum of its words' vectors, unknown ones as ``unk`` if that has a vector."""
+
+    def __init__(self, words: DataFrame):
         super().__init__()
-        self.words, self.unk = words, unk
+        self.words = words
 
     def vectors(self) -> DataFrame:
-        return self.words.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
+        return self.words
 
     def _transform(self, tokens: DataFrame) -> DataFrame:
-        vectors = self.vectors()
-        known = not vectors.filter(F.col("token") == self.unk).isEmpty()
-        return sentence_vectors(tokens, vectors, self.unk if known else None)
+        unk = self.getOrDefault("unk")
+        known = not self.words.filter(F.col("token") == unk).isEmpty()
+        return sentence_vectors(tokens, self.words, unk if known else None)
 
-    def save(self, path: str) -> None:
-        self.words.write().overwrite().save(path)
+    def write(self) -> MLWriter:
+        return _GraphVecWriter(self)
 
     @classmethod
-    def load(cls, path: str, unk: str = "UNK") -> GraphVecModel:
-        return cls(Word2VecModel.load(path), unk)
+    def read(cls) -> MLReader:
+        return _GraphVecReader()

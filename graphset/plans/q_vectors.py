@@ -171,7 +171,7 @@ def featurize(spark, d):
 @query()
 def word2vec_graph_vectors(spark, d):
     tokens = fingerprint.sentences(_ids(spark, d))
-    return vectors.GraphVec(size=16, window=5, min_count=3, partitions=4).fit(tokens).transform(tokens)
+    return vectors.GraphVec(size=16, window=5, minCount=3, iterations=2).fit(tokens).transform(tokens)
 
 
 @query()

@@ -174,7 +174,7 @@ def test_vectors(spark):
     with pytest.raises(ValueError):
         vectors.GraphVec().transform(tokens)
     many = spark.createDataFrame([(i, ["a", "b", "c"] * 4) for i in range(20)], "gid long, tokens array<string>")
-    model = vectors.GraphVec(size=4, window=2, min_count=1).fit(many)
+    model = vectors.GraphVec(size=4, window=2, minCount=1).fit(many)
     assert model.transform(many).filter("size(vector) = 4").count() == 20
 
 
