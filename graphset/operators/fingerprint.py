@@ -96,17 +96,24 @@ def similar_pairs(fp: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of graphs whose identifier sets reach the threshold.  Graphs with equal sets are compared once: a and
     b are the smallest gids of their classes, and pairs inside a class are left out; ``similar_classes`` has the members.
 
-    Sets meet in their rarest identifiers only: those among the first n - ceil(t n) + 1 by rarity.
+    Sets meet in their rarest identifiers only: those among the first n - ceil(t n) + 1 by rarity.  And a set asks there only
+    for sets of the sizes that can still reach the threshold with what both have from that identifier on, so sets that share
+    nothing but an identifier of nearly all graphs do not meet in it.
     """
     sets = fp.select("gid", "id").distinct().groupBy("gid").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     classes = save(sets.groupBy("ids").agg(F.min("gid").alias("g")).withColumn("n", F.size("ids")))
     seen = classes.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("df"))
     item = classes.select("g", "n", F.explode("ids").alias("id")).join(seen, "id")
     item = item.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("df", "id")))
-    head = item.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1").select("id", "g", "n")
-    x, y = head.withColumnsRenamed({"g": "a", "n": "na"}), head.withColumnsRenamed({"g": "b", "n": "nb"})
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
-    pairs = x.join(y, "id").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    # identifiers from this one on, of which a partner needs its share
+    head = item.filter("df > 1").withColumn("rest", F.col("n") - F.col("at") + 1).filter(F.col("rest") >= F.ceil(F.col("n") * threshold - 1e-9))
+    least = F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.lit(1)).cast("int")
+    most = F.least(F.col("n"), F.floor(F.col("rest") * (1 + 1 / threshold) - F.col("n") + 1e-9).cast("int"))
+    asks = head.withColumn("size", F.explode(F.when(most >= least, F.sequence(least, most)))).select("id", "size", F.col("g").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+    has = head.select("id", F.col("n").alias("size"), F.col("g").alias("y"), F.col("rest").alias("ry"))
+    enough = F.least("rx", "ry") * (1 + 1 / threshold) >= F.col("nx") + F.col("size") - 1e-9
+    met = asks.join(has, ["id", "size"]).filter((F.col("x") != F.col("y")) & enough)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     ids = classes.select("g", "ids")
     both = pairs.join(ids.withColumnsRenamed({"g": "a", "ids": "ia"}), "a").join(ids.withColumnsRenamed({"g": "b", "ids": "ib"}), "b")
     c = F.size(F.array_intersect("ia", "ib"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphset.operators.rings import by_size
 from graphset.operators.tables import degrees, symmetrize
 from graphset.storage import save, small
 
@@ -23,18 +29,67 @@ def abc_index(v: DataFrame, e: DataFrame, z: str = "z") -> DataFrame:
     return on.select("gid", "eid", F.round(x, 5).alias("index"))
 
 
-def shortest_paths(v: DataFrame, e: DataFrame, length: str | None = None) -> DataFrame:
-    """gid, a, b, d for all reachable pairs a <> b of each graph.  Paths double in every round, so rounds are few."""
-    w = F.lit(1.0) if length is None else F.col(length).cast("double")
-    arcs = symmetrize(e.select("gid", "src", "dst", w.alias("d")))
-    best = save(arcs.filter("src <> dst").groupBy("gid", F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min("d").alias("d")))
+def distances(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """(a, b, d) of all reachable pairs of one graph: the matrix of distances, made shorter through one vertex after another."""
+    names = sorted({v for x in edges for v in x[:2]})
+    place = {v: i for i, v in enumerate(names)}
+    d = np.full((len(names), len(names)), np.inf)
+    for a, b, w in edges:
+        i, j = place[a], place[b]
+        d[i, j] = d[j, i] = min(d[i, j], w)
+    for k in range(len(names)):
+        np.minimum(d, d[:, k, None] + d[None, k, :], out=d)
+    rows, cols = np.nonzero(np.isfinite(d))
+    return [(names[i], names[j], float(d[i, j])) for i, j in zip(rows.tolist(), cols.tolist(), strict=True) if i != j]
+
+
+def local_paths(arcs: DataFrame) -> DataFrame:
+    """``shortest_paths`` of graphs (gid, src, dst, d), many to a task."""
+    packed = arcs.groupBy("gid").agg(F.collect_list(F.struct("src", "dst", "d")).alias("x")).select("gid", "x.src", "x.dst", "x.d")
+    vid = arcs.schema["src"].dataType
+    schema = T.StructType([arcs.schema["gid"], T.StructField("a", vid), T.StructField("b", vid), T.StructField("d", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in batch.column(1)])]).astype(int)
+            flat = list(zip(*(batch.column(k).flatten().to_pylist() for k in (1, 2, 3)), strict=True))
+            for g in range(len(batch)):
+                own = distances(flat[ends[g] : ends[g + 1]])
+                rows += [g] * len(own)
+                found += own
+            a, b, d = zip(*found, strict=True) if found else ((), (), ())
+            kind = batch.column(1).type.value_type
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(a, kind), pa.array(b, kind), pa.array(d, pa.float64())], names=["gid", "a", "b", "d"])
+
+    return packed.mapInArrow(run, schema)
+
+
+def joined_paths(arcs: DataFrame) -> DataFrame:
+    """``shortest_paths`` of large graphs (gid, src, dst, d: both ways).  Paths up to double in every round, and only pairs that
+    the last round found or made shorter are joined to the others."""
+    best = save(arcs.groupBy("gid", F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min("d").alias("d")))
+    fresh = best
     while True:
-        two = best.withColumnsRenamed({"b": "m", "d": "d1"}).join(best.withColumnsRenamed({"a": "m", "d": "d2"}), ["gid", "m"]).filter("a <> b").select("gid", "a", "b", (F.col("d1") + F.col("d2")).alias("d"), F.lit(1).alias("new"))
-        both = best.withColumn("new", F.lit(0)).unionByName(two)
-        nxt = save(both.groupBy("gid", "a", "b").agg(F.min("d").alias("d"), F.min(F.when(F.col("new") == 0, F.col("d"))).alias("old")))
-        best, changed = nxt.select("gid", "a", "b", "d"), nxt.filter("old IS NULL OR d < old - 1e-12")
-        if changed.isEmpty():
+        front = fresh.withColumnsRenamed({"b": "m", "d": "d1"}).join(best.withColumnsRenamed({"a": "m", "d": "d2"}), ["gid", "m"])
+        back = best.withColumnsRenamed({"b": "m", "d": "d1"}).join(fresh.withColumnsRenamed({"a": "m", "d": "d2"}), ["gid", "m"])
+        two = front.unionByName(back, allowMissingColumns=True).filter("a <> b").groupBy("gid", "a", "b").agg(F.min(F.col("d1") + F.col("d2")).alias("d"))
+        known = best.select("gid", "a", "b", F.col("d").alias("old"))
+        fresh = save(two.join(known, ["gid", "a", "b"], "left").filter("old IS NULL OR d < old - 1e-12").select("gid", "a", "b", "d"))
+        if fresh.isEmpty():
             return best
+        best = save(best.unionByName(fresh).groupBy("gid", "a", "b").agg(F.min("d").alias("d")))
+
+
+def shortest_paths(v: DataFrame, e: DataFrame, length: str | None = None) -> DataFrame:
+    """gid, a, b, d for all reachable pairs a <> b of each graph.
+
+    Graphs of up to ``LOCAL_EDGES`` edges are worked on many to a task, larger ones by joins.
+    """
+    w = F.lit(1.0) if length is None else F.col(length).cast("double")
+    few, many = by_size(e.withColumn("d", w).select("gid", "src", "dst", "d"))
+    out = local_paths(few)
+    return save(out if many is None else out.unionByName(joined_paths(symmetrize(many))))
 
 
 def balaban_terms(v: DataFrame, e: DataFrame) -> DataFrame:

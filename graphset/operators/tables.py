@@ -128,20 +128,27 @@ def degrees(v: DataFrame, e: DataFrame) -> DataFrame:
     return v.select("gid", "vid").join(d, ["gid", "vid"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def vertex_features(v: DataFrame, e: DataFrame, mode: str | Callable[[], Column] = "default", in_ring: DataFrame | None = None) -> DataFrame:
-    """vlb replaced by a feature label: 'label' keeps it; 'default' joins in-ring flag, label and degree with dots; a function
-    gives any column over gid, vid, vlb, degree, ring."""
+def vertex_features(v: DataFrame, e: DataFrame, mode: str | Callable[[], Column] = "default", in_ring: DataFrame | None = None, caps: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """vlb replaced by a feature label: 'label' keeps it; 'default' joins with dots in-ring flag, label, degree, with ``caps``
+    (vlb, cap) the sum of bond orders and what the cap leaves of it, and the columns of ``v`` that ``more`` names (numbers,
+    charges, hydrogens); a function gives any column over gid, vid, vlb, degree, ring and ``more``.  Missing values are ``-``.
+    """
     rich = v.join(degrees(v, e), ["gid", "vid"])
     if in_ring is None:
         rich = rich.withColumn("ring", F.lit(0))
     else:
         rich = rich.join(in_ring.select("gid", "vid").distinct().withColumn("r", F.lit(1)), ["gid", "vid"], "left").withColumn("ring", F.coalesce("r", F.lit(0)))
+    parts = ["ring", "vlb", "degree"]
+    if caps is not None:
+        orders = symmetrize(e.select("gid", "src", "dst", "elb")).groupBy("gid", F.col("src").alias("vid")).agg(F.sum(F.col("elb").cast("double")).alias("ev"))
+        rich = rich.join(orders, ["gid", "vid"], "left").join(small(caps.select("vlb", F.col("cap").cast("double").alias("tv"))), "vlb", "left").withColumn("ev", F.coalesce("ev", F.lit(0.0))).withColumn("iv", F.col("tv") - F.col("ev"))
+        parts += ["ev", "iv"]
     if callable(mode):
         label = mode()
     elif mode == "label":
         label = F.col("vlb")
     else:
-        label = F.concat_ws(".", "ring", "vlb", "degree")
+        label = F.concat_ws(".", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in (*parts, *more)))
     return rich.select("gid", "vid", label.alias("vlb"))
 
 
@@ -234,3 +241,12 @@ def same_weight(a: DataFrame, b: DataFrame) -> DataFrame:
     x = a.groupBy(F.col("gid").alias("gid_a")).agg(F.round(F.sum("w"), 6).alias("total"))
     y = b.groupBy(F.col("gid").alias("gid_b")).agg(F.round(F.sum("w"), 6).alias("total"))
     return x.join(y, "total").select("gid_a", "gid_b", "total")
+
+
+def weight_classes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """side ('a' or 'b'), gid, total of the graphs whose weights sum to a total that both sides have, to 6 places: the pairs of
+    ``same_weight`` as classes and their members, so a total that many graphs have is not all their pairs."""
+    sums = [df.groupBy("gid").agg(F.round(F.sum("w"), 6).alias("total")).select(F.lit(side).alias("side"), "gid", "total") for side, df in (("a", a), ("b", b))]
+    both = sums[0].unionByName(sums[1])
+    met = both.groupBy("total").agg(F.count_distinct("side").alias("sides")).filter("sides = 2").select("total")
+    return both.join(met, "total", "left_semi").select("side", "gid", "total")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import PCA, Word2Vec, Word2VecModel
@@ -10,12 +15,13 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphset.operators.fingerprint import dedup_environments, identifiers, sentences
 from graphset.operators.skipgram import train_skip_gram
 from graphset.operators.tables import drop_invalid
 from graphset.sources.text import feature_columns, read_graph_text
-from graphset.storage import save, small
+from graphset.storage import is_small, save, small
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -24,11 +30,30 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
 
 def insert_unk(tokens: DataFrame, threshold: int = 3, unk: str = "UNK") -> DataFrame:
-    """Tokens that occur at most ``threshold`` times in all become ``unk``; order stays."""
-    frequent = token_counts(tokens).filter(F.col("n") > threshold).select("token", F.lit(True).alias("known"))
-    at = tokens.select("gid", F.posexplode("tokens").alias("pos", "token")).join(small(frequent), "token", "left")
+    """Tokens that occur at most ``threshold`` times in all become ``unk``; order stays.
+
+    Where the frequent tokens are few enough to be sent to all executors, sentences are rewritten where they lie; else each
+    word meets its count in a join.  A null sentence stays null, an empty one empty.
+    """
+    frequent = save(token_counts(tokens).filter(F.col("n") > threshold).select("token"))
+    if is_small(frequent):
+        # at most BROADCAST_ROWS of them
+        known = pa.array([r.token for r in frequent.collect()], pa.string())
+
+        def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(1)
+                words = lists.flatten()
+                out = pc.if_else(pc.is_in(words, value_set=known), words, unk)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, out, mask=lists.is_null())], names=["gid", "tokens"])
+
+        return tokens.select("gid", "tokens").mapInArrow(rewrite, T.StructType([tokens.schema["gid"], T.StructField("tokens", T.ArrayType(T.StringType()))]))
+    at = tokens.select("gid", F.posexplode_outer("tokens").alias("pos", "token"), F.size("tokens").alias("n")).join(frequent.withColumn("known", F.lit(True)), "token", "left")
     word = F.when(F.col("known"), F.col("token")).otherwise(F.lit(unk))
-    return at.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("token")))), lambda x: x["token"]).alias("tokens"))
+    rows = at.groupBy("gid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", word.alias("token"))))), lambda x: x["token"]).alias("tokens"))
+    return rows.select("gid", F.when(F.col("n") >= 0, F.col("tokens")).alias("tokens"))
 
 
 def train_word2vec(tokens: DataFrame, size: int = 100, window: int = 10, min_count: int = 3, iterations: int = 1, partitions: int = 1, seed: int = 42) -> Word2VecModel:

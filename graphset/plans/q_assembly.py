@@ -76,6 +76,28 @@ def merged_sizes(spark, d):
     return v.groupBy("cand").agg(F.count("*").alias("n_vertices"))
 
 
+@query(f"""{SITES}, k AS (SELECT s.*, unnest(CASE WHEN ul = wl THEN ['u'] ELSE ['u', 'w'] END) AS keep FROM sites s), tw AS (SELECT gid, count(*) AS m, sum(CAST(elb AS DOUBLE)) AS w FROM ge0 GROUP BY gid)
+SELECT concat_ws('/', 'n', base, block, u, k.w, keep) AS cand, CAST(coalesce(x.m, 0) + coalesce(y.m, 0) AS BIGINT) AS bonds, coalesce(x.w, 0) + coalesce(y.w, 0) AS total, a.ev + b.ev AS merged
+FROM k LEFT JOIN tw x ON x.gid = base LEFT JOIN tw y ON y.gid = block JOIN val a ON a.gid = base AND a.vid = u JOIN val b ON b.gid = block AND b.vid = k.w WHERE coalesce(x.m, 0) + coalesce(y.m, 0) > 0""")
+def merged_bonds(spark, d):
+    """Bonds of each node merge: how many, their sum, and the sum at the vertex that both became."""
+    p = parts(spark, d)
+    _, _, e = assemble.merge_nodes(*p, caps(spark, d))
+    return _bond_sums(e, p[0], {"u": 3, "w": 4}, ["u"], ["w"])
+
+
+def _bond_sums(e, v, at, own, other):
+    """cand, bonds, total, merged; ``at``: places of the vertices in the name of a candidate, ``own`` and ``other`` those that
+    survive in the base or in the block, whose ids are behind the base's."""
+    name = F.split("cand", "/")
+    size = v.groupBy(F.col("gid").alias("base")).agg((F.max("vid") + 1).alias("by"))
+    kept = F.when(F.element_at(name, -1) == "u", F.array(*(F.get(name, F.lit(at[x])).cast("int") for x in own))).otherwise(F.array(*(F.get(name, F.lit(at[x])).cast("int") + F.col("by") for x in other)))
+    rows = e.withColumn("base", F.get(name, F.lit(1)).cast("long")).join(size, "base").withColumn("kept", kept)
+    w = F.col("elb").cast("double")
+    ends = F.array_contains("kept", F.col("src")).cast("int") + F.array_contains("kept", F.col("dst")).cast("int")
+    return rows.groupBy("cand").agg(F.count("*").alias("bonds"), F.sum(w).alias("total"), F.sum(w * ends).alias("merged"))
+
+
 RING_SITES = f"""{PATHS}, {CAPS}, rg AS (SELECT DISTINCT gid, ring FROM er), val AS (SELECT v.gid, v.vid, v.vlb, coalesce(sum(CAST(e.elb AS DOUBLE)), 0) AS ev, c.tv FROM gv v LEFT JOIN ge e ON e.gid = v.gid AND e.src = v.vid JOIN caps c ON c.k = v.vlb[1] GROUP BY ALL),
 rs AS (SELECT DISTINCT e.gid, least(src, dst) AS a, greatest(src, dst) AS b FROM ge0 e JOIN rg ON rg.gid = e.gid AND list_contains(ring, src) AND list_contains(ring, dst)),
 rl AS (SELECT rs.gid, a, b, x.vlb AS la, y.vlb AS lb FROM rs JOIN val x ON x.gid = rs.gid AND x.vid = a AND x.tv > x.ev JOIN val y ON y.gid = rs.gid AND y.vid = b AND y.tv > y.ev)"""
@@ -92,6 +114,19 @@ def merge_edges(spark, d):
     return cands.groupBy("base", "block").agg(F.count("*").alias("candidates"))
 
 
+@query(f"""{RING_SITES}, way AS (SELECT gid, a AS c, b AS d, la AS lc, lb AS ld FROM rl UNION ALL SELECT gid, b, a, lb, la FROM rl), tw AS (SELECT gid, count(*) AS m, sum(CAST(elb AS DOUBLE)) AS w FROM ge0 GROUP BY gid),
+k AS (SELECT p.base, p.block, x.a, x.b, y.c, y.d, unnest(CASE WHEN list_sort([x.la, x.lb]) = list_sort([y.lc, y.ld]) THEN ['u'] ELSE ['u', 'w'] END) AS keep FROM pairs p JOIN rl x ON x.gid = base JOIN way y ON y.gid = block),
+s AS (SELECT k.*, CAST(f.elb AS DOUBLE) AS wf, CAST(g.elb AS DOUBLE) AS wg FROM k JOIN ge f ON f.gid = base AND f.src = a AND f.dst = b JOIN ge g ON g.gid = block AND g.src = c AND g.dst = d)
+SELECT concat_ws('/', 'e', base, block, a, b, c, d, keep) AS cand, CAST(x.m + y.m - 1 AS BIGINT) AS bonds, x.w + y.w - CASE keep WHEN 'u' THEN wg ELSE wf END AS total,
+  va.ev + vb.ev + vc.ev + vd.ev - 2 * CASE keep WHEN 'u' THEN wg ELSE wf END AS merged
+FROM s JOIN tw x ON x.gid = base JOIN tw y ON y.gid = block JOIN val va ON va.gid = base AND va.vid = a JOIN val vb ON vb.gid = base AND vb.vid = b JOIN val vc ON vc.gid = block AND vc.vid = c JOIN val vd ON vd.gid = block AND vd.vid = d""")
+def merged_edge_bonds(spark, d):
+    """Bonds of each ring-edge merge: the survivor's shared bond stays, the other one goes, all else adds up."""
+    p = parts(spark, d)
+    _, _, e = assemble.merge_edges(*p, caps(spark, d))
+    return _bond_sums(e, p[0], {"a": 3, "b": 4, "c": 5, "d": 6}, ["a", "b"], ["c", "d"])
+
+
 @query()
 def sanitize(spark, d):
     c = caps(spark, d)

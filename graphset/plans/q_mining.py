@@ -111,11 +111,28 @@ def mine_three_edges(spark, d):
 
 @query()
 def mine_frequent_all(spark, d):
-    """Growth goes on until no pattern is frequent."""
-    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT // 2))
+    """Growth goes on until no pattern is frequent: at sf0.01 after patterns of four edges."""
+    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT // 5))
     return mining.describe(patterns)
 
 
+@query(f"""{LABELLED} SELECT concat_ws(',', '0', '1', slb, elb, dlb) AS code, count(DISTINCT gid) AS support, count(*) AS embeddings, CAST(2 AS INT) AS num_vert, CAST(1 AS INT) AS num_edge FROM la WHERE slb <= dlb GROUP BY ALL HAVING count(DISTINCT gid) >= {SUPPORT}
+UNION ALL SELECT vlb, count(DISTINCT gid), count(*), 1, 0 FROM gv GROUP BY vlb HAVING count(DISTINCT gid) >= {SUPPORT}""")
+def mine_size_bounds(spark, d):
+    """From one vertex to two."""
+    return mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT, min_vertices=1, max_vertices=2))[0]
+
+
+@query(f"""{LABELLED}, one AS (SELECT concat_ws(',', '0', '1', slb, elb, dlb) AS code, slb, elb, dlb FROM la WHERE slb <= dlb GROUP BY ALL HAVING count(DISTINCT gid) >= {SUPPORT})
+SELECT code, CAST(0 AS INT) AS src, CAST(1 AS INT) AS dst, elb, slb, dlb FROM one""")
+def code_to_graph(spark, d):
+    """Patterns of one edge as graphs again, edges with the labels of their ends."""
+    patterns, _ = mining.mine_frequent(*og.order_graphs(spark, d), MiningConfig(SUPPORT, max_edges=1))
+    pv, pe = mining.code_to_graph(patterns)
+    ends = [pv.select("code", F.col("vid").alias(end), F.col("vlb").alias(f"{end[0]}lb")) for end in ("src", "dst")]
+    return pe.join(ends[0], ["code", "src"]).join(ends[1], ["code", "dst"]).select("code", "src", "dst", "elb", "slb", "dlb")
+
+
 @query(f"""{LABELLED}, one AS (SELECT concat_ws(',', '0', '1', slb, elb, dlb) AS code, gid FROM la WHERE slb <= dlb)
 SELECT code, gid, count(*) AS n FROM one WHERE code IN (SELECT code FROM one GROUP BY code HAVING count(DISTINCT gid) >= {SUPPORT}) GROUP BY ALL""")
 def occurrences(spark, d):
@@ -183,6 +200,14 @@ def components(spark, d):
     return rings.components(v, with_labels(v, e).filter("slb = dlb"))
 
 
+@query(f"""{R}, part AS (SELECT ge.gid, src, dst FROM ge JOIN gv a ON a.gid = ge.gid AND a.vid = src JOIN gv b ON b.gid = ge.gid AND b.vid = dst WHERE a.vlb = b.vlb), reach AS (SELECT gid, vid, vid AS r FROM gv UNION SELECT p.gid, reach.vid, p.dst FROM reach JOIN part p ON p.gid = reach.gid AND p.src = reach.r)
+SELECT gid, vid FROM reach GROUP BY gid, vid HAVING count(*) > 2""")
+def filter_components(spark, d):
+    """Vertices that lie in components of equal labels of more than two."""
+    v, e = og.order_graphs(spark, d)
+    return rings.filter_components(v, with_labels(v, e).filter("slb = dlb"), 2).select("gid", "vid")
+
+
 PATHS = f"""{R}, walk AS (SELECT gid, eid, dst AS goal, src AS last, [src] AS path, 1 AS n FROM ge0
 UNION ALL SELECT w.gid, w.eid, w.goal, e.dst, list_append(w.path, e.dst), w.n + 1 FROM walk w JOIN ge e ON e.gid = w.gid AND e.src = w.last AND e.eid <> w.eid WHERE NOT list_contains(w.path, e.dst) AND w.last <> w.goal),
 cyc AS (SELECT gid, eid, list_sort(path) AS ring, n, min(n) OVER (PARTITION BY gid, eid) AS least FROM walk WHERE last = goal),

@@ -157,6 +157,30 @@ def vertex_features_in_rings(spark, d):
     return tables.vertex_features(v, e, in_ring=ring)
 
 
+@query(f"""{G}, dg AS (SELECT gid, src AS vid, count(*) AS degree, sum(CAST(elb AS DOUBLE)) AS ev FROM ge GROUP BY ALL),
+q AS (SELECT l_orderkey AS gid, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS INT) AS vid, CAST(l_linenumber AS INT) AS number FROM lineitem),
+f AS (SELECT gv.*, coalesce(degree, 0) AS degree, coalesce(ev, 0) AS ev, CASE vlb[1] WHEN 'R' THEN 4 WHEN 'N' THEN 3 END AS cap, number FROM gv JOIN q USING (gid, vid) LEFT JOIN dg USING (gid, vid))
+SELECT gid, vid, concat('0.', vlb, '.', degree, '.', CAST(ev AS VARCHAR), '.', coalesce(CAST(CAST(cap - ev AS DOUBLE) AS VARCHAR), '-'), '.', number) AS vlb FROM f""")
+def vertex_features_full(spark, d):
+    """Flag, label, degree, sum of bonds, free valence (labels of A have no cap) and a number of the line."""
+    v = og.sized_vertices(spark, d, "l_linenumber")
+    first = F.substring("vlb", 1, 1)
+    caps = v.select("vlb").distinct().select("vlb", F.when(first == "R", 4).when(first == "N", 3).alias("cap"))
+    return tables.vertex_features(v.withColumn("number", F.col("l_linenumber").cast("int")), og.order_edges(spark, d), caps=caps, more=("number",))
+
+
+@query(f"{G}, dg AS (SELECT gid, src AS vid, count(*) AS degree FROM ge GROUP BY ALL) SELECT gv.gid, gv.vid, concat(lower(vlb), '/', coalesce(degree, 0)) AS vlb FROM gv LEFT JOIN dg USING (gid, vid)")
+def vertex_features_by_function(spark, d):
+    return tables.vertex_features(*og.order_graphs(spark, d), mode=lambda: F.concat(F.lower("vlb"), F.lit("/"), F.col("degree").cast("string")))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS gid, round(sum(CAST(l_quantity AS DOUBLE)), 6) AS total FROM lineitem GROUP BY ALL), b AS (SELECT o_orderkey AS gid, round(sum(CAST(o_custkey AS DOUBLE)), 6) AS total FROM orders GROUP BY ALL)
+SELECT 'a' AS side, gid, total FROM a WHERE total IN (SELECT total FROM b) UNION ALL SELECT 'b', gid, total FROM b WHERE total IN (SELECT total FROM a)""")
+def weight_classes(spark, d):
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("gid"), F.col("l_quantity").cast("double").alias("w"))
+    return tables.weight_classes(a, table(spark, d, "orders").select(F.col("o_orderkey").alias("gid"), F.col("o_custkey").cast("double").alias("w")))
+
+
 @query(f"{G} SELECT e.gid, src, dst, elb FROM ge0 e JOIN gv a ON a.gid = e.gid AND a.vid = src JOIN gv b ON b.gid = e.gid AND b.vid = dst WHERE a.vlb = 'NO' AND b.vlb = 'NO'")
 def induced_subgraph(spark, d):
     v, e = og.order_graphs(spark, d)

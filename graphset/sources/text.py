@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from graphset.storage import save
 
 
-def read_graph_text(spark: SparkSession, path: str, gid: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+def read_graph_text(spark: SparkSession, path: str, gid: str = "ordinal", directed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Graphs from ``t # id`` / ``v id label`` / ``e from to label`` lines; a file ends at ``t # -1``.
 
-    The graph's id is the ordinal of its ``t`` line, or with ``gid='label'`` the number on it.  One record is one graph, cut
+    Edges are read as arcs if ``directed``, else with the smaller end first.  The graph's id is the ordinal of its ``t`` line, or with ``gid='label'`` the number on it.  One record is one graph, cut
     at line starts, so that files are split and graphs never are gathered in one task; several files follow in their order
     by name, in whatever order Spark reads them.
     """
@@ -34,7 +34,8 @@ def read_graph_text(spark: SparkSession, path: str, gid: str = "ordinal") -> tup
     v = line.filter(F.col("f")[0] == "v").select("gid", F.col("f")[1].cast("int").alias("vid"), F.col("f")[2].alias("vlb"))
     e = line.filter(F.col("f")[0] == "e").select("gid", "pos", F.col("f")[1].cast("int").alias("src"), F.col("f")[2].cast("int").alias("dst"), F.col("f")[3].alias("elb"))
     e = e.withColumn("eid", F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1)
-    return v, e.select("gid", "eid", "src", "dst", "elb")
+    e = e.select("gid", "eid", "src", "dst", "elb")
+    return v, e if directed else e.withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")})
 
 
 def graph_text(v: DataFrame, e: DataFrame) -> DataFrame:

@@ -49,12 +49,17 @@ def save(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def is_small(done: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a written table has at most so many bytes and rows."""
+    files = done.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("size"), F.count("*").alias("n"))
+    size, rows = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return size <= max_bytes and rows <= max_rows
+
+
 def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, written, with a broadcast hint if it has at most so many bytes and rows, else without."""
     done = save(df)
-    files = done.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("size"), F.count("*").alias("n"))
-    size, rows = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return F.broadcast(done) if size <= max_bytes and rows <= max_rows else done
+    return F.broadcast(done) if is_small(done, max_bytes, max_rows) else done
 
 
 def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], n: str, share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
