@@ -10,6 +10,9 @@ A query first expands the annuli with the highest bounds until they hold enough
 stops: of the other annuli only those with a bound of at least that score are searched.  The result is exact whatever the
 pivots are.  Pivots are fitted on ``sample`` vectors (a documented bound); all vectors are indexed.
 
+How much that leaves depends on the vectors: in many dimensions distances to a pivot are all about alike, and then nearly all
+annuli are searched (README has figures); the bounds save work where vectors lie in clusters.
+
 Annuli are searched in blocks of about ``BLOCK`` vectors against chunks of about ``QUERIES`` queries of neighbouring pivots,
 so neither a crowded annulus nor many queries make a large task.  The search is planned first, and only those blocks of the
 index are shuffled that some query of a chunk has to see, once for each such chunk.
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 
 from graphset.llm.common import save
 
-#: Vectors that pivots are fitted on, pivots, annuli of a pivot at most, vectors and queries of a search block, and lengths of
-#: vectors in a table.
-SAMPLE, PIVOTS, RINGS, BLOCK, QUERIES, LENGTHS = 4096, 32, 64, 4096, 4096, 64
+#: Vectors that pivots are fitted on, annuli of a pivot at most, vectors and queries of a search block, and lengths of vectors in
+#: a table.
+SAMPLE, RINGS, BLOCK, QUERIES, LENGTHS = 4096, 64, 4096, 4096, 64
+#: Pivots at least and at most, and vectors for each pivot between these.
+PIVOTS, MOST_PIVOTS, VECTORS_PER_PIVOT = 32, 256, 512
 
 
 def fit_pivots(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -99,12 +104,13 @@ def best_of(q: np.ndarray, qid: np.ndarray, least: np.ndarray, v: np.ndarray, vi
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, pivots: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, the rows whose id is divisible by ``every``."""
     wide = F.col(vector_col).cast("array<double>")
     whole = vectors.select(F.col(id_col).cast("long").alias("name"), wide.alias("x")).filter("name IS NOT NULL AND size(x) > 0 AND NOT exists(x, y -> y IS NULL OR isnan(y) OR abs(y) = double('infinity'))")
     # written once, so that a row keeps its number
     ints = save(whole.select("name", F.transform("x", lambda y: F.floor(y * F.lit(float(scale)))).alias("x"), F.monotonically_increasing_id().alias("id")))
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, ints.count() // VECTORS_PER_PIVOT))
     seen: dict[int, list] = {}
     for r in ints.orderBy(F.xxhash64("name"), "name", "id").limit(sample).collect():
         seen.setdefault(len(r["x"]), []).append(r["x"])
@@ -147,7 +153,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
             count += r["asks"]
     queries = index.filter(F.col("name") % every == 0)
     found_type = "query long, vec_id long, score long"
-    plan_type = "dim int, cell long, block long, chunk long, id long, x array<long>, least double"
+    plan_type = "dim int, cell long, block long, chunk long, id long, least double"
 
     def plan(first: bool):
         """The search blocks of each query: those of its first annuli, or the others that its k-th score leaves."""
@@ -175,8 +181,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                         own = [first_query[int(d), c] for c in piece.column(3).to_pylist()]
                         chunk = np.array([(base + i % n) // QUERIES for (base, n), i in zip(own, piece.column(0).to_pylist(), strict=True)], dtype=np.int64)
                         rows = pa.array(at_row)
-                        cols = [pa.array(np.full(len(at_row), d, dtype=np.int32)), pa.array(at_cell), pa.array(block), pa.array(chunk[at_row]), piece.column(0).take(rows), piece.column(1).take(rows), pa.array(floor[at_row])]
-                        yield pa.RecordBatch.from_arrays(cols, names=["dim", "cell", "block", "chunk", "id", "x", "least"])
+                        cols = [pa.array(np.full(len(at_row), d, dtype=np.int32)), pa.array(at_cell), pa.array(block), pa.array(chunk[at_row]), piece.column(0).take(rows), pa.array(floor[at_row])]
+                        yield pa.RecordBatch.from_arrays(cols, names=["dim", "cell", "block", "chunk", "id", "least"])
 
         return run
 
@@ -199,11 +205,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["query", "vec_id", "score"])
 
     def visit(asked: DataFrame, first: bool) -> DataFrame:
+        # ids only: the vectors of a chunk join them on their way to a block
         planned = save(asked.mapInArrow(plan(first), plan_type))
         keys = ["dim", "cell", "block"]
         # at most one row for each block and chunk
         met = planned.select(*keys, F.col("chunk").alias("of")).distinct()
-        return planned.groupBy(*keys, "chunk").cogroup(placed.join(met, keys).groupBy(*keys, "of")).applyInArrow(search, found_type)
+        return planned.join(queries.select("id", "x"), "id").groupBy(*keys, "chunk").cogroup(placed.join(met, keys).groupBy(*keys, "of")).applyInArrow(search, found_type)
 
     early = save(visit(queries.select("id", "x", F.lit(None).cast("double").alias("least"), "cell"), True))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
