@@ -293,6 +293,38 @@ def clique_context(spark, d):
     return rings.clique_context(cl, tree).withColumn("owners", F.array_join("owners", ","))
 
 
+#: What a clique induces, as text that is the same for the same shape (kl): the label of a vertex, the ends of a bond in order,
+#: and of a ring the least of its labels read from each vertex in both directions; its members stand in ring order by id here.
+CLIQUE_LABELS = f"""{CLIQUES}, places AS (SELECT gid, cid, kind, len(members) AS k, members, unnest(range(len(members))) AS i FROM cl),
+rim AS (SELECT p.gid, p.cid, p.kind, p.k, p.i, v.vlb, e.elb FROM places p JOIN gv v ON v.gid = p.gid AND v.vid = p.members[p.i + 1] LEFT JOIN ge e ON e.gid = p.gid AND e.src = p.members[p.i + 1] AND e.dst = p.members[(p.i + 1) % p.k + 1]),
+lists AS (SELECT gid, cid, kind, any_value(k) AS k, list(vlb ORDER BY i) AS v, list(elb ORDER BY i) AS e FROM rim GROUP BY gid, cid, kind),
+turns AS (SELECT gid, cid, kind, k, v, e, unnest(range(k)) AS r FROM lists),
+kl AS (SELECT gid, cid, CASE WHEN any_value(k) = 1 THEN any_value(v[1]) WHEN any_value(k) = 2 THEN least(any_value(v[1]), any_value(v[2])) || any_value(e[1]) || greatest(any_value(v[1]), any_value(v[2]))
+  ELSE min(least(array_to_string(list_transform(range(k), lambda j: v[(r + j) % k + 1] || e[(r + j) % k + 1]), ' '), array_to_string(list_transform(range(k), lambda j: v[(r - j + k) % k + 1] || e[(r - j - 1 + k) % k + 1]), ' '))) END AS label FROM turns GROUP BY gid, cid)"""
+
+
+@query(f"{CLIQUE_LABELS} SELECT gid, cid, struct_extract(first, 'gid') AS first_gid, struct_extract(first, 'cid') AS first_cid FROM (SELECT gid, cid, min({{'gid': gid, 'cid': cid}}) OVER (PARTITION BY label) AS first FROM kl)")
+def clique_labels(spark, d):
+    """Each clique with the first one of its label."""
+    v, e = og.order_graphs(spark, d)
+    v, e = save(v), save(e)
+    labels = save(rings.clique_labels(v, e, save(rings.cliques(v, e))))
+    first = labels.groupBy("label").agg(F.min(F.struct("gid", "cid")).alias("first"))
+    return labels.join(first, "label").select("gid", "cid", F.col("first.gid").alias("first_gid"), F.col("first.cid").alias("first_cid"))
+
+
+@query(f"""{CLIQUE_LABELS}, jt AS (SELECT gid, c1 AS src, c2 AS dst FROM mst UNION ALL SELECT gid, c2, c1 FROM mst),
+la AS (SELECT jt.gid, src, dst, a.label AS slb, b.label AS dlb FROM jt JOIN kl a ON a.gid = jt.gid AND a.cid = src JOIN kl b ON b.gid = jt.gid AND b.cid = dst),
+one AS (SELECT count(DISTINCT gid) AS support, count(*) AS embeddings FROM la WHERE slb <= dlb GROUP BY slb, dlb),
+two AS (SELECT count(DISTINCT a.gid) AS support, count(*) AS embeddings FROM la a JOIN la b ON b.gid = a.gid AND b.src = a.src AND b.dst <> a.dst AND a.dlb <= b.dlb GROUP BY a.slb, a.dlb, b.dlb)
+SELECT num_edge, support, embeddings, count(*) AS patterns FROM (SELECT CAST(1 AS INT) AS num_edge, * FROM one UNION ALL SELECT CAST(2 AS INT), * FROM two) WHERE support >= 2 GROUP BY ALL""")
+def mine_junction_tree_counts(spark, d):
+    """Patterns of one and two edges in the junction trees, by support and embeddings."""
+    jv, je, _ = rings.junction_tree_graphs(*(save(t) for t in og.order_graphs(spark, d)))
+    patterns, _ = mining.mine_frequent(save(jv), save(je), MiningConfig(2, max_edges=2))
+    return patterns.groupBy("num_edge", "support", "embeddings").agg(F.count("*").alias("patterns"))
+
+
 @query()
 def mine_junction_trees(spark, d):
     v, e = og.order_graphs(spark, d)
