@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphset.llm.common import numbered, save
+from graphset.llm.common import numbered, save, small_batches
 from graphset.llm.quotient_filter import Counters, Widths, counted, merged, pack, unpack
 
 MIN_COUNT, COVER_PERCENT, TOP = 10, 50, 2_000
 UNKNOWN_LANGUAGE = "und"
 #: Bytes of whole texts in a shard, and texts that are looked at together.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: N-grams that a task gathers before it sends its filter's sections on.
-GATHERED = 1_000_000
+GATHERED = 500_000
 #: Words of the corpus for each section of the merged filters, and sections for each shuffle partition, at least.
 WORDS_PER_SECTION, SECTIONS_PER_PARTITION = 500_000, 4
 #: First ranking of a language's phrases is dealt over so many tasks.
@@ -205,6 +205,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     words the language has.  A phrase that stands inside a longer one for ``cover`` percent of its occurrences is left out.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     encoded = save(encode_shards(docs, lang_col, text_col))
     vocabulary = encoded.filter("stream IS NULL").select("shard", "lang", "word", "code", "count")
     counts = save(vocabulary.groupBy("lang", "word").agg(F.sum("count").alias("f")))
