@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphset.operators import fingerprint, vectors
+from graphset.operators import neighbour_map as nm
 from graphset.plans import order_graphs as og
 from graphset.plans.order_graphs import table
 from graphset.storage import save
@@ -178,3 +179,9 @@ def word2vec_graph_vectors(spark, d):
 def project_2d(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return vectors.project_2d(e).select("vec_id", "x", "y")
+
+
+@query()
+def neighbour_map(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nm.neighbour_map(e)
