@@ -18,5 +18,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_html_extraction": op6_html_extraction, "op9_substring_dedup": op9_substring_dedup}
-#: Neither parsing nor offsets of normalised units can be written in SQL; both are tested against brute force.
+#: Neither parsing nor offsets of normalised units can be written in SQL: extraction is tested on pages of other layouts than
+#: those it was trained on, repeated units against brute force.
 SQL: dict[str, str] = {}
