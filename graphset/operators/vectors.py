@@ -33,8 +33,9 @@ def insert_unk(tokens: DataFrame, threshold: int = 3, unk: str = "UNK") -> DataF
     """Tokens that occur at most ``threshold`` times in all become ``unk``; order stays.
 
     Where the frequent tokens are few enough to be sent to all executors, sentences are rewritten where they lie; else each
-    word meets its count in a join.  A null sentence stays null, an empty one empty.
+    word meets its count in a join.  Sentences without tokens are left out.
     """
+    tokens = tokens.filter(F.size("tokens") > 0)
     frequent = save(token_counts(tokens).filter(F.col("n") > threshold).select("token"))
     if is_small(frequent):
         # at most BROADCAST_ROWS of them
@@ -45,15 +46,13 @@ def insert_unk(tokens: DataFrame, threshold: int = 3, unk: str = "UNK") -> DataF
                 lists = batch.column(1)
                 words = lists.flatten()
                 out = pc.if_else(pc.is_in(words, value_set=known), words, unk)
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, out, mask=lists.is_null())], names=["gid", "tokens"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, out)], names=["gid", "tokens"])
 
         return tokens.select("gid", "tokens").mapInArrow(rewrite, T.StructType([tokens.schema["gid"], T.StructField("tokens", T.ArrayType(T.StringType()))]))
-    at = tokens.select("gid", F.posexplode_outer("tokens").alias("pos", "token"), F.size("tokens").alias("n")).join(frequent.withColumn("known", F.lit(True)), "token", "left")
+    at = tokens.select("gid", F.posexplode("tokens").alias("pos", "token")).join(frequent.withColumn("known", F.lit(True)), "token", "left")
     word = F.when(F.col("known"), F.col("token")).otherwise(F.lit(unk))
-    rows = at.groupBy("gid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", word.alias("token"))))), lambda x: x["token"]).alias("tokens"))
-    return rows.select("gid", F.when(F.col("n") >= 0, F.col("tokens")).alias("tokens"))
+    return at.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("token")))), lambda x: x["token"]).alias("tokens"))
 
 
 def train_word2vec(tokens: DataFrame, size: int = 100, window: int = 10, min_count: int = 3, iterations: int = 1, partitions: int = 1, seed: int = 42) -> Word2VecModel:
