@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphset.operators.codes import canonical_codes, shapes
+from graphset.operators.codes import shapes, with_codes
 from graphset.operators.rings import rings
 from graphset.operators.tables import symmetrize
 from graphset.storage import save, small
@@ -115,9 +115,8 @@ def sanitize(cands: DataFrame, v: DataFrame, e: DataFrame, caps: DataFrame) -> D
     """cand, base, code of the valid candidates (no vertex above its cap), one of each canonical code per base, sorted."""
     vv, ee = v.withColumnRenamed("cand", "gid"), e.withColumnRenamed("cand", "gid")
     bad = valence(vv, ee, caps).filter("iv < -1e-9").select(F.col("gid").alias("cand")).distinct()
-    shaped = save(cands.join(bad, "cand", "left_anti").join(shapes(v, e, "cand"), "cand").select("cand", "base", "shape"))
-    codes = canonical_codes(shaped)
-    return shaped.join(codes, "shape").groupBy("base", "code").agg(F.min("cand").alias("cand")).orderBy("base", "code")
+    shaped = cands.join(bad, "cand", "left_anti").join(shapes(v, e, "cand"), "cand").select("cand", "base", "shape")
+    return with_codes(shaped).groupBy("base", "code").agg(F.min("cand").alias("cand")).orderBy("base", "code")
 
 
 def expand_step(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pairs: DataFrame, caps: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphset.operators.alike import alike
 from graphset.operators.bridges import ring_ids
-from graphset.operators.codes import canonical_codes, shapes
+from graphset.operators.codes import shapes, with_codes
 from graphset.operators.cycles import in_each_graph, on_cycles, packed_edges, shortest_cycles, smallest_basis
 from graphset.operators.tables import degrees, symmetrize
 from graphset.storage import save
@@ -229,20 +230,19 @@ def induced(v: DataFrame, e: DataFrame, members: DataFrame) -> DataFrame:
 
 def clique_labels(v: DataFrame, e: DataFrame, cl: DataFrame) -> DataFrame:
     """gid, cid, label: the canonical code of what each clique induces; codes are worked out once per distinct shape."""
-    shaped = save(induced(v, e, cl))
-    return shaped.join(canonical_codes(shaped), "shape").select("gid", "cid", F.col("code").alias("label"))
+    return with_codes(induced(v, e, cl)).select("gid", "cid", F.col("code").alias("label"))
 
 
 def junction_tree_graphs(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vertices, edges, cliques): the junction trees as graphs to mine; labels are numbers of clique codes, edges are '1'."""
-    cl = save(cliques(v, e))
-    tree = max_spanning_tree(clique_graph(cl))
-    labels = save(clique_labels(v, e, cl))
-    names = labels.select("label").distinct().select("label", F.md5("label").alias("vlb"))
-    jv = labels.join(names, "label").select("gid", F.col("cid").alias("vid"), "vlb")
+    """(vertices, edges, cliques): the junction trees as graphs to mine; labels are digests of clique codes, edges are '1'.
+    Graphs that are alike have one tree, worked out once."""
+    some = alike(v, e)
+    cl = save(cliques(some.v, some.e))
+    tree = max_spanning_tree(save(clique_graph(cl)))
+    jv = save(clique_labels(some.v, some.e, cl).select("gid", F.col("cid").alias("vid"), F.md5("label").alias("vlb")))
     je = tree.select("gid", F.col("c1").alias("src"), F.col("c2").alias("dst"), F.lit("1").alias("elb"))
     je = je.withColumn("eid", F.row_number().over(Window.partitionBy("gid").orderBy("src", "dst")) - 1)
-    return jv, je.select("gid", "eid", "src", "dst", "elb"), cl
+    return some.spread(jv), some.spread(save(je.select("gid", "eid", "src", "dst", "elb"))), some.spread(cl)
 
 
 def recover_patterns(places: DataFrame, cl: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
@@ -253,6 +253,5 @@ def recover_patterns(places: DataFrame, cl: DataFrame, v: DataFrame, e: DataFram
     held = save(held.withColumn("cid", F.row_number().over(Window.partitionBy("gid").orderBy("code", "cids"))))
     member = held.select("code", "gid", "cid", F.explode("cids").alias("c")).join(cl.select("gid", F.col("cid").alias("c"), "members"), ["gid", "c"])
     whole = member.groupBy("code", "gid", "cid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
-    shaped = save(induced(v, e, whole))
-    named = shaped.join(canonical_codes(shaped).withColumnRenamed("code", "shape_code"), "shape")
+    named = with_codes(induced(v, e, whole)).withColumnRenamed("code", "shape_code")
     return named.join(held.select("gid", "cid", "code"), ["gid", "cid"]).select("code", "shape_code").distinct()

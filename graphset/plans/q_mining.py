@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphset.operators import matching, mining, rings
+from graphset.operators.alike import once
 from graphset.operators.mining import MiningConfig
 from graphset.operators.tables import with_labels
 from graphset.plans import order_graphs as og
-from graphset.storage import save
+from graphset.storage import join_hot, save
 
 G = f"WITH {og.SQL}"
 R = f"WITH RECURSIVE {og.SQL}"
@@ -197,7 +198,7 @@ def mine_directed(spark, d):
 SELECT gid, vid, min(r) AS comp FROM reach GROUP BY gid, vid""")
 def components(spark, d):
     v, e = og.order_graphs(spark, d)
-    return rings.components(v, with_labels(v, e).filter("slb = dlb"))
+    return once(v, e, lambda v, e: rings.components(v, with_labels(v, e).filter("slb = dlb")))
 
 
 @query(f"""{R}, part AS (SELECT ge.gid, src, dst FROM ge JOIN gv a ON a.gid = ge.gid AND a.vid = src JOIN gv b ON b.gid = ge.gid AND b.vid = dst WHERE a.vlb = b.vlb), reach AS (SELECT gid, vid, vid AS r FROM gv UNION SELECT p.gid, reach.vid, p.dst FROM reach JOIN part p ON p.gid = reach.gid AND p.src = reach.r)
@@ -205,7 +206,7 @@ SELECT gid, vid FROM reach GROUP BY gid, vid HAVING count(*) > 2""")
 def filter_components(spark, d):
     """Vertices that lie in components of equal labels of more than two."""
     v, e = og.order_graphs(spark, d)
-    return rings.filter_components(v, with_labels(v, e).filter("slb = dlb"), 2).select("gid", "vid")
+    return once(v, e, lambda v, e: rings.filter_components(v, with_labels(v, e).filter("slb = dlb"), 2).select("gid", "vid"))
 
 
 PATHS = f"""{R}, walk AS (SELECT gid, eid, dst AS goal, src AS last, [src] AS path, 1 AS n FROM ge0
@@ -263,34 +264,38 @@ nb AS (SELECT gid, c1 AS cid, c2 AS o FROM mst UNION ALL SELECT gid, c2, c1 FROM
 
 @query(f"{CLIQUES} SELECT gid, cid, kind, array_to_string(members, ',') AS members FROM cl")
 def cliques(spark, d):
-    return rings.cliques(*og.order_graphs(spark, d)).withColumn("members", F.array_join("members", ","))
+    return once(*og.order_graphs(spark, d), rings.cliques).withColumn("members", F.array_join("members", ","))
 
 
 @query(f"{CLIQUES} SELECT gid, c1, c2, w FROM cg")
 def clique_graph(spark, d):
-    return rings.clique_graph(save(rings.cliques(*og.order_graphs(spark, d))))
+    return once(*og.order_graphs(spark, d), lambda v, e: rings.clique_graph(save(rings.cliques(v, e))))
 
 
 @query(f"{CLIQUES} SELECT gid, c1, c2, w FROM mst")
 def max_spanning_tree(spark, d):
-    return rings.max_spanning_tree(save(rings.clique_graph(save(rings.cliques(*og.order_graphs(spark, d))))))
+    return once(*og.order_graphs(spark, d), lambda v, e: rings.max_spanning_tree(save(rings.clique_graph(save(rings.cliques(v, e))))))
 
 
 @query(f"""{CLIQUES}, rt AS (SELECT gid, min(CASE WHEN list_contains(members, 0) THEN cid ELSE 1000000 + cid END) % 1000000 AS root FROM cl GROUP BY gid),
 ns AS (SELECT gid, cid, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS neighbours, count(*) AS n FROM nb GROUP BY gid, cid)
 SELECT cl.gid, cl.cid, kind, array_to_string(members, ',') AS members, coalesce(neighbours, '') AS neighbours, coalesce(n, 0) <= 1 AS is_leaf, cl.cid = root AS is_root FROM cl JOIN rt ON rt.gid = cl.gid LEFT JOIN ns ON ns.gid = cl.gid AND ns.cid = cl.cid""")
 def tree_nodes(spark, d):
-    cl = save(rings.cliques(*og.order_graphs(spark, d)))
-    nodes = rings.tree_nodes(cl, rings.max_spanning_tree(save(rings.clique_graph(cl))))
-    return nodes.withColumns({c: F.array_join(c, ",") for c in ("members", "neighbours")})
+    def nodes(v, e):
+        cl = save(rings.cliques(v, e))
+        return rings.tree_nodes(cl, rings.max_spanning_tree(save(rings.clique_graph(cl))))
+
+    return once(*og.order_graphs(spark, d), nodes).withColumns({c: F.array_join(c, ",") for c in ("members", "neighbours")})
 
 
 @query(f"""{CLIQUES}, near AS (SELECT gid, cid, o FROM nb UNION ALL SELECT gid, cid, cid FROM cl)
 SELECT near.gid, near.cid, cm.vid, array_to_string(list_sort(list(DISTINCT near.o)), ',') AS owners FROM near JOIN cm ON cm.gid = near.gid AND cm.cid = near.o GROUP BY near.gid, near.cid, cm.vid""")
 def clique_context(spark, d):
-    cl = save(rings.cliques(*og.order_graphs(spark, d)))
-    tree = rings.max_spanning_tree(save(rings.clique_graph(cl)))
-    return rings.clique_context(cl, tree).withColumn("owners", F.array_join("owners", ","))
+    def context(v, e):
+        cl = save(rings.cliques(v, e))
+        return rings.clique_context(cl, rings.max_spanning_tree(save(rings.clique_graph(cl))))
+
+    return once(*og.order_graphs(spark, d), context).withColumn("owners", F.array_join("owners", ","))
 
 
 #: What a clique induces, as text that is the same for the same shape (kl): the label of a vertex, the ends of a bond in order,
@@ -306,11 +311,15 @@ kl AS (SELECT gid, cid, CASE WHEN any_value(k) = 1 THEN any_value(v[1]) WHEN any
 @query(f"{CLIQUE_LABELS} SELECT gid, cid, struct_extract(first, 'gid') AS first_gid, struct_extract(first, 'cid') AS first_cid FROM (SELECT gid, cid, min({{'gid': gid, 'cid': cid}}) OVER (PARTITION BY label) AS first FROM kl)")
 def clique_labels(spark, d):
     """Each clique with the first one of its label."""
-    v, e = og.order_graphs(spark, d)
-    v, e = save(v), save(e)
-    labels = save(rings.clique_labels(v, e, save(rings.cliques(v, e))))
-    first = labels.groupBy("label").agg(F.min(F.struct("gid", "cid")).alias("first"))
-    return labels.join(first, "label").select("gid", "cid", F.col("first.gid").alias("first_gid"), F.col("first.cid").alias("first_cid"))
+
+    def firsts(v, e):
+        # the graph of the smallest id stands for all that are alike, so the first clique is among these
+        labels = save(rings.clique_labels(v, e, save(rings.cliques(v, e))).withColumn("key", F.md5("label")))
+        first = save(labels.groupBy("key").agg(F.min(F.struct("gid", "cid")).alias("first"), F.count("*").alias("n")))
+        named = join_hot(labels.select("gid", "cid", "key"), first.hint("merge"), ["key"], "n")
+        return named.select("gid", "cid", F.col("first.gid").alias("first_gid"), F.col("first.cid").alias("first_cid"))
+
+    return once(*og.order_graphs(spark, d), firsts)
 
 
 @query(f"""{CLIQUE_LABELS}, jt AS (SELECT gid, c1 AS src, c2 AS dst FROM mst UNION ALL SELECT gid, c2, c1 FROM mst),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
@@ -10,8 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = ["q_tables", "q_mining", "q_vectors", "q_scores", "q_assembly"]
 
 
+#: Written graph tables are columns of small numbers, which take up to so many times their file's size in memory; Spark is told,
+#: so that it sends none to all executors, through the driver, for the size of its file.
+FILE_FACTOR = "64"
+
+
+def _sized(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", FILE_FACTOR)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q for m in MODULES for k, q in importlib.import_module(f"graphset.plans.{m}").QUERIES.items()}
+    return {k: _sized(q) for m in MODULES for k, q in importlib.import_module(f"graphset.plans.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
