@@ -66,7 +66,7 @@ UNION SELECT gid, 1, [vid] FROM gv WHERE vlb IN ('NO', 'RF'))
 SELECT gid, size, array_to_string(members, ',') AS members FROM parts QUALIFY size = max(size) OVER (PARTITION BY gid)""")
 def largest_common(spark, d):
     """The largest parts of NO -1- NO -2- RF in each order."""
-    found = matching.largest_common(*og.order_graphs(spark, d), "0,1,NO,1,NO;1,2,NO,2,RF")
+    found = once(*og.order_graphs(spark, d), lambda v, e: matching.largest_common(v, e, "0,1,NO,1,NO;1,2,NO,2,RF"))
     return found.select("gid", "size", F.array_join(F.array_sort(F.filter("vids", lambda x: x.isNotNull())), ",").alias("members"))
 
 
