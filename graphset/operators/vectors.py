@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphset.operators.alike import once
 from graphset.operators.fingerprint import dedup_environments, identifiers, sentences
 from graphset.operators.skipgram import train_skip_gram
 from graphset.operators.tables import drop_invalid
@@ -84,9 +85,11 @@ def join_features(rows: DataFrame, features: DataFrame, key: str = "gid") -> Dat
 def featurize(rows: DataFrame, v: DataFrame, e: DataFrame, vectors: DataFrame, radius: int = 1, unseen: str | None = "UNK", prefix: str = "feature-") -> DataFrame:
     """``rows`` (gid and more columns) with the columns ``prefix`` 000, 001, … of their graphs' vectors: invalid rows (null
     gid) go, graphs become sentences of neighbourhood identifiers, sentences the sums of their words' vectors."""
-    tokens = sentences(dedup_environments(save(identifiers(v, e, radius)), v, e))
-    known = drop_invalid(rows, "gid")
-    return feature_columns(join_features(known, sentence_vectors(tokens, vectors, unseen)), prefix=prefix)
+
+    def features(v: DataFrame, e: DataFrame) -> DataFrame:
+        return sentence_vectors(sentences(dedup_environments(save(identifiers(v, e, radius)), v, e)), vectors, unseen)
+
+    return feature_columns(join_features(drop_invalid(rows, "gid"), once(v, e, features)), prefix=prefix)
 
 
 def featurize_file(spark: SparkSession, source: str, target: str, vectors: DataFrame, **options) -> None:
