@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from graphset.functions import scores
 from graphset.operators import fingerprint, indices
+from graphset.operators.alike import alike, once
 from graphset.plans import order_graphs as og
 from graphset.plans.order_graphs import table
 from graphset.plans.q_vectors import IDS
+from graphset.storage import save
 
 G = f"WITH {og.SQL}"
 R = f"WITH RECURSIVE {og.SQL}"
@@ -29,31 +31,31 @@ def query(sql: str | None = None):
 FP = f"{IDS}, fp AS (SELECT gid, id AS fid, count(*) AS n FROM ids GROUP BY ALL), fs AS (SELECT fid, log10(sum(n)) AS score FROM fp GROUP BY fid HAVING sum(n) >= 10)"
 
 
-def _fp(spark, d):
-    return fingerprint.wl_features(*og.order_graphs(spark, d), 1).withColumnRenamed("id", "fid")
-
-
-def _fragments(spark, d):
-    fp = _fp(spark, d)
-    known = fp.groupBy("fid").agg(F.sum("n").alias("k")).filter("k >= 10").select("fid", F.log10(F.col("k").cast("double")).alias("score"))
-    return indices.fragment_score(fp, known)
+def _fragments(some):
+    """(scores, fragments) of one graph of each class; a fragment counts for all graphs that its graph stands for."""
+    fp = save(fingerprint.wl_features(some.v, some.e, 1).withColumnRenamed("id", "fid"))
+    known = fp.join(some.sizes, "gid").groupBy("fid").agg(F.sum(F.col("n") * F.col("weight")).alias("k")).filter("k >= 10").select("fid", F.log10(F.col("k").cast("double")).alias("score"))
+    return indices.fragment_score(fp, known), fp
 
 
 @query(f"{FP} SELECT gid, round(sum(n * coalesce(score, -4)) / sum(n), 6) AS score FROM fp LEFT JOIN fs USING (fid) GROUP BY gid")
 def fragment_score(spark, d):
-    return _fragments(spark, d).withColumn("score", F.round("score", 6))
+    some = alike(*og.order_graphs(spark, d))
+    return some.spread(save(_fragments(some)[0].withColumn("score", F.round("score", 6))))
 
 
 @query(f"""{FP}, f AS (SELECT gid, sum(n * coalesce(score, -4)) / sum(n) AS score, count(*) AS m FROM fp LEFT JOIN fs USING (fid) GROUP BY gid),
 raw AS (SELECT gid, n, 11.0 - (score - (pow(CAST(n AS DOUBLE), 1.005) - n) - log10(n % 3 + 1) + CASE WHEN n > m THEN 0.5 * ln(n / m) ELSE 0 END + 5.0) / 6.5 * 9.0 AS x FROM f JOIN gn USING (gid))
 SELECT gid, round(greatest(1.0, least(10.0, CASE WHEN x > 8 THEN 8 + ln(x - 8) ELSE x END)), 6) AS sa FROM raw""")
 def sa_score(spark, d):
-    n = og.order_vertices(spark, d).groupBy("gid").agg(F.count("*").alias("n"))
-    m = _fp(spark, d).groupBy("gid").agg(F.count("*").alias("m"))
-    all_of = _fragments(spark, d).join(n, "gid").join(m, "gid")
+    some = alike(*og.order_graphs(spark, d))
+    scored, fp = _fragments(some)
+    n = some.v.groupBy("gid").agg(F.count("*").alias("n"))
+    m = fp.groupBy("gid").agg(F.count("*").alias("m"))
+    all_of = scored.join(n, "gid").join(m, "gid")
     zero = F.lit(0)
     raw = F.col("score") + scores.complexity_penalty(F.col("n"), F.col("n") % 3, zero, zero, zero) + scores.density_bonus(F.col("n"), F.col("m"))
-    return all_of.select("gid", F.round(scores.sa_score(raw), 6).alias("sa"))
+    return some.spread(save(all_of.select("gid", F.round(scores.sa_score(raw), 6).alias("sa"))))
 
 
 @query("""SELECT event_id, round((value - 2.4570953396190123) / 1.434324401111988 + (-3.0 - -3.0525811293166134) / 0.8335207024513095 + (-greatest(event_id % 12 - 6, 0) - -0.0485696876403053) / 0.2860212110245455, 6) AS score FROM events""")
@@ -118,4 +120,4 @@ ways AS (SELECT gid, src, dst, 1.0::DOUBLE AS w FROM ge UNION ALL SELECT gid, vi
 x AS (SELECT 0 AS k, gid, vid, CAST(b AS DOUBLE) AS x FROM b UNION ALL SELECT x.k + 1, ways.gid, ways.dst, b.b + sum(x.x * ways.w) / b.n FROM x JOIN ways ON ways.gid = x.gid AND ways.src = x.vid JOIN b ON b.gid = ways.gid AND b.vid = ways.dst WHERE x.k < 40 GROUP BY x.k, ways.gid, ways.dst, b.b, b.n)
 SELECT x.gid, x.vid, round(x.x / (n * n), 8) AS index FROM x JOIN gn ON gn.gid = x.gid WHERE x.k = 40""")
 def alpha_centrality(spark, d):
-    return indices.node_score(*og.order_graphs(spark, d), "alpha_centrality").withColumn("index", F.round("index", 8))
+    return once(*og.order_graphs(spark, d), lambda v, e: indices.node_score(v, e, "alpha_centrality")).withColumn("index", F.round("index", 8))
