@@ -1,7 +1,7 @@
 """Candidate generation: graphs merged at vertices or ring edges, scored, and grown step by step.
 
-Bases and blocks are tables (gid, …).  A candidate is one site of one pair of base and block; all of its vertices and edges
-carry the candidate's id, so every step is a join or a count per candidate and never a loop over molecules.
+Bases and blocks are tables (gid, …), which are brought into one row for each graph.  A candidate is one site of one pair of base
+and block, and one row: it is made where its pair lies, so that candidates, which are many times the pairs, are not shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphset.operators import merging
+from graphset.operators.alike import alike, once
 from graphset.operators.codes import shapes, with_codes
 from graphset.operators.rings import rings
 from graphset.operators.tables import symmetrize
@@ -36,48 +38,51 @@ def node_sites(base: DataFrame, block: DataFrame, pairs: DataFrame) -> DataFrame
     return sites.select("base", "block", "u", "w", "ul", "wl")
 
 
-def _placed(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vertices and edges of each site's pair side by side, the block's ids shifted behind the base's."""
-    size = v1.groupBy(F.col("gid").alias("base")).agg((F.max("vid") + 1).alias("by"))
-    at = save(sites.join(size, "base"))
-    left = at.select("cand", F.col("base").alias("gid"))
-    right = at.select("cand", F.col("block").alias("gid"), "by")
-    vs = left.join(v1, "gid").select("cand", "vid", "vlb").unionByName(right.join(v2, "gid").select("cand", (F.col("vid") + F.col("by")).alias("vid"), "vlb"))
-    es = left.join(e1, "gid").select("cand", "src", "dst", "elb").unionByName(right.join(e2, "gid").select("cand", (F.col("src") + F.col("by")).alias("src"), (F.col("dst") + F.col("by")).alias("dst"), "elb"))
-    return at, vs, es
+def packed(v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
+    """gid, vs (vid, vlb, ev, tv), es (src < dst, elb), by (the largest vid, and 1): one row for each graph, by one shuffle of its
+    vertices and one of its edges.  Parallel bonds are added up and loops go; a label without a cap has none."""
+    v, e = v.select("gid", "vid", "vlb").repartition("gid"), e.select("gid", "src", "dst", F.col("elb").cast("double").alias("w")).repartition("gid")
+    order = e.select("gid", F.explode(F.array("src", "dst")).alias("vid"), "w").groupBy("gid", "vid").agg(F.sum("w").alias("ev"))
+    rich = v.join(order, ["gid", "vid"], "left").join(small(caps.select("vlb", F.col("cap").alias("tv"))), "vlb", "left")
+    vs = rich.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("vid", "vlb", F.coalesce("ev", F.lit(0.0)).alias("ev"), "tv"))).alias("vs"))
+    bonds = e.filter("src <> dst").groupBy("gid", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
+    es = bonds.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("src", "dst", F.col("w").cast("string").alias("elb")))).alias("es"))
+    none = F.array().cast(es.schema["es"].dataType)
+    by = F.array_max(F.transform("vs", lambda x: x["vid"])) + 1
+    return vs.join(es, "gid", "left").select("gid", "vs", F.coalesce("es", none).alias("es"), by.alias("by"))
 
 
-def contract(vs: DataFrame, es: DataFrame, maps: DataFrame, keep_edge: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Vertices merged by (cand, old, new); parallel bonds add up, loops go.
+def _pairs_of(base: DataFrame, block: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each pair (base, block) with both graphs, packed, in one row: vs, es, by of the base and vs2, es2 of the block."""
+    out = pairs.select("base", "block").join(base.withColumnRenamed("gid", "base"), "base")
+    return out.join(block.drop("by").withColumnsRenamed({"gid": "block", "vs": "vs2", "es": "es2"}), "block")
 
-    With ``keep_edge`` the bonds between survivors are not added: the survivor's own stays, which the caller has left as the
-    only one that is not mapped.
-    """
-    gone = maps.select("cand", F.col("old").alias("vid"))
-    left = vs.join(gone, ["cand", "vid"], "left_anti")
 
-    def follow(df: DataFrame, col: str) -> DataFrame:
-        m = maps.select("cand", F.col("old").alias(col), F.col("new").alias(f"{col}_new"))
-        return df.join(m, ["cand", col], "left").withColumn(f"{col}_moved", F.col(f"{col}_new").isNotNull()).withColumn(col, F.coalesce(f"{col}_new", col)).drop(f"{col}_new")
+def node_merges(base: DataFrame, block: DataFrame, pairs: DataFrame, *bodies: str) -> DataFrame:
+    """All node merges of the pairs (base, block) of packed graphs, one row (cand, base, block, u, w, keep) each: u and w are the
+    vertices that become one (the block's behind the base's), keep says which survives; unequal labels give both survivors, equal
+    labels one.  With ``bodies`` 'vs' and 'es' come the vertices and bonds of the candidate.  Nothing is shuffled behind the
+    graphs of a pair."""
+    rows = _pairs_of(base, block, pairs)
+    return rows.mapInArrow(merging.merges(merging.node_sites, "n", *bodies), merging.schema(rows.schema, *bodies))
+
 
-    moved = follow(follow(es, "src"), "dst").filter("src <> dst")
-    w = F.col("elb").cast("double")
-    both = F.col("src_moved") & F.col("dst_moved")
-    total = F.sum(F.when(~both, w)) if keep_edge else F.sum(w)
-    out = moved.groupBy("cand", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.coalesce(total, F.max(w)).alias("w"))
-    return left, out.select("cand", F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").cast("string").alias("elb"))
+def exploded(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, vertices, edges) of candidates that are one row each."""
+    vs = rows.select("cand", F.explode("vs").alias("x")).select("cand", "x.vid", "x.vlb")
+    es = rows.select("cand", F.explode("es").alias("x")).select("cand", "x.src", "x.dst", "x.elb")
+    return rows.select("cand", "base", "block"), vs, es
 
 
 def merge_nodes(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pairs: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, vertices, edges) of all node merges of the pairs (base, block): unequal labels give both survivors, equal labels one."""
-    sites = node_sites(valence(v1, e1, caps), valence(v2, e2, caps), pairs)
-    sites = sites.withColumn("keep", F.explode(F.when(F.col("ul") == F.col("wl"), F.array(F.lit("u"))).otherwise(F.array(F.lit("u"), F.lit("w")))))
-    sites = sites.withColumn("cand", F.concat_ws("/", F.lit("n"), "base", "block", "u", "w", "keep"))
-    at, vs, es = _placed(v1, e1, v2, e2, sites)
-    u, w = F.col("u"), F.col("w") + F.col("by")
-    maps = at.select("cand", F.when(F.col("keep") == "u", w).otherwise(u).alias("old"), F.when(F.col("keep") == "u", u).otherwise(w).alias("new"))
-    nv, ne = contract(vs, es, maps)
-    return at.select("cand", "base", "block"), nv, ne
+    return exploded(node_merges(*both_packed(v1, e1, v2, e2, caps), pairs, "vs", "es"))
+
+
+def both_packed(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bases and blocks, packed and written; once, if they are the same tables."""
+    base = save(packed(v1, e1, caps))
+    return base, base if v2 is v1 and e2 is e1 else save(packed(v2, e2, caps))
 
 
 def ring_sites(v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
@@ -88,27 +93,26 @@ def ring_sites(v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
     return on.join(free.withColumnsRenamed({"vid": "a", "vlb": "la"}), ["gid", "a"]).join(free.withColumnsRenamed({"vid": "b", "vlb": "lb"}), ["gid", "b"])
 
 
-def edge_sites(base: DataFrame, block: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All ring edges of the base against all of the block in both directions, for the given (base, block) pairs."""
-    x = base.withColumnsRenamed({"gid": "base"})
-    y = block.select(F.col("gid").alias("block"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("la").alias("lc"), F.col("lb").alias("ld"))
-    y = y.unionByName(y.select("block", F.col("d").alias("c"), F.col("c").alias("d"), F.col("ld").alias("lc"), F.col("lc").alias("ld")))
-    return pairs.join(x, "base").join(y, "block")
+def edge_merges(base: DataFrame, block: DataFrame, left: DataFrame, right: DataFrame, pairs: DataFrame, *bodies: str) -> DataFrame:
+    """All ring-edge merges of the pairs (base, block) of packed graphs, as ``node_merges``: every ring edge (gid, a, b, la, lb) of
+    the base against every one of the block in both directions; unequal label sets give both survivors."""
+
+    def held(sites, name):
+        return sites.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("a", "b", "la", "lb"))).alias(name))
+
+    rows = _pairs_of(base.join(held(left, "xs"), "gid"), block.join(held(right, "ys"), "gid"), pairs)
+    return rows.mapInArrow(merging.merges(merging.edge_sites, "e", *bodies), merging.schema(rows.schema, *bodies))
+
+
+def both_ring_sites(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ring_sites`` of bases and blocks, worked out once for graphs that are alike; once, if they are the same tables."""
+    left = save(once(v1, e1, lambda v, e: ring_sites(v, e, caps)))
+    return left, left if v2 is v1 and e2 is e1 else save(once(v2, e2, lambda v, e: ring_sites(v, e, caps)))
 
 
 def merge_edges(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pairs: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, vertices, edges) of all ring-edge merges of the pairs; unequal label sets give both survivors."""
-    left, right = save(ring_sites(v1, e1, caps)), save(ring_sites(v2, e2, caps))
-    sites = edge_sites(left, right, pairs)
-    same = F.array_sort(F.array("la", "lb")) == F.array_sort(F.array("lc", "ld"))
-    sites = sites.withColumn("keep", F.explode(F.when(same, F.array(F.lit("u"))).otherwise(F.array(F.lit("u"), F.lit("w")))))
-    sites = sites.withColumn("cand", F.concat_ws("/", F.lit("e"), "base", "block", "a", "b", "c", "d", "keep"))
-    at, vs, es = _placed(v1, e1, v2, e2, sites)
-    u = F.col("keep") == "u"
-    two = F.array(*(F.struct(F.when(u, F.col(y) + F.col("by")).otherwise(F.col(x)).alias("old"), F.when(u, F.col(x)).otherwise(F.col(y) + F.col("by")).alias("new")) for x, y in (("a", "c"), ("b", "d"))))
-    maps = at.select("cand", F.explode(two).alias("m")).select("cand", "m.old", "m.new")
-    nv, ne = contract(vs, es, maps, keep_edge=True)
-    return at.select("cand", "base", "block"), nv, ne
+    return exploded(edge_merges(*both_packed(v1, e1, v2, e2, caps), *both_ring_sites(v1, e1, v2, e2, caps), pairs, "vs", "es"))
 
 
 def sanitize(cands: DataFrame, v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:

@@ -41,8 +41,7 @@ def pairs(spark, d):
 
 
 def parts(spark, d):
-    v, e = og.order_graphs(spark, d)
-    v, e = save(v), save(e)
+    v, e = og.written_graphs(spark, d)
     return v, e, v, e, save(pairs(spark, d))
 
 
@@ -65,15 +64,17 @@ def node_sites(spark, d):
 
 @query(f"{SITES} SELECT base, block, CAST(sum(CASE WHEN ul = wl THEN 1 ELSE 2 END) AS BIGINT) AS candidates FROM sites GROUP BY ALL")
 def merge_nodes(spark, d):
-    cands, _, _ = assemble.merge_nodes(*parts(spark, d), caps(spark, d))
+    *graphs, which = parts(spark, d)
+    cands = assemble.node_merges(*assemble.both_packed(*graphs, caps(spark, d)), which)
     return cands.groupBy("base", "block").agg(F.count("*").alias("candidates"))
 
 
 @query(f"""{SITES}, k AS (SELECT s.*, unnest(CASE WHEN ul = wl THEN ['u'] ELSE ['u', 'w'] END) AS keep FROM sites s)
 SELECT concat_ws('/', 'n', base, block, u, w, keep) AS cand, CAST(x.n + y.n - 1 AS BIGINT) AS n_vertices FROM k JOIN gn x ON x.gid = base JOIN gn y ON y.gid = block""")
 def merged_sizes(spark, d):
-    _, v, _ = assemble.merge_nodes(*parts(spark, d), caps(spark, d))
-    return v.groupBy("cand").agg(F.count("*").alias("n_vertices"))
+    *graphs, which = parts(spark, d)
+    merges = assemble.node_merges(*assemble.both_packed(*graphs, caps(spark, d)), which, "vs")
+    return merges.select("cand", F.size("vs").cast("long").alias("n_vertices"))
 
 
 @query(f"""{SITES}, k AS (SELECT s.*, unnest(CASE WHEN ul = wl THEN ['u'] ELSE ['u', 'w'] END) AS keep FROM sites s), tw AS (SELECT gid, count(*) AS m, sum(CAST(elb AS DOUBLE)) AS w FROM ge0 GROUP BY gid)
@@ -81,21 +82,24 @@ SELECT concat_ws('/', 'n', base, block, u, k.w, keep) AS cand, CAST(coalesce(x.m
 FROM k LEFT JOIN tw x ON x.gid = base LEFT JOIN tw y ON y.gid = block JOIN val a ON a.gid = base AND a.vid = u JOIN val b ON b.gid = block AND b.vid = k.w WHERE coalesce(x.m, 0) + coalesce(y.m, 0) > 0""")
 def merged_bonds(spark, d):
     """Bonds of each node merge: how many, their sum, and the sum at the vertex that both became."""
-    p = parts(spark, d)
-    _, _, e = assemble.merge_nodes(*p, caps(spark, d))
-    return _bond_sums(e, p[0], {"u": 3, "w": 4}, ["u"], ["w"])
+    *graphs, which = parts(spark, d)
+    return _bond_sums(assemble.node_merges(*assemble.both_packed(*graphs, caps(spark, d)), which, "es"))
+
+
+def _bond_sums(merges):
+    """cand, bonds, total, merged of each candidate with a bond: their number, their sum, and the sum at the vertices that two
+    vertices became."""
+    kept = F.when(F.col("keep") == "u", F.col("u")).otherwise(F.col("w"))
 
+    def summed(es, weight):
+        return F.aggregate(es, F.lit(0.0), lambda s, x: s + F.coalesce(weight(x), F.lit(0.0)))
 
-def _bond_sums(e, v, at, own, other):
-    """cand, bonds, total, merged; ``at``: places of the vertices in the name of a candidate, ``own`` and ``other`` those that
-    survive in the base or in the block, whose ids are behind the base's."""
-    name = F.split("cand", "/")
-    size = v.groupBy(F.col("gid").alias("base")).agg((F.max("vid") + 1).alias("by"))
-    kept = F.when(F.element_at(name, -1) == "u", F.array(*(F.get(name, F.lit(at[x])).cast("int") for x in own))).otherwise(F.array(*(F.get(name, F.lit(at[x])).cast("int") + F.col("by") for x in other)))
-    rows = e.withColumn("base", F.get(name, F.lit(1)).cast("long")).join(size, "base").withColumn("kept", kept)
-    w = F.col("elb").cast("double")
-    ends = F.array_contains("kept", F.col("src")).cast("int") + F.array_contains("kept", F.col("dst")).cast("int")
-    return rows.groupBy("cand").agg(F.count("*").alias("bonds"), F.sum(w).alias("total"), F.sum(w * ends).alias("merged"))
+    rows = merges.filter(F.size("es") > 0).select("cand", "es", kept.alias("kept"))
+
+    def at_kept(x):
+        return x["elb"].cast("double") * (F.array_contains(F.col("kept"), x["src"]).cast("int") + F.array_contains(F.col("kept"), x["dst"]).cast("int"))
+
+    return rows.select("cand", F.size("es").cast("long").alias("bonds"), summed("es", lambda x: x["elb"].cast("double")).alias("total"), summed("es", at_kept).alias("merged"))
 
 
 RING_SITES = f"""{PATHS}, {CAPS}, rg AS (SELECT DISTINCT gid, ring FROM er), val AS (SELECT v.gid, v.vid, v.vlb, coalesce(sum(CAST(e.elb AS DOUBLE)), 0) AS ev, c.tv FROM gv v LEFT JOIN ge e ON e.gid = v.gid AND e.src = v.vid JOIN caps c ON c.k = v.vlb[1] GROUP BY ALL),
@@ -110,7 +114,9 @@ def ring_sites(spark, d):
 
 @query(f"{RING_SITES} SELECT base, block, CAST(2 * sum(CASE WHEN list_sort([x.la, x.lb]) = list_sort([y.la, y.lb]) THEN 1 ELSE 2 END) AS BIGINT) AS candidates FROM pairs JOIN rl x ON x.gid = base JOIN rl y ON y.gid = block GROUP BY base, block")
 def merge_edges(spark, d):
-    cands, _, _ = assemble.merge_edges(*parts(spark, d), caps(spark, d))
+    *graphs, which = parts(spark, d)
+    c = caps(spark, d)
+    cands = assemble.edge_merges(*assemble.both_packed(*graphs, c), *assemble.both_ring_sites(*graphs, c), which)
     return cands.groupBy("base", "block").agg(F.count("*").alias("candidates"))
 
 
@@ -122,9 +128,9 @@ SELECT concat_ws('/', 'e', base, block, a, b, c, d, keep) AS cand, CAST(x.m + y.
 FROM s JOIN tw x ON x.gid = base JOIN tw y ON y.gid = block JOIN val va ON va.gid = base AND va.vid = a JOIN val vb ON vb.gid = base AND vb.vid = b JOIN val vc ON vc.gid = block AND vc.vid = c JOIN val vd ON vd.gid = block AND vd.vid = d""")
 def merged_edge_bonds(spark, d):
     """Bonds of each ring-edge merge: the survivor's shared bond stays, the other one goes, all else adds up."""
-    p = parts(spark, d)
-    _, _, e = assemble.merge_edges(*p, caps(spark, d))
-    return _bond_sums(e, p[0], {"a": 3, "b": 4, "c": 5, "d": 6}, ["a", "b"], ["c", "d"])
+    *graphs, which = parts(spark, d)
+    c = caps(spark, d)
+    return _bond_sums(assemble.edge_merges(*assemble.both_packed(*graphs, c), *assemble.both_ring_sites(*graphs, c), which, "es"))
 
 
 @query()

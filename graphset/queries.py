@@ -20,6 +20,8 @@ def _sized(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.sources.fileCompressionFactor", FILE_FACTOR)
+        # graphs that lie together by gid are joined by gid and more without being shuffled again
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         return query(spark, sf_dir)
 
     return run
