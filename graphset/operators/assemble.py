@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphset.operators import merging
-from graphset.operators.alike import alike, once
+from graphset.operators.alike import Alike, alike, once
 from graphset.operators.codes import shapes, with_codes
 from graphset.operators.rings import rings
 from graphset.operators.tables import symmetrize
-from graphset.storage import save, small
+from graphset.storage import join_hot, save, small
 
 
 def valence(v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
@@ -115,27 +115,77 @@ def merge_edges(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pair
     return exploded(edge_merges(*both_packed(v1, e1, v2, e2, caps), *both_ring_sites(v1, e1, v2, e2, caps), pairs, "vs", "es"))
 
 
-def sanitize(cands: DataFrame, v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
-    """cand, base, code of the valid candidates (no vertex above its cap), one of each canonical code per base, sorted."""
+def _sanitized(cands: DataFrame, v: DataFrame, e: DataFrame, caps: DataFrame, *by: str) -> DataFrame:
+    """by…, code, cand of the valid candidates, the least one of each canonical code and values of ``by``."""
     vv, ee = v.withColumnRenamed("cand", "gid"), e.withColumnRenamed("cand", "gid")
     bad = valence(vv, ee, caps).filter("iv < -1e-9").select(F.col("gid").alias("cand")).distinct()
-    shaped = cands.join(bad, "cand", "left_anti").join(shapes(v, e, "cand"), "cand").select("cand", "base", "shape")
-    return with_codes(shaped).groupBy("base", "code").agg(F.min("cand").alias("cand")).orderBy("base", "code")
+    shaped = cands.join(bad, "cand", "left_anti").join(shapes(v, e, "cand"), "cand").select("cand", *by, "shape")
+    return with_codes(shaped).groupBy(*by, "code").agg(F.min("cand").alias("cand"))
+
+
+def sanitize(cands: DataFrame, v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
+    """cand, base, code of the valid candidates (no vertex above its cap), one of each canonical code per base, sorted."""
+    return _sanitized(cands, v, e, caps, "base").orderBy("base", "code")
+
+
+def _pairs_alike(base: Alike, block: Alike, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each pair (base, block) with fb and fk, the graphs that stand for its own, and (base, block, n) of the distinct ones of these
+    with the number of pairs that are alike; both written."""
+    firsts = [some.members.select(F.col("gid").alias(name), F.col("first").alias(f)) for some, name, f in ((base, "base", "fb"), (block, "block", "fk"))]
+    to = save(pairs.select("base", "block").join(firsts[0], "base").join(firsts[1], "block"))
+    return to, save(to.groupBy(F.col("fb").alias("base"), F.col("fk").alias("block")).agg(F.count("*").alias("n")))
+
+
+def _renamed(cand: Column) -> Column:
+    """The name of a candidate of the graphs that stand for a pair, as that of the pair (base, block)."""
+    name = F.split(cand, "/")
+    return F.array_join(F.concat(F.array(F.get(name, F.lit(0)), F.col("base").cast("string"), F.col("block").cast("string")), F.slice(name, 4, F.size(name))), "/")
+
+
+def sanitized_nodes(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pairs: DataFrame, caps: DataFrame) -> DataFrame:
+    """``sanitize`` of ``merge_nodes``, with candidates worked on once for all pairs of which both graphs are alike: cand, base, code,
+    sorted."""
+    base = alike(v1, e1)
+    block = base if v2 is v1 and e2 is e1 else alike(v2, e2)
+    to, few = _pairs_alike(base, block, pairs)
+    rows = save(node_merges(*both_packed(base.v, base.e, block.v, block.e, caps), few, "vs", "es"))
+    codes = _sanitized(*exploded(rows), caps, "base", "block")
+    held = save(codes.groupBy("base", "block").agg(F.collect_list(F.struct("code", "cand")).alias("found")).join(few, ["base", "block"]))
+    met = join_hot(to, held.withColumnsRenamed({"base": "fb", "block": "fk"}).hint("merge"), ["fb", "fk"], "n")
+    # codes of one pair differ, so only those of bases with several blocks are looked at again
+    met = met.join(small(pairs.groupBy("base").count().filter("count > 1").select("base", F.lit(True).alias("several"))), "base", "left")
+    met = save(met.select("base", "block", "several", F.explode("found").alias("x")).select("base", "several", "x.code", _renamed(F.col("x.cand")).alias("cand")))
+    again = met.filter("several").groupBy("base", "code").agg(F.min("cand").alias("cand"))
+    return met.filter("several IS NULL").select("base", "code", "cand").unionByName(again).orderBy("base", "code")
 
 
 def expand_step(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pairs: DataFrame, caps: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One step: all candidates of every base and the blocks that ``pairs`` offers it, scored by ``score(vertices, edges) -> (gid, score)``; the best of each base
     stays (ties to the smaller code), as (chosen, vertices, edges) with the base's gid."""
-    parts = [merge_nodes(v1, e1, v2, e2, pairs, caps), merge_edges(v1, e1, v2, e2, pairs, caps)]
-    cands, v, e = (save(a.unionByName(b)) for a, b in zip(*parts, strict=True))
-    valid = sanitize(cands, v, e, caps)
+    return _expanded(alike(v1, e1), alike(v2, e2), pairs, caps, score)
+
+
+def _expanded(base: Alike, block: Alike, pairs: DataFrame, caps: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``expand_step``, with candidates worked on once for all pairs of which both graphs are alike."""
+    to, few = _pairs_alike(base, block, pairs)
+    parts = [save(packed(some.v, some.e, caps)) for some in (base, block)]
+    sites = [save(ring_sites(some.v, some.e, caps)) for some in (base, block)]
+    rows = save(node_merges(*parts, few, "vs", "es").unionByName(edge_merges(*parts, *sites, few, "vs", "es")))
+    cands, v, e = exploded(rows)
+    valid = save(_sanitized(cands, v, e, caps, "base", "block"))
     scored = valid.join(score(v.withColumnRenamed("cand", "gid"), e.withColumnRenamed("cand", "gid")).withColumnRenamed("gid", "cand"), "cand")
-    first = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("score"), "code"))
-    best = save(scored.withColumn("k", first).filter("k = 1").drop("k"))
-    nv = v.join(best.select("cand", F.col("base").alias("gid")), "cand").select("gid", "vid", "vlb")
-    ne = e.join(best.select("cand", F.col("base").alias("gid")), "cand").select("gid", "src", "dst", "elb")
-    ne = ne.withColumn("eid", F.row_number().over(Window.partitionBy("gid").orderBy("src", "dst")) - 1)
-    return best, save(nv), save(ne.select("gid", "eid", "src", "dst", "elb"))
+    first = F.row_number().over(Window.partitionBy("base", "block").orderBy(F.desc("score"), "code"))
+    best = save(scored.withColumn("k", first).filter("k = 1").drop("k").join(few, ["base", "block"]))
+    met = join_hot(to, best.withColumnsRenamed({"base": "fb", "block": "fk", "cand": "of"}).hint("merge"), ["fb", "fk"], "n")
+    met = met.select("base", "of", "code", "score", _renamed(F.col("of")).alias("cand"))
+    first = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("score"), "code", "cand"))
+    best = save(met.withColumn("k", first).filter("k = 1").drop("k"))
+    uses = best.groupBy("of").agg(F.count("*").alias("n"))
+    bodies = save(rows.select(F.col("cand").alias("of"), "vs", "es").join(uses, "of"))
+    grown = save(join_hot(best.select(F.col("base").alias("gid"), "of"), bodies.hint("merge"), ["of"], "n").select("gid", "vs", F.array_sort("es").alias("es")))
+    nv = grown.select("gid", F.explode("vs").alias("x")).select("gid", "x.vid", "x.vlb")
+    ne = grown.select("gid", F.posexplode("es").alias("eid", "x")).select("gid", "eid", "x.src", "x.dst", "x.elb")
+    return best.drop("of"), nv, ne
 
 
 def rollout(v: DataFrame, e: DataFrame, blocks: tuple[DataFrame, DataFrame], caps: DataFrame, score: Callable, steps: int, seed: int = 0) -> DataFrame:
@@ -147,10 +197,11 @@ def rollout(v: DataFrame, e: DataFrame, blocks: tuple[DataFrame, DataFrame], cap
     ids = save(blocks[0].select(F.col("gid").alias("block")).distinct())
     n = max(1, ids.count())
     slots = ids.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(n)))
+    offered = alike(*blocks)
     out, last = None, None
     for step in range(steps):
         asked = v.select(F.col("gid").alias("base")).distinct().withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "base"), F.lit(n)))
-        best, v, e = expand_step(v, e, *blocks, save(asked.join(slots, "slot").select("base", "block")), caps, score)
+        best, v, e = _expanded(alike(v, e), offered, save(asked.join(slots, "slot").select("base", "block")), caps, score)
         now = best.select(F.col("base").alias("gid"), F.lit(step).alias("step"), F.col("score").cast("double").alias("score"))
         if last is not None:
             now = now.join(last.select("gid", F.col("score").alias("before")), "gid").filter("score >= before").drop("before")

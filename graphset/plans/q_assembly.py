@@ -135,9 +135,7 @@ def merged_edge_bonds(spark, d):
 
 @query()
 def sanitize(spark, d):
-    c = caps(spark, d)
-    cands, v, e = (save(t) for t in assemble.merge_nodes(*parts(spark, d), c))
-    return assemble.sanitize(cands, v, e, c)
+    return assemble.sanitized_nodes(*parts(spark, d), caps(spark, d))
 
 
 def size_of(v, e):
@@ -147,7 +145,6 @@ def size_of(v, e):
 @query()
 def rollout(spark, d):
     """Every order grown for two steps with the orders of one or two lines as blocks."""
-    v, e = og.order_graphs(spark, d)
-    v, e = save(v), save(e)
+    v, e = og.written_graphs(spark, d)
     blocks = save(v.groupBy("gid").agg(F.count("*").alias("n")).filter("n <= 2").select("gid"))
     return assemble.rollout(v, e, (v.join(blocks, "gid", "left_semi"), e.join(blocks, "gid", "left_semi")), caps(spark, d), size_of, steps=2)

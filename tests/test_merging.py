@@ -33,3 +33,13 @@ def test_candidates_are_not_shuffled(spark, odd):
     _, nv, _ = assemble.merge_nodes(v, e, v, e, pairs, caps)
     plan = nv._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_sanitize_works_on_pairs_that_are_alike_once(spark):
+    v = spark.range(6).selectExpr("id AS gid", "explode(sequence(0, 1)) AS vid").withColumn("vlb", F.when((F.col("gid") == 5) & (F.col("vid") == 1), "O").otherwise("C"))
+    e = spark.range(6).selectExpr("id AS gid", "0 AS eid", "0 AS src", "1 AS dst", "'1' AS elb")
+    caps = spark.createDataFrame([("C", 4), ("O", 2)], "vlb string, cap int")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (3, 5), (4, 0)], "base long, block long")
+    cands, nv, ne = assemble.merge_nodes(v, e, v, e, pairs, caps)
+    want = [(r.base, r.code, r.cand) for r in assemble.sanitize(cands, nv, ne, caps).collect()]
+    assert want and [(r.base, r.code, r.cand) for r in assemble.sanitized_nodes(v, e, v, e, pairs, caps).collect()] == want
