@@ -66,15 +66,15 @@ def sentence_vectors(tokens: DataFrame, vectors: DataFrame, unseen: str | None =
     token ``unseen``, or are skipped; a sentence without any has a zero vector."""
     dims = vectors.select(F.size("vector")).first()
     size = dims[0] if dims else 0
-    at = tokens.select("gid", F.explode("tokens").alias("token"))
+    at = tokens.select("gid", F.explode_outer("tokens").alias("token"))
     if unseen is not None:
         known = small(vectors.select("token", F.lit(True).alias("known")))
-        at = at.join(known, "token", "left").withColumn("token", F.when(F.col("known"), F.col("token")).otherwise(F.lit(unseen))).drop("known")
-    used = at.groupBy("gid", "token").agg(F.count("*").alias("n")).join(vectors, "token")
-    sums = used.groupBy("gid").agg(*(F.sum(F.col("n") * F.col("vector")[i]).alias(f"d{i}") for i in range(size)))
-    zero = F.array(*(F.lit(0.0) for _ in range(size)))
-    whole = sums.select("gid", F.array(*(F.col(f"d{i}") for i in range(size))).alias("vector"))
-    return tokens.select("gid").distinct().join(whole, "gid", "left").select("gid", F.coalesce("vector", zero).alias("vector"))
+        at = at.join(known, "token", "left").withColumn("token", F.when(F.col("known"), F.col("token")).when(F.col("token").isNotNull(), F.lit(unseen))).drop("known")
+    # vectors are sent to the sentences, where those that occur are few enough, so sums of whole vectors are not shuffled
+    words = small(vectors.join(at.select("token").distinct(), "token", "left_semi"))
+    used = at.groupBy("gid", "token").agg(F.count("*").alias("n")).join(words, "token", "left")
+    sums = used.groupBy("gid").agg(*(F.coalesce(F.sum(F.col("n") * F.col("vector")[i]), F.lit(0.0)).alias(f"d{i}") for i in range(size)))
+    return sums.select("gid", F.array(*(F.col(f"d{i}") for i in range(size))).cast("array<double>").alias("vector"))
 
 
 def join_features(rows: DataFrame, features: DataFrame, key: str = "gid") -> DataFrame:
