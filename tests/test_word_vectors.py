@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import functions as F
 
 from graphset.operators import skipgram, vectors
 
@@ -71,3 +72,31 @@ def test_model_is_kept_inside_a_pipeline(spark, tmp_path):
 
 def test_a_corpus_without_frequent_words(spark):
     assert skipgram.train_skip_gram(spark.createDataFrame([(1, ["a", "b"])], "gid long, tokens array<string>"), size=4).count() == 0
+
+
+def test_meetings_are_few_and_weigh_what_pairs_count():
+    n, draw = np.array([0.2, 3.0, 31.4, 1e9]), np.random.default_rng(1)
+    total, times = np.zeros(4), np.zeros(4)
+    for here, weight in skipgram.meetings(n, draw):
+        total[here] += weight
+        times[here] += 1
+    assert total == pytest.approx(n) and list(times) == [1, 3, 32, 32]
+
+
+def test_a_corpus_repeated_very_often_is_learned_as_well(spark, monkeypatch):
+    counts = skipgram.pair_counts
+    monkeypatch.setattr(skipgram, "pair_counts", lambda *a: counts(*a).withColumn("n", F.col("n") * 100_000))
+    found = skipgram.train_skip_gram(corpus(spark), size=12, window=5, iterations=3, blocks=2, rate=0.05).collect()
+    unit = {r.token: np.array(r.vector) / np.linalg.norm(r.vector) for r in found}
+    near = {t: sorted((o for o in unit if o != t), key=lambda o: -unit[o] @ unit[t])[:5] for t in unit}
+    assert sum(len(set(near[t]) & set(topic)) for topic in TOPICS for t in topic) >= 0.9 * 4 * 6 * 5
+
+
+def test_pairs_are_the_same_by_either_way(spark, monkeypatch):
+    tokens = corpus(spark, 30).unionByName(spark.createDataFrame([(9_100 + i, [None, "a0", None, "a1"]) for i in range(3)], "gid long, tokens array<string>"))
+    words = skipgram.vocabulary(tokens, 3, 3)
+    here = skipgram.pair_counts(tokens, words, 4)
+    assert "posexplode" not in here._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, here.collect()))
+    monkeypatch.setattr(skipgram, "is_small", lambda _: False)
+    assert sorted(map(tuple, skipgram.pair_counts(tokens, words, 4).collect())) == want and want
