@@ -22,7 +22,11 @@ from graphset.operators.fingerprint import dedup_environments, identifiers, sent
 from graphset.operators.skipgram import train_skip_gram
 from graphset.operators.tables import drop_invalid
 from graphset.sources.text import feature_columns, read_graph_text
-from graphset.storage import is_small, save, small
+from graphset.storage import BROADCAST_BYTES, BROADCAST_ROWS, is_small, save, small
+
+#: Bits of a Bloom filter for each token, and tokens of which one is made at most, so that it has at most BROADCAST_BYTES.
+FILTER_BITS = 16
+FILTER_ROWS = 8 * BROADCAST_BYTES // FILTER_BITS
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -30,30 +34,125 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a Bloom filter may hold."""
+    places = _places(hashes, 8 * len(bits))
+    return ((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
+def _places(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Four places of each 64-bit hash in a filter of ``size`` bits."""
+    h = hashes.view(np.uint64)
+    return np.stack([((h & 0xFFFFFFFF) + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1))) % np.uint64(size) for i in range(4)]).astype(np.int64)
+
+
+def _filter_of(frequent: DataFrame) -> np.ndarray:
+    """A Bloom filter of the tokens of (token, n)."""
+    # at most FILTER_ROWS hashes
+    hashes = frequent.select(F.xxhash64("token").alias("h")).toArrow().column("h").to_numpy()
+    bits = np.zeros(max(64, 8 * -(-len(hashes) * FILTER_BITS // 8)), dtype=bool)
+    bits[_places(hashes, len(bits)).ravel()] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _false_positives(rare: DataFrame, bits: np.ndarray) -> DataFrame:
+    """token of those of (token, n) that the filter takes for frequent; a written table."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["token"]).filter(pa.array(_in_filter(bits, batch.column(1).to_numpy())))
+
+    return save(rare.select("token", F.xxhash64("token").alias("h")).mapInArrow(pick, "token string"))
+
+
+def _most_frequent(frequent: DataFrame) -> pa.Array:
+    """The tokens of (token, n), a written table, from the highest counts down, as many as can be sent to all executors; counts
+    of one size go together."""
+    size = F.floor(F.log2("n") * 8).cast("int")
+    # a few hundred sizes at most
+    sizes = frequent.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.sum(F.coalesce(F.octet_length("token"), F.lit(0))).alias("bytes")).orderBy(F.desc("size")).collect()
+    least, rows, length = None, 0, 0
+    for r in sizes:
+        rows, length = rows + r.rows, length + r.bytes
+        if rows > BROADCAST_ROWS or length > BROADCAST_BYTES:
+            break
+        least = r["size"]
+    few = frequent.filter(size >= least).select("token").collect() if least is not None else []
+    return pa.array([r.token for r in few], pa.string())
+
+
+def _doubtful(tokens: DataFrame, known: pa.Array) -> DataFrame:
+    """gid, token of the tokens of (gid, tokens) that are not among ``known``, once for each sentence; null ones are left out."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            rest = pc.and_(pc.is_valid(words), pc.invert(pc.is_in(words, value_set=known)))
+            once = pa.table({"row": pa.array(row).filter(rest), "token": words.filter(rest)}).group_by(["row", "token"]).aggregate([]).combine_chunks()
+            yield from pa.table({"gid": batch.column(0).take(once.column("row").combine_chunks()), "token": once.column("token")}).to_batches()
+
+    return tokens.select("gid", "tokens").mapInArrow(pick, T.StructType([tokens.schema["gid"], T.StructField("token", T.StringType())]))
+
+
 def insert_unk(tokens: DataFrame, threshold: int = 3, unk: str = "UNK") -> DataFrame:
     """Tokens that occur at most ``threshold`` times in all become ``unk``; order stays.
 
-    Where the frequent tokens are few enough to be sent to all executors, sentences are rewritten where they lie; else each
-    word meets its count in a join.  Sentences without tokens are left out.
+    Where the frequent tokens are few enough to be sent to all executors, sentences are rewritten where they lie; so they are
+    with up to ``FILTER_ROWS`` of them, of which a Bloom filter is sent, with the rare tokens that it takes for frequent, so
+    that no token is mistaken.  Beyond, the most frequent ones are sent; only a sentence's other tokens, each once, meet the
+    frequent ones in a join, and those that are unknown come back to the sentence, which is shuffled once.  Sentences without
+    tokens are left out.
     """
     tokens = tokens.filter(F.size("tokens") > 0)
-    frequent = save(token_counts(tokens).filter(F.col("n") > threshold).select("token"))
+    counts = save(token_counts(tokens))
+    frequent = save(counts.filter(F.col("n") > threshold))
+
+    def rewritten(lists: pa.ListArray, out: pa.Array) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), out)
+
+    schema = T.StructType([tokens.schema["gid"], T.StructField("tokens", T.ArrayType(T.StringType()))])
     if is_small(frequent):
         # at most BROADCAST_ROWS of them
-        known = pa.array([r.token for r in frequent.collect()], pa.string())
+        known = pa.array([r.token for r in frequent.select("token").collect()], pa.string())
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lists = batch.column(1)
-                words = lists.flatten()
-                out = pc.if_else(pc.is_in(words, value_set=known), words, unk)
-                ends = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, out)], names=["gid", "tokens"])
-
-        return tokens.select("gid", "tokens").mapInArrow(rewrite, T.StructType([tokens.schema["gid"], T.StructField("tokens", T.ArrayType(T.StringType()))]))
-    at = tokens.select("gid", F.posexplode("tokens").alias("pos", "token")).join(frequent.withColumn("known", F.lit(True)), "token", "left")
-    word = F.when(F.col("known"), F.col("token")).otherwise(F.lit(unk))
-    return at.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("token")))), lambda x: x["token"]).alias("tokens"))
+                words = batch.column(1).flatten()
+                yield pa.RecordBatch.from_arrays([batch.column(0), rewritten(batch.column(1), pc.if_else(pc.is_in(words, value_set=known), words, unk))], names=["gid", "tokens"])
+
+        return tokens.select("gid", "tokens").mapInArrow(rewrite, schema)
+    if frequent.count() <= FILTER_ROWS:
+        bits = _filter_of(frequent)
+        false = _false_positives(counts.filter(F.col("n") <= threshold), bits)
+        if is_small(false):
+            # at most BROADCAST_ROWS of them
+            rare = pa.array([r.token for r in false.collect()], pa.string())
+
+            def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    words = batch.column(1).flatten()
+                    known = pc.and_(pa.array(_in_filter(bits, batch.column(2).flatten().to_numpy())), pc.invert(pc.is_in(words, value_set=rare)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), rewritten(batch.column(1), pc.if_else(known, words, unk))], names=["gid", "tokens"])
+
+            return tokens.select("gid", "tokens", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")).mapInArrow(test, schema)
+    null_known = not frequent.filter("token IS NULL").isEmpty()
+    rare = _doubtful(tokens, _most_frequent(frequent)).join(frequent.select("token"), "token", "left_anti")
+    rare = rare.groupBy(F.col("gid").alias("of")).agg(F.collect_set("token").alias("rare"))
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1).flatten()
+            # a token is rare in all sentences or in none
+            gone = pc.is_in(words, value_set=pc.unique(batch.column(2).flatten()))
+            if not null_known:
+                gone = pc.or_(gone, pc.is_null(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rewritten(batch.column(1), pc.if_else(gone, unk, words))], names=["gid", "tokens"])
+
+    met = tokens.select("gid", "tokens").join(rare, F.col("gid").eqNullSafe(F.col("of")), "left")
+    return met.select("gid", "tokens", "rare").mapInArrow(replace, schema)
 
 
 def train_word2vec(tokens: DataFrame, size: int = 100, window: int = 10, min_count: int = 3, iterations: int = 1, partitions: int = 1, seed: int = 42) -> Word2VecModel:

@@ -90,3 +90,29 @@ def test_graph_text_is_read_as_arcs_or_edges(spark, tmp_path):
     (tmp_path / "g.txt").write_text("t # 0\nv 0 A\nv 1 B\ne 1 0 x\nt # -1\n")
     ends = [[(r.src, r.dst) for r in text.read_graph_text(spark, str(tmp_path / "g.txt"), directed=d)[1].collect()] for d in (False, True)]
     assert ends == [[(0, 1)], [(1, 0)]]
+
+
+def test_unknown_words_are_the_same_by_every_way(spark, monkeypatch):
+    """Sent whole, by a filter, by a filter that mistakes most words, and by a join with none, some or all words sent."""
+    rng = random.Random(3)
+    rows = [(g, [rng.choice(["hot", None, f"w{int(rng.paretovariate(0.7))}"]) for _ in range(rng.randrange(30))]) for g in [*range(200), 7, None]]
+    tokens = spark.createDataFrame(rows, "gid long, tokens array<string>")
+    found = lambda: sorted(((r.gid, r.tokens) for r in vectors.insert_unk(tokens, 3, "U").collect()), key=str)
+    want = found()
+    counts = {}
+    for _, words in rows:
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+    assert want == sorted(((g, [w if counts[w] > 3 else "U" for w in words]) for g, words in rows if words), key=str)
+    monkeypatch.setattr(vectors, "is_small", lambda done: done.columns == ["token"])
+    out = vectors.insert_unk(tokens, 3, "U")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in out and "Aggregate" not in out
+    assert found() == want
+    monkeypatch.setattr(vectors, "FILTER_BITS", 1)
+    assert found() == want
+    monkeypatch.setattr(vectors, "FILTER_ROWS", 0)
+    for sent in (0, 5, 500_000):
+        monkeypatch.setattr(vectors, "BROADCAST_ROWS", sent)
+        assert found() == want
+        plan = vectors.insert_unk(tokens, 3, "U")._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan
