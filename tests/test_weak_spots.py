@@ -68,6 +68,28 @@ def test_sets_that_share_one_common_identifier_do_not_meet(spark):
     assert found.count() == 3_000  # each with the set of the common one alone
 
 
+def test_sets_meet_where_they_share_several_rare_identifiers(spark, monkeypatch):
+    """Six labels at two places each: every set shares one or two rare identifiers with most others, and few sets are alike."""
+    rng = random.Random(5)
+    sets = {g: {f"{i}{rng.choice('abcdef')}" for i in range(rng.randint(6, 12))} for g in range(400)}
+    fp = spark.createDataFrame([(g, x) for g, s in sets.items() for x in s], "gid long, id string")
+    met, written = [], fingerprint.save
+
+    def counted(df, *more):
+        done = written(df, *more)
+        if done.columns == ["a", "b"]:
+            met.append(done.count())
+        return done
+
+    monkeypatch.setattr(fingerprint, "save", counted)
+    few = {g: s for g, s in sets.items() if s not in [sets[h] for h in range(g)]}
+    for threshold in (0.6, 0.75):
+        found = {(r.a, r.b): r.similarity for r in fingerprint.similar_pairs(fp, threshold).collect()}
+        assert found == pytest.approx({(a, b): len(few[a] & few[b]) / len(few[a] | few[b]) for a in few for b in few if a < b and len(few[a] & few[b]) >= threshold * len(few[a] | few[b]) - 1e-9})
+    # of 79,800 pairs
+    assert met[1] < 600
+
+
 def test_weight_classes_are_the_pairs(spark):
     a = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0), (3, 4.0), (4, None)], "gid long, w double")
     b = spark.createDataFrame([(7, 3.0), (8, 2.5), (8, 0.5), (9, 9.0)], "gid long, w double")
