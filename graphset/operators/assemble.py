@@ -58,13 +58,13 @@ def _pairs_of(base: DataFrame, block: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.join(block.drop("by").withColumnsRenamed({"gid": "block", "vs": "vs2", "es": "es2"}), "block")
 
 
-def node_merges(base: DataFrame, block: DataFrame, pairs: DataFrame, *bodies: str) -> DataFrame:
+def node_merges(base: DataFrame, block: DataFrame, pairs: DataFrame, *bodies: str, valid: bool = False) -> DataFrame:
     """All node merges of the pairs (base, block) of packed graphs, one row (cand, base, block, u, w, keep) each: u and w are the
     vertices that become one (the block's behind the base's), keep says which survives; unequal labels give both survivors, equal
-    labels one.  With ``bodies`` 'vs' and 'es' come the vertices and bonds of the candidate.  Nothing is shuffled behind the
-    graphs of a pair."""
+    labels one.  With ``bodies`` 'vs' and 'es' come the vertices and bonds of the candidate, with ``valid`` only candidates that have no
+    vertex above its cap.  Nothing is shuffled behind the graphs of a pair."""
     rows = _pairs_of(base, block, pairs)
-    return rows.mapInArrow(merging.merges(merging.node_sites, "n", *bodies), merging.schema(rows.schema, *bodies))
+    return rows.mapInArrow(merging.merges(merging.node_sites, "n", *bodies, valid=valid), merging.schema(rows.schema, *bodies))
 
 
 def exploded(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -86,14 +86,14 @@ def both_packed(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, caps
 
 
 def ring_sites(v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
-    """gid, a, b (a < b), la, lb: ring edges of which both ends are free."""
+    """gid, a, b (a < b), la, lb: ring edges, of which loops are none, with both ends free."""
     ring = rings(e).select("gid", "ring")
-    on = e.join(ring, "gid").filter(F.array_contains("ring", F.col("src")) & F.array_contains("ring", F.col("dst"))).select("gid", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    on = e.filter("src <> dst").join(ring, "gid").filter(F.array_contains("ring", F.col("src")) & F.array_contains("ring", F.col("dst"))).select("gid", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     free = valence(v, e, caps).filter("iv > 0").select("gid", "vid", "vlb")
     return on.join(free.withColumnsRenamed({"vid": "a", "vlb": "la"}), ["gid", "a"]).join(free.withColumnsRenamed({"vid": "b", "vlb": "lb"}), ["gid", "b"])
 
 
-def edge_merges(base: DataFrame, block: DataFrame, left: DataFrame, right: DataFrame, pairs: DataFrame, *bodies: str) -> DataFrame:
+def edge_merges(base: DataFrame, block: DataFrame, left: DataFrame, right: DataFrame, pairs: DataFrame, *bodies: str, valid: bool = False) -> DataFrame:
     """All ring-edge merges of the pairs (base, block) of packed graphs, as ``node_merges``: every ring edge (gid, a, b, la, lb) of
     the base against every one of the block in both directions; unequal label sets give both survivors."""
 
@@ -101,7 +101,7 @@ def edge_merges(base: DataFrame, block: DataFrame, left: DataFrame, right: DataF
         return sites.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("a", "b", "la", "lb"))).alias(name))
 
     rows = _pairs_of(base.join(held(left, "xs"), "gid"), block.join(held(right, "ys"), "gid"), pairs)
-    return rows.mapInArrow(merging.merges(merging.edge_sites, "e", *bodies), merging.schema(rows.schema, *bodies))
+    return rows.mapInArrow(merging.merges(merging.edge_sites, "e", *bodies, valid=valid), merging.schema(rows.schema, *bodies))
 
 
 def both_ring_sites(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,17 +115,22 @@ def merge_edges(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame, pair
     return exploded(edge_merges(*both_packed(v1, e1, v2, e2, caps), *both_ring_sites(v1, e1, v2, e2, caps), pairs, "vs", "es"))
 
 
-def _sanitized(cands: DataFrame, v: DataFrame, e: DataFrame, caps: DataFrame, *by: str) -> DataFrame:
-    """by…, code, cand of the valid candidates, the least one of each canonical code and values of ``by``."""
-    vv, ee = v.withColumnRenamed("cand", "gid"), e.withColumnRenamed("cand", "gid")
-    bad = valence(vv, ee, caps).filter("iv < -1e-9").select(F.col("gid").alias("cand")).distinct()
-    shaped = cands.join(bad, "cand", "left_anti").join(shapes(v, e, "cand"), "cand").select("cand", *by, "shape")
+def _least(shaped: DataFrame, *by: str) -> DataFrame:
+    """by…, code, cand: the least candidate (cand, by…, shape) of each canonical code and values of ``by``."""
     return with_codes(shaped).groupBy(*by, "code").agg(F.min("cand").alias("cand"))
 
 
 def sanitize(cands: DataFrame, v: DataFrame, e: DataFrame, caps: DataFrame) -> DataFrame:
     """cand, base, code of the valid candidates (no vertex above its cap), one of each canonical code per base, sorted."""
-    return _sanitized(cands, v, e, caps, "base").orderBy("base", "code")
+    vv, ee = v.withColumnRenamed("cand", "gid"), e.withColumnRenamed("cand", "gid")
+    bad = valence(vv, ee, caps).filter("iv < -1e-9").select(F.col("gid").alias("cand")).distinct()
+    shaped = cands.join(bad, "cand", "left_anti").join(shapes(v, e, "cand"), "cand").select("cand", "base", "shape")
+    return _least(shaped, "base").orderBy("base", "code")
+
+
+def _sanitized(valid: DataFrame) -> DataFrame:
+    """base, block, code, cand: the least of valid candidates that are one row each, of each canonical code and pair."""
+    return _least(valid.select("cand", "base", "block", F.struct("vs", F.array_sort("es").alias("es")).alias("shape")), "base", "block")
 
 
 def _pairs_alike(base: Alike, block: Alike, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,8 +153,7 @@ def sanitized_nodes(v1: DataFrame, e1: DataFrame, v2: DataFrame, e2: DataFrame,
     base = alike(v1, e1)
     block = base if v2 is v1 and e2 is e1 else alike(v2, e2)
     to, few = _pairs_alike(base, block, pairs)
-    rows = save(node_merges(*both_packed(base.v, base.e, block.v, block.e, caps), few, "vs", "es"))
-    codes = _sanitized(*exploded(rows), caps, "base", "block")
+    codes = _sanitized(node_merges(*both_packed(base.v, base.e, block.v, block.e, caps), few, "vs", "es", valid=True))
     held = save(codes.groupBy("base", "block").agg(F.collect_list(F.struct("code", "cand")).alias("found")).join(few, ["base", "block"]))
     met = join_hot(to, held.withColumnsRenamed({"base": "fb", "block": "fk"}).hint("merge"), ["fb", "fk"], "n")
     # codes of one pair differ, so only those of bases with several blocks are looked at again
@@ -170,9 +174,9 @@ def _expanded(base: Alike, block: Alike, pairs: DataFrame, caps: DataFrame, scor
     to, few = _pairs_alike(base, block, pairs)
     parts = [save(packed(some.v, some.e, caps)) for some in (base, block)]
     sites = [save(ring_sites(some.v, some.e, caps)) for some in (base, block)]
-    rows = save(node_merges(*parts, few, "vs", "es").unionByName(edge_merges(*parts, *sites, few, "vs", "es")))
-    cands, v, e = exploded(rows)
-    valid = save(_sanitized(cands, v, e, caps, "base", "block"))
+    rows = save(node_merges(*parts, few, "vs", "es", valid=True).unionByName(edge_merges(*parts, *sites, few, "vs", "es", valid=True)))
+    _, v, e = exploded(rows)
+    valid = save(_sanitized(rows))
     scored = valid.join(score(v.withColumnRenamed("cand", "gid"), e.withColumnRenamed("cand", "gid")).withColumnRenamed("gid", "cand"), "cand")
     first = F.row_number().over(Window.partitionBy("base", "block").orderBy(F.desc("score"), "code"))
     best = save(scored.withColumn("k", first).filter("k = 1").drop("k").join(few, ["base", "block"]))

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Vertices and bonds of the candidates that are held at once (one candidate, if it has more).
 ELEMENTS = 200_000
+#: Bonds that pass a cap by no more than this fit it.
+TOLERANCE = 1e-9
 
 VS = "vs array<struct<vid:int,vlb:string>>"
 ES = "es array<struct<src:int,dst:int,elb:string>>"
@@ -118,9 +120,64 @@ def _body(batch: dict[str, Ragged], names: tuple[str, str], ends: tuple[str, ...
     return _lists(owner, len(row), np.argsort(owner, kind="stable"), **dict(zip(ends, point, strict=True)), **{label: pa.concat_arrays(labels)})
 
 
-def merges(sites: Callable[[pa.RecordBatch], Sites], kind: str, *bodies: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted key in sorted ones, and whether it is there."""
+    place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return place, keys[place] == wanted if len(keys) else np.zeros(wanted.shape, dtype=bool)
+
+
+@dataclass
+class _Bonds:
+    """Of the graphs of a batch: a key and the bonds of each vertex, its cap, whether the bonds pass it, and how many do so in a graph;
+    a key and the order of each bond."""
+
+    keys: np.ndarray
+    ev: np.ndarray
+    tv: np.ndarray
+    bad: np.ndarray
+    n_bad: np.ndarray
+    pairs: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, vs: str, es: str) -> _Bonds:
+        x, y = ragged(batch.column(vs)), ragged(batch.column(es))
+        owner, place = spans(x.start, x.length)
+        # vertices and bonds of a graph are sorted
+        keys = _key(owner, x["vid"][place])
+        on, at = spans(y.start, y.length)
+        weight = y.fields["elb"].cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)[at]
+        ends, there = zip(*(_at(keys, _key(on, y[c][at])) for c in ("src", "dst")), strict=True)
+        ev = sum(np.bincount(e[t], weights=weight[t], minlength=len(keys)) for e, t in zip(ends, there, strict=True))
+        tv = x["tv"][place].astype(float) if x.fields["tv"].null_count == 0 else x.fields["tv"].cast(pa.float64()).fill_null(np.inf).to_numpy(zero_copy_only=False)[place]
+        bad = tv - ev < -TOLERANCE
+        both = there[0] & there[1]
+        return _Bonds(keys, ev, tv, bad, np.bincount(owner[bad], minlength=len(batch)), (ends[0] * len(keys) + ends[1])[both], weight[both])
+
+    def between(self, ends: np.ndarray) -> np.ndarray:
+        """The orders of the bonds of pairs of places of vertices, 0 where there is none."""
+        place, there = _at(self.pairs, ends.min(axis=1) * len(self.keys) + ends.max(axis=1))
+        return np.where(there, self.weights[place], 0.0) if len(self.pairs) else np.zeros(len(ends))
+
+
+def _key(owner: np.ndarray, vid: np.ndarray) -> np.ndarray:
+    return (owner.astype(np.int64) << 32) + vid.astype(np.int64)
+
+
+def _valid(batch: pa.RecordBatch, row: np.ndarray, u: np.ndarray, w: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Which candidates have no vertex whose bonds pass the cap of its label: only those of the vertices that become one change, to the
+    sum of both without the bond that goes."""
+    x, y = _Bonds.of(batch, "vs", "es"), _Bonds.of(batch, "vs2", "es2")
+    i, j = (_at(side.keys, _key(row[:, None], z))[0] for side, z in ((x, u), (y, w)))
+    others = x.n_bad[row] - x.bad[i].sum(axis=1) + y.n_bad[row] - y.bad[j].sum(axis=1)
+    gone = np.where(keep, y.between(j), x.between(i)) if u.shape[1] == 2 else np.zeros(len(row))
+    room = np.where(keep[:, None], x.tv[i], y.tv[j]) - (x.ev[i] + y.ev[j] - gone[:, None])
+    return (others == 0) & (room >= -TOLERANCE).all(axis=1)
+
+
+def merges(sites: Callable[[pa.RecordBatch], Sites], kind: str, *bodies: str, valid: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches of pairs (base, block, by, vs, es, vs2, es2 and what ``sites`` needs) as candidates: cand, base, block, u, w, keep,
-    and the ``bodies`` (vs, es) that are asked for."""
+    and the ``bodies`` (vs, es) that are asked for; with ``valid`` those alone that have no vertex above its cap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,6 +187,9 @@ def merges(sites: Callable[[pa.RecordBatch], Sites], kind: str, *bodies: str) ->
             parts = {c: ragged(batch.column(c)) for c in ("vs", "es", "vs2", "es2") if c[:2] in bodies}
             by = batch.column("by").to_numpy().astype(np.int64)
             row, u, w = row[site], u[site].astype(np.int64), w[site].astype(np.int64)
+            if valid and len(row):
+                fit = _valid(batch, row, u, w, first)
+                row, u, w, first = row[fit], u[fit], w[fit], first[fit]
             size = np.ones(len(row), dtype=np.int64) + sum(x.length[row] for x in parts.values())
             piece = (np.cumsum(size) - 1) // ELEMENTS
             cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(row)] if len(row) else []

@@ -43,3 +43,25 @@ def test_sanitize_works_on_pairs_that_are_alike_once(spark):
     cands, nv, ne = assemble.merge_nodes(v, e, v, e, pairs, caps)
     want = [(r.base, r.code, r.cand) for r in assemble.sanitize(cands, nv, ne, caps).collect()]
     assert want and [(r.base, r.code, r.cand) for r in assemble.sanitized_nodes(v, e, v, e, pairs, caps).collect()] == want
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, odd):
+    """``odd``, and rings of four with and without a chord, of which many merges pass the caps."""
+    rings = [(g, "CONC"[i] if g % 2 else "CCOO"[i], i) for g in range(10, 18) for i in range(4)]
+    bonds = [(g, k, a, b, str(1 + (g + k) % 2)) for g in range(10, 18) for k, (a, b) in enumerate([(0, 1), (1, 2), (2, 3), (3, 0), (0, 2)][: 4 + (g % 3 == 0)])]
+    v = odd[0].unionByName(spark.createDataFrame([(g, i, x) for g, x, i in rings], "gid long, vid int, vlb string"))
+    e = odd[1].unionByName(spark.createDataFrame(bonds, odd[1].schema))
+    pairs = spark.createDataFrame([(a, b) for a in (1, 2, 3, *range(10, 18)) for b in (1, 2, 3, *range(10, 18))], "base long, block long")
+    return v, e, spark.createDataFrame([("C", 5), ("O", 6)], "vlb string, cap int"), pairs
+
+
+def test_candidates_above_a_cap_are_not_made(crowded):
+    v, e, caps, pairs = crowded
+    packed, sites = assemble.both_packed(v, e, v, e, caps), assemble.both_ring_sites(v, e, v, e, caps)
+    for rows in (lambda **how: assemble.node_merges(*packed, pairs, "vs", "es", **how), lambda **how: assemble.edge_merges(*packed, *sites, pairs, "vs", "es", **how)):
+        _, nv, ne = assemble.exploded(rows())
+        bad = assemble.valence(nv.withColumnRenamed("cand", "gid"), ne.withColumnRenamed("cand", "gid"), caps).filter("iv < -1e-9")
+        bad, made = {r.gid for r in bad.collect()}, {r.cand: (r.vs, r.es) for r in rows().collect()}
+        want = {c: body for c, body in made.items() if c not in bad}
+        assert bad and want and {r.cand: (r.vs, r.es) for r in rows(valid=True).collect()} == want
