@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphset.operators import mining, rings
 from graphset.operators.alike import alike, once
-from graphset.operators.codes import with_codes
+from graphset.operators.codes import is_min_key, with_codes
 from graphset.operators.mining import MiningConfig
 
 
@@ -49,3 +49,9 @@ def test_shapes_are_no_keys_of_joins(spark, copies):
     coded = with_codes(rings.induced(*copies, members))
     assert "shape" not in coded._jdf.queryExecution().executedPlan().toString()
     assert coded.select("code").distinct().count() == 3
+
+
+def test_keys_that_differ_early_are_told_early():
+    # a star with twelve equal leaves has as many places of its code as there are orders of these
+    assert not is_min_key(";".join(f"0,{i},1,0,{int(i < 13)}" for i in range(1, 14)))
+    assert is_min_key("0,1,0,0,1;1,2,1,0,1") and not is_min_key("0,1,1,0,0;0,2,1,0,1")
